@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op7_ngram_join": "ngram_join",
     "op6_decontamination": "decontamination",
     "op1_packing": "packing",
     "op2_sharding": "sharding",
