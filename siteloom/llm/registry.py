@@ -8,13 +8,14 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op5_substring_dedup": "substring_dedup",
     "op7_ngram_join": "ngram_join",
     "op6_decontamination": "decontamination",
     "op1_packing": "packing",
     "op2_sharding": "sharding",
     "op3_exact_dedup": "exact_dedup",
 }
-_SQL = {"op6_decontamination": ("decontamination", "OP6_SQL"), "op3_exact_dedup": ("exact_dedup", "OP3_SQL")}
+_SQL = {"op5_substring_dedup": ("substring_dedup", "OP5_SQL"), "op6_decontamination": ("decontamination", "OP6_SQL"), "op3_exact_dedup": ("exact_dedup", "OP3_SQL")}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
