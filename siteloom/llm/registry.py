@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op4_toxicity": "toxicity_gru",
     "op10_quality": "quality_crf",
     "op5_substring_dedup": "substring_dedup",
     "op7_ngram_join": "ngram_join",
