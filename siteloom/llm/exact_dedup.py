@@ -80,7 +80,7 @@ class DigestIndex:
 
     def __init__(self, capacity: int = 1024) -> None:
         self.filter = CuckooFilter(capacity)
-        self.buckets: dict[int, list[list]] = {}  # key -> [digest, length, best id, rows]
+        self.buckets: dict[int, list[list]] = {}  # key -> [digest, length, best id, its row, rows]
         self.live = 0
 
     def find(self, key: int, digest: bytes, length: int) -> list | None:
@@ -91,8 +91,8 @@ class DigestIndex:
                 return entry
         return None
 
-    def insert(self, key: int, digest: bytes, length: int, best: int | None, rows: int) -> None:
-        self.buckets.setdefault(key, []).append([digest, length, best, rows])
+    def insert(self, key: int, digest: bytes, length: int, best: int | None, rid: int, rows: int) -> None:
+        self.buckets.setdefault(key, []).append([digest, length, best, rid, rows])
         self.live += 1
         if not self.filter.insert(key):
             self.resize()
@@ -119,16 +119,16 @@ class DigestIndex:
                 return
             size *= 2
 
-    def add(self, key: int, digest: bytes, length: int, best: int | None, rows: int) -> None:
-        """One more group of ``rows`` equal rows; the largest id stays live."""
+    def add(self, key: int, digest: bytes, length: int, best: int | None, rid: int, rows: int) -> None:
+        """One more group of ``rows`` equal rows; the largest id stays live, of equal ids the smallest row number."""
         if (entry := self.find(key, digest, length)) is None:
-            self.insert(key, digest, length, best, rows)
-        elif best is not None and (entry[2] is None or best > entry[2]):
-            rows += entry[3]
+            self.insert(key, digest, length, best, rid, rows)
+        elif best == entry[2] and rid < entry[3] or best is not None and (entry[2] is None or best > entry[2]):
+            rows += entry[4]
             self.delete(key, digest, length)
-            self.insert(key, digest, length, best, rows)
+            self.insert(key, digest, length, best, rid, rows)
         else:
-            entry[3] += rows
+            entry[4] += rows
 
     def entries(self) -> Iterator[tuple]:
         for key, found in self.buckets.items():
@@ -136,15 +136,15 @@ class DigestIndex:
                 yield (key, *e)
 
 
-GROUPS = "key long, digest binary, length int, keep_id long, group_size long"
+GROUPS = "key long, digest binary, length int, keep_id long, keep_rid long, group_size long"
 #: Entries of a task's own index before it is handed on; the shard merges what one task gives in several parts.
 TASK_ENTRIES = 200_000
 
 
 def _indexer(early: bool):
     """Feeds rows of GROUPS to an index and gives its entries. ``early``: hand the index on whenever it is full."""
-    names = ["key", "digest", "length", "keep_id", "group_size"]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["key", "digest", "length", "keep_id", "keep_rid", "group_size"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def out(index: DigestIndex) -> Iterator[pa.RecordBatch]:
         rows = list(index.entries())
@@ -165,41 +165,35 @@ def _indexer(early: bool):
     return run
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, key, digest, length of each row; written once, so that rid is stable and texts are read once."""
+def digests(docs: DataFrame, rid: str | None = None) -> DataFrame:
+    """rid, doc_id, key, digest, length of each row; written once, so that rid is stable and texts are read once.
+
+    ``rid``: a column of distinct row numbers, if ``docs`` has one.
+    """
     low = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     narrow = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low"))
-        .select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.unhex(F.sha2("low", 256)).alias("digest"), F.octet_length("low").cast("int").alias("length"))
+        docs.select(F.col(rid) if rid else F.lit(None).alias("_none"), F.col("doc_id").cast("long").alias("doc_id"), low.alias("low"))
+        .select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), "doc_id", F.unhex(F.sha2("low", 256)).alias("digest"), F.octet_length("low").cast("int").alias("length"))
         .withColumn("key", F.xxhash64("digest"))
     )
     return stored(narrow, "digests")
 
 
 def groups(rows: DataFrame, rows_a_shard: int = 1_000_000) -> DataFrame:
-    """One row for each distinct content of :func:`digests`: key, digest, length, keep_id, group_size."""
+    """One row for each distinct content of :func:`digests`: :data:`GROUPS`."""
     spark = rows.sparkSession
     shards = max(shuffle_partitions(spark), rows.count() // rows_a_shard + 1)
-    once = rows.select("key", "digest", "length", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    once = rows.select("key", "digest", "length", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.lit(1).cast("long").alias("group_size"))
     local = once.mapInArrow(_indexer(True), GROUPS)
     return local.repartition(shards, "key").mapInArrow(_indexer(False), GROUPS)
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
+def exact_duplicates(docs: DataFrame, rid: str | None = None) -> DataFrame:
     """rid, doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs`` (doc_id, text)."""
-    rows = digests(docs)
+    rows = digests(docs, rid)
     found = stored(groups(rows), "groups")
-    joined = rows.alias("r").join(found.hint("merge").alias("g"), ["key", "digest", "length"])
-    # of repeated rows of the row that stays, the one with the smallest rid stays
-    keeper = (
-        joined.where((F.col("group_size") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("key", "digest", "length")
-        .agg(F.min("rid").alias("keep_rid"))
-    )
-    return (
-        joined.join(keeper.hint("merge"), ["key", "digest", "length"], "left")
-        .select("rid", "doc_id", "keep_id", "group_size", F.coalesce(F.col("rid") == F.col("keep_rid"), F.col("group_size") == 1).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-    )
+    joined = rows.join(found.hint("merge"), ["key", "digest", "length"])
+    return joined.select("rid", "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op8_line_dedup": "line_dedup",
+    "op9_license_scan": "license_scan",
     "op4_toxicity": "toxicity_gru",
     "op10_quality": "quality_crf",
     "op5_substring_dedup": "substring_dedup",
@@ -17,7 +19,7 @@ _MODULES = {
     "op2_sharding": "sharding",
     "op3_exact_dedup": "exact_dedup",
 }
-_SQL = {"op5_substring_dedup": ("substring_dedup", "OP5_SQL"), "op6_decontamination": ("decontamination", "OP6_SQL"), "op3_exact_dedup": ("exact_dedup", "OP3_SQL")}
+_SQL = {"op9_license_scan": ("license_scan", "OP9_SQL"), "op5_substring_dedup": ("substring_dedup", "OP5_SQL"), "op6_decontamination": ("decontamination", "OP6_SQL"), "op3_exact_dedup": ("exact_dedup", "OP3_SQL")}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
