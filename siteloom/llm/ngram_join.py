@@ -5,13 +5,14 @@ So a document that shares T shingles with another one shares one of the first ``
 all shingles that holds for every document. The order here: shingles that few documents have first (frequent ones, of
 common passages, last), each part by hash.
 
-1. One pass finds the frequent shingles (counted by the tasks that read them; the set is bounded, and only orders).
+1. One pass counts the shingles of prefixes by hash and finds the frequent ones (the set is bounded, and only orders).
 2. One pass turns documents into sets: size, a 64-bit id of the set (equal sets are one set from here on), the prefix.
 3. Star search: of the sets that share one of their first few shingles, all are compared with one leader, the set that
    is most alike the others (the largest share of frequent shingles). Links of copies are found here, with as many
    comparisons as sets, not pairs of them.
 4. Full search: inverted lists over the whole prefixes give the pairs that are not yet in one component. Lists within
    one component give nothing, so a group of thousands of copies costs nothing here, and no pair is lost.
+   Pairs whose bitmaps (a bit for each shingle) already differ too much are left out.
 5. Comparisons are T-occurrence searches: the sets to compare with one leader come in bounded chunks, are turned into
    inverted lists, and DivideSkip merges the short lists with a heap, probes the long ones by binary search and keeps
    sets that reach their T.
@@ -39,7 +40,7 @@ from siteloom.llm.components import connected
 
 SHINGLE, PERCENT = 5, 75
 #: A shingle counts as frequent from so many documents on; of more than FREQUENT_MOST such, the most frequent ones.
-FREQUENT, FREQUENT_MOST = 50, 1_000_000
+FREQUENT, FREQUENT_MOST = 6, 4_000_000
 #: Shingles of a set that the star search looks at.
 STAR = 8
 #: Sets that one T-occurrence search compares with its leader.
@@ -82,37 +83,73 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
 def frequent_shingles(docs: DataFrame, at_least: int = FREQUENT, most: int = FREQUENT_MOST) -> np.ndarray:
     """Hashes of shingles that many documents have in their prefix by hash, sorted.
 
-    Each task counts its own documents' distinct texts and hands on what it saw twice or more, so that single shingles
-    are never shuffled. The set only orders shingles; which ones just miss it doesn't change the result.
+    Shingles go to places by hash, packed: what one batch sends to one place is one row. The set only orders shingles;
+    which ones just miss it doesn't change the result.
     """
+    places = max(shuffle_partitions(docs.sparkSession), 12)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, have = set(), [], 0
-
-        def told() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(signed(tokens[keep])), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
-
-        for b in _slices(batches):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in _slices(batches, 4000):
+            held = []
             for s in shingle_sets(b.column("text")):
                 key = xxhash.xxh3_64_intdigest(s.tobytes())
                 if len(s) and key not in seen:
                     seen.add(key)
                     held.append(s[: prefix_length(len(s))])
-                    have += len(held[-1])
-            if have > 3_000_000:
-                yield told()
-                seen, held, have = set(), [], 0
+            if len(seen) > 500_000:
+                seen.clear()
+            if held:
+                tokens = np.concatenate(held)
+                place = (mixed(tokens) % np.uint64(places)).astype(np.int32)
+                order = np.argsort(place, kind="stable")
+                cuts = np.searchsorted(place[order], np.arange(places + 1)).tolist()
+                tokens = tokens[order]
+                some = [d for d in range(places) if cuts[d + 1] > cuts[d]]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([tokens[cuts[d] : cuts[d + 1]].tobytes() for d in some], pa.binary())], names=["place", "tokens"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            keep = n >= at_least
+            return pa.RecordBatch.from_arrays([pa.array(signed(tokens[keep])), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
+
+        place, held = None, []
+        for b in batches:
+            for d, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if d != place and held:
+                    yield told()
+                    held = []
+                place = d
+                held.append(np.frombuffer(blob, np.uint64))
         if held:
             yield told()
 
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
-    top = counts.orderBy(F.desc("n"), "token").limit(most).select("token")
+    packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "place int, tokens binary")
+    counts = packed.repartition(places, "place").sortWithinPartitions("place").mapInArrow(count, "token long, n long")
+    top = stored(counts, "frequent").orderBy(F.desc("n"), "token").limit(most).select("token")
     return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
 
 
-SETS = "doc_id long, th long, n long, sk long, central int, prefix binary"
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each element, by hash, in the next power of two of bits (64 at least)."""
+    m = max(64, 1 << (len(s) - 1).bit_length())
+    bits = np.zeros(m, bool)
+    bits[(s & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def bitmap_bound(x: bytes, y: bytes, m: int, n: int) -> int:
+    """An upper bound of the intersection of sets of m and n elements: a bit that differs is an element of one of them."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    return (m + n - int(np.bitwise_count(a ^ b).sum())) // 2
+
+
+SETS = "doc_id long, th long, n long, sk long, central int, prefix binary, bits binary"
 
 
 def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
@@ -125,18 +162,20 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, seen = sent.value, set()
         for b in _slices(batches):
-            n, sk, central, prefix = [], [], [], []
+            n, sk, central, prefix, bits = [], [], [], [], []
             for s in shingle_sets(b.column("text")):
                 n.append(len(s))
                 key = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
                 sk.append(key)
                 if key is None or key in seen:
                     prefix.append(None)
+                    bits.append(None)
                     central.append(0)
                     continue
                 seen.add(key)
                 if len(seen) > 500_000:
                     seen.clear()
+                bits.append(bitmap(s))
                 if len(hot):
                     at = np.searchsorted(hot, s)
                     at[at == len(hot)] = 0
@@ -147,7 +186,7 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT)
                 else:
                     central.append(0)
                 prefix.append(s[: prefix_length(len(s), percent)].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sk, pa.int64()), pa.array(central, pa.int32()), pa.array(prefix, pa.binary())], names=["doc_id", "th", "n", "sk", "central", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sk, pa.int64()), pa.array(central, pa.int32()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "th", "n", "sk", "central", "prefix", "bits"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     return stored(narrow.mapInArrow(run, SETS), "sets")
@@ -314,8 +353,23 @@ def search(leader: np.ndarray, members: list[np.ndarray], percent: int = PERCENT
     return divide_skip([flat[a:b] for a, b in zip(lo[has].tolist(), hi[has].tolist(), strict=True)], need)
 
 
+def possible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow the required intersection, written. Nothing that is similar is lost."""
+    bits = sets.where("bits is not null").select("sk", "n", "bits").dropDuplicates(["sk"])
+    left, right = (bits.select(F.col("sk").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c, m, n, x, y = (b.column(k).to_pylist() for k in ("a", "b", "n_a", "n_b", "bits_a", "bits_b"))
+            ok = [i for i in range(len(a)) if bitmap_bound(x[i], y[i], m[i], n[i]) >= required(m[i], n[i], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([c[i] for i in ok], pa.int64())], names=["a", "b"])
+
+    return stored(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(keep, "a long, b long"), "possible")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, common) of the pairs (a stored table) that are similar; texts of the sets concerned are read again."""
+    pairs = possible(pairs, sets, percent)
     members = pairs.select(F.col("b").alias("sk")).union(pairs.select(F.col("a").alias("sk"))).distinct()
     place = sets.where("prefix is not null").groupBy("sk").agg(F.min(F.struct("doc_id", "th")).alias("p"))
     need = stored(members.join(place.hint("merge"), "sk").select("sk", F.col("p.doc_id").alias("doc_id"), F.col("p.th").alias("th")), "need")
