@@ -101,7 +101,7 @@ def near_lines(found: DataFrame, first: DataFrame) -> DataFrame:
     long_lines = found.where("halves is not null")
     halves = long_lines.select("hash", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("half")
-    alive = stored(halves.join(shared.hint("merge"), "half").select("hash").distinct(), "alive")
+    alive = stored(halves.join(stored(shared, "shared").hint("merge"), "half").select("hash").distinct(), "alive")
     bodies = stored(long_lines.select("hash", "body").join(small(alive), "hash", "left_semi").dropDuplicates(["hash"]).join(first.hint("merge"), "hash"), "bodies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,8 @@ def near_lines(found: DataFrame, first: DataFrame) -> DataFrame:
     cut = F.when(F.col("place") >= 0, F.struct("e", "hash"))
     by_key = sent.groupBy("key").agg(F.min(whole).alias("whole"), F.min(cut).alias("cut"), F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").drop("low", "high")
     by_place = sent.where("place >= 0").groupBy("key", "place").agg(F.min(F.struct("e", "hash")).alias("same"), F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").drop("low", "high")
-    met = sent.join(by_key.hint("merge"), "key").join(by_place.hint("merge"), ["key", "place"], "left")
+    # stored, so that the joins have an exchange on both sides, which adaptive execution can split
+    met = stored(sent.join(stored(by_key, "by-key").hint("merge"), "key"), "met").join(stored(by_place, "by-place").hint("merge"), ["key", "place"], "left")
     partners = F.array(F.when(F.col("place") >= 0, F.col("whole")), F.when(F.col("place") < 0, F.col("cut")), F.col("same"))
     pairs = met.select("hash", "e", F.explode(partners).alias("p")).where("p is not null and p.hash <> hash and p.e < e").select("hash", F.col("p.hash").alias("other")).distinct()
     left = bodies.select("hash", "body")
@@ -145,7 +146,7 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     found = lines(docs)
     first = stored(found.where("words > 0").groupBy("hash").agg(F.min(F.struct("doc_id", "line", "rid")).alias("e")), "first")
     near = stored(near_lines(found, first), "near")
-    decided = first.join(near.withColumn("near", F.lit(True)).hint("merge"), "hash", "left")
+    decided = stored(first.join(near.withColumn("near", F.lit(True)).hint("merge"), "hash", "left"), "decided")
     marked = found.select("rid", "doc_id", "line", "words", "hash").join(decided.hint("merge"), "hash", "left")
     gone = (F.col("words") > 0) & (F.coalesce("near", F.lit(False)) | (F.col("rid") != F.col("e.rid")) | (F.col("line") != F.col("e.line")))
     per = marked.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.when(gone, F.col("line")))).alias("dropped"))

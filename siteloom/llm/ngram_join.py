@@ -205,7 +205,8 @@ def star_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     lists = stored(sets.where("prefix is not null").select("sk", "n", "central", "prefix").mapInArrow(run, "token long, sk long, n long, central int"), "lists")
     leader = lists.groupBy("token").agg(F.max(F.struct("central", "sk", "n")).alias("l"), F.min("sk").alias("low"), F.max("sk").alias("high")).where("low <> high").select("token", F.col("l.sk").alias("a"), F.col("l.n").alias("m"))
-    pairs = lists.join(leader.hint("merge"), "token").where(f"sk <> a and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    # stored, so that the join has an exchange on both sides, which adaptive execution can split
+    pairs = lists.join(stored(leader, "leaders").hint("merge"), "token").where(f"sk <> a and 100 * least(n, m) >= {percent} * greatest(n, m)")
     return pairs.select("a", F.col("sk").alias("b")).distinct()
 
 
@@ -375,7 +376,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int =
     need = stored(members.join(place.hint("merge"), "sk").select("sk", F.col("p.doc_id").alias("doc_id"), F.col("p.th").alias("th")), "need")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     texts = stored(source.join(small(need), (source["doc_id"].eqNullSafe(need["doc_id"])) & (source["th"] == need["th"])).select("sk", "text"), "texts")
-    chunks = pairs.groupBy("a").agg((F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    chunks = stored(pairs.groupBy("a").agg((F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks")), "chunks")
     dealt = stored(pairs.join(chunks.hint("merge"), "a").select("a", "b", F.pmod("b", F.col("chunks") + 1).alias("chunk")), "dealt")
     rows = dealt.join(texts.hint("merge"), dealt["b"] == texts["sk"]).select("a", "chunk", "sk", F.lit(1).alias("member"), "text")
     heads = dealt.select("a", "chunk").distinct()
@@ -432,8 +433,8 @@ def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = narrow.where("sk is not null").groupBy("sk").agg(F.min("doc_id").alias("least"))
     label = least.join(comps.select(F.col("node").alias("sk"), "component").hint("merge"), "sk", "left").select("sk", "least", F.coalesce("component", "sk").alias("component"))
     label = stored(label, "labels")
-    low = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = label.join(low.hint("merge"), "component").select("sk", "component_id")
+    low = stored(label.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    by_set = stored(label.join(low.hint("merge"), "component").select("sk", "component_id"), "by-set")
     linked = narrow.join(by_set.hint("merge"), "sk", "left")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "th")
 

@@ -134,7 +134,8 @@ def pieces(texts: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
 
 def repeated_pieces(found: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """rid, at, n, mask, path_before, path_after: pieces with repeated windows. Bit i of ``mask``: window i repeats."""
-    twice = found.groupBy("least").agg((F.count(F.lit(1)) + F.max(F.col("twice").cast("long"))).alias("c")).where("c > 1").select("least")
+    # stored, so that a join with it has an exchange on both sides, which adaptive execution can split
+    twice = stored(found.groupBy("least").agg((F.count(F.lit(1)) + F.max(F.col("twice").cast("long"))).alias("c")).where("c > 1").select("least"), "twice")
     candidates = stored(found.join(twice.hint("merge"), "least"), "candidates")
     released(found.sparkSession)
     # the distinct pieces, with one occurrence of each and their neighbours
@@ -146,6 +147,7 @@ def repeated_pieces(found: DataFrame, texts: DataFrame, width: int = WIDTH) -> D
         "kinds",
     )
     several = kinds.groupBy("least").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("times"), F.max("twice").alias("twice")).where("(kinds > 1 and times = 1) or twice").select("least")
+    several = stored(several, "several")
     open_ = stored(kinds.join(several.hint("merge"), "least").select("least", "piece", "n", "times", F.col("one.rid").alias("rid"), F.col("one.at").alias("at")), "open")
     by_text = open_.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "least", "piece", "times")).alias("p"))
     again = texts.select("rid", "text").join(by_text.hint("shuffle_hash"), "rid")
@@ -167,7 +169,7 @@ def repeated_pieces(found: DataFrame, texts: DataFrame, width: int = WIDTH) -> D
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["least", "piece", "i", "window", "times"])
 
     single = stored(again.mapInArrow(windows, "least long, piece long, i int, window long, times long"), "windows")
-    again_met = single.groupBy("least", "window").agg(F.sum("times").alias("c")).where("c > 1").select("least", "window")
+    again_met = stored(single.groupBy("least", "window").agg(F.sum("times").alias("c")).where("c > 1").select("least", "window"), "met")
     masks = single.join(again_met.hint("merge"), ["least", "window"]).groupBy("least", "piece").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
     decided = kinds.join(masks.hint("merge"), ["least", "piece"], "left").select(
         "least", "piece", "n", "in_one", "out_one", F.when(F.col("times") > 1, F.expr("shiftleft(1L, n) - 1").cast("int")).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")
