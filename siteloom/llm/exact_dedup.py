@@ -39,7 +39,11 @@ class CuckooFilter:
     def places(self, key: int) -> tuple[int, int, int]:
         fp = (key >> 48 & 0xFFFF) or 1
         i = key & self.mask
-        return fp, i, i ^ (fp * 0x5BD1E995 & self.mask)
+        return fp, i, self.other(i, fp)
+
+    def other(self, bucket: int, fp: int) -> int:
+        """A fingerprint's other bucket; never the same one."""
+        return bucket ^ (fp * 0x5BD1E995 & self.mask | 1)
 
     def contains(self, key: int) -> bool:
         fp, i, j = self.places(key)
@@ -58,7 +62,7 @@ class CuckooFilter:
             self.turn = self.turn + 1 & 3
             bucket = self.buckets[b]
             fp, bucket[self.turn] = bucket[self.turn], fp
-            b ^= fp * 0x5BD1E995 & self.mask
+            b = self.other(b, fp)
             if len(self.buckets[b]) < self.SLOTS:
                 self.buckets[b].append(fp)
                 self.count += 1
@@ -92,9 +96,11 @@ class DigestIndex:
         return None
 
     def insert(self, key: int, digest: bytes, length: int, best: int | None, rid: int, rows: int) -> None:
-        self.buckets.setdefault(key, []).append([digest, length, best, rid, rows])
+        entries = self.buckets.setdefault(key, [])
+        entries.append([digest, length, best, rid, rows])
         self.live += 1
-        if not self.filter.insert(key):
+        # contents of equal keys share one fingerprint
+        if len(entries) == 1 and not self.filter.insert(key):
             self.resize()
 
     def delete(self, key: int, digest: bytes, length: int) -> bool:
@@ -102,19 +108,19 @@ class DigestIndex:
         for n, entry in enumerate(entries):
             if entry[0] == digest and entry[1] == length:
                 del entries[n]
+                self.live -= 1
                 if not entries:
                     del self.buckets[key]
-                self.live -= 1
-                self.filter.delete(key)
+                    self.filter.delete(key)
                 return True
         return False
 
     def resize(self) -> None:
-        """A larger filter from the stored keys. More than eight equal keys can't fit any filter: those share one slot."""
+        """A larger filter from the stored keys."""
         size = 2 * self.filter.SLOTS * (self.filter.mask + 1)
         while True:
             new = CuckooFilter(size)
-            if all(new.insert(key) for key, entries in self.buckets.items() for _ in range(min(len(entries), 8))):
+            if all(new.insert(key) for key in self.buckets):
                 self.filter = new
                 return
             size *= 2
