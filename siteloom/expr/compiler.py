@@ -167,6 +167,11 @@ class Compiler:
             if special is not None:
                 return special
         a, b = self.value(left), self.value(right)
+        # "." is the missing number
+        if a.kind == "num" and right.kind == "string" and _unquote(right.value)[0] == ".":
+            b = Value(F.lit(None).cast("double"))
+        if b.kind == "num" and left.kind == "string" and _unquote(left.value)[0] == ".":
+            a = Value(F.lit(None).cast("double"))
         kind = "str" if "str" in (a.kind, b.kind) else "num"
         if op in ("~", "!~"):
             return self._regex(a, right, op)

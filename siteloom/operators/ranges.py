@@ -34,6 +34,10 @@ def _bins(beg: Column, end: Column, level: Column) -> Column:
     return F.sequence(F.floor(beg / width), F.floor(end / width))
 
 
+def _probe_of(level: int):
+    return lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"))
+
+
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -49,7 +53,7 @@ def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str
     r = r.withColumn("_level", level_of(F.col(f"r_{rb}"), F.col(f"r_{re}"))).withColumn("_bin", F.explode(_bins(F.col(f"r_{rb}"), F.col(f"r_{re}"), F.col("_level"))))
     numbered = left.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else left
     # the left side probes its bins at every level
-    probes = F.flatten(F.array(*[F.transform(_bins(F.col(lb), F.greatest(F.col(lb), F.col(le)), F.lit(k)), lambda b, k=k: F.struct(F.lit(k).alias("level"), b.alias("bin"))) for k in range(LEVELS)]))
+    probes = F.flatten(F.array(*[F.transform(_bins(F.col(lb), F.greatest(F.col(lb), F.col(le)), F.lit(k)), _probe_of(k)) for k in range(LEVELS)]))
     shared = F.greatest(F.col(lb), F.col(f"r_{rb}"))  # the first shared base lies in the first shared bin
     width = F.element_at(F.array(*[F.lit(1 << (BASE + STEP * k)).cast("long") for k in range(LEVELS)]), F.col("_level") + 1)
     common = F.least(F.col(le), F.col(f"r_{re}")) - shared + 1
