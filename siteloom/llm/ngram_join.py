@@ -3,11 +3,11 @@
 Two sets with Jaccard similarity s or more, of sizes m and n, share T = ceil(s / (1 + s) * (m + n)) shingles or more.
 So a document that shares T shingles with another one shares one of the first ``n - ceil(s n) + 1`` in any order of
 all shingles that holds for every document. The order here: shingles that few documents have first (frequent ones, of
-common passages, last), each part by hash.
+common passages, last), each part by length (long ones first, which are seldom shared by chance), then by hash.
 
 1. One pass counts the shingles of prefixes by hash and finds the frequent ones (the set is bounded, and only orders).
 2. One pass turns documents into sets: size, a 64-bit id of the set (equal sets are one set from here on), the prefix.
-3. Star search: of the sets that share one of their first few shingles, all are compared with one leader, the set that
+3. Star search: of the sets that share one of their first few rare or frequent shingles, all are compared with one leader, the set that
    is most alike the others (the largest share of frequent shingles). Links of copies are found here, with as many
    comparisons as sets, not pairs of them.
 4. Full search: inverted lists over the whole prefixes give the pairs that are not yet in one component. Lists within
@@ -41,7 +41,7 @@ from siteloom.llm.components import connected
 SHINGLE, PERCENT = 5, 75
 #: A shingle counts as frequent from so many documents on; of more than FREQUENT_MOST such, the most frequent ones.
 FREQUENT, FREQUENT_MOST = 6, 4_000_000
-#: Shingles of a set that the star search looks at.
+#: Shingles of a set that the star search looks at: the first half of them rare, the other half frequent ones.
 STAR = 8
 #: Sets that one T-occurrence search compares with its leader.
 CHUNK = 128
@@ -57,15 +57,26 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingles of each text, as numbers: 255 less the bytes of the words, then 56 bits of hash.
+
+    So long shingles come first in their order, which few documents share by chance.
+    """
     words = Words(column, lower=True)
     hashes, starts = words.hashes(), words.starts.tolist()
+    size = np.array([len(w) for w in words.distinct], np.int64)[words.codes] if len(words.codes) else np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(size)])
+
+    def numbers(grams: np.ndarray, at: int, n: int) -> np.ndarray:
+        length = np.minimum(255, total[at + n : at + n + len(grams)] - total[at : at + len(grams)]).astype(np.uint64)
+        return (np.uint64(255) - length) << np.uint64(56) | grams >> np.uint64(8)
+
     grams = ngram_hashes(hashes, width)
+    grams = numbers(grams, 0, width) if len(grams) else grams
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         if b - a >= width:
             yield np.unique(grams[a : b - width + 1])
         elif b > a:
-            yield ngram_hashes(hashes[a:b], b - a)
+            yield numbers(ngram_hashes(hashes[a:b], b - a), a, b - a)
         else:
             yield np.zeros(0, np.uint64)
 
@@ -149,7 +160,7 @@ def bitmap_bound(x: bytes, y: bytes, m: int, n: int) -> int:
     return (m + n - int(np.bitwise_count(a ^ b).sum())) // 2
 
 
-SETS = "doc_id long, th long, n long, sk long, central int, prefix binary, bits binary"
+SETS = "doc_id long, th long, n long, sk long, central int, prefix binary, star binary, bits binary"
 
 
 def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
@@ -162,13 +173,14 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, seen = sent.value, set()
         for b in _slices(batches):
-            n, sk, central, prefix, bits = [], [], [], [], []
+            n, sk, central, prefix, star, bits = [], [], [], [], [], []
             for s in shingle_sets(b.column("text")):
                 n.append(len(s))
                 key = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
                 sk.append(key)
                 if key is None or key in seen:
                     prefix.append(None)
+                    star.append(None)
                     bits.append(None)
                     central.append(0)
                     continue
@@ -181,12 +193,14 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT)
                     at[at == len(hot)] = 0
                     is_hot = hot[at] == s
                     central.append(int(1000 * is_hot.sum() // len(s)))
-                    if is_hot.any():
-                        s = np.concatenate([s[~is_hot], s[is_hot]])
+                    rare, common = s[~is_hot], s[is_hot]
+                    s = np.concatenate([rare, common])
+                    star.append(np.concatenate([rare[: STAR // 2], common[: STAR // 2]]).tobytes())
                 else:
                     central.append(0)
+                    star.append(s[: STAR // 2].tobytes())
                 prefix.append(s[: prefix_length(len(s), percent)].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sk, pa.int64()), pa.array(central, pa.int32()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "th", "n", "sk", "central", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sk, pa.int64()), pa.array(central, pa.int32()), pa.array(prefix, pa.binary()), pa.array(star, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "th", "n", "sk", "central", "prefix", "star", "bits"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     return stored(narrow.mapInArrow(run, SETS), "sets")
@@ -197,13 +211,13 @@ def star_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first = [np.frombuffer(p, np.int64, min(STAR, len(p) // 8)) for p in b.column("prefix").to_pylist()]
+            first = [np.frombuffer(p, np.int64) for p in b.column("star").to_pylist()]
             times = np.array([len(f) for f in first])
             sk, n, central = (np.repeat(b.column(c).to_numpy(), times) for c in ("sk", "n", "central"))
             if len(sk):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(sk), pa.array(n), pa.array(central)], names=["token", "sk", "n", "central"])
 
-    lists = stored(sets.where("prefix is not null").select("sk", "n", "central", "prefix").mapInArrow(run, "token long, sk long, n long, central int"), "lists")
+    lists = stored(sets.where("star is not null").select("sk", "n", "central", "star").mapInArrow(run, "token long, sk long, n long, central int"), "lists")
     leader = lists.groupBy("token").agg(F.max(F.struct("central", "sk", "n")).alias("l"), F.min("sk").alias("low"), F.max("sk").alias("high")).where("low <> high").select("token", F.col("l.sk").alias("a"), F.col("l.n").alias("m"))
     # stored, so that the join has an exchange on both sides, which adaptive execution can split
     pairs = lists.join(stored(leader, "leaders").hint("merge"), "token").where(f"sk <> a and 100 * least(n, m) >= {percent} * greatest(n, m)")
