@@ -86,7 +86,7 @@ def runs_of_homozygosity(df: DataFrame, to_az: float = 6.7e-8, to_hw: float = 5e
     """
     an = g.allele_number(F.col("samples"))
     ac = F.size(F.filter(g.called_alleles(F.col("samples")), lambda a: a > 0))
-    t = df.where(an > 0).select("chrom", "pos", (ac / an).alias("af"), F.posexplode("samples").alias("sample", "s"))
+    t = df.where(an > 0).select("chrom", "pos", F.try_divide(ac.cast("double"), an).alias("af"), F.posexplode("samples").alias("sample", "s"))
     calls = t.select("sample", "chrom", "pos", "af", F.least(g.dosage(F.col("s.GT")), F.lit(2)).alias("d")).where("d is not null and af > 0 and af < 1")
 
     def decode(p: pd.DataFrame) -> pd.DataFrame:
