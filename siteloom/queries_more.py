@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from siteloom import proxy
 from siteloom.functions import genotype as g
-from siteloom.operators import calling, genotypes, hmm, merge, normalize, select, sequence, setops
+from siteloom.operators import calling, genotypes, hmm, merge, normalize, plugins, select, sequence, setops, windows
 from siteloom.plans.project import project
 from siteloom.proxy import table
-from siteloom.queries import TYPE, by_contig, query
+from siteloom.queries import GENO, TYPE, by_contig, query
 from siteloom.streaming import events as stream
 
 _GT = "CASE WHEN dosage IS NULL THEN './.' WHEN dosage = 0 THEN '0/0' WHEN dosage = 1 THEN '0/1' ELSE '1/1' END"
@@ -231,6 +231,51 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(stream.sessions(_stream(spark, sf_dir), "1 day")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "top")
 
 
+# --- named operators
+@query(f", d AS (SELECT abs(0.3 - ac / an) AS d FROM {GENO} WHERE an > 0) SELECT least(floor(d * 10), 9)::INT AS bin, count(*) AS n FROM d GROUP BY bin")
+def plugin_frequency_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plugins.run("af-dist", proxy.sites(spark, sf_dir), F.lit(0.3))
+
+
+@query(f"SELECT count(*) FILTER (WHERE a = f) AS n_father, count(*) FILTER (WHERE a = m) AS n_mother FROM (SELECT c AS a, f, m FROM {_TRIO} WHERE c IN (0, 2) AND f IN (0, 2) AND m IN (0, 2) AND f <> m)")
+def plugin_parental_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plugins.run("parental-origin", proxy.sites(spark, sf_dir), 0, 1, 2).drop("p")
+
+
+@query("SELECT 'ok' AS state, count(*) FILTER (WHERE pos % 5 <> 0) AS n FROM s WHERE alt <> '<DEL>' OR true UNION ALL SELECT 'swapped', count(*) FILTER (WHERE pos % 5 = 0 AND len(alt) = 1) FROM s UNION ALL SELECT 'none', count(*) FILTER (WHERE pos % 5 = 0 AND len(alt) <> 1) FROM s")
+def plugin_strand_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = proxy.sites(spark, sf_dir)
+    alt = F.get("alts", F.lit(0))
+    bases = s.select("chrom", "pos", F.when(F.col("pos") % 5 != 0, F.col("ref")).when(F.length(alt) == 1, alt).otherwise("N").alias("base"))
+    return plugins.run("fixref", s, bases).select("state", "n")
+
+
+@query()
+def plugin_guess_ploidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plugins.run("guess-ploidy", proxy.sites(spark, sf_dir)).select("sample", "n_sites", "ploidy")
+
+
+@query()
+def plugin_ad_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plugins.run("ad-bias", proxy.sites(spark, sf_dir), [(0, 1), (2, 3)], 0.05)
+
+
+@query()
+def plugin_site_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plugins.run("vrfs", pileup_counts(spark, sf_dir)).select("chrom", "pos", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query("SELECT (len(alt) - len(ref))::INT AS change, count(*) AS n_genotypes, round(avg(CASE WHEN qty + price % 97 > 0 THEN (price % 97) / (qty + price % 97) END), 6) AS mean_vaf, true AS frameshift FROM c WHERE len(alt) = 2 AND dosage > 0 GROUP BY change")
+def plugin_indel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plugins.run("indel-stats", proxy.sites(spark, sf_dir)).withColumn("mean_vaf", F.round("mean_vaf", 6))
+
+
+@query()
+def best_non_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = proxy.sites(spark, sf_dir)
+    return windows.best_non_overlapping(s.withColumn("ref", F.when(F.col("pos") % 3 == 0, F.concat("ref", F.lit("AA"))).otherwise(F.col("ref"))))
+
+
 def queries() -> dict:
     """All registered queries, those of :mod:`siteloom.queries` too."""
     from siteloom import queries as first
