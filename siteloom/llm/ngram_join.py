@@ -85,7 +85,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
@@ -101,7 +101,7 @@ def frequent_shingles(docs: DataFrame, at_least: int = FREQUENT, most: int = FRE
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in _slices(batches, 4000):
+        for b in _slices(batches, 500):
             held = []
             for s in shingle_sets(b.column("text")):
                 key = xxhash.xxh3_64_intdigest(s.tobytes())
@@ -166,7 +166,7 @@ SETS = "doc_id long, th long, n long, sk long, central int, prefix binary, star
 def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """A row for each document (:data:`SETS`), written. ``prefix`` (64-bit hashes) stands once a task for each set.
 
-    ``th`` is a hash of the text, ``central`` the thousandths of frequent shingles.
+    ``th`` is a hash of the text, ``central`` the thousandths of frequent shingles among those that were counted.
     """
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -192,10 +192,12 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT)
                     at = np.searchsorted(hot, s)
                     at[at == len(hot)] = 0
                     is_hot = hot[at] == s
-                    central.append(int(1000 * is_hot.sum() // len(s)))
-                    rare, common = s[~is_hot], s[is_hot]
-                    s = np.concatenate([rare, common])
+                    # how central a set is shows in the part that was counted
+                    counted = prefix_length(len(s))
+                    rare, common = s[:counted][~is_hot[:counted]], s[:counted][is_hot[:counted]]
+                    central.append(int(1000 * len(common) // counted))
                     star.append(np.concatenate([rare[: STAR // 2], common[: STAR // 2]]).tobytes())
+                    s = np.concatenate([s[~is_hot], s[is_hot]])
                 else:
                     central.append(0)
                     star.append(s[: STAR // 2].tobytes())
@@ -236,7 +238,7 @@ def cross_pairs(sets: DataFrame, components: DataFrame, percent: int = PERCENT)
     one = one.dropDuplicates(["sk"]).select("sk", "n", "prefix", F.coalesce("component", "sk").alias("component"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 4000):
+        for b in _slices(batches, 2000):
             prefix = [np.frombuffer(p, np.uint64) for p in b.column("prefix").to_pylist()]
             times = np.array([len(p) for p in prefix])
             tokens = mixed(np.concatenate(prefix))
@@ -286,7 +288,7 @@ def _met(held: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
     alive = np.flatnonzero(np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin))
     end = np.append(begin[1:], len(tokens))
     out: set[tuple[int, int]] = set()
-    known: set[bytes] = set()
+    known: set[int] = set()
 
     def batch() -> pa.RecordBatch:
         cols = list(zip(*out, strict=True))
@@ -294,7 +296,7 @@ def _met(held: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
 
     for r in alive.tolist():
         who = np.unique(owner[begin[r] : end[r]])
-        if (key := who.tobytes()) in known:
+        if (key := xxhash.xxh3_64_intdigest(np.ascontiguousarray(who).tobytes())) in known:
             continue
         if len(who) > 1:
             known.add(key)

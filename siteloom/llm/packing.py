@@ -34,7 +34,7 @@ from siteloom.llm.common import stored, table, texts_of, tokenizer_path
 CAPACITY = 2048
 SEPARATOR = 0
 #: Cached chunks and words of a Python worker (about 0.2 kB each); beyond, a cache starts anew.
-CACHE_CHUNKS, CACHE_WORDS = 800_000, 600_000
+CACHE_CHUNKS, CACHE_WORDS = 400_000, 400_000
 
 
 class WordTokenizer:
