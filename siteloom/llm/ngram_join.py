@@ -10,8 +10,10 @@ common passages, last), each part by length (long ones first, which are seldom s
 3. Star search: of the sets that share one of their first few rare or frequent shingles, all are compared with one leader, the set that
    is most alike the others (the largest share of frequent shingles). Links of copies are found here, with as many
    comparisons as sets, not pairs of them.
-4. Full search: inverted lists over the whole prefixes give the pairs that are not yet in one component. Lists within
-   one component give nothing, so a group of thousands of copies costs nothing here, and no pair is lost.
+   Sets that most name the same leader are a family. Its members outside its largest component are searched against
+   all of it, in blocks, so that families of half-alike copies give rows by blocks, not by pairs.
+4. Full search: inverted lists over the whole prefixes give the pairs that are not yet in one component or family. Lists within
+   one of them give nothing, so a group of thousands of copies costs nothing here, and no pair is lost.
    Pairs whose bitmaps (a bit for each shingle) already differ too much are left out.
 5. Comparisons are T-occurrence searches: the sets to compare with one leader come in bounded chunks, are turned into
    inverted lists, and DivideSkip merges the short lists with a heap, probes the long ones by binary search and keeps
@@ -209,7 +211,7 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT)
 
 
 def star_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): each set with the leader of each list of one of its first few shingles."""
+    """(a, b, shared): each set with the leader of each list of one of its first few shingles, and how many say so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,11 +225,11 @@ def star_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     leader = lists.groupBy("token").agg(F.max(F.struct("central", "sk", "n")).alias("l"), F.min("sk").alias("low"), F.max("sk").alias("high")).where("low <> high").select("token", F.col("l.sk").alias("a"), F.col("l.n").alias("m"))
     # stored, so that the join has an exchange on both sides, which adaptive execution can split
     pairs = lists.join(stored(leader, "leaders").hint("merge"), "token").where(f"sk <> a and 100 * least(n, m) >= {percent} * greatest(n, m)")
-    return pairs.select("a", F.col("sk").alias("b")).distinct()
+    return pairs.groupBy("a", F.col("sk").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def cross_pairs(sets: DataFrame, components: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): pairs of sets of different components that share a shingle of their prefixes.
+def cross_pairs(sets: DataFrame, components: DataFrame, family: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): pairs of sets of different components and families that share a shingle of their prefixes.
 
     Shingles go to places by hash, packed: what one batch sends to one place is one row.
     """
@@ -235,7 +237,8 @@ def cross_pairs(sets: DataFrame, components: DataFrame, percent: int = PERCENT)
     places = max(shuffle_partitions(spark), 12)
     one = sets.where("prefix is not null").select("sk", "n", "prefix").join(components.select(F.col("node").alias("sk"), "component").hint("merge"), "sk", "left")
     # a set that several tasks met is taken once
-    one = one.dropDuplicates(["sk"]).select("sk", "n", "prefix", F.coalesce("component", "sk").alias("component"))
+    one = one.join(family.hint("merge"), "sk", "left")
+    one = one.dropDuplicates(["sk"]).select("sk", "n", "prefix", F.coalesce("component", "sk").alias("component"), F.coalesce("family", "sk").alias("family"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, 2000):
@@ -247,21 +250,21 @@ def cross_pairs(sets: DataFrame, components: DataFrame, percent: int = PERCENT)
             order = np.argsort(place * len(times) + owner, kind="stable")
             tokens, owner, place = tokens[order].astype(np.uint32), owner[order], place[order]
             cuts = np.searchsorted(place, np.arange(places + 1)).tolist()
-            sk, n, comp = (b.column(c).to_numpy() for c in ("sk", "n", "component"))
+            sk, n, comp, fam = (b.column(c).to_numpy() for c in ("sk", "n", "component", "family"))
             rows: list[tuple] = []
             for d, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if y > x:
                     who, count = np.unique(owner[x:y], return_counts=True)
-                    rows.append((d, tokens[x:y].tobytes(), count.astype(np.uint32).tobytes(), sk[who].tobytes(), (comp[who] ^ sk[who]).tobytes(), n[who].astype(np.uint32).tobytes()))
+                    rows.append((d, tokens[x:y].tobytes(), count.astype(np.uint32).tobytes(), sk[who].tobytes(), (comp[who] ^ sk[who]).tobytes(), (fam[who] ^ sk[who]).tobytes(), n[who].astype(np.uint32).tobytes()))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["place", "tokens", "counts", "sk", "comp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["place", "tokens", "counts", "sk", "comp", "family", "n"])
 
-    packed = one.mapInArrow(send, "place int, tokens binary, counts binary, sk binary, comp binary, n binary")
+    packed = one.mapInArrow(send, "place int, tokens binary, counts binary, sk binary, comp binary, family binary, n binary")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, []
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if row[0] != place and held:
                     yield from _met(held, percent)
                     held = []
@@ -279,13 +282,15 @@ def _met(held: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
     counts = np.concatenate([np.frombuffer(h[1], np.uint32) for h in held])
     sk = np.concatenate([np.frombuffer(h[2], np.int64) for h in held])
     comp = np.concatenate([np.frombuffer(h[3], np.int64) for h in held]) ^ sk
-    n = np.concatenate([np.frombuffer(h[4], np.uint32) for h in held]).astype(np.int64)
+    fam = np.concatenate([np.frombuffer(h[4], np.int64) for h in held]) ^ sk
+    n = np.concatenate([np.frombuffer(h[5], np.uint32) for h in held]).astype(np.int64)
     owner = np.repeat(np.arange(len(sk)), counts)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     c = comp[owner]
-    alive = np.flatnonzero(np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin))
+    f = fam[owner]
+    alive = np.flatnonzero((np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)) & (np.minimum.reduceat(f, begin) != np.maximum.reduceat(f, begin)))
     end = np.append(begin[1:], len(tokens))
     out: set[tuple[int, int]] = set()
     known: set[int] = set()
@@ -300,10 +305,10 @@ def _met(held: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
             continue
         if len(who) > 1:
             known.add(key)
-        sizes, comps = n[who], comp[who]
+        sizes, comps, fams = n[who], comp[who], fam[who]
         for i in range(len(who) - 1):
             lo, hi = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
-            for j in np.flatnonzero((comps[i + 1 :] != comps[i]) & (100 * lo >= percent * hi)).tolist():
+            for j in np.flatnonzero((comps[i + 1 :] != comps[i]) & (fams[i + 1 :] != fams[i]) & (100 * lo >= percent * hi)).tolist():
                 x, y = int(sk[who[i]]), int(sk[who[i + 1 + j]])
                 out.add((x, y) if x < y else (y, x))
             if len(out) > 200_000:
@@ -356,18 +361,22 @@ def divide_skip(lists: list[list[int]], need: list[int]) -> dict[int, int]:
     return found
 
 
-def search(leader: np.ndarray, members: list[np.ndarray], percent: int = PERCENT) -> dict[int, int]:
-    """Members (by place) similar to the leader, with the size of the intersection."""
-    sizes = [len(m) for m in members]
-    need = [required(len(leader), n, percent) for n in sizes]
-    tokens = np.concatenate(members)
-    owner = np.repeat(np.arange(len(members)), sizes)
-    order = np.argsort(tokens, kind="stable")  # by token, then member
-    tokens, owner = tokens[order], owner[order]
-    lo, hi = np.searchsorted(tokens, leader, "left"), np.searchsorted(tokens, leader, "right")
-    has = hi > lo
-    flat = owner.tolist()
-    return divide_skip([flat[a:b] for a, b in zip(lo[has].tolist(), hi[has].tolist(), strict=True)], need)
+class Lists:
+    """Inverted lists of a bounded chunk of sets."""
+
+    def __init__(self, members: list[np.ndarray]) -> None:
+        self.sizes = [len(m) for m in members]
+        tokens = np.concatenate(members)
+        owner = np.repeat(np.arange(len(members)), self.sizes)
+        order = np.argsort(tokens, kind="stable")  # by token, then member
+        self.tokens, self.owner = tokens[order], owner[order].tolist()
+
+    def search(self, leader: np.ndarray, percent: int = PERCENT) -> dict[int, int]:
+        """Members (by place) similar to the leader, with the size of the intersection."""
+        need = [required(len(leader), n, percent) for n in self.sizes]
+        lo, hi = np.searchsorted(self.tokens, leader, "left"), np.searchsorted(self.tokens, leader, "right")
+        has = hi > lo
+        return divide_skip([self.owner[a:b] for a, b in zip(lo[has].tolist(), hi[has].tolist(), strict=True)], need)
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -384,14 +393,60 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return stored(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(keep, "a long, b long"), "possible")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, common) of the pairs (a stored table) that are similar; texts of the sets concerned are read again."""
-    pairs = possible(pairs, sets, percent)
-    members = pairs.select(F.col("b").alias("sk")).union(pairs.select(F.col("a").alias("sk"))).distinct()
+def texts_of_sets(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sk, text) of the sets ``members`` (sk), written: each from one of its documents."""
     place = sets.where("prefix is not null").groupBy("sk").agg(F.min(F.struct("doc_id", "th")).alias("p"))
     need = stored(members.join(place.hint("merge"), "sk").select("sk", F.col("p.doc_id").alias("doc_id"), F.col("p.th").alias("th")), "need")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    texts = stored(source.join(small(need), (source["doc_id"].eqNullSafe(need["doc_id"])) & (source["th"] == need["th"])).select("sk", "text"), "texts")
+    return stored(source.join(small(need), (source["doc_id"].eqNullSafe(need["doc_id"])) & (source["th"] == need["th"])).select("sk", "text"), "texts")
+
+
+def families(star: DataFrame, least: int = 2) -> DataFrame:
+    """(sk, family), written: the leader that most lists of a set name, if ``least`` do."""
+    best = star.groupBy(F.col("b").alias("sk")).agg(F.max(F.struct("shared", "a")).alias("m")).where(F.col("m.shared") >= least)
+    return stored(best.select("sk", F.col("m.a").alias("family")), "families")
+
+
+def searched_families(family: DataFrame, components: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, common): all links in a family of sets outside its largest component, with each other and with the rest.
+
+    Members and queries meet in blocks of bounded size, each a T-occurrence search, so a family whose members are alike
+    in part only gives rows by blocks, not by pairs.
+    """
+    named = family.join(components.select(F.col("node").alias("sk"), "component").hint("merge"), "sk", "left").select("sk", "family", F.coalesce("component", "sk").alias("component"))
+    sizes = named.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = stored(sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n")).where("n > m.n").select("family", F.col("m.component").alias("main"), (F.col("n") / CHUNK).cast("long").alias("chunks"), ((F.col("n") - F.col("m.n")) / CHUNK).cast("long").alias("turns")), "main")
+    known = stored(named.join(main.hint("merge"), "family"), "members")
+    texts = texts_of_sets(known.select("sk").distinct(), sets, docs)
+    targets = known.select("family", "sk", F.pmod("sk", F.col("chunks") + 1).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), "turns")).alias("turn"), F.lit(0).alias("query"))
+    queries = known.where("component <> main").select("family", "sk", F.explode(F.sequence(F.lit(0).cast("long"), "chunks")).alias("chunk"), F.pmod("sk", F.col("turns") + 1).alias("turn"), F.lit(1).alias("query"))
+    rows = targets.union(queries.select(*targets.columns)).join(texts.hint("merge"), "sk").select("family", "chunk", "turn", "query", "sk", "text")
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, members, index, out = None, [], [], None, []
+        for b in _slices(batches):
+            for f, c, t, query, sk, s in zip(*(b.column(k).to_pylist() for k in ("family", "chunk", "turn", "query", "sk")), shingle_sets(b.column("text")), strict=True):
+                if (f, c, t) != key:
+                    key, ids, members, index = (f, c, t), [], [], None
+                if not query:
+                    ids.append(sk)
+                    members.append(s)
+                elif members:
+                    index = index or Lists(members)
+                    out.extend((sk, ids[i], n) for i, n in index.search(s, percent).items() if ids[i] != sk)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "common"])
+                out = []
+
+    n = shuffle_partitions(docs.sparkSession)
+    keys = ["family", "chunk", "turn"]
+    return stored(rows.repartition(n, *keys).sortWithinPartitions(*keys, "query").mapInArrow(block, "a long, b long, common long"), "links")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, common) of the pairs (a stored table) that are similar; texts of the sets concerned are read again."""
+    pairs = possible(pairs, sets, percent)
+    texts = texts_of_sets(pairs.select(F.col("b").alias("sk")).union(pairs.select(F.col("a").alias("sk"))).distinct(), sets, docs)
     chunks = stored(pairs.groupBy("a").agg((F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks")), "chunks")
     dealt = stored(pairs.join(chunks.hint("merge"), "a").select("a", "b", F.pmod("b", F.col("chunks") + 1).alias("chunk")), "dealt")
     rows = dealt.join(texts.hint("merge"), dealt["b"] == texts["sk"]).select("a", "chunk", "sk", F.lit(1).alias("member"), "text")
@@ -404,7 +459,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int =
         def close() -> None:
             if held:
                 ids = list(held)
-                out.extend((key[0], ids[i], c) for i, c in search(leader, list(held.values()), percent).items())
+                out.extend((key[0], ids[i], c) for i, c in Lists(list(held.values())).search(leader, percent).items())
                 held.clear()
 
         for b in _slices(batches):
@@ -431,10 +486,14 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     """The documents' sets (stored, :data:`SETS`) and (node, component) of the sets that have links."""
     spark = docs.sparkSession
     sets = document_sets(docs, frequent_shingles(docs), percent)
-    star = verified(stored(star_pairs(sets, percent), "star"), sets, docs, percent)
+    pairs = stored(star_pairs(sets, percent), "star")
+    family = families(pairs)
+    star = verified(pairs, sets, docs, percent)
+    released(spark)
+    star = stored(star.union(searched_families(family, connected(star), sets, docs, percent)), "star")
     released(spark)
     first = connected(star)
-    cross = stored(cross_pairs(sets, first, percent), "cross")
+    cross = stored(cross_pairs(sets, first, family, percent), "cross")
     released(spark)
     if not cross.limit(1).count():
         return sets, first
