@@ -105,6 +105,21 @@ def test_ngram_join_of_many_near_copies_without_their_source(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
 
 
+def test_families_of_half_alike_copies_are_searched_in_blocks(spark, monkeypatch):
+    """A source, copies near it, and copies that are alike with few others: small chunks, so that blocks are many."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 3)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for c in range(1, 40):
+        w = list(base)
+        for at in r.sample(range(100), r.choice([1, 2, 4, 6, 8])):
+            w[at] = f"c{c}x{at}"
+        rows.append((c, " ".join(w)))
+    got = ngram_join.components_of(frame(spark, rows))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
+
+
 def test_divide_skip_against_counting():
     r = random.Random(2)
     for _ in range(200):
