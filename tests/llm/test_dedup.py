@@ -146,6 +146,17 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
 
 
+def test_components_of_randomly_numbered_paths(spark):
+    r = random.Random(11)
+    ids = [r.getrandbits(63) for _ in range(3400)]
+    # a long chain, a ladder, and single links
+    edges = [(ids[i], ids[i + 1]) for i in range(2999)] + [(ids[i], ids[i + k]) for i in range(3000, 3298) for k in (1, 2)] + [(ids[i], ids[i + 1]) for i in range(3300, 3400, 2)]
+    got = {x.node: x.component for x in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = dict.fromkeys(ids[:3000], min(ids[:3000])) | dict.fromkeys(ids[3000:3300], min(ids[3000:3300]))
+    want |= {ids[k]: min(ids[i : i + 2]) for i in range(3300, 3400, 2) for k in (i, i + 1)}
+    assert got == want
+
+
 def brute_removals(rows, width=35):
     docs = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t in rows]
     seen = Counter(tuple(w[i : i + width]) for w in docs for i in range(len(w) - width + 1))
