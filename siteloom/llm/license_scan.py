@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import small, table
-from siteloom.llm.license_texts import KNOWN
+from siteloom.llm.license_texts import KNOWN, whole_texts
 
 #: Spellings that count as the same, the left one becoming the right one.
 SPELLINGS = [
@@ -36,9 +36,9 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, " +", " "))
 
 
-def known_licenses(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license_id, license_digest of known texts, each digest once."""
-    rows = spark.createDataFrame(known, "license_id string, text string")
+def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """license_id, license_digest of known texts (those of :func:`whole_texts` by default), each digest once."""
+    rows = spark.createDataFrame(whole_texts() if known is None else known, "license_id string, text string")
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 

@@ -1,4 +1,11 @@
-"""Known licence texts. The wording is that of the licences, which are published for copying."""
+"""Known licence texts. The wording is that of the licences, which are published for copying.
+
+Long texts lie in the folder ``licenses``, one file each, named by the licence id.
+"""
+
+from __future__ import annotations
+
+from pathlib import Path
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
@@ -98,7 +105,7 @@ provided that the above copyright notice and this permission notice appear in al
 {_ISC_TAIL}
 """
 
-#: (licence id, text). Titles vary in practice, so texts come with and without one.
+#: (licence id, text). Titles vary in practice, so texts come with and without one. The SQL holds this list.
 KNOWN: list[tuple[str, str]] = [
     ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT),
     ("MIT-0", f"{_GRANT}.\n\n{_WARRANTY}"), ("MIT-0", f"MIT No Attribution\n\n{_GRANT}.\n\n{_WARRANTY}"),
@@ -111,3 +118,26 @@ KNOWN: list[tuple[str, str]] = [
     ("MIT-notice", "Released under the MIT License."), ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
 ]
+
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+#: Where the legal text of CC-BY stands among the remarks of its publisher.
+_CC_FROM, _CC_TO = "Creative Commons Attribution 4.0 International Public License", "Creative Commons is not a party"
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """(licence id, text) of the files: as published, and without what is added before and after the terms."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, text))
+        if END_OF_TERMS in text:
+            terms = text[: text.index(END_OF_TERMS)]
+            out += [(path.stem, terms), (path.stem, terms + END_OF_TERMS)]
+        if path.stem == "CC-BY-4.0":
+            out.append((path.stem, text[text.index(_CC_FROM) : text.index(_CC_TO)]))
+    return out
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence id, text) of everything that is looked up: whole licences, and notices of more than one line."""
+    return [(i, t) for i, t in KNOWN if "\n" in t] + long_texts()

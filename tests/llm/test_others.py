@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -166,6 +167,17 @@ def test_licenses(spark):
     assert license_scan.scanned(frame(spark, []), license_scan.known_licenses(spark)).count() == 0
 
 
+def test_long_licenses(spark):
+    folder = Path(license_scan.__file__).parent / "licenses"
+    whole = {p.stem: p.read_text() for p in folder.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "BSL-1.0"} <= set(whole)
+    ids = sorted(whole)
+    apache = whole["Apache-2.0"]
+    rows = [(i, " ".join(whole[x].upper().split(" "))) for i, x in enumerate(ids)] + [(100, apache[: apache.index("APPENDIX")]), (101, apache.replace("irrevocable", "revocable")), (102, "Licensed under CC BY-NC 4.0.")]
+    got = {r.doc_id: r.license_id for r in license_scan.scanned(frame(spark, rows), license_scan.known_licenses(spark)).collect()}
+    assert got == dict(enumerate(ids)) | {100: "Apache-2.0", 101: None, 102: None}
+
+
 def lines_of(r, good):
     line = " ".join(words(r, r.randint(6, 20)))
     return line[0].upper() + line[1:] + "." if good else line.upper().replace(" ", "!! ") + "!!"
