@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.llm.common import stored
+
 
 def fold(folds: int) -> Column:
     """The fold of a document: crc32 of its id as text, modulo ``folds``."""
@@ -20,12 +22,13 @@ def held_out(doc_ids: list, folds: int, left_out: int) -> list[bool | None]:
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int, most: dict[int, int], max_bytes: int) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``most[class]`` documents of each class, outside the fold ``left_out``.
 
-    They are taken in the order of a hash of the id, among texts of at most ``max_bytes``. Null labels and ids are left
+    They are taken in the order of a hash of the id, among the ids that have a text of at most ``max_bytes``. Null labels and ids are left
     out; an id with several labels counts with the largest.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).where(fold(folds) != left_out)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    known = stored(known.join(texts.select("doc_id").hint("merge"), "doc_id", "left_semi"), "labelled")
     out_texts, out_labels = [], []
     for y, n in most.items():
         ids = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)

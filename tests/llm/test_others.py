@@ -178,6 +178,18 @@ def test_long_licenses(spark):
     assert got == dict(enumerate(ids)) | {100: "Apache-2.0", 101: None, 102: None}
 
 
+def test_sample_is_filled_from_documents_that_are_there(spark):
+    from siteloom.llm import labelled
+
+    # most labelled documents are too long, and most labels have no document
+    docs = frame(spark, [(i, "short text" if i % 10 == 0 else "long " * 100) for i in range(200)])
+    labels = spark.createDataFrame([(i, i // 10 % 2) for i in range(2000)], "doc_id long, toxic int")
+    got, ys = labelled.sample(docs, labels, "toxic", 5, 0, {0: 5, 1: 100}, 50)
+    ids = [i for i in range(0, 200, 10) if zlib.crc32(str(i).encode()) % 5]
+    assert set(got) == {"short text"}
+    assert Counter(ys) == {y: min(n, sum(i // 10 % 2 == y for i in ids)) for y, n in {0: 5, 1: 100}.items()}
+
+
 def lines_of(r, good):
     line = " ".join(words(r, r.randint(6, 20)))
     return line[0].upper() + line[1:] + "." if good else line.upper().replace(" ", "!! ") + "!!"
