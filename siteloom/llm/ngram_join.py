@@ -1,24 +1,23 @@
 """Jaccard self-join on word shingles by T-occurrence search (DivideSkip), exact.
 
 Two sets with Jaccard similarity s or more, of sizes m and n, share T = ceil(s / (1 + s) * (m + n)) shingles or more.
-So a document that shares T shingles with another one shares one of the first ``n - ceil(s n) + 1`` in any order of
-all shingles that holds for every document. The order here: shingles that few documents have first (frequent ones, of
-common passages, last), each part by length (long ones first, which are seldom shared by chance), then by hash.
+In any order of all shingles, the first shingle that both hold stands at place m - T or before in the one and at n - T
+or before in the other, so it stands in the prefix of both (the first ``n - ceil(s n) + 1``). The order here: shingles
+that few documents have first (frequent ones last), each part by length (long ones are seldom shared by chance), then
+by hash.
 
 1. One pass counts the shingles of prefixes by hash and finds the frequent ones (the set is bounded, and only orders).
 2. One pass turns documents into sets: size, a 64-bit id of the set (equal sets are one set from here on), the prefix.
-3. Star search: of the sets that share one of their first few rare or frequent shingles, all are compared with one leader, the set that
-   is most alike the others (the largest share of frequent shingles). Links of copies are found here, with as many
-   comparisons as sets, not pairs of them.
-   Sets that most name the same leader are a family. Its members outside its largest component are searched against
-   all of it, in blocks, so that families of half-alike copies give rows by blocks, not by pairs.
-4. Full search: inverted lists over the whole prefixes give the pairs that are not yet in one component or family. Lists within
-   one of them give nothing, so a group of thousands of copies costs nothing here, and no pair is lost.
-   Pairs whose bitmaps (a bit for each shingle) already differ too much are left out.
-5. Comparisons are T-occurrence searches: the sets to compare with one leader come in bounded chunks, are turned into
-   inverted lists, and DivideSkip merges the short lists with a heap, probes the long ones by binary search and keeps
-   sets that reach their T.
-6. Components of the links; every document gets the smallest doc_id reachable.
+3. Inverted lists of the prefixes. A list keeps its members that can be similar to another one by size and place, and
+   names one of them its leader: the one with the largest share of frequent shingles, which is most alike the others.
+   What leaves this step is a row for each leader and set that share a list: as many as memberships, never pairs.
+4. Each set is compared with its leaders. Links of copies are found here, and all links of lists of two.
+5. A leader and the sets of its longer lists are a group, so any two sets of such a list share a group. In a group, the
+   sets outside its largest component are searched against all of it, in blocks of bounded size.
+6. Comparisons are T-occurrence searches: the sets of a block are turned into inverted lists, and DivideSkip merges the
+   short lists with a heap, probes the long ones by binary search and keeps sets that reach their T. Sets that are
+   already known to be connected are not probed, so a block gives fewer links than it has components.
+7. Components of the links; every document gets the smallest doc_id reachable.
 
 Defined results: null and empty texts, and those of white space, have no shingles and are linked with nothing; a text
 with fewer words than a shingle has one shingle, all its words; repeated rows have equal sets and are linked; other
@@ -29,7 +28,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Words, mixed, ngram_hashes, released, shuffle_partitions, small, stored, table
+from siteloom.llm.common import Words, mixed, ngram_hashes, shuffle_partitions, small, stored, table
 from siteloom.llm.components import connected
 
 SHINGLE, PERCENT = 5, 75
 #: A shingle counts as frequent from so many documents on; of more than FREQUENT_MOST such, the most frequent ones.
 FREQUENT, FREQUENT_MOST = 6, 4_000_000
-#: Shingles of a set that the star search looks at: the first half of them rare, the other half frequent ones.
-STAR = 8
-#: Sets that one T-occurrence search compares with its leader.
+#: Sets in the inverted lists of one T-occurrence search, and sets that are searched against them.
 CHUNK = 128
+#: Members up to which a list is looked through by pairs of sizes and places, without giving rows; longer ones by neighbours in size.
+CLOSE = 512
 
 
 def required(m: int, n: int, percent: int = PERCENT) -> int:
@@ -141,7 +140,7 @@ def frequent_shingles(docs: DataFrame, at_least: int = FREQUENT, most: int = FRE
     packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "place int, tokens binary")
     counts = packed.repartition(places, "place").sortWithinPartitions("place").mapInArrow(count, "token long, n long")
     top = stored(counts, "frequent").orderBy(F.desc("n"), "token").limit(most).select("token")
-    return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
+    return np.sort(top.toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -162,7 +161,7 @@ def bitmap_bound(x: bytes, y: bytes, m: int, n: int) -> int:
     return (m + n - int(np.bitwise_count(a ^ b).sum())) // 2
 
 
-SETS = "doc_id long, th long, n long, sk long, central int, prefix binary, star binary, bits binary"
+SETS = "doc_id long, th long, n long, sk long, central int, prefix binary, bits binary"
 
 
 def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
@@ -175,14 +174,13 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, seen = sent.value, set()
         for b in _slices(batches):
-            n, sk, central, prefix, star, bits = [], [], [], [], [], []
+            n, sk, central, prefix, bits = [], [], [], [], []
             for s in shingle_sets(b.column("text")):
                 n.append(len(s))
                 key = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
                 sk.append(key)
                 if key is None or key in seen:
                     prefix.append(None)
-                    star.append(None)
                     bits.append(None)
                     central.append(0)
                     continue
@@ -196,135 +194,127 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT)
                     is_hot = hot[at] == s
                     # how central a set is shows in the part that was counted
                     counted = prefix_length(len(s))
-                    rare, common = s[:counted][~is_hot[:counted]], s[:counted][is_hot[:counted]]
-                    central.append(int(1000 * len(common) // counted))
-                    star.append(np.concatenate([rare[: STAR // 2], common[: STAR // 2]]).tobytes())
+                    central.append(int(1000 * np.count_nonzero(is_hot[:counted]) // counted))
                     s = np.concatenate([s[~is_hot], s[is_hot]])
                 else:
                     central.append(0)
-                    star.append(s[: STAR // 2].tobytes())
                 prefix.append(s[: prefix_length(len(s), percent)].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sk, pa.int64()), pa.array(central, pa.int32()), pa.array(prefix, pa.binary()), pa.array(star, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "th", "n", "sk", "central", "prefix", "star", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sk, pa.int64()), pa.array(central, pa.int32()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "th", "n", "sk", "central", "prefix", "bits"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     return stored(narrow.mapInArrow(run, SETS), "sets")
 
 
-def star_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, shared): each set with the leader of each list of one of its first few shingles, and how many say so."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            first = [np.frombuffer(p, np.int64) for p in b.column("star").to_pylist()]
-            times = np.array([len(f) for f in first])
-            sk, n, central = (np.repeat(b.column(c).to_numpy(), times) for c in ("sk", "n", "central"))
-            if len(sk):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(sk), pa.array(n), pa.array(central)], names=["token", "sk", "n", "central"])
-
-    lists = stored(sets.where("star is not null").select("sk", "n", "central", "star").mapInArrow(run, "token long, sk long, n long, central int"), "lists")
-    leader = lists.groupBy("token").agg(F.max(F.struct("central", "sk", "n")).alias("l"), F.min("sk").alias("low"), F.max("sk").alias("high")).where("low <> high").select("token", F.col("l.sk").alias("a"), F.col("l.n").alias("m"))
-    # stored, so that the join has an exchange on both sides, which adaptive execution can split
-    pairs = lists.join(stored(leader, "leaders").hint("merge"), "token").where(f"sk <> a and 100 * least(n, m) >= {percent} * greatest(n, m)")
-    return pairs.groupBy("a", F.col("sk").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-
-
-def cross_pairs(sets: DataFrame, components: DataFrame, family: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): pairs of sets of different components and families that share a shingle of their prefixes.
+def memberships(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, many): leader and set of each list of prefixes, written; ``many``: 1 if one such list has more than the two.
 
     Shingles go to places by hash, packed: what one batch sends to one place is one row.
     """
-    spark = sets.sparkSession
-    places = max(shuffle_partitions(spark), 12)
-    one = sets.where("prefix is not null").select("sk", "n", "prefix").join(components.select(F.col("node").alias("sk"), "component").hint("merge"), "sk", "left")
-    # a set that several tasks met is taken once
-    one = one.join(family.hint("merge"), "sk", "left")
-    one = one.dropDuplicates(["sk"]).select("sk", "n", "prefix", F.coalesce("component", "sk").alias("component"), F.coalesce("family", "sk").alias("family"))
+    places = max(shuffle_partitions(sets.sparkSession), 12)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, 2000):
             prefix = [np.frombuffer(p, np.uint64) for p in b.column("prefix").to_pylist()]
+            if not prefix:
+                continue
             times = np.array([len(p) for p in prefix])
             tokens = mixed(np.concatenate(prefix))
             owner = np.repeat(np.arange(len(times)), times)
+            # a place in the order that doesn't fit counts as an earlier one, which excludes less
+            at = np.minimum(np.arange(len(tokens)) - np.repeat(np.cumsum(times) - times, times), 65535).astype(np.uint16)
             place = ((tokens >> np.uint64(32)) % np.uint64(places)).astype(np.int64)
             order = np.argsort(place * len(times) + owner, kind="stable")
-            tokens, owner, place = tokens[order].astype(np.uint32), owner[order], place[order]
+            tokens, owner, at, place = tokens[order].astype(np.uint32), owner[order], at[order], place[order]
             cuts = np.searchsorted(place, np.arange(places + 1)).tolist()
-            sk, n, comp, fam = (b.column(c).to_numpy() for c in ("sk", "n", "component", "family"))
+            sk, n, central = b.column("sk").to_numpy(), b.column("n").to_numpy().astype(np.uint32), b.column("central").to_numpy().astype(np.uint16)
             rows: list[tuple] = []
             for d, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if y > x:
                     who, count = np.unique(owner[x:y], return_counts=True)
-                    rows.append((d, tokens[x:y].tobytes(), count.astype(np.uint32).tobytes(), sk[who].tobytes(), (comp[who] ^ sk[who]).tobytes(), (fam[who] ^ sk[who]).tobytes(), n[who].astype(np.uint32).tobytes()))
+                    rows.append((d, *(z.tobytes() for z in (tokens[x:y], at[x:y], count.astype(np.uint32), sk[who], n[who], central[who]))))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["place", "tokens", "counts", "sk", "comp", "family", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["place", "tokens", "at", "counts", "sk", "n", "central"])
 
-    packed = one.mapInArrow(send, "place int, tokens binary, counts binary, sk binary, comp binary, family binary, n binary")
+    packed = sets.where("prefix is not null").select("sk", "n", "central", "prefix").mapInArrow(send, "place int, tokens binary, at binary, counts binary, sk binary, n binary, central binary")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, []
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if row[0] != place and held:
-                    yield from _met(held, percent)
+                    yield from _lists(held, percent)
                     held = []
                 place = row[0]
                 held.append(row[1:])
         if held:
-            yield from _met(held, percent)
-
-    return packed.repartition(places, "place").sortWithinPartitions("place").mapInArrow(meet, "a long, b long").distinct()
-
-
-def _met(held: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of one place."""
-    tokens = np.concatenate([np.frombuffer(h[0], np.uint32) for h in held])
-    counts = np.concatenate([np.frombuffer(h[1], np.uint32) for h in held])
-    sk = np.concatenate([np.frombuffer(h[2], np.int64) for h in held])
-    comp = np.concatenate([np.frombuffer(h[3], np.int64) for h in held]) ^ sk
-    fam = np.concatenate([np.frombuffer(h[4], np.int64) for h in held]) ^ sk
-    n = np.concatenate([np.frombuffer(h[5], np.uint32) for h in held]).astype(np.int64)
-    owner = np.repeat(np.arange(len(sk)), counts)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
+            yield from _lists(held, percent)
+
+    met = packed.repartition(places, "place").sortWithinPartitions("place").mapInArrow(meet, "a long, b long, many int")
+    return stored(met.groupBy("a", "b").agg(F.max("many").alias("many")), "members")
+
+
+def _lists(held: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
+    """Leaders and members of the lists of one place."""
+    tokens, at, counts, sk, n, central = (np.concatenate([np.frombuffer(h[i], kind) for h in held]) for i, kind in enumerate((np.uint32, np.uint16, np.uint32, np.int64, np.uint32, np.uint16)))
+    # a set that several tasks met is taken once; sets are numbered from the least central one on, so that the last of a list leads it
+    _, first, number = np.unique(sk, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int64)
+    rank[np.lexsort((sk[first], central[first]))] = np.arange(len(first))
+    by_rank = first[np.argsort(rank)]
+    sk, n = sk[by_rank], n[by_rank].astype(np.int64)
+    owner = np.repeat(rank[number], counts)
+    order = np.lexsort((at, owner, tokens))
+    tokens, owner, at = tokens[order], owner[order], at[order].astype(np.int64)
+    once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])
+    tokens, owner, at = tokens[once], owner[once], at[once]
     begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    c = comp[owner]
-    f = fam[owner]
-    alive = np.flatnonzero((np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)) & (np.minimum.reduceat(f, begin) != np.maximum.reduceat(f, begin)))
-    end = np.append(begin[1:], len(tokens))
-    out: set[tuple[int, int]] = set()
-    known: set[int] = set()
+    length = np.diff(np.append(begin, len(tokens)))
 
-    def batch() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["a", "b"])
+    def can(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether members i and j of a list can be similar, by their sizes and the shingle's places."""
+        m, o = n[owner[i]], n[owner[j]]
+        need = -(-percent * (m + o) // (100 + percent))
+        return (100 * np.minimum(m, o) >= percent * np.maximum(m, o)) & (at[i] <= m - need) & (at[j] <= o - need)
 
-    for r in alive.tolist():
-        who = np.unique(owner[begin[r] : end[r]])
-        if (key := xxhash.xxh3_64_intdigest(np.ascontiguousarray(who).tobytes())) in known:
+    two = begin[length == 2]
+    two = two[can(two, two + 1)]
+    leader, member, many = [owner[two + 1]], [owner[two]], [np.zeros(len(two), np.int32)]
+    known: set[int] = set()
+    for x, size in zip(begin[length > 2].tolist(), length[length > 2].tolist(), strict=True):
+        if size <= CLOSE:
+            i, j = np.triu_indices(size, 1)
+            ok = can(x + i, x + j)
+            keep = np.zeros(size, bool)
+            keep[i[ok]] = keep[j[ok]] = True
+        else:
+            by_size = np.argsort(n[owner[x : x + size]], kind="stable")
+            sizes = n[owner[x : x + size]][by_size]
+            near = 100 * sizes[:-1] >= percent * sizes[1:]
+            keep = np.zeros(size, bool)
+            keep[by_size[:-1][near]] = keep[by_size[1:][near]] = True
+        who = owner[x : x + size][keep]
+        if len(who) < 2 or (key := xxhash.xxh3_64_intdigest(who.tobytes())) in known:
             continue
-        if len(who) > 1:
-            known.add(key)
-        sizes, comps, fams = n[who], comp[who], fam[who]
-        for i in range(len(who) - 1):
-            lo, hi = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
-            for j in np.flatnonzero((comps[i + 1 :] != comps[i]) & (fams[i + 1 :] != fams[i]) & (100 * lo >= percent * hi)).tolist():
-                x, y = int(sk[who[i]]), int(sk[who[i + 1 + j]])
-                out.add((x, y) if x < y else (y, x))
-            if len(out) > 200_000:
-                yield batch()
-                out.clear()
-    if out:
-        yield batch()
+        known.add(key)
+        leader.append(np.full(len(who) - 1, who[-1]))
+        member.append(who[:-1])
+        many.append(np.full(len(who) - 1, len(who) > 2, np.int32))
+    leader, member, many = np.concatenate(leader), np.concatenate(member), np.concatenate(many)
+    pairs, which = np.unique(leader * len(sk) + member, return_inverse=True)
+    most = np.zeros(len(pairs), np.int32)
+    np.maximum.at(most, which, many)
+    for c in range(0, len(pairs), 100_000):
+        a, b = np.divmod(pairs[c : c + 100_000], len(sk))
+        yield pa.RecordBatch.from_arrays([pa.array(sk[a]), pa.array(sk[b]), pa.array(most[c : c + 100_000])], names=["a", "b", "many"])
 
 
 # --- T-occurrence search --------------------------------------------------------------------------------------------
 
 
-def divide_skip(lists: list[list[int]], need: list[int]) -> dict[int, int]:
+def divide_skip(lists: list[list[int]], need: list[int], known: Callable[[int], bool] | None = None) -> dict[int, int]:
     """Members that occur in ``need[member]`` or more of the sorted lists, with their number of occurrences.
 
-    The longest lists are set aside, fewer than the least need. A heap merges the short ones; a member that occurs often
+    ``known`` tells members that are not wanted. The longest lists are set aside, fewer than the least need. A heap merges the short ones; a member that occurs often
     enough there to reach its need with all the long lists is probed in those by binary search.
     """
     if not lists:
@@ -347,7 +337,7 @@ def divide_skip(lists: list[list[int]], need: list[int]) -> dict[int, int]:
             else:
                 heapq.heappop(heap)
         left = len(long)
-        if count + left < need[member]:
+        if count + left < need[member] or (known and known(member)):
             continue
         for x in long:
             left -= 1
@@ -371,17 +361,17 @@ class Lists:
         order = np.argsort(tokens, kind="stable")  # by token, then member
         self.tokens, self.owner = tokens[order], owner[order].tolist()
 
-    def search(self, leader: np.ndarray, percent: int = PERCENT) -> dict[int, int]:
-        """Members (by place) similar to the leader, with the size of the intersection."""
+    def search(self, leader: np.ndarray, percent: int = PERCENT, known: Callable[[int], bool] | None = None) -> dict[int, int]:
+        """Members (by place) similar to the leader, with the size of the intersection; without those ``known``."""
         need = [required(len(leader), n, percent) for n in self.sizes]
         lo, hi = np.searchsorted(self.tokens, leader, "left"), np.searchsorted(self.tokens, leader, "right")
         has = hi > lo
-        return divide_skip([self.owner[a:b] for a, b in zip(lo[has].tolist(), hi[has].tolist(), strict=True)], need)
+        return divide_skip([self.owner[a:b] for a, b in zip(lo[has].tolist(), hi[has].tolist(), strict=True)], need, known)
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose bitmaps allow the required intersection, written. Nothing that is similar is lost."""
-    bits = sets.where("bits is not null").select("sk", "n", "bits").dropDuplicates(["sk"])
+    bits = stored(sets.where("bits is not null").select("sk", "n", "bits").dropDuplicates(["sk"]), "bits")
     left, right = (bits.select(F.col("sk").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,39 +391,48 @@ def texts_of_sets(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataF
     return stored(source.join(small(need), (source["doc_id"].eqNullSafe(need["doc_id"])) & (source["th"] == need["th"])).select("sk", "text"), "texts")
 
 
-def families(star: DataFrame, least: int = 2) -> DataFrame:
-    """(sk, family), written: the leader that most lists of a set name, if ``least`` do."""
-    best = star.groupBy(F.col("b").alias("sk")).agg(F.max(F.struct("shared", "a")).alias("m")).where(F.col("m.shared") >= least)
-    return stored(best.select("sk", F.col("m.a").alias("family")), "families")
-
+def searched_groups(members: DataFrame, components: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, common): links that connect the components of each group (of ``members`` with ``many``), written.
 
-def searched_families(family: DataFrame, components: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, common): all links in a family of sets outside its largest component, with each other and with the rest.
-
-    Members and queries meet in blocks of bounded size, each a T-occurrence search, so a family whose members are alike
-    in part only gives rows by blocks, not by pairs.
+    The sets outside a group's largest component are queries against all of its sets. Both meet in blocks of bounded
+    size, each a T-occurrence search, so a group whose sets are alike in part only gives rows by blocks, not by pairs.
     """
-    named = family.join(components.select(F.col("node").alias("sk"), "component").hint("merge"), "sk", "left").select("sk", "family", F.coalesce("component", "sk").alias("component"))
+    groups = members.where("many = 1")
+    groups = groups.select(F.col("a").alias("family"), F.col("b").alias("sk")).union(groups.select("a", "a").distinct())
+    named = stored(groups.join(components.select(F.col("node").alias("sk"), "component").hint("merge"), "sk", "left").select("sk", "family", F.coalesce("component", "sk").alias("component")), "groups")
     sizes = named.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = stored(sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n")).where("n > m.n").select("family", F.col("m.component").alias("main"), (F.col("n") / CHUNK).cast("long").alias("chunks"), ((F.col("n") - F.col("m.n")) / CHUNK).cast("long").alias("turns")), "main")
-    known = stored(named.join(main.hint("merge"), "family"), "members")
+    main = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n")).where("n > m.n")
+    main = stored(main.select("family", F.col("m.component").alias("main"), (F.col("n") / CHUNK).cast("long").alias("chunks"), ((F.col("n") - F.col("m.n")) / CHUNK).cast("long").alias("turns")), "main")
+    known = stored(named.join(main.hint("merge"), "family"), "known")
     texts = texts_of_sets(known.select("sk").distinct(), sets, docs)
-    targets = known.select("family", "sk", F.pmod("sk", F.col("chunks") + 1).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), "turns")).alias("turn"), F.lit(0).alias("query"))
-    queries = known.where("component <> main").select("family", "sk", F.explode(F.sequence(F.lit(0).cast("long"), "chunks")).alias("chunk"), F.pmod("sk", F.col("turns") + 1).alias("turn"), F.lit(1).alias("query"))
-    rows = targets.union(queries.select(*targets.columns)).join(texts.hint("merge"), "sk").select("family", "chunk", "turn", "query", "sk", "text")
+    chunk, turn = F.pmod("sk", F.col("chunks") + 1), F.pmod(F.xxhash64("sk"), F.col("turns") + 1)
+    targets = known.select("family", "sk", "component", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), "turns")).alias("turn"), F.lit(0).alias("query"))
+    queries = known.where("component <> main").select("family", "sk", "component", F.explode(F.sequence(F.lit(0).cast("long"), "chunks")).alias("chunk"), turn.alias("turn"), F.lit(1).alias("query"))
+    dealt = stored(targets.union(queries.select(*targets.columns)), "blocks")
+    rows = dealt.join(texts.hint("merge"), "sk").select(*targets.columns, "text")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, members, index, out = None, [], [], None, []
+        key, ids, comps, members, index, root, out = None, [], [], [], None, {}, []
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
         for b in _slices(batches):
-            for f, c, t, query, sk, s in zip(*(b.column(k).to_pylist() for k in ("family", "chunk", "turn", "query", "sk")), shingle_sets(b.column("text")), strict=True):
+            for f, c, t, query, sk, comp, s in zip(*(b.column(k).to_pylist() for k in ("family", "chunk", "turn", "query", "sk", "component")), shingle_sets(b.column("text")), strict=True):
                 if (f, c, t) != key:
-                    key, ids, members, index = (f, c, t), [], [], None
+                    key, ids, comps, members, index, root = (f, c, t), [], [], [], None, {}
                 if not query:
                     ids.append(sk)
+                    comps.append(comp)
                     members.append(s)
                 elif members:
-                    index = index or Lists(members)
-                    out.extend((sk, ids[i], n) for i, n in index.search(s, percent).items() if ids[i] != sk)
+                    index, own = index or Lists(members), find(comp)
+                    for i, n in index.search(s, percent, lambda i, own=own, comps=comps: find(comps[i]) == own).items():
+                        if find(comps[i]) != find(comp):
+                            root[find(comps[i])] = find(comp)
+                            out.append((sk, ids[i], n))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "common"])
                 out = []
@@ -484,20 +483,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int =
 
 def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The documents' sets (stored, :data:`SETS`) and (node, component) of the sets that have links."""
-    spark = docs.sparkSession
     sets = document_sets(docs, frequent_shingles(docs), percent)
-    pairs = stored(star_pairs(sets, percent), "star")
-    family = families(pairs)
-    star = verified(pairs, sets, docs, percent)
-    released(spark)
-    star = stored(star.union(searched_families(family, connected(star), sets, docs, percent)), "star")
-    released(spark)
+    members = memberships(sets, percent)
+    star = verified(members.select("a", "b"), sets, docs, percent)
     first = connected(star)
-    cross = stored(cross_pairs(sets, first, family, percent), "cross")
-    released(spark)
-    if not cross.limit(1).count():
+    more = searched_groups(members, first, sets, docs, percent)
+    if not more.limit(1).count():
         return sets, first
-    more = verified(cross, sets, docs, percent)
     return sets, connected(stored(star.union(more), "edges"))
 
 
