@@ -21,90 +21,122 @@ import bisect
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import stored, table, texts_of, tokenizer_path
+from siteloom.llm.common import stored, table, tokenizer_path
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Cached chunks and words of a Python worker (about 0.2 kB each); beyond, a cache starts anew.
-CACHE_CHUNKS, CACHE_WORDS = 400_000, 400_000
+#: Cached words of a Python worker (about 0.2 kB each); beyond, the cache starts anew.
+CACHE_WORDS = 800_000
+#: Bytes of text from which on a slice of texts is turned into ids.
+SLICE = 16_000_000
+#: Unicode letters that stand for the 256 bytes in the vocabulary: printable ones for themselves, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b if b in _PRINTABLE else 256 + b - sum(p < b for p in _PRINTABLE)) for b in range(256)}
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs ``values[start : start + length]``, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return values[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
 
 
 class WordTokenizer:
-    """Ids of the public word-end BPE as little-endian 32-bit bytes, cached by white-space chunk.
+    """Ids of the public word-end BPE, for Arrow batches of texts.
 
-    The vocabulary's pre-tokenizer never joins what white space parts, so a text's ids are those of its chunks. Words
-    that aren't cached are encoded together, and a token that ends a word (``</w>``) closes the word's ids.
+    The vocabulary's pre-tokenizer never joins what white space parts, so a text's ids are those of its chunks, and a
+    chunk's those of its words. Each distinct chunk of a batch is split once, each new word is encoded once, by the
+    library's model; ids are gathered by number.
     """
 
-    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+")
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n"
+    ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+|\n")
 
     def __init__(self, path: str | None = None) -> None:
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.pieces = regex.compile(self.PIECES)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-
-    def _split(self, chunk: str) -> list[str] | None:
-        """The chunk's words as the vocabulary's normalizer and pre-tokenizer see them; None: only the library can tell."""
-        if "<|" in chunk or not chunk.isprintable() or "Σ" in chunk or "İ" in chunk:
-            return None
-        if chunk.isascii():
-            return self.ASCII_PIECES.findall(chunk.lower())
-        return self.pieces.findall(unicodedata.normalize("NFC", chunk).lower())
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {"\n": 0}
+        self.ids, self.length = array("I"), array("I", [0])
+
+    def _learn(self, words: list[str]) -> None:
+        tokenize = self.model.tokenize
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            got = [tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS)) for w in part]
+            self.words.update(zip(part, range(len(self.length), len(self.length) + len(part)), strict=True))
+            self.ids.extend([t.id for ts in got for t in ts])
+            self.length.extend(map(len, got))
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths) of distinct chunks."""
+        odd = pc.or_(pc.match_substring_regex(chunks, r"[\x00-\x1f\x7f]"), pc.match_substring(chunks, "<|"))
+        ascii_ = pc.and_not(pc.string_is_ascii(chunks), odd).to_numpy(zero_copy_only=False)
+        odd = odd.to_numpy(zero_copy_only=False)
+        rest = dict(zip(np.flatnonzero(~ascii_).tolist(), chunks.filter(pa.array(~ascii_)).to_pylist(), strict=True))
+        # only the whole library can tell the ids of the odd ones
+        other = [i for i, c in rest.items() if not odd[i] and c.isprintable() and "Σ" not in c and "İ" not in c]
         if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        words, split = self.words, {c: self._split(c) for c in chunks}
-        new = list({w for ws in split.values() if ws for w in ws if w not in words})
-        plain = [w for w in new if w[0] != "'" or len(w) == 1]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):  # a word of another shape than thought: one by one
-                for w in part:
-                    words[w] = self._alone(w)
-                continue
-            raw, start = ids.astype("<u4").tobytes(), 0
-            for w, stop in zip(part, stops.tolist(), strict=True):
-                words[w] = raw[4 * start : 4 * stop]
-                start = stop
-        for w in new:
-            if w not in words:
-                words[w] = self._alone(w)
-        for c, ws in split.items():
-            self.chunks[c] = self._alone(c) if ws is None else b"".join([words[w] for w in ws])
-
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            try:
-                yield b"".join([self.chunks[c] for c in chunks])
-            except KeyError:
-                self._learn({c for c in chunks if c not in self.chunks})
-                known = self.chunks
-                yield b"".join([known[c] if c in known else self._alone(c) for c in chunks])
+            self._forget()
+        # a line for each chunk; every line's end counts as a word without ids
+        split, where = [], np.flatnonzero(ascii_)
+        if len(where):
+            lines = pa.ListArray.from_arrays(pa.array([0, len(where)], pa.int32()), chunks.filter(pa.array(ascii_)).cast(pa.string()))
+            split = self.ASCII_PIECES.findall(pc.binary_join(lines, "\n")[0].as_py().lower() + "\n")
+        if other:
+            split += self.pieces.findall(unicodedata.normalize("NFC", "\n".join([rest[i] for i in other])).lower() + "\n")
+            where = np.concatenate([where, np.array(other, np.int64)])
+        known = self.words
+        self._learn(list({w for w in split if w not in known}))
+        number = np.fromiter(map(known.__getitem__, split), np.int64, len(split))
+        lengths = np.frombuffer(self.length, np.uint32).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        ids = gathered(np.frombuffer(self.ids, np.uint32), starts[number], lengths[number]) if len(self.ids) else np.zeros(0, np.uint32)
+        stop = np.cumsum(lengths[number])[number == 0]
+        first, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        size[where] = np.diff(stop, prepend=0)
+        first[where] = stop - size[where]
+        more = {i: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32) for i, c in rest.items() if not size[i] and c}
+        at = len(ids)
+        for i, x in more.items():
+            first[i], size[i] = at, len(x)
+            at += len(x)
+        return np.concatenate([ids, *more.values()]), first, size
+
+    def columns(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each :data:`SLICE` of texts (null: empty): all ids, and where each text's end (one entry more than texts)."""
+        column = column.cast(pa.large_string())
+        size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(size, np.arange(SLICE, size[-1] if len(size) else 0, SLICE)) + 1, [len(column)]])).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            lists = pc.ascii_split_whitespace(column.slice(a, b - a))
+            stops = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            encoded = lists.flatten().dictionary_encode()
+            codes = encoded.indices.to_numpy(zero_copy_only=False)
+            ids, first, size_ = self._chunks(encoded.dictionary)
+            counts = size_[codes]
+            yield gathered(ids, first[codes], counts), np.concatenate([[0], np.cumsum(counts)])[stops]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit bytes."""
+        for ids, stops in self.columns(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())):
+            ids = ids.astype("<u4", copy=False)
+            yield from (ids[x:y].tobytes() for x, y in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -128,8 +160,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
         end = np.array([SEPARATOR], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
-            ids = b.column("doc_id").to_pylist()
-            for doc, raw in zip(ids, tok.encode(texts_of(b.column("text"))), strict=True):
+            for doc, raw in zip(b.column("doc_id").to_pylist(), tok.encode(b.column("text")), strict=True):
                 raw = memoryview(raw + end)
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
