@@ -1,15 +1,17 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is its words; its edit distance to another line counts words inserted, deleted or replaced. A line goes if an
-earlier line (by doc_id, then place in the document) is equal, or is within an edit distance of one and both have
-``NEAR_WORDS`` words or more. Lines without words stay.
+A line is its words, its *units* are the words too, or the characters (of the words joined by a space) if it has fewer
+than ``UNITS`` words. The edit distance of two lines with units of one kind counts units inserted, deleted or replaced.
+A line goes if an earlier line (by doc_id, then place in the document) is equal, or if their edit distance is within the
+bound: one edit, where both have ``UNITS`` units or more (so at most an eighth of a line differs, and a short line may
+differ by a character, a long one by a word). Lines without words stay.
 
 1. Every document's lines become hashes. Equal lines meet in a pre-aggregated join that keeps the earliest.
-2. Of two lines at distance one, the first or the last half is equal. Only distinct lines that share such a half with
+2. Of two lines at distance one, the first or the last half of the units is equal. Only distinct lines that share such a half with
    another one go on (an exact filter: nothing within the bound is lost).
-3. Those emit all variants within the bound as hashed keys: the line itself and the line without each of its words.
-   Equal variants meet: the same word place left out on both sides means a replaced word; a whole line equal to another
-   one with a word left out means an inserted word. Each group gives its earliest line (a partial aggregate, so a
+3. Those emit all variants within the bound as hashed keys: the line itself and the line without each of its units.
+   Equal variants meet: the same place left out on both sides means a replaced unit; a whole line equal to another one
+   with a unit left out means an inserted unit. Each group gives its earliest line (a partial aggregate, so a
    variant that a third of all lines share is no load), not pairs.
 4. Each line with an earlier partner is verified by the edit distance of the words themselves.
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.common import small, stored, table
 
-NEAR_WORDS = 8
+UNITS = 8
 LINES = "rid long, doc_id long, line int, words int, hash long, halves array<long>, body binary"
 
 
@@ -37,24 +39,30 @@ def _hash(b: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b) - (1 << 63)
 
 
-def half_keys(words: list[bytes]) -> list[int]:
+def units(body: bytes) -> tuple[list[bytes], bytes, bytes]:
+    """Units of a line, what joins them, and a mark of their kind: words, or characters if the words are few."""
+    words = body.split(b" ")
+    return (words, b" ", b"w") if len(words) >= UNITS else ([c.encode() for c in body.decode()], b"", b"c")
+
+
+def half_keys(parts: list[bytes], between: bytes, kind: bytes) -> list[int]:
     """Hashes of the halves that a line at distance one may share: both ends, for either of two lengths."""
-    n, out = len(words), []
+    n, out = len(parts), []
     for k in {(n - 1) // 2, n // 2}:
-        out.append(_hash(b"<%d " % k + b" ".join(words[:k])))
-        out.append(_hash(b">%d " % k + b" ".join(words[n - k :])))
+        out.append(_hash(kind + b"<%d " % k + between.join(parts[:k])))
+        out.append(_hash(kind + b">%d " % k + between.join(parts[n - k :])))
     return out
 
 
-def variants(words: list[bytes]) -> Iterator[tuple[int, int]]:
+def variants(parts: list[bytes], between: bytes, kind: bytes) -> Iterator[tuple[int, int]]:
     """(key, place left out) of a line within an edit distance of one; -1 is the whole line."""
-    yield _hash(b" ".join(words)), -1
-    for i in range(len(words)):
-        yield _hash(b" ".join(words[:i] + words[i + 1 :])), i
+    yield _hash(kind + between.join(parts)), -1
+    for i in range(len(parts)):
+        yield _hash(kind + between.join(parts[:i] + parts[i + 1 :])), i
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
-    """Whether the edit distance of two word lists is one at most."""
+    """Whether the edit distance of two lists of units is one at most."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > 1:
@@ -66,7 +74,7 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """:data:`LINES` of all documents, written; ``halves`` and ``body`` stand once a task for each distinct long line."""
+    """:data:`LINES` of all documents, written; ``halves`` and ``body`` stand once a task for each distinct line of enough units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("words", pa.int32()), ("hash", pa.int64()), ("halves", pa.list_(pa.int64())), ("body", pa.binary())])
@@ -80,9 +88,10 @@ def lines(docs: DataFrame) -> DataFrame:
                         words = line.split()
                         body = b" ".join(words)
                         h = _hash(body)
-                        if len(words) >= NEAR_WORDS and h not in seen:
+                        parts = units(body) if h not in seen else None
+                        if parts and len(parts[0]) >= UNITS:
                             seen.add(h)
-                            rows.append((rid, doc, n, len(words), h, half_keys(words), body))
+                            rows.append((rid, doc, n, len(words), h, half_keys(*parts), body))
                         else:
                             rows.append((rid, doc, n, len(words), h, None, None))
                 if len(seen) > 1_000_000:
@@ -110,7 +119,7 @@ def near_lines(found: DataFrame, first: DataFrame) -> DataFrame:
                 b = whole.slice(at, 2000)
                 key, place, row = [], [], []
                 for i, body in enumerate(b.column("body").to_pylist()):
-                    for k, p in variants(body.split(b" ")):
+                    for k, p in variants(*units(body)):
                         key.append(k)
                         place.append(p)
                         row.append(i)
@@ -135,7 +144,8 @@ def near_lines(found: DataFrame, first: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [h for h, x, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if within_one(x.split(b" "), y.split(b" "))]
+            lines = ((h, units(x), units(y)) for h, x, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+            keep = [h for h, x, y in lines if x[2] == y[2] and within_one(x[0], y[0])]
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], names=["hash"])
 
     return both.mapInArrow(verify, "hash long").distinct()
@@ -162,5 +172,5 @@ def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every one of the ``documents`` with the lines that have an earlier line, equal or one word apart."""
+    """Every one of the ``documents`` with the lines that have an earlier line, equal or one edit apart."""
     return line_duplicates(table(spark, sf_dir, "documents"))

@@ -205,9 +205,23 @@ def test_within_one():
         assert line_dedup.within_one(a, b) == (word_distance(a, b) <= 1)
 
 
+def near(w, e):
+    """Both lines as words, or both as characters (fewer than eight words), of eight units at least, one edit apart."""
+    if (len(w) < 8) != (len(e) < 8):
+        return False
+    a, b = (w, e) if len(w) >= 8 else (list(" ".join(w)), list(" ".join(e)))
+    return min(len(a), len(b)) >= 8 and word_distance(a, b) <= 1
+
+
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "Accept all cookies\nMenu\nHome"), (2, "Accept all cookie\nMenü\nHome"), (3, "Accept  äll cookies"), (4, "one two three four five six seven"), (5, "one two three four five six seven eight")]
+    got = sorted((r.doc_id, r.dropped) for r in line_dedup.line_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, []), (2, [0, 2]), (3, [0]), (4, []), (5, [])]
+
+
 def test_line_dedup(spark):
     r = random.Random(6)
-    base = [[f"w{r.randint(0, 30)}" for _ in range(r.randint(6, 14))] for _ in range(25)]
+    base = [[f"w{r.randint(0, 30)}" for _ in range(r.randint(2, 14))] for _ in range(25)]
     rows = [(999, None), (998, ""), (997, "\n\n")]
     for i in range(60):
         lines = []
@@ -229,7 +243,7 @@ def test_line_dedup(spark):
         gone = []
         for n, line in enumerate(lines):
             w = line.split()
-            if w and any(w == e or (min(len(w), len(e)) >= 8 and word_distance(w, e) <= 1) for e in earlier):
+            if w and any(w == e or near(w, e) for e in earlier):
                 gone.append(n)
             if w:
                 earlier.append(w)
