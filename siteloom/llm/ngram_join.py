@@ -488,9 +488,20 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     star = verified(members.select("a", "b"), sets, docs, percent)
     first = connected(star)
     more = searched_groups(members, first, sets, docs, percent)
-    if not more.limit(1).count():
-        return sets, first
-    return sets, connected(stored(star.union(more), "edges"))
+    return sets, joined_components(first, more)
+
+
+def joined_components(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` (node, component) after more ``links`` (a, b), which are few and between components mostly."""
+    if not links.limit(1).count():
+        return components
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    fresh = stored(ends.join(components.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "ends")
+    at_a, at_b = (fresh.select(F.col("node").alias(k), F.col("component").alias(f"component_{k}")) for k in "ab")
+    contracted = links.select("a", "b").join(at_a.hint("merge"), "a").join(at_b.hint("merge"), "b").select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    moved = connected(stored(contracted, "contracted")).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    nodes = components.union(fresh.select("node", "component")).distinct()
+    return stored(nodes.join(moved.hint("merge"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
 
 
 def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
