@@ -44,27 +44,25 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; removed when the process ends."""
+    path = f"{scratch(spark)}/siteloom-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back; removed when the process ends.
 
     ``partitions`` coalesces (no shuffle) before writing.
     """
     spark = df.sparkSession
-    path = f"{scratch(spark)}/siteloom-{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    path = shared_path(spark, name)
     schema = df.schema
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @atexit.register
 def _remove_all() -> None:
     for spark, path in _made:

@@ -7,13 +7,16 @@ edge, and the words under repeated edges go. Single windows are never shuffled:
    have equal least hashes, so a window repeats only among pieces of the same least hash. A piece is a stretch of the
    graph's path (its edges follow each other), known by the hash of all its words.
 2. Pieces whose least hash stands anywhere else are kept. Equal pieces meet in a pre-aggregated join: how often the
-   piece occurs, and whether it branches (more than one piece before or after it).
+   piece occurs, and its neighbours, if all occurrences have the same piece before or after them (no branch there).
 3. Where a least hash has several different pieces, copies end or differ: one occurrence of each such piece is read
    again, and its windows are compared one by one. A bit mask per piece says which windows repeat.
-4. In each document, repeated pieces that follow each other without a branch compact to paths. The masks at the pieces'
-   coordinates become word spans, checked against the document's own words, and the covered words go.
+4. Repeated pieces that follow each other without a branch compact to a path, by joins: each names the piece before it,
+   and pointer jumping finds the path's first piece and the distance to it. Where the first piece stands, the whole path
+   follows, so only its occurrences become spans.
+5. The words under one occurrence of each path, at its source coordinates, are digested; every other occurrence is
+   verified against that digest on the document's own words, and the covered words go.
 
-Texts are written once, dealt out by row, so that steps 3 and 4 join them without another shuffle of texts.
+Texts are written once, dealt out by row, so that steps 3 to 5 join them without another shuffle of texts.
 
 Defined results: null texts have no words; texts shorter than a window stay whole; repeated rows are copies of each
 other, so their windows repeat; a repeated passage loses every occurrence, the first too; other columns are ignored,
@@ -28,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Words, mixed, ngram_hashes, released, shuffle_partitions, stored, table
+from siteloom.llm.common import Words, mixed, ngram_hashes, shared_path, shuffle_partitions, stored, table
 
 WIDTH, SEED = 35, 8
-PIECES = "rid long, at int, n int, least long, piece long, before int, after int, twice boolean"
+PIECES = "rid long, at int, n int, least long, piece long, before long, after long, twice boolean"
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -77,10 +81,9 @@ def pieces_of(words: np.ndarray, starts: np.ndarray, width: int, seed: int) -> d
     rank = np.arange(len(first)) - np.repeat(begin, size)
     piece = np.add.reduceat(mixed(windows ^ mixed(rank.astype(np.uint64) + np.uint64(1))), begin)
     text = owner[begin]
-    tag = (piece >> np.uint64(32)).astype(np.uint32).view(np.int32)
     same = text[1:] == text[:-1]
-    before, after = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int32)
-    before[1:][same], after[:-1][same] = tag[:-1][same], tag[1:][same]
+    before, after = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
+    before[1:][same], after[:-1][same] = piece[:-1][same], piece[1:][same]
     # windows that a text holds twice repeat whatever the other texts hold
     order = np.lexsort((windows, owner))
     w, o = windows[order], owner[order]
@@ -105,7 +108,7 @@ class DealtTexts:
         self.name = f"siteloom_texts_{uuid.uuid4().hex}"
         n = shuffle_partitions(spark)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
-        rows.repartition(n, "rid").write.bucketBy(n, "rid").format("parquet").saveAsTable(self.name)
+        rows.repartition(n, "rid").write.bucketBy(n, "rid").format("parquet").option("path", shared_path(spark, "texts")).saveAsTable(self.name)
         self.rows = spark.table(self.name)
         import atexit
 
@@ -127,22 +130,25 @@ def pieces(texts: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
             p = pieces_of(words.hashes(), words.starts, width, seed)
             if p is not None:
                 rid = b.column("rid").to_numpy()[p["text"]]
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(p["at"].astype(np.int32)), pa.array(p["n"].astype(np.int32)), _i64(p["least"]), _i64(p["piece"]), pa.array(p["before"]), pa.array(p["after"]), pa.array(p["twice"])], names=["rid", "at", "n", "least", "piece", "before", "after", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(p["at"].astype(np.int32)), pa.array(p["n"].astype(np.int32)), _i64(p["least"]), _i64(p["piece"]), _i64(p["before"]), _i64(p["after"]), pa.array(p["twice"])], names=["rid", "at", "n", "least", "piece", "before", "after", "twice"])
 
     return stored(texts.select("rid", "text").mapInArrow(run, PIECES), "pieces")
 
 
 def repeated_pieces(found: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """rid, at, n, mask, path_before, path_after: pieces with repeated windows. Bit i of ``mask``: window i repeats."""
+    """rid, at, n, mask, digest: stretches of ``n`` windows that repeat, each from window ``at`` on.
+
+    Either a whole path (``mask`` null) with the digest of its words, or a piece of which bit i of ``mask`` says whether
+    window i repeats (``digest`` null).
+    """
     # stored, so that a join with it has an exchange on both sides, which adaptive execution can split
     twice = stored(found.groupBy("least").agg((F.count(F.lit(1)) + F.max(F.col("twice").cast("long"))).alias("c")).where("c > 1").select("least"), "twice")
     candidates = stored(found.join(twice.hint("merge"), "least"), "candidates")
-    released(found.sparkSession)
     # the distinct pieces, with one occurrence of each and their neighbours
     kinds = stored(
         candidates.groupBy("least", "piece", "n").agg(
             F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice"), F.min(F.struct("rid", "at")).alias("one"),
-            (F.min("before") == F.max("before")).alias("in_one"), (F.min("after") == F.max("after")).alias("out_one"),
+            F.when(F.min("before") == F.max("before"), F.min("before")).alias("before"), F.when(F.min("after") == F.max("after"), F.min("after")).alias("after"),
         ),
         "kinds",
     )
@@ -155,8 +161,8 @@ def repeated_pieces(found: DataFrame, texts: DataFrame, width: int = WIDTH) -> D
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             words = Words(b.column("text"))
-            all_windows = ngram_hashes(words.hashes(), width)
-            cols: list[list] = [[], [], [], [], []]
+            all_windows, checks = ngram_hashes(words.hashes(), width), ngram_hashes(words.hashes(1), width, 0xD6E8FEB86659FD93)
+            cols: list[list] = [[], [], [], [], [], []]
             for start, found in zip(words.starts[:-1].tolist(), b.column("p").to_pylist(), strict=True):
                 for p in found:
                     n = p["n"]
@@ -166,34 +172,71 @@ def repeated_pieces(found: DataFrame, texts: DataFrame, width: int = WIDTH) -> D
                     cols[2].append(np.arange(n, dtype=np.int32))
                     cols[3].append(all_windows[at : at + n].view(np.int64))
                     cols[4].append(np.full(n, p["times"]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["least", "piece", "i", "window", "times"])
+                    cols[5].append(checks[at : at + n].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["least", "piece", "i", "window", "times", "check"])
+
+    # windows are equal if two independent hashes of their words are
+    single = stored(again.mapInArrow(windows, "least long, piece long, i int, window long, times long, check long"), "windows")
+    again_met = stored(single.groupBy("least", "window", "check").agg(F.sum("times").alias("c")).where("c > 1").select("least", "window", "check"), "met")
+    masks = single.join(again_met.hint("merge"), ["least", "window", "check"]).groupBy("least", "piece").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
+    whole = stored(kinds.where("times > 1").select("piece", "n", "times", "before", "after", "one"), "whole")
+    paths = stored(verifiable(compacted(whole), texts, width), "digests")
+    partial = stored(kinds.where("times = 1").select("piece", "n", "least").join(masks.hint("merge"), ["least", "piece"]).where("mask <> 0").select("piece", "n", "mask"), "partial")
+    known = stored(paths.select("piece", "n", "windows", F.lit(None).cast("int").alias("mask"), "digest").union(partial.select("piece", "n", F.col("n").alias("windows"), "mask", F.lit(None).cast("binary"))), "decided")
+    return candidates.select("rid", "at", "n", "piece").join(known.hint("merge"), ["piece", "n"]).select("rid", "at", F.col("windows").alias("n"), "mask", "digest")
+
+
+def compacted(whole: DataFrame) -> DataFrame:
+    """piece, n, one, windows: the first piece of each path without a branch, an occurrence of it, the path's windows.
+
+    ``whole``: the repeated pieces (piece, n, times, the only ``before`` and ``after``, or null at a branch, one). Two
+    pieces belong to one path if each is the other's only neighbour on that side. Paths end: the first occurrence of a
+    piece in a text has something else before it than a piece of a circle.
+    """
+    left = whole.select(F.col("piece").alias("up"), F.col("after").alias("piece"), F.col("n").alias("far"))
+    linked = whole.select("piece", F.col("before").alias("up")).join(left.hint("merge"), ["piece", "up"])
+    nodes = stored(whole.select("piece", "n").join(linked.hint("merge"), "piece", "left").select("piece", "n", F.coalesce("up", "piece").alias("up"), F.coalesce("far", F.lit(0)).cast("long").alias("far")), "paths")
+    while True:
+        # pointer jumping: the way to the first piece halves each round
+        jump = nodes.select(F.col("piece").alias("up"), F.col("up").alias("up_up"), F.col("far").alias("up_far"))
+        nodes_ = stored(nodes.join(jump.hint("merge"), "up").select("piece", "n", F.col("up_up").alias("up"), (F.col("far") + F.col("up_far")).alias("far"), (F.col("up") != F.col("up_up")).alias("moved")), "paths")
+        nodes = nodes_.drop("moved")
+        if not nodes_.where("moved").limit(1).count():
+            break
+    length = stored(nodes.groupBy(F.col("up").alias("piece")).agg(F.max(F.col("far") + F.col("n")).alias("windows")), "lengths")
+    return whole.select("piece", "n", "one").join(length.hint("merge"), "piece")
 
-    single = stored(again.mapInArrow(windows, "least long, piece long, i int, window long, times long"), "windows")
-    again_met = stored(single.groupBy("least", "window").agg(F.sum("times").alias("c")).where("c > 1").select("least", "window"), "met")
-    masks = single.join(again_met.hint("merge"), ["least", "window"]).groupBy("least", "piece").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
-    decided = kinds.join(masks.hint("merge"), ["least", "piece"], "left").select(
-        "least", "piece", "n", "in_one", "out_one", F.when(F.col("times") > 1, F.expr("shiftleft(1L, n) - 1").cast("int")).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")
-    )
-    decided = stored(decided.where("mask <> 0"), "decided")
-    return candidates.select("rid", "at", "n", "least", "piece").join(decided.hint("merge"), ["least", "piece", "n"]).select("rid", "at", "n", "piece", "mask", "in_one", "out_one")
 
+def digest_of(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
-def paths_of(parts: list[dict], width: int) -> list[tuple[int, int]]:
-    """Word spans [from, to) under the repeated windows of one text.
 
-    Whole pieces that follow each other without a branch are one path, and count as one stretch of windows.
-    """
-    paths: list[list] = []  # first window, windows, mask, next may join
+def verifiable(paths: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``paths`` (piece, n, one, windows) with the digest of the words of their one occurrence."""
+    by_text = paths.groupBy(F.col("one.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("one.at").alias("at"), "n", "piece", "windows")).alias("p"))
+    here = texts.select("rid", "text").join(by_text.hint("shuffle_hash"), "rid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            rows = []
+            for text, found in zip(b.column("text").to_pylist(), b.column("p").to_pylist(), strict=True):
+                words = text.encode().split()
+                rows += [(p["piece"], p["n"], p["windows"], digest_of(words[p["at"] : p["at"] + p["windows"] + width - 1])) for p in found]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["piece", "n", "windows", "digest"])
+
+    return here.mapInArrow(run, "piece long, n int, windows long, digest binary")
+
+
+def spans_of(parts: list[dict], words: list[bytes], width: int) -> list[tuple[int, int]]:
+    """Word spans [from, to) under the repeated windows of one text; paths whose words aren't those of their source stay."""
+    spans: list[list[int]] = []
     for p in sorted(parts, key=lambda p: p["at"]):
-        whole = p["mask"] == (1 << p["n"]) - 1
-        if paths and paths[-1][3] and whole and p["in_one"] and paths[-1][0] + paths[-1][1] == p["at"]:
-            paths[-1][1] += p["n"]
-            paths[-1][3] = p["out_one"]
+        at, n, mask = p["at"], p["n"], p["mask"]
+        if mask is None:
+            stretches = [(at, n)] if at + n + width - 1 <= len(words) and digest_of(words[at : at + n + width - 1]) == p["digest"] else []
         else:
-            paths.append([p["at"], p["n"], None if whole else p["mask"], whole and p["out_one"]])
-    spans: list[list[int]] = []
-    for at, n, mask, _ in paths:
-        stretches = [(at, n)] if mask is None else [(at + i, 1) for i in range(n) if mask >> i & 1]
+            stretches = [(at + i, 1) for i in range(n) if mask >> i & 1]
         for first, count in stretches:
             to = first + count - 1 + width
             if spans and first <= spans[-1][1]:
@@ -207,7 +250,7 @@ def removals(docs: DataFrame, width: int = WIDTH, seed: int = SEED, with_text: b
     """doc_id, n_words, n_removed, kept_sha256, spans (and kept_text) for each document of ``docs`` (doc_id, text)."""
     texts = DealtTexts(docs).rows
     marks = repeated_pieces(pieces(texts, width, seed), texts, width)
-    by_text = marks.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "mask", "in_one", "out_one")).alias("p"))
+    by_text = marks.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "mask", "digest")).alias("p"))
     joined = texts.join(by_text.hint("shuffle_hash"), "rid", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,after:int>>" + ", kept_text string" * with_text
 
@@ -217,9 +260,7 @@ def removals(docs: DataFrame, width: int = WIDTH, seed: int = SEED, with_text: b
             n_words, n_removed, shas, all_spans, kept = [], [], [], [], []
             for text, parts in zip(b.column("text").to_pylist(), b.column("p").to_pylist(), strict=True):
                 words = (text or "").encode().split()
-                spans = paths_of(parts, width) if parts else []
-                if spans and spans[-1][1] > len(words):
-                    raise AssertionError("a span beyond its document")
+                spans = spans_of(parts, words, width) if parts else []
                 n_words.append(len(words))
                 rest, at = [], 0
                 for x, y in spans:

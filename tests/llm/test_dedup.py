@@ -259,3 +259,18 @@ def test_line_dedup_of_repeated_rows(spark):
     line = "a b c d e f g h i j"
     got = sorted((r.doc_id, r.dropped) for r in line_dedup.line_duplicates(frame(spark, [(1, line), (1, line), (2, line + " k")])).collect())
     assert got == [(1, []), (1, [0]), (2, [0])]
+
+
+def test_paths_end_at_branches(spark):
+    """a-b-c always follow each other, d follows c or stands alone, e and f name each other on one side only."""
+    schema = "piece long, n int, times long, before long, after long, one struct<rid:long,at:int>"
+    rows = [(1, 3, 2, 0, 2, (0, 0)), (2, 4, 2, 1, 3, (0, 3)), (3, 5, 2, 2, None, (0, 7)), (4, 6, 4, None, 0, (0, 12)), (5, 2, 3, 9, 6, (1, 0)), (6, 2, 4, None, 0, (1, 2))]
+    got = substring_dedup.compacted(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.piece, r.n, r.windows) for r in got) == [(1, 3, 12), (4, 6, 6), (5, 2, 2), (6, 2, 2)]
+
+
+def test_spans_are_verified_at_their_coordinates():
+    words = [b"w%d" % i for i in range(60)]
+    path = {"at": 5, "n": 10, "mask": None, "digest": substring_dedup.digest_of(words[5:49])}
+    assert substring_dedup.spans_of([path], words, 35) == [(5, 49)]
+    assert substring_dedup.spans_of([path], [*words[:20], b"other", *words[21:]], 35) == []
