@@ -35,10 +35,10 @@ from siteloom.llm.common import stored, table, tokenizer_path
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Cached words of a Python worker (about 0.2 kB each); beyond, the cache starts anew.
-CACHE_WORDS = 800_000
+#: Cached words of a task (about 0.2 kB each); beyond, the cache starts anew.
+CACHE_WORDS = 300_000
 #: Bytes of text from which on a slice of texts is turned into ids.
-SLICE = 16_000_000
+SLICE = 8_000_000
 #: Unicode letters that stand for the 256 bytes in the vocabulary: printable ones for themselves, the others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(b if b in _PRINTABLE else 256 + b - sum(p < b for p in _PRINTABLE)) for b in range(256)}
@@ -68,9 +68,10 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
         self.model = self.tokenizer.model
         self.pieces = regex.compile(self.PIECES)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Without this at a task's end, the workers that Spark uses again would keep the words beside the next operator's data."""
         self.words: dict[str, int] = {"\n": 0}
         self.ids, self.length = array("I"), array("I", [0])
 
@@ -92,7 +93,7 @@ class WordTokenizer:
         # only the whole library can tell the ids of the odd ones
         other = [i for i, c in rest.items() if not odd[i] and c.isprintable() and "Σ" not in c and "İ" not in c]
         if len(self.words) > CACHE_WORDS:
-            self._forget()
+            self.forget()
         # a line for each chunk; every line's end counts as a word without ids
         split, where = [], np.flatnonzero(ascii_)
         if len(where):
@@ -171,6 +172,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
                 cols = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        tok.forget()
+        pa.default_memory_pool().release_unused()
 
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES), "pieces")
 
