@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from siteloom.expr.parser import FilterSyntaxError, Node, parse
 from siteloom.functions import alleles as al
 from siteloom.functions import genotype as g
-from siteloom.functions.stats import binom_udf, fisher_udf
+from siteloom.functions.stats import binom_arrays_udf, binom_udf, fisher_arrays_udf, fisher_udf
 from siteloom.schema import VariantSchema, schema_of
 
 COMPARISONS = ("==", "=", "!=", "<", "<=", ">", ">=", "~", "!~")
@@ -504,15 +504,33 @@ class Compiler:
         return Value(F.transform(v.col, (lambda s: F.transform(s, f)) if v.vector else f), "sample", v.vector)
 
     def _test(self, name: str, node: Node) -> Value:
-        """Exact tests of site-level values (of one sample: with a subscript)."""
+        """Exact tests: of site-level values, or of each sample's.
+
+        Of one sample-level tag for BINOM, or two for FISHER, the two values of the genotype's alleles are taken.
+        """
         args = [self.value(a) for a in node.args]
-        pick = lambda v, i: (F.get(F.get(v.col, F.lit(0)), F.lit(i)) if v.vector else F.get(v.col, F.lit(i))) if v.level == "sample" else F.get(v.col, F.lit(i)) if v.vector else v.col
+        if args[0].level != "sample":
+            at = lambda v, i: F.get(v.col, F.lit(i)) if v.vector else v.col
+            if name == "BINOM":
+                a, b = (at(args[0], 0), at(args[0], 1)) if len(args) == 1 else (at(args[0], 0), at(args[1], 0))
+                return Value(binom_udf(a, b))
+            return Value(fisher_udf(*[at(args[0], i) for i in range(4)] if len(args) == 1 else [at(args[0], 0), at(args[0], 1), at(args[1], 0), at(args[1], 1)]))
+
+        def of_sample(v: Value, i: int) -> Column:
+            return F.transform(v.col, lambda s: (F.get(s, F.lit(i)) if v.vector else s).cast("double"))
+
+        def of_allele(v: Value, k: int) -> Column:
+            """Of the k-th allele of diploid genotypes without a missing one; others have none."""
+            allele = F.transform("samples", lambda s: F.when(~g.is_missing(s["GT"]) & (g.ploidy(s["GT"]) >= 2), F.get(s["GT"]["alleles"], F.lit(k))))
+            return F.zip_with(v.col, allele, lambda s, a: F.get(s, a).cast("double"))
+
         if name == "BINOM":
-            a, b = (pick(args[0], 0), pick(args[0], 1)) if len(args) == 1 else (pick(args[0], 0), pick(args[1], 0))
-            return Value(binom_udf(a, b))
+            pair = [of_allele(args[0], 0), of_allele(args[0], 1)] if len(args) == 1 else [of_sample(args[0], 0), of_sample(args[1], 0)]
+            return Value(binom_arrays_udf(*pair), "sample")
         if len(args) == 1:
-            return Value(fisher_udf(*[pick(args[0], i) for i in range(4)]))
-        return Value(fisher_udf(pick(args[0], 0), pick(args[1], 0), pick(args[0], 1), pick(args[1], 1)))
+            return Value(fisher_arrays_udf(*[of_sample(args[0], i) for i in range(4)]), "sample")
+        pick = of_sample if any(a.index is not None for a in node.args) else of_allele
+        return Value(fisher_arrays_udf(pick(args[0], 0), pick(args[0], 1), pick(args[1], 0), pick(args[1], 1)), "sample")
 
 
 _SUMMARIES = ("MAX", "MIN", "AVG", "MEDIAN", "STDEV", "SUM")

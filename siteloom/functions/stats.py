@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import lgamma
 
 import numpy as np
@@ -68,18 +69,54 @@ def hwe_exact(n_ref: int, n_alt: int, n_het: int) -> tuple[float, float]:
     return float(min(1.0, p[p <= p[at] * (1 + 1e-12)].sum())), float(min(1.0, p[at:].sum()))
 
 
+def _each(test: Callable, columns: list[np.ndarray]) -> np.ndarray:
+    """``test`` of the rows of columns of counts; each distinct row is computed once, a row with a missing count gives NaN."""
+    x = np.stack(columns, 1)
+    out, known = np.full(len(x), np.nan), ~np.isnan(x).any(1)
+    if known.any():
+        rows, which = np.unique(x[known].astype(np.int64), axis=0, return_inverse=True)
+        values = [test(*r) for r in rows.tolist()]
+        out[known] = np.array([np.nan if v is None else v for v in values])[which.ravel()]
+    return out
+
+
+def _nullable(x: np.ndarray) -> pd.Series:
+    return pd.Series(x).astype(object).where(~np.isnan(x), None)
+
+
+def _floats(s: pd.Series) -> np.ndarray:
+    return pd.to_numeric(s).to_numpy(dtype=float, na_value=np.nan)
+
+
 @F.pandas_udf(T.DoubleType())
 def fisher_udf(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    rows = zip(a, b, c, d, strict=True)
-    return pd.Series([None if any(pd.isna(x) for x in r) else fisher_two_sided(*(int(x) for x in r)) for r in rows], dtype="float64")
+    return _nullable(_each(fisher_two_sided, [_floats(x) for x in (a, b, c, d)]))
 
 
 @F.pandas_udf(T.DoubleType())
 def binom_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) or pd.isna(y) else binomial_two_sided(int(x), int(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _nullable(_each(binomial_two_sided, [_floats(a), _floats(b)]))
+
+
+def _of_arrays(test: Callable, columns: list[pd.Series]) -> pd.Series:
+    """The same for arrays of one length a row (an array of results a row)."""
+    sizes = [0 if x is None else len(x) for x in columns[0]]
+    flat = [np.concatenate([np.asarray(x, float) for x in c if x is not None]) if sum(sizes) else np.zeros(0) for c in columns]
+    parts = np.split(_each(test, flat), np.cumsum(sizes)[:-1]) if len(sizes) else []
+    return pd.Series([[None if np.isnan(v) else float(v) for v in p] for p in parts], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def binom_arrays_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _of_arrays(binomial_two_sided, [a, b])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def fisher_arrays_udf(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return _of_arrays(fisher_two_sided, [a, b, c, d])
 
 
 @F.pandas_udf(T.StructType([T.StructField("hwe", T.DoubleType()), T.StructField("exc_het", T.DoubleType())]))
 def hwe_udf(n_ref: pd.Series, n_alt: pd.Series, n_het: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if any(pd.isna(x) for x in r) else hwe_exact(*(int(x) for x in r)) for r in zip(n_ref, n_alt, n_het, strict=True)]
-    return pd.DataFrame(rows, columns=["hwe", "exc_het"])
+    columns = [_floats(x) for x in (n_ref, n_alt, n_het)]
+    return pd.DataFrame({"hwe": _nullable(_each(lambda *r: hwe_exact(*r)[0], columns)), "exc_het": _nullable(_each(lambda *r: hwe_exact(*r)[1], columns))})

@@ -129,10 +129,16 @@ def allele_contrast(df: DataFrame, cases: list[int], controls: list[int]) -> Dat
 
 
 def variant_key(df: DataFrame) -> DataFrame:
-    """A 64-bit key of (contig, position, alleles) in hex: 5 bits of contig, 28 of position, 31 of allele hash."""
-    alleles = F.concat_ws(">", F.upper("ref"), F.array_join("alts", ","))
-    key = F.shiftleft((F.col("contig_idx") + 1).cast("long") % 32, 59).bitwiseOR(F.shiftleft(F.col("pos"), 31)).bitwiseOR(F.xxhash64(alleles).bitwiseAND((1 << 31) - 1))
-    return df.withColumn("VKX", F.lower(F.lpad(F.hex(key), 16, "0")))
+    """``VKX``: the public 64-bit variant key in hex, of contig (5 bits), position from 0 (28) and alleles (31)."""
+    from siteloom.functions.variantkey import variant_key_hex
+
+    return df.withColumn("VKX", variant_key_hex("chrom", F.col("pos") - 1, "ref", F.coalesce(F.get("alts", F.lit(0)), F.lit(""))))
+
+
+def rs_key(df: DataFrame) -> DataFrame:
+    """``RSX``: the number of an ID like ``rs123`` in hex, 8 digits; null for other IDs."""
+    number = F.try_to_number(F.regexp_extract("id", r"^[rR][sS](\d+)$", 1), F.lit("9999999999")).cast("long")
+    return df.withColumn("RSX", F.lpad(F.lower(F.hex(number)), 8, "0"))
 
 
 def isec_genotypes(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Hidden Markov models along a contig: Viterbi and forward-backward, runs of homozygosity, copy-number states.
 
-Decoding is sequential in a (sample, contig), which is one group; the groups run side by side. Sites come in as narrow
-rows. Long contigs are cut into overlapping pieces (``piece`` sites, ``lap`` of them shared on either side), which bounds
-a task's memory; a state decays within the lap.
+A long contig is cut into pieces of ``piece`` sites, which bounds a task's memory, and the pieces are chained exactly: each
+gives the best (or total) weight of its paths from every state before it to every state at its end, a small matrix; the
+matrices of a (sample, contig), one row a piece, are multiplied forward and backward; and each piece is decoded between
+the states (or messages) that this gives at its ends. So the result doesn't depend on where a contig is cut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import genotype as g
 
-PIECE, LAP = 200_000, 2_000
+PIECE = 200_000
 
 
 def viterbi(emission: np.ndarray, transition: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
@@ -57,28 +60,119 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.nda
     return p / p.sum(1, keepdims=True)
 
 
-def distance_transitions(positions: np.ndarray, to_other: float, back: float) -> np.ndarray:
-    """Two-state transitions for each site, from rates a base: 1 - exp(-rate * distance)."""
-    d = np.diff(positions, prepend=positions[:1]).clip(0)
+def distance_transitions(positions: np.ndarray, to_other: float, back: float, before: float = np.nan) -> np.ndarray:
+    """Two-state transitions for each site, from rates a base: 1 - exp(-rate * distance); ``before``: the position before."""
+    d = np.diff(positions, prepend=positions[:1] if np.isnan(before) else before).clip(0)
     a, b = -np.expm1(-to_other * d), -np.expm1(-back * d)
     t = np.empty((len(positions), 2, 2))
     t[:, 0, 0], t[:, 0, 1], t[:, 1, 0], t[:, 1, 1] = 1 - a, a, b, 1 - b
     return t
 
 
-def _pieces(calls: DataFrame, piece: int, lap: int) -> DataFrame:
-    """Rows with ``_piece`` and whether the piece owns them; rows of the lap come with both pieces.
+def _log(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(x)
 
-    Rows are numbered within (sample, contig) by a sort that spills, so no group has to be held to be cut.
-    """
-    w = Window.partitionBy("sample", "chrom").orderBy("pos")
-    t = calls.withColumn("_r", F.row_number().over(w) - 1)
-    own = F.floor(F.col("_r") / piece)
-    near = F.array_distinct(F.array(F.floor(F.greatest(F.col("_r") - lap, F.lit(0)) / piece), own, F.floor((F.col("_r") + lap) / piece)))
-    return t.withColumn("_own", own).withColumn("_piece", F.explode(near))
+
+def _sum_of_logs(x: np.ndarray, axis: int) -> np.ndarray:
+    top = np.maximum(x.max(axis, keepdims=True), -1e300)
+    return (_log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
+
+
+def transfer(emission: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best, total) log weights of a piece's paths, from each state at the site before it to each state at its end."""
+    e, t = _log(emission), _log(transition)
+    best = total = t[0] + e[0]
+    for i in range(1, len(e)):
+        best = (best[:, :, None] + t[i]).max(1) + e[i]
+        total = _sum_of_logs(total[:, :, None] + t[i], 1) + e[i]
+    return best, total
 
 
-def runs_of_homozygosity(df: DataFrame, to_az: float = 6.7e-8, to_hw: float = 5e-9, error: float = 0.01, piece: int = PIECE, lap: int = LAP) -> DataFrame:
+def chained(pieces: list[tuple[np.ndarray, np.ndarray]], states: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each piece: the best path's state before it (-1: none) and at its end; log messages into it from either side."""
+    best, into, after = np.full(states, -np.log(states)), [], []
+    ahead = np.full(states, -np.log(states))
+    for m, total in pieces:
+        into.append((best, ahead))
+        best, ahead = (best[:, None] + m).max(0), _sum_of_logs(ahead[:, None] + total, 0)
+        best, ahead = best - best.max(), ahead - ahead.max()
+    back, end = np.zeros(states), int(best.argmax())
+    for k in range(len(pieces) - 1, -1, -1):
+        m, total = pieces[k]
+        before = int((into[k][0] + m[:, end]).argmax())
+        after.append((before if k else -1, end, into[k][1], back))
+        back = _sum_of_logs(total + back[None, :], 1)
+        back, end = back - back.max(), before
+    return after[::-1]
+
+
+def between(emission: np.ndarray, transition: np.ndarray, before: int, end: int) -> np.ndarray:
+    """The best path of a piece from a state before it (-1: any, as likely) to a state at its end."""
+    e, t = _log(emission), _log(transition)
+    n, k = e.shape
+    v = (t[0][before] if before >= 0 else _first(t[0])) + e[0]
+    back = np.zeros((n, k), int)
+    for i in range(1, n):
+        step = v[:, None] + t[i]
+        back[i] = step.argmax(0)
+        v = step.max(0) + e[i]
+    path = np.empty(n, int)
+    path[-1] = end
+    for i in range(n - 1, 0, -1):
+        path[i - 1] = back[i, path[i]]
+    return path
+
+
+def _first(t: np.ndarray) -> np.ndarray:
+    return t.max(0)
+
+
+def posteriors(emission: np.ndarray, transition: np.ndarray, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Posterior probabilities of a piece's states, given the log messages at its ends."""
+    n, k = emission.shape
+    e, t = emission, transition
+    a, b = np.empty((n, k)), np.empty((n, k))
+    a[0] = (np.exp(ahead - ahead.max()) @ t[0]) * e[0]
+    a[0] /= a[0].sum() or 1
+    for i in range(1, n):
+        a[i] = (a[i - 1] @ t[i]) * e[i]
+        a[i] /= a[i].sum() or 1
+    b[-1] = np.exp(back - back.max())
+    for i in range(n - 2, -1, -1):
+        b[i] = t[i + 1] @ (e[i + 1] * b[i + 1])
+        b[i] /= b[i].sum() or 1
+    p = a * b
+    return p / p.sum(1, keepdims=True)
+
+
+def _decoded(calls: DataFrame, model: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], states: int, piece: int, finish: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """Calls (sample, chrom, pos, ...) with their states. ``model``: emissions and transitions of sites with ``_prev``, the position before."""
+    keys = ["sample", "chrom", "_piece"]
+    w = Window.partitionBy("sample", "chrom").orderBy("pos", *[c for c in calls.columns if c not in ("sample", "chrom", "pos")])
+    t = calls.withColumn("_piece", F.floor((F.row_number().over(w) - 1) / piece)).withColumn("_prev", F.lag("pos").over(w)).withColumn("_at", F.row_number().over(w))
+
+    def weigh(p: pd.DataFrame) -> pd.DataFrame:
+        best, total = transfer(*model(p.sort_values("_at")))
+        return pd.DataFrame({"sample": [p["sample"].iloc[0]], "chrom": [p["chrom"].iloc[0]], "_piece": [p["_piece"].iloc[0]], "best": [best.ravel()], "total": [total.ravel()]})
+
+    def chain(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("_piece")
+        out = chained([(np.asarray(b).reshape(states, states), np.asarray(c).reshape(states, states)) for b, c in zip(p["best"], p["total"], strict=True)], states)
+        return pd.DataFrame({"sample": p["sample"].to_numpy(), "chrom": p["chrom"].to_numpy(), "_piece": p["_piece"].to_numpy(), "_before": [o[0] for o in out], "_end": [o[1] for o in out], "_ahead": [o[2] for o in out], "_back": [o[3] for o in out]})
+
+    matrices = t.groupBy(*keys).applyInPandas(weigh, "sample int, chrom string, _piece long, best array<double>, total array<double>")
+    ends = matrices.groupBy("sample", "chrom").applyInPandas(chain, "sample int, chrom string, _piece long, _before int, _end int, _ahead array<double>, _back array<double>")
+
+    def decode(key: tuple, p: pd.DataFrame, ends_: pd.DataFrame) -> pd.DataFrame:
+        p, end = p.sort_values("_at"), ends_.iloc[0]
+        e, tr = model(p)
+        return finish(p, between(e, tr, int(end["_before"]), int(end["_end"])), posteriors(e, tr, np.asarray(end["_ahead"]), np.asarray(end["_back"])))
+
+    return t.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInPandas(decode, schema)
+
+
+def runs_of_homozygosity(df: DataFrame, to_az: float = 6.7e-8, to_hw: float = 5e-9, error: float = 0.01, piece: int = PIECE) -> DataFrame:
     """sample, chrom, pos, state (1: autozygous), p_az for each called site of each sample.
 
     Emissions from the genotype's probabilities and the ALT frequency f: autozygous p0(1-f) + p2 f, otherwise
@@ -89,19 +183,18 @@ def runs_of_homozygosity(df: DataFrame, to_az: float = 6.7e-8, to_hw: float = 5e
     t = df.where(an > 0).select("chrom", "pos", F.try_divide(ac.cast("double"), an).alias("af"), F.posexplode("samples").alias("sample", "s"))
     calls = t.select("sample", "chrom", "pos", "af", F.least(g.dosage(F.col("s.GT")), F.lit(2)).alias("d")).where("d is not null and af > 0 and af < 1")
 
-    def decode(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pos")
+    def model(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         d, f = p["d"].to_numpy(), p["af"].to_numpy()
         like = np.full((len(p), 3), error / 2)
         like[np.arange(len(p)), d] = 1 - error
         az = like[:, 0] * (1 - f) + like[:, 2] * f
         hw = like[:, 0] * (1 - f) ** 2 + 2 * like[:, 1] * f * (1 - f) + like[:, 2] * f**2
-        e = np.stack([hw, az], 1)
-        tr = distance_transitions(p["pos"].to_numpy().astype(float), to_az, to_hw)
-        out = pd.DataFrame({"sample": p["sample"], "chrom": p["chrom"], "pos": p["pos"], "state": viterbi(e, tr), "p_az": forward_backward(e, tr)[:, 1]})
-        return out[(p["_own"] == p["_piece"]).to_numpy()]
+        return np.stack([hw, az], 1), distance_transitions(p["pos"].to_numpy().astype(float), to_az, to_hw, p["_prev"].to_numpy(dtype=float, na_value=np.nan)[0])
 
-    return _pieces(calls, piece, lap).groupBy("sample", "chrom", "_piece").applyInPandas(decode, "sample int, chrom string, pos long, state int, p_az double")
+    def finish(p: pd.DataFrame, path: np.ndarray, posterior: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"sample": p["sample"].to_numpy(), "chrom": p["chrom"].to_numpy(), "pos": p["pos"].to_numpy(), "state": path, "p_az": posterior[:, 1]})
+
+    return _decoded(calls, model, 2, piece, finish, "sample int, chrom string, pos long, state int, p_az double")
 
 
 def regions(decoded: DataFrame, state: int = 1) -> DataFrame:
@@ -116,7 +209,7 @@ LRR = (None, -0.45, 0.0, 0.3)
 BAF = ((0.5,), (0.0, 1.0), (0.0, 0.5, 1.0), (0.0, 1 / 3, 2 / 3, 1.0))
 
 
-def copy_number(df: DataFrame, baf: str = "BAF", lrr: str = "LRR", w_baf: float = 1.0, w_lrr: float = 0.2, sd_baf: float = 0.04, sd_lrr: float = 0.2, stay: float = 1 - 1e-4, error: float = 1e-4, piece: int = PIECE, lap: int = LAP) -> DataFrame:
+def copy_number(df: DataFrame, baf: str = "BAF", lrr: str = "LRR", w_baf: float = 1.0, w_lrr: float = 0.2, sd_baf: float = 0.04, sd_lrr: float = 0.2, stay: float = 1 - 1e-4, error: float = 1e-4, piece: int = PIECE) -> DataFrame:
     """sample, chrom, pos, copies (0 to 3) from FORMAT values of B allele frequency and log R ratio.
 
     The emission of a state: error + (1-wB + wB B) (1-wL + wL L) with Gaussian peaks; a missing BAF is 0.5 for no copies
@@ -128,8 +221,7 @@ def copy_number(df: DataFrame, baf: str = "BAF", lrr: str = "LRR", w_baf: float
     tr = np.full((4, 4), change)
     np.fill_diagonal(tr, stay)
 
-    def decode(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pos")
+    def model(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         b, r = p["b"].to_numpy(float), p["l"].to_numpy(float)
         e = np.empty((len(p), 4))
         for k in range(4):
@@ -138,7 +230,34 @@ def copy_number(df: DataFrame, baf: str = "BAF", lrr: str = "LRR", w_baf: float
             pl = np.where(r < -1.5, 1.0, 0.0) if k == 0 else np.exp(-0.5 * ((r - LRR[k]) / sd_lrr) ** 2)
             pl = np.where(np.isnan(r), 1.0, pl)
             e[:, k] = error + (1 - w_baf + w_baf * pb) * (1 - w_lrr + w_lrr * pl)
-        out = pd.DataFrame({"sample": p["sample"], "chrom": p["chrom"], "pos": p["pos"], "copies": viterbi(e, tr)})
-        return out[(p["_own"] == p["_piece"]).to_numpy()]
+        first = np.isnan(p["_prev"].to_numpy(dtype=float, na_value=np.nan)[0])
+        t = np.broadcast_to(tr, (len(p), 4, 4))
+        return e, np.concatenate([np.eye(4)[None], t[1:]]) if first else t
+
+    def finish(p: pd.DataFrame, path: np.ndarray, posterior: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"sample": p["sample"].to_numpy(), "chrom": p["chrom"].to_numpy(), "pos": p["pos"].to_numpy(), "copies": path})
+
+    return _decoded(calls, model, 4, piece, finish, "sample int, chrom string, pos long, copies int")
 
-    return _pieces(calls, piece, lap).groupBy("sample", "chrom", "_piece").applyInPandas(decode, "sample int, chrom string, pos long, copies int")
+
+def trained_transitions(emission: np.ndarray, transition: np.ndarray, rounds: int = 20, tolerance: float = 1e-4) -> np.ndarray:
+    """Baum-Welch: the transition matrix that expected transitions settle at, for fixed emissions (sites x states)."""
+    t = transition.copy()
+    for _ in range(rounds):
+        n, k = emission.shape
+        a, b = np.empty((n, k)), np.ones((n, k))
+        a[0] = emission[0] / emission[0].sum()
+        for i in range(1, n):
+            a[i] = (a[i - 1] @ t) * emission[i]
+            a[i] /= a[i].sum() or 1
+        for i in range(n - 2, -1, -1):
+            b[i] = t @ (emission[i + 1] * b[i + 1])
+            b[i] /= b[i].sum() or 1
+        pair = a[:-1, :, None] * t * (emission[1:] * b[1:])[:, None, :]
+        pair /= pair.sum((1, 2), keepdims=True)
+        new = pair.sum(0)
+        new /= new.sum(1, keepdims=True)
+        done, t = np.abs(new - t).max() < tolerance, new
+        if done:
+            break
+    return t

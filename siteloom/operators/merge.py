@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siteloom.functions import alleles as al
+from siteloom.functions import genotype as g
+from siteloom.schema import schema_of
 
-#: How INFO fields of several tables become one.
-RULES = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest, "first": lambda a, b: F.coalesce(a, b)}
+#: How INFO fields of several tables become one, from the array of their values in the order of tables (none is null).
+RULES = {
+    "sum": lambda x: F.aggregate(F.slice(x, 2, 1_000_000), F.get(x, F.lit(0)), lambda a, b: a + b),
+    "avg": lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / F.size(x),
+    "min": F.array_min, "max": F.array_max, "first": lambda x: F.get(x, F.lit(0)),
+}
 
 
-def merged_filters(a: Column, b: Column, prefer_pass: bool = False) -> Column:
-    """Ordered union; PASS goes if there is any other (with ``prefer_pass``: PASS wins)."""
-    u = F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
+def merged_filters(sets: Column, prefer_pass: bool = False) -> Column:
+    """Ordered union of the tables' filters; PASS goes if there is any other (with ``prefer_pass``: PASS wins)."""
+    u = F.array_distinct(F.flatten(sets))
     if prefer_pass:
         return F.when(F.array_contains(u, "PASS"), F.array(F.lit("PASS"))).otherwise(u)
     rest = F.array_remove(u, "PASS")
     return F.when(F.size(rest) > 0, rest).otherwise(u)
 
 
-def reduced(rule: str, a: Column, b: Column) -> Column:
-    """One of two values by a rule; a missing one gives way."""
-    both = RULES[rule](a, b)
-    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+def reduced(rule: str, values: Column, kind: T.DataType) -> Column:
+    """One of several values by a rule; missing ones give way. ``join`` appends lists; other rules go place by place."""
+    x = F.filter(values, lambda v: v.isNotNull())
+    if not isinstance(kind, T.ArrayType):
+        return F.when(F.size(x) > 0, RULES[rule](x).cast(kind.simpleString()))
+    if rule == "first":
+        return F.get(x, F.lit(0))
+    if rule == "join":
+        return F.when(F.size(x) > 0, F.flatten(x))
+    longest = F.array_max(F.transform(x, F.size))
+    place = lambda i: F.filter(F.transform(x, lambda v: F.get(v, i)), lambda e: e.isNotNull())
+    each = F.transform(F.sequence(F.lit(0), longest - 1), lambda i: F.when(F.size(place(i)) > 0, RULES[rule](place(i)).cast(kind.elementType.simpleString())))
+    return F.when(F.size(x) > 0, F.when(longest > 0, each).otherwise(F.get(x, F.lit(0))))
 
 
 def _class_key(logic: str) -> Column:
@@ -43,38 +62,97 @@ def _class_key(logic: str) -> Column:
     return F.lit("")
 
 
-def merge(a: DataFrame, b: DataFrame, n_a: int, n_b: int, logic: str = "both", rules: dict[str, str] | None = None, missing_to_ref: bool = False) -> DataFrame:
-    """A full outer join of two tables by position and pair logic.
+def _remapped(values: Column, number: str, kind: T.DataType, back: Column) -> Column:
+    """Per-allele values in the merged order. ``back``: for each merged allele (REF first) its place in this table, or null."""
+    if number not in ("A", "R", "G") or not isinstance(kind, T.ArrayType):
+        return values
+    if number == "A":
+        out = F.transform(F.slice(back, 2, 1_000_000), lambda k: F.get(values, k - 1))
+    elif number == "R":
+        out = F.transform(back, lambda k: F.get(values, k))
+    else:
+        pairs = F.flatten(F.transform(back, lambda b, j: F.transform(F.slice(back, 1, j + 1), lambda a: F.struct(a.alias("a"), b.alias("b")))))
+        diploid = F.transform(pairs, lambda p: F.get(values, al.genotype_index(p["a"], p["b"])))
+        # a haploid call has one value an allele
+        haploid = F.size(values) == F.size(F.filter(back, lambda k: k.isNotNull()))
+        out = F.when(haploid & (F.size(values) < 3), F.transform(back, lambda k: F.get(values, k))).otherwise(diploid)
+    return F.when(values.isNotNull(), out).cast(kind.simpleString())
+
+
+def _aligned(df: DataFrame, name: str, fields: dict[str, T.DataType]) -> Column:
+    """The struct column ``info`` or the array ``samples`` with the same fields in every table."""
+    kind = df.schema[name].dataType
+    have = {f.name for f in (kind.elementType if isinstance(kind, T.ArrayType) else kind).fields}
+    build = lambda s: F.struct(*[(s[f] if f in have else F.lit(None)).cast(t.simpleString()).alias(f) for f, t in fields.items()])
+    return F.transform(name, build) if isinstance(kind, T.ArrayType) else build(F.col(name))
+
 
-    Several rows of one table with the same key pair up in order of their alleles. REFs are padded to the longer one,
-    ALTs are united in order, genotypes and per-allele fields of the second table are renumbered. Absent samples get
-    missing genotypes, or reference ones with ``missing_to_ref``.
+def _held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with more columns, each computed once a row: a generator stands between them and the lambdas that use them,
+    into which the optimizer would else put the whole expressions, to be evaluated for each element.
     """
-    rules = rules or {}
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", rules: dict[str, str] | None = None, missing_to_ref: bool = False, numbers: dict[str, str] | None = None) -> DataFrame:
+    """Any number of tables by position and pair logic: one union, one shuffle by the key.
+
+    Several rows of one table with the same key pair up in order of their alleles. REFs are padded to the longest one,
+    ALTs are united in order, genotypes and the per-allele fields (Number A, R or G by the fields' metadata or by
+    ``numbers``) of every table are renumbered; values of alleles that a table doesn't know are missing. Absent samples
+    get missing genotypes, or reference ones with ``missing_to_ref``. INFO fields are reduced by ``rules`` (sum, avg,
+    min, max, first, join; ``first`` where none is given), AC and AN, where present, are counted anew.
+    """
+    rules, known = rules or {}, {}
+    info: dict[str, T.DataType] = {}
+    fmt: dict[str, T.DataType] = {}
+    for t in tables:
+        info |= {f.name: f.dataType for f in t.schema["info"].dataType.fields if f.name not in info}
+        fmt |= {f.name: f.dataType for f in t.schema["samples"].dataType.elementType.fields if f.name not in fmt}
+        schema = schema_of(t)
+        known |= {k: v.number for k, v in {**schema.info, **schema.format}.items() if v.number in ("A", "R", "G")}
+    known |= numbers or {}
     w = Window.partitionBy("chrom", "pos", "_k").orderBy("ref", F.array_join("alts", ","))
     sides = []
-    for df, p in ((a, "a"), (b, "b")):
-        t = df.withColumn("_k", _class_key(logic)).withColumn("_i", F.row_number().over(w))
-        sides.append(t.select("chrom", "contig_idx", "pos", "_k", "_i", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in ("chrom", "contig_idx", "pos")]))
-    j = sides[0].join(sides[1], ["chrom", "contig_idx", "pos", "_k", "_i"], "full_outer")
-    ref = F.when(F.coalesce(F.length("a_ref"), F.lit(0)) >= F.coalesce(F.length("b_ref"), F.lit(0)), F.col("a_ref")).otherwise(F.col("b_ref"))
-    j = j.withColumn("ref", ref)
-    pad = lambda p: F.transform(F.coalesce(f"{p}_alts", F.array().cast("array<string>")), lambda x: F.when(x.rlike("^[A-Za-z]+$"), F.concat(x, F.substr("ref", F.coalesce(F.length(f"{p}_ref"), F.lit(0)) + 1))).otherwise(x))
-    j = j.withColumn("_pa", pad("a")).withColumn("_pb", pad("b")).withColumn("alts", F.array_union("_pa", "_pb"))
-    number = lambda p: F.concat(F.array(F.lit(0)), F.transform(p, lambda x: F.array_position("alts", x).cast("int")))
-    j = j.withColumn("_ma", number("_pa")).withColumn("_mb", number("_pb"))
+    for i, t in enumerate(tables):
+        e = F.struct("ref", F.coalesce("alts", F.array().cast("array<string>")).alias("alts"), F.col("end").cast("long").alias("end"), "id", F.col("qual").cast("float").alias("qual"), "filters", _aligned(t, "info", info).alias("info"))
+        sides.append(t.withColumn("_k", _class_key(logic)).withColumn("_i", F.row_number().over(w)).select("chrom", "contig_idx", "pos", "_k", "_i", F.lit(i).alias("t"), e.alias("e"), _aligned(t, "samples", fmt).alias("s")))
+    n = len(tables)
+    own = lambda name, i: F.first(F.when(F.col("t") == i, F.col(name)), ignorenulls=True)
+    u = reduce(DataFrame.unionByName, sides).groupBy("chrom", "contig_idx", "pos", "_k", "_i").agg(*[own("e", i).alias(f"e{i}") for i in range(n)], *[own("s", i).alias(f"s{i}") for i in range(n)])
+    refs = F.array_compact(F.array(*[F.col(f"e{i}.ref") for i in range(n)]))
+    u = _held(u, {"ref": F.aggregate(refs, F.lit(""), lambda acc, r: F.when(F.length(r) > F.length(acc), r).otherwise(acc))})
+    pad = lambda e: F.transform(e["alts"], lambda x: F.when(x.rlike("^[A-Za-z]+$"), F.concat(x, F.substr("ref", F.length(e["ref"]) + 1))).otherwise(x))
+    u = _held(u, {f"p{i}": pad(F.col(f"e{i}")) for i in range(n)})
+    u = _held(u, {"alts": F.array_distinct(F.flatten(F.array_compact(F.array(*[F.col(f"p{i}") for i in range(n)]))))})
+    # the merged numbers of a table's alleles, and the other way round
+    place = lambda of, among: F.concat(F.array(F.lit(0)), F.transform(of, lambda x: F.nullif(F.array_position(among, x), F.lit(0)).cast("int")))
+    u = _held(u, {f"to{i}": place(F.col(f"p{i}"), F.col("alts")) for i in range(n)} | {f"back{i}": place(F.col("alts"), F.col(f"p{i}")) for i in range(n)})
     absent = F.lit(0) if missing_to_ref else F.lit(None).cast("int")
-    blank = F.struct(F.array(absent, absent).alias("alleles"), F.lit(False).alias("phased"))
-
-    def side(p: str, n: int) -> Column:
-        renumber = lambda s: s.withField("GT", F.struct(F.transform(s["GT"]["alleles"], lambda x: F.get(f"_m{p}", x)).alias("alleles"), s["GT"]["phased"].alias("phased")))
-        kind = (a if p == "a" else b).schema["samples"].dataType.elementType
-        empty = F.struct(*[(blank if f.name == "GT" else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind.fields])
-        return F.when(F.col(f"{p}_samples").isNull(), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda _: empty)).otherwise(F.transform(f"{p}_samples", renumber))
-
-    info_fields = [f.name for f in a.schema["info"].dataType.fields]
-    info = F.struct(*[reduced(rules.get(f, "first"), F.col("a_info")[f], F.col("b_info")[f]).alias(f) for f in info_fields])
-    return j.select(
-        "chrom", "contig_idx", "pos", F.coalesce(F.greatest("a_end", "b_end"), "a_end", "b_end").alias("end"), F.when(F.col("a_id").isNull(), F.col("b_id")).when(F.col("b_id").isNull() | (F.col("a_id") == F.col("b_id")), F.col("a_id")).otherwise(F.concat_ws(";", "a_id", "b_id")).alias("id"),
-        "ref", "alts", reduced("max", F.col("a_qual"), F.col("b_qual")).alias("qual"), merged_filters(F.col("a_filters"), F.col("b_filters")).alias("filters"), info.alias("info"), F.concat(side("a", n_a), side("b", n_b)).alias("samples"),
+    blank = F.struct(*[(F.struct(F.array(absent, absent).alias("alleles"), F.lit(False).alias("phased")) if k == "GT" else F.lit(None)).cast(t.simpleString()).alias(k) for k, t in fmt.items()])
+
+    def renumbered(i: int) -> Callable[[Column], Column]:
+        def one(s: Column) -> Column:
+            gt = F.struct(F.transform(s["GT"]["alleles"], lambda x: F.get(f"to{i}", x)).alias("alleles"), s["GT"]["phased"].alias("phased")) if "GT" in fmt else None
+            return F.struct(*[(gt if k == "GT" else _remapped(s[k], known.get(k, ""), t, F.col(f"back{i}"))).cast(t.simpleString()).alias(k) for k, t in fmt.items()])
+
+        return one
+
+    parts = [F.when(F.col(f"s{i}").isNull(), F.array_repeat(blank, size)).otherwise(F.transform(f"s{i}", renumbered(i))) for i, size in enumerate(sizes)]
+    u = _held(u, {"samples": F.concat(*parts)})
+    values = lambda k, t: F.array(*[_remapped(F.col(f"e{i}.info")[k], known.get(k, ""), t, F.col(f"back{i}")) for i in range(n)])
+    fields = {k: reduced(rules.get(k, "first"), values(k, t), t) for k, t in info.items()}
+    if "GT" in fmt:
+        fresh = {"AN": g.allele_number(F.col("samples")), "AC": F.coalesce(g.allele_counts(F.col("samples"), F.col("alts")), F.transform("alts", lambda _: F.lit(0)))}
+        fields |= {k: c.cast(info[k].simpleString()) for k, c in fresh.items() if k in info}
+    every = lambda name: F.array_compact(F.array(*[F.col(f"e{i}.{name}") for i in range(n)]))
+    ids = F.array_distinct(every("id"))
+    return u.select(
+        "chrom", "contig_idx", "pos", F.array_max(every("end")).alias("end"), F.when(F.size(ids) > 0, F.array_join(ids, ";")).alias("id"), "ref", "alts",
+        F.array_max(every("qual")).alias("qual"), merged_filters(every("filters")).alias("filters"), (F.struct(*[c.alias(n) for n, c in fields.items()])).alias("info"), "samples",
     )
+
+
+def merge(a: DataFrame, b: DataFrame, n_a: int, n_b: int, logic: str = "both", rules: dict[str, str] | None = None, missing_to_ref: bool = False, numbers: dict[str, str] | None = None) -> DataFrame:
+    """:func:`merge_all` of two tables."""
+    return merge_all([a, b], [n_a, n_b], logic, rules, missing_to_ref, numbers)

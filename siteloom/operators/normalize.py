@@ -120,28 +120,45 @@ def left_aligned_alleles(pos: int, ref: str, alts: list[str], base_at) -> tuple[
 def left_align(df: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
     """Indels at their leftmost place. ``chunks``: (chrom, chunk, seq), the reference in pieces of ``width`` bases.
 
-    A site meets its own chunk and the two before it, by an equi-join; shifts stop at that border.
+    The distinct alleles of indels meet their own chunk and those before it, by an equi-join; whatever reaches the first
+    base of those is done again with twice as many, so shifts of any length come to their end. Sites without a reference
+    stay. Rows get their new alleles by the old ones, so nothing is numbered.
     """
-    n = F.floor((F.col("pos") - 1) / width)
-    sites = df.withColumn("_n", n).withColumn("_row", F.monotonically_increasing_id())
-    need = sites.select("_row", "chrom", F.explode(F.array(F.col("_n") - 2, F.col("_n") - 1, F.col("_n"))).alias("chunk")).join(chunks, ["chrom", "chunk"])
-    seq = need.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda x: x["seq"]), "").alias("_seq"), F.min("chunk").alias("_first"))
-    j = sites.join(seq, "_row", "left").select("_row", "pos", "ref", "alts", "_seq", (F.col("_first") * width).alias("_offset"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            out = []
-            for r in p.itertuples(index=False):
-                seq_, off = r[4], r[5]
-                base = lambda at, s=seq_, o=off: s[at - 1 - int(o)].upper() if s is not None and 0 <= at - 1 - int(o) < len(s) else None
-                try:
-                    out.append((r[0], *left_aligned_alleles(int(r[1]), r[2], list(r[3]), base)))
-                except ValueError:
-                    out.append((r[0], r[1], r[2], list(r[3])))
-            yield pd.DataFrame(out, columns=["_row", "pos", "ref", "alts"])
-
-    moved = j.mapInPandas(run, "_row long, pos long, ref string, alts array<string>")
-    return sites.drop("pos", "ref", "alts", "_n").join(moved, "_row").drop("_row").select(*df.columns)
+    keys = ["chrom", "pos", "ref", "alts"]
+    plain = F.forall("alts", lambda x: x.rlike("^[A-Za-z]+$")) & F.exists("alts", lambda x: F.length(x) != F.length("ref"))
+    todo = df.where(plain).select(*keys).distinct()
+    moved, back = None, 2
+    while True:
+        n = F.floor((F.col("pos") - 1) / width)
+        need = todo.withColumn("_n", n).select(*keys, F.explode(F.sequence(F.greatest(F.col("_n") - back, F.lit(0)), F.col("_n") + 1)).alias("chunk")).join(chunks, ["chrom", "chunk"])
+        seq = need.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda x: x["seq"]), "").alias("_seq"), (F.min("chunk") * width).alias("_offset"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                out = []
+                for chrom, pos, ref, alts, text, offset in p[[*keys, "_seq", "_offset"]].itertuples(index=False):
+                    more = False
+
+                    def base(at: int, text: str = text, offset: int = int(offset)) -> str | None:
+                        nonlocal more
+                        more = more or (at - 1 - offset <= 0 < offset)
+                        return text[at - 1 - offset].upper() if 0 <= at - 1 - offset < len(text) else None
+
+                    try:
+                        new = left_aligned_alleles(int(pos), ref, list(alts), base)
+                    except ValueError:
+                        new = (pos, ref, list(alts))
+                    out.append((chrom, pos, ref, list(alts), *new, more))
+                yield pd.DataFrame(out, columns=[*keys, "new_pos", "new_ref", "new_alts", "more"])
+
+        found = seq.mapInPandas(run, "chrom string, pos long, ref string, alts array<string>, new_pos long, new_ref string, new_alts array<string>, more boolean")
+        done = found.where("not more").drop("more")
+        moved = done if moved is None else moved.unionByName(done)
+        todo, back = found.where("more").select(*keys), 2 * back
+        if not todo.limit(1).count():
+            break
+    j = df.join(moved, keys, "left")
+    return j.withColumn("end", F.when(F.col("new_pos").isNull(), F.col("end")).otherwise(F.col("new_pos") + F.length("new_ref") - 1)).withColumn("pos", F.coalesce("new_pos", "pos")).withColumn("ref", F.coalesce("new_ref", "ref")).withColumn("alts", F.coalesce("new_alts", "alts")).select(*df.columns)
 
 
 def atomize(df: DataFrame) -> DataFrame:

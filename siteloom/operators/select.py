@@ -159,16 +159,25 @@ def regions(df: DataFrame, where_: DataFrame, targets: bool = False, complement:
     return overlap_join(by_pos, where_, ("chrom", "pos", "_p"), how="anti" if complement else "semi").drop("_p")
 
 
-def snp_gap(df: DataFrame, gap: int, types: tuple[str, ...] = ("indel",), name: str = "SnpGap") -> DataFrame:
-    """SNPs within ``gap`` bases of an indel (or the types given) get a filter; range windows on either side."""
+def snp_gap(df: DataFrame, gap: int, types: tuple[str, ...] = ("indel",), name: str = "SnpGap", block: int = 20) -> DataFrame:
+    """SNPs within ``gap`` bases of another site that is an indel (or of the types given) get a filter.
+
+    An earlier site reaches to the end of its REF. Contigs are cut into blocks of 2**``block`` bases; the sites that are
+    looked for (narrow rows) go to every block that they reach, so each block is solved apart.
+    """
     kinds = al.variant_types(F.col("ref"), F.col("alts"))
-    out = df.withColumn("_hit", F.arrays_overlap(kinds, F.array(*[F.lit(t) for t in types]))).withColumn("_snp", F.array_contains(kinds, "snp"))
-    w = Window.partitionBy("chrom").orderBy("pos")
-    # an earlier site reaches to its end, so the running maximum of ends counts, not the position
-    before = F.max(F.when(F.col("_hit"), F.col("pos") + F.length("ref") - 1)).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(F.col("_hit"), F.col("pos"))).over(w.rangeBetween(0, Window.unboundedFollowing))
-    near = F.coalesce(F.col("pos") - before <= gap, F.lit(False)) | F.coalesce(after - F.col("pos") <= gap, F.lit(False))
-    return soft_filter(out.withColumn("_near", F.col("_snp") & ~F.col("_hit") & near), ~F.col("_near"), name, append=True).drop("_hit", "_snp", "_near")
+    t = df.withColumn("_hit", F.arrays_overlap(kinds, F.array(*[F.lit(x) for x in types]))).withColumn("_snp", F.array_contains(kinds, "snp"))
+    t = t.withColumn("_block", F.shiftright(F.col("pos"), block)).withColumn("_end", F.lit(None).cast("long"))
+    end = F.col("pos") + F.length("ref") - 1
+    reach = F.sequence(F.shiftright(F.greatest(F.col("pos") - gap, F.lit(0)), block), F.shiftright(end + gap, block))
+    hits = t.where("_hit").select("chrom", "pos", F.explode(reach).alias("_block"), end.cast("long").alias("_end"))
+    both = t.unionByName(hits, allowMissingColumns=True)
+    w = Window.partitionBy("chrom", "_block").orderBy("pos")
+    before = F.max("_end").over(w.rangeBetween(Window.unboundedPreceding, -1))
+    here = F.count("_end").over(w.rangeBetween(0, gap)) - F.col("_hit").cast("int")
+    near = F.col("_snp") & (F.coalesce(F.col("pos") - before <= gap, F.lit(False)) | (here > 0))
+    out = both.withColumn("_near", near).where("_end is null").drop("_hit", "_snp", "_block", "_end")
+    return soft_filter(out, ~F.col("_near"), name, append=True).drop("_near")
 
 
 def indel_gap(df: DataFrame, gap: int, name: str = "IndelGap") -> DataFrame:

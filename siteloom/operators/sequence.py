@@ -138,36 +138,56 @@ def consequences(df: DataFrame, cds: DataFrame) -> DataFrame:
     return j.select(*cols).mapInPandas(run, "chrom string, pos long, ref string, alt string, transcript string, consequence string")
 
 
-#: Consequence terms from mild to severe (fixed values, as in the public ontology of sequence variants).
+#: Consequence terms of the public sequence ontology from mild to severe; those of one line are as severe.
 SEVERITY = [
-    "intergenic", "feature_truncation", "feature_elongation", "regulatory", "tf_binding_site", "downstream", "upstream", "non_coding", "non_coding_exon", "intron", "nmd_transcript", "mature_mirna", "3_prime_utr", "5_prime_utr",
-    "coding_sequence", "synonymous", "stop_retained", "incomplete_terminal_codon", "splice_region", "missense", "inframe", "protein_altering", "transcript_amplification", "exon_loss", "disruptive", "start_lost", "stop_lost", "stop_gained", "frameshift", "splice_acceptor", "splice_donor", "transcript_ablation",
+    ["intergenic"],
+    ["feature_truncation", "feature_elongation"],
+    ["regulatory"],
+    ["TF_binding_site", "TFBS"],
+    ["downstream", "upstream"],
+    ["non_coding_transcript", "non_coding"],
+    ["intron", "NMD_transcript"],
+    ["non_coding_transcript_exon"],
+    ["5_prime_utr", "3_prime_utr"],
+    ["coding_sequence", "mature_miRNA"],
+    ["stop_retained", "start_retained", "synonymous"],
+    ["incomplete_terminal_codon"],
+    ["splice_region"],
+    ["missense", "inframe", "protein_altering"],
+    ["transcript_amplification"],
+    ["exon_loss"],
+    ["disruptive"],
+    ["start_lost", "stop_lost", "stop_gained", "frameshift"],
+    ["splice_acceptor", "splice_donor"],
+    ["transcript_ablation"],
 ]
 
 
 def split_consequences(df: DataFrame, column: Column, fields: list[str], select: str = "all", least: str | None = None, consequence: str = "Consequence") -> DataFrame:
     """Annotations ``a|b|c,a|b|c`` exploded to columns; ``select``: all or worst; ``least``: a severity to reach.
 
-    Terms joined by ``&`` count with the most severe; a term is known by its exact name, else by the mildest it contains;
-    unknown terms are the most severe.
+    Terms joined by ``&`` count with the most severe (or, for ``least`` and ``worst``, so does the whole annotation). A
+    term is known by its exact name, else by the mildest name it contains, upper and lower case alike; unknown terms are
+    the most severe. Of equally severe annotations the first one of the list is the worst.
     """
-    parts = df.withColumn("_t", F.explode(F.split(column, ",", -1))).withColumn("_f", F.split("_t", r"\|", -1))
+    parts = df.select("*", F.posexplode(F.split(column, ",", -1)).alias("_at", "_t")).withColumn("_f", F.split("_t", r"\|", -1))
     for i, f in enumerate(fields):
         parts = parts.withColumn(f, F.nullif(F.get("_f", F.lit(i)), F.lit("")))
-    exact = F.create_map(*[F.lit(x) for i, t in enumerate(SEVERITY) for x in (t, i)])
+    names = [(t.lower(), i) for i, group in enumerate(SEVERITY) for t in group]
+    exact = F.create_map(*[F.lit(x) for pair in names for x in pair])
 
     def score(t: Column) -> Column:
         out = F.lit(len(SEVERITY))
-        for i in reversed(range(len(SEVERITY))):
-            out = F.when(F.contains(t, F.lit(SEVERITY[i])), i).otherwise(out)
+        for name, i in reversed(names):
+            out = F.when(F.contains(t, F.lit(name)), i).otherwise(out)
         return F.coalesce(F.try_element_at(exact, t), out)
 
     sev = F.array_max(F.transform(F.split(F.lower(F.coalesce(consequence, F.lit(""))), "&"), score))
     out = parts.withColumn("severity", sev).drop("_t", "_f")
     if least:
-        out = out.where(F.col("severity") >= SEVERITY.index(least))
+        out = out.where(F.col("severity") >= dict(names)[least.lower()])
     if select == "worst":
         keys = [c for c in ("chrom", "pos", "ref", "alts") if c in df.columns]
-        w = Window.partitionBy(*keys).orderBy(F.desc("severity"), *fields)
+        w = Window.partitionBy(*keys).orderBy(F.desc("severity"), "_at")
         out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return out
+    return out.drop("_at")

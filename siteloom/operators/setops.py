@@ -42,17 +42,16 @@ def keyed(df: DataFrame, logic: str = "none") -> DataFrame:
 
 
 def presence(tables: list[DataFrame], logic: str = "none") -> DataFrame:
-    """chrom, pos, _key, mask: bit i is set if table i has the site. One shuffle of keys, aggregated before it."""
-    tagged = [keyed(t, logic).select("chrom", "pos", "_key", F.lit(1 << i).alias("bit")) for i, t in enumerate(tables)]
-    return reduce(DataFrame.unionByName, tagged).groupBy("chrom", "pos", "_key").agg(F.bit_or("bit").alias("mask"))
+    """chrom, pos, _key, tables: places of the tables that have the site, in order. One shuffle of keys, aggregated before it."""
+    tagged = [keyed(t, logic).select("chrom", "pos", "_key", F.lit(i).alias("t")) for i, t in enumerate(tables)]
+    return reduce(DataFrame.unionByName, tagged).groupBy("chrom", "pos", "_key").agg(F.array_sort(F.collect_set("t")).alias("tables"))
 
 
 def pattern_test(pattern: str, n: int) -> Column:
     """``=k``, ``+k``, ``-k`` files, or ``~0101`` exactly these."""
-    count = F.bit_count("mask")
+    count = F.size("tables")
     if pattern.startswith("~"):
-        want = sum(1 << i for i, c in enumerate(pattern[1:]) if c == "1")
-        return F.col("mask") == want
+        return F.col("tables") == F.array(*[F.lit(i) for i, c in enumerate(pattern[1:]) if c == "1"]).cast("array<int>")
     k = int(pattern[1:] if pattern[0] in "=+-" else pattern)
     return count >= k if pattern[0] == "+" else count <= k if pattern[0] == "-" else count == k
 

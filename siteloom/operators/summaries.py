@@ -157,11 +157,13 @@ def thresholds(df: DataFrame, tag: Column, values: list[float]) -> DataFrame:
 
 
 def genotype_intersections(df: DataFrame) -> DataFrame:
-    """Genotypes by the exact set of samples that share them, as a bit mask."""
-    e = df.select("chrom", "pos", "ref", F.posexplode("samples").alias("sample", "s")).where(~g.is_missing(F.col("s.GT")))
-    key = F.array_join(F.array_sort("s.GT.alleles"), "/")
-    m = e.groupBy("chrom", "pos", "ref", key.alias("gt")).agg(F.bit_or(F.expr("shiftleft(1L, sample)")).alias("mask"))
-    return m.groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+    """Genotypes by the exact set of samples (places, in order) that share them: ``samples``, ``n``. Any number of samples."""
+    key = lambda s: F.array_join(F.array_sort(s["GT"]["alleles"]), "/")
+    called = F.filter(F.transform("samples", lambda s, i: F.struct(F.when(~g.is_missing(s["GT"]), key(s)).alias("gt"), i.alias("i"))), lambda x: x["gt"].isNotNull())
+    kinds = F.array_distinct(F.transform(called, lambda x: x["gt"]))
+    # within a site's row: no shuffle but that of the sets' counts
+    sets = F.transform(kinds, lambda k: F.transform(F.filter(called, lambda x: x["gt"] == k), lambda x: x["i"]))
+    return df.select(F.explode(sets).alias("samples")).groupBy("samples").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ploidy_runs(df: DataFrame) -> DataFrame:

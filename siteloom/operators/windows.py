@@ -76,12 +76,6 @@ def overlaps(df: DataFrame) -> DataFrame:
     return t.withColumn("overlap", F.coalesce(before >= F.col("pos"), F.lit(False)) | F.coalesce(after <= F.col("_end"), F.lit(False))).drop("_end")
 
 
-def _blocks(df: DataFrame, gap: Column) -> DataFrame:
-    """Rows with ``_block``: groups of a contig that no window spans, so sequential operators run on each apart."""
-    w = Window.partitionBy("chrom").orderBy("pos")
-    return df.withColumn("_block", F.sum(F.coalesce((F.col("pos") - F.max("_reach").over(w.rowsBetween(Window.unboundedPreceding, -1)) > gap).cast("int"), F.lit(1))).over(w))
-
-
 def best_non_overlapping(df: DataFrame) -> DataFrame:
     """Rows by ascending QUAL are removed while they still overlap another; missing QUAL counts 0. ``removed`` tells."""
     t = df.withColumn("_reach", F.col("pos") + F.length("ref") - 1)
@@ -105,14 +99,54 @@ def best_non_overlapping(df: DataFrame) -> DataFrame:
 
 
 def thinned(df: DataFrame, n: int, width: int, by: Column | None = None) -> DataFrame:
-    """At most ``n`` sites in each window of ``width`` bases (fixed windows), the highest ``by`` first, else the first."""
-    order = [F.desc_nulls_last(by), F.col("pos")] if by is not None else [F.col("pos")]
-    t = df.withColumn("_w", F.floor(F.col("pos") / width)) if by is None else df.withColumn("_by", by).withColumn("_w", F.floor(F.col("pos") / width))
-    order = [F.desc_nulls_last("_by"), F.col("pos")] if by is not None else order
-    w = Window.partitionBy("chrom", "_w").orderBy(*order, "ref")
+    """At most ``n`` sites in each of the fixed windows of ``width`` bases, the highest ``by`` first, else the first."""
+    t = df.withColumn("_w", F.floor(F.col("pos") / width)).withColumn("_by", by if by is not None else F.lit(0))
+    w = Window.partitionBy("chrom", "_w").orderBy(F.desc_nulls_last("_by"), "pos", "ref")
     return t.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n", "_w", "_by")
 
 
+def slid(pos: list[int], rank: list[float] | None, n: int, width: int) -> list[int]:
+    """Places of the sites that a sliding window keeps: as soon as a site lies ``width`` bases or more behind the first one held, the
+    sites before it are cut down to ``n`` (those of the lowest ``rank`` go, else the last ones), and the first is let go."""
+    held, kept = [], []
+
+    def cut(sites: list[int]) -> list[int]:
+        if len(sites) <= n:
+            return sites
+        if rank is None:
+            return sites[:n]
+        return sorted(sorted(sites, key=lambda k: rank[k])[len(sites) - n :])
+
+    for k, p in enumerate(pos):
+        while held and p - pos[held[0]] >= width:
+            held = cut(held)
+            kept.append(held.pop(0))
+        held.append(k)
+    while held:
+        held = cut(held)
+        kept.append(held.pop(0))
+    return kept
+
+
+def pruned(df: DataFrame, n: int, width: int, by: Column | None = None) -> DataFrame:
+    """At most ``n`` sites in a window of ``width`` bases that slides over each contig (:func:`slid`).
+
+    Where two sites are ``width`` bases or more apart the window empties, so each chain of closer sites is solved apart.
+    """
+    keys = ["chrom", "pos", "ref", "alt"]
+    t = df.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), (by if by is not None else F.lit(None)).cast("double").alias("_by"))
+    w = Window.partitionBy("chrom").orderBy("pos", "ref", "alt")
+    t = t.withColumn("_new", F.coalesce((F.col("pos") - F.lag("pos").over(w) >= width).cast("int"), F.lit(1))).withColumn("_chain", F.sum("_new").over(w))
+    ranked = by is not None
+
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["pos", "ref", "alt"])
+        return p.iloc[slid(p["pos"].tolist(), p["_by"].fillna(0).tolist() if ranked else None, n, width)][keys]
+
+    stays = t.groupBy("chrom", "_chain").applyInPandas(solve, "chrom string, pos long, ref string, alt string")
+    return df.withColumn("alt", F.array_join("alts", ",")).join(stays, keys, "left_semi").drop("alt")
+
+
 def ld_statistics(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """(r2, D', RD) of two sites' dosages; NaN entries are missing."""
     ok = ~np.isnan(x) & ~np.isnan(y)

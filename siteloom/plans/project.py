@@ -15,17 +15,20 @@ from pyspark.sql import functions as F
 from siteloom.expr.compiler import compile_filter, compile_value
 from siteloom.functions import alleles as al
 from siteloom.functions import genotype as g
-from siteloom.schema import VariantSchema, schema_of
+from siteloom.functions.stats import binom_arrays_udf
+from siteloom.functions.text import general
+from siteloom.schema import Tag, VariantSchema, schema_of
+from siteloom.sources.vcf import info_text, record_text, sample_text
 
 _PART = re.compile(r"%(?P<fn>[A-Za-z_]+)\((?P<arg>[^()]*(?:\([^()]*\)[^()]*)*)\)|%(?P<tag>[A-Za-z_][\w.]*(?:/[A-Za-z_]\w*)?)(?:\{(?P<i>\d+)\})?|\\(?P<esc>[nt\\])|(?P<open>\[)|(?P<close>\])|(?P<text>[^%\\\[\]]+|.)", re.S)
 
 
-def _text(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit("."))
+def _text(c: Column, real: bool = False) -> Column:
+    return F.coalesce(general(c) if real else c.cast("string"), F.lit("."))
 
 
-def _list(c: Column) -> Column:
-    joined = F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("."))), ",")
+def _list(c: Column, real: bool = False) -> Column:
+    joined = F.array_join(F.transform(c, lambda x: _text(x, real)), ",")
     return F.when(c.isNull() | (F.size(c) <= 0), ".").otherwise(joined)
 
 
@@ -74,9 +77,13 @@ class Projection:
             return maker(i)
         name = tag.removeprefix("INFO/")
         if name in self.schema.info:
-            return self._value(F.col("info")[name], self.schema.info[name].is_vector, i)
+            return self._value(F.col("info")[name], self.schema.info[name], i)
         if tag == "INFO":
-            return F.to_json("info")
+            return info_text(self.schema)
+        if tag == "FORMAT":
+            return F.lit(":".join(self.schema.format))
+        if tag == "LINE":
+            return record_text(self.schema, bool(self.schema.info), bool(self.schema.format))
         if self.undefined:
             return F.lit(".")
         try:
@@ -85,11 +92,14 @@ class Projection:
             raise ValueError(f"no tag {tag}") from None
 
     @staticmethod
-    def _value(c: Column, vector: bool, i: str | None) -> Column:
-        return (_text(F.get(c, F.lit(int(i)))) if i is not None else _list(c)) if vector else _text(c)
+    def _value(c: Column, tag: Tag, i: str | None) -> Column:
+        real = tag.type == "Float"
+        return (_text(F.get(c, F.lit(int(i))), real) if i is not None else _list(c, real)) if tag.is_vector else _text(c, real)
 
     def _sample(self, part: tuple, s: Column, i: Column, names: Column | None) -> Column:
         kind, v = part
+        if kind == "fn" and v[0] == "PBINOM":
+            return F.get(F.col("_pbinom_" + v[1].split("/")[-1]), i)
         if kind != "tag":
             return self._site(part)
         tag, at = v
@@ -103,18 +113,20 @@ class Projection:
         if tag == "IUPACGT":
             return F.when(g.is_missing(s["GT"]), "./.").otherwise(al.iupac(F.col("ref"), F.col("alts"), s["GT"]["alleles"]))
         if tag in self.schema.format:
-            return self._value(s[tag], self.schema.format[tag].is_vector, at)
+            return self._value(s[tag], self.schema.format[tag], at)
+        if tag == "FORMAT":
+            return sample_text(self.schema, s)
         return self._site(part)
 
 
 def _number(c: Column) -> Column:
-    return F.regexp_replace(_text(c), r"\.0$", "")
+    return _text(c, True)
 
 
 _FIXED: dict[str, Callable[[str | None], Column]] = {
     "CHROM": lambda _: F.col("chrom"), "POS": lambda _: F.col("pos").cast("string"), "POS0": lambda _: (F.col("pos") - 1).cast("string"), "END": lambda _: F.col("end").cast("string"), "END0": lambda _: (F.col("end") - 1).cast("string"),
     "ID": lambda _: _text(F.col("id")), "REF": lambda _: F.col("ref"), "ALT": lambda i: _list(F.col("alts")) if i is None else _text(F.get("alts", F.lit(int(i)))), "FIRST_ALT": lambda _: _text(F.get("alts", F.lit(0))),
-    "QUAL": lambda _: _number(F.col("qual")), "FILTER": lambda _: F.when(F.size("filters") > 0, F.array_join("filters", ";")).otherwise("."), "TYPE": lambda _: F.upper(F.array_join(al.variant_types(F.col("ref"), F.col("alts")), ",")),
+    "QUAL": lambda _: _text(F.col("qual"), True), "FILTER": lambda _: F.when(F.size("filters") > 0, F.array_join("filters", ";")).otherwise("."), "TYPE": lambda _: F.upper(F.array_join(al.variant_types(F.col("ref"), F.col("alts")), ",")),
     "IS_TS": lambda _: al.is_transition(F.col("ref"), F.get("alts", F.lit(0))).cast("int").cast("string"), "_CHROM_POS_ID": lambda _: F.coalesce("id", F.concat("chrom", F.lit(":"), F.col("pos").cast("string"))),
 }
 
@@ -124,9 +136,19 @@ def project(df: DataFrame, fmt: str, samples: list[str] | None = None, where: st
     schema = schema_of(df, samples)
     if where:
         df = df.where(compile_filter(where, schema).site)
+    for tag in set(re.findall(r"%PBINOM\(([\w/]+)\)", fmt)):
+        df = df.withColumn("_pbinom_" + tag.split("/")[-1], _phred_of_balance(tag.split("/")[-1]))
     return df.select("chrom", "pos", Projection(fmt, schema, undefined).column().alias("line"))
 
 
+def _phred_of_balance(tag: str) -> Column:
+    """Per sample: the phred score of the binomial test of the two alleles' values; 0 if they are equal, ``.`` if there are none."""
+    of = lambda k: F.transform("samples", lambda s: F.when(~g.is_missing(s["GT"]) & (g.ploidy(s["GT"]) == 2), F.get(s[tag], F.get(s["GT"]["alleles"], F.lit(k)))).cast("double"))
+    known = F.zip_with(of(0), of(1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    score = lambda v, p: F.when(v["x"].isNull() | v["y"].isNull() | ((v["x"] == 0) & (v["y"] == 0)), ".").when((v["x"] == v["y"]) | (p >= 1), "0").otherwise(general(-10 * F.log10(p)))
+    return F.zip_with(known, binom_arrays_udf(of(0), of(1)), score)
+
+
 def header(fmt: str) -> str:
     """The columns' names, for a header line."""
     return "#" + re.sub(r"%(?:INFO/|FORMAT/|FMT/)?(\w+)(?:\{\d+\})?", r"\1", fmt).replace("\\t", "\t").replace("\\n", "\n")

@@ -230,7 +230,8 @@ def sort_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CASE WHEN pos % 3 = 1 THEN 'only_a' WHEN pos % 3 = 0 THEN 'only_b' ELSE 'shared' END AS side, count(*) AS n FROM s GROUP BY side")
 def isec_venn(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = setops.presence(list(halves(spark, sf_dir)))
-    return p.groupBy(F.when(F.col("mask") == 1, "only_a").when(F.col("mask") == 2, "only_b").otherwise("shared").alias("side")).agg(F.count(F.lit(1)).alias("n"))
+    only = lambda i: F.col("tables") == F.array(F.lit(i))
+    return p.groupBy(F.when(only(0), "only_a").when(only(1), "only_b").otherwise("shared").alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- summaries
@@ -348,9 +349,9 @@ def sample_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.thresholds(proxy.sites(spark, sf_dir), F.col("s.DP").cast("double"), [10.0, 20.0, 30.0])
 
 
-@query(", m AS (SELECT pos, dosage, sum(1 << (sample - 1))::BIGINT AS mask FROM c WHERE dosage IS NOT NULL GROUP BY pos, dosage) SELECT mask, count(*) AS n FROM m GROUP BY mask")
+@query(", m AS (SELECT pos, dosage, string_agg((sample - 1)::VARCHAR, ',' ORDER BY sample) AS samples FROM c WHERE dosage IS NOT NULL GROUP BY pos, dosage) SELECT samples, count(*) AS n FROM m GROUP BY samples")
 def genotype_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.genotype_intersections(proxy.sites(spark, sf_dir))
+    return summaries.genotype_intersections(proxy.sites(spark, sf_dir)).select(F.array_join("samples", ",").alias("samples"), "n")
 
 
 @query(

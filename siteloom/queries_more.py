@@ -63,6 +63,44 @@ def merge_missing_to_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(merge.merge(a, b, 3, 4, "none", missing_to_ref=True))
 
 
+def _recoded(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three call sets of SNPs with different samples; the second has another ALT, the third both, in the other order."""
+    other = F.translate(F.get("alts", F.lit(0)), "ACGT", "GTCA")
+    s = proxy.sites(spark, sf_dir).where('alts[0] <> "<DEL>" and length(alts[0]) = 1').where(other != F.col("ref"))
+    two = s.withColumn("alts", F.array(other))
+    three = s.withColumn("alts", F.array(other, F.get("alts", F.lit(0)))).withColumn("samples", F.transform("samples", lambda x: x.withField("AD", F.array(F.get(x["AD"], F.lit(0)), F.lit(-1), F.get(x["AD"], F.lit(1))))))
+    return [select.subset_samples(t, p) for t, p in ((s, [0, 1]), (two, [2, 3]), (three, [4]))]
+
+
+@query(
+    ", n AS (SELECT pos, sample, qty, price % 97 AS b FROM c WHERE sample <= 5 AND alt <> '<DEL>' AND len(alt) = 1 AND translate(alt, 'ACGT', 'GTCA') <> ref) SELECT pos, sample - 1 AS sample, qty::INT AS of_ref, (CASE WHEN sample <= 2 OR sample = 5 THEN b END)::INT AS of_first, (CASE WHEN sample IN (3, 4) THEN b WHEN sample = 5 AND qty IS NOT NULL THEN -1 WHEN sample = 5 THEN -1 END)::INT AS of_second FROM n"
+)
+def merge_allele_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-allele depths of three call sets with different ALTs, in the order of the united ALTs."""
+    m = merge.merge_all(_recoded(spark, sf_dir), [2, 2, 1], "snps", numbers={"AD": "R"})
+    return m.select("pos", F.posexplode("samples").alias("sample", "s")).select("pos", "sample", F.get("s.AD", F.lit(0)).alias("of_ref"), F.get("s.AD", F.lit(1)).alias("of_first"), F.get("s.AD", F.lit(2)).alias("of_second"))
+
+
+_BINOM = "CASE WHEN dosage IS NULL OR qty IS NULL THEN NULL WHEN dosage = 1 AND qty + price % 97 = 0 THEN NULL WHEN dosage <> 1 OR qty = price % 97 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(qty, price % 97) + 1), lambda k: exp(lgamma(qty + price % 97 + 1) - lgamma(k + 1) - lgamma(qty + price % 97 - k + 1) - (qty + price % 97) * ln(2))))) END"
+
+
+@query(f"SELECT chrom, count(*) AS n_sites, sum(pos)::BIGINT AS sum_pos FROM (SELECT chrom, pos FROM c GROUP BY ALL HAVING count(*) FILTER (WHERE {_BINOM} < 0.01) >= 2) GROUP BY chrom")
+def filter_allele_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites where the two alleles' depths are out of balance in at least two samples."""
+    return by_contig(select.where(proxy.sites(spark, sf_dir), "N_PASS(BINOM(FMT/AD)<0.01)>=2"))
+
+
+@query("SELECT chrom, pos, pos || ' ' || printf('%g', qual::DOUBLE) || ' DP=' || dp || ';MQ=' || printf('%g', (o_totalprice / 100000)::FLOAT::DOUBLE) || ';PRIO=' || prio || chr(10) AS line FROM s")
+def project_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project(proxy.sites(spark, sf_dir), r"%POS %QUAL %INFO")
+
+
+@query()
+def prune_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: what stays depends on all choices before. Tests hold the rule against a window-by-window check."""
+    return by_contig(windows.pruned(proxy.sites(spark, sf_dir), 2, 100, F.col("qual")))
+
+
 # --- normalisation
 def multiallelic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites with a second ALT, which samples of even depth carry instead of the first."""
@@ -194,13 +232,20 @@ def pileup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- sequences
-@query("SELECT event_id, event_type AS gene, severity FROM (SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN 28 WHEN event_id % 3 = 1 THEN 19 ELSE 15 END AS severity FROM events)", prefix=False)
+_TERMS = ["missense_variant&splice_region_variant", "inframe_deletion", "protein_altering_variant", "stop_gained", "frameshift_variant", "5_prime_UTR_variant", "3_prime_UTR_variant", "mature_miRNA_variant"]
+
+
+@query(
+    f"WITH e AS (SELECT *, {_TERMS}[event_id % 8 + 1] AS a, {_TERMS}[event_id // 8 % 8 + 1] AS b FROM events), r AS (SELECT *, [13, 13, 13, 17, 17, 8, 8, 9] AS ranks FROM e), w AS (SELECT event_id, a, b, ranks[event_id % 8 + 1] AS ra, ranks[event_id // 8 % 8 + 1] AS rb FROM r) "
+    "SELECT event_id, CASE WHEN rb > ra THEN b ELSE a END AS consequence, CASE WHEN rb > ra THEN 'y' ELSE 'x' END AS gene, greatest(ra, rb)::INT AS severity FROM w", prefix=False,
+)
 def worst_consequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations of equal and of different severity: of equal ones the first counts."""
+    terms = F.array(*[F.lit(t) for t in _TERMS])
     e = table(spark, sf_dir, "events").withColumn("chrom", F.lit("1")).withColumn("pos", F.col("event_id"))
-    term = F.when(F.col("event_id") % 3 == 0, "frameshift_variant&intron_variant").when(F.col("event_id") % 3 == 1, "missense_variant").otherwise("synonymous_variant")
-    csq = F.concat(F.concat(F.lit("G|"), term, F.lit("|"), F.col("event_type")), F.lit(",G|intron_variant|"), F.col("event_type"))
+    csq = F.concat(F.lit("G|"), F.get(terms, (F.col("event_id") % 8).cast("int")), F.lit("|x,G|"), F.get(terms, (F.floor(F.col("event_id") / 8) % 8).cast("int")), F.lit("|y"))
     out = sequence.split_consequences(e, csq, ["Allele", "Consequence", "gene"], "worst")
-    return out.select("event_id", "gene", "severity")
+    return out.select("event_id", F.col("Consequence").alias("consequence"), "gene", "severity")
 
 
 # --- streams

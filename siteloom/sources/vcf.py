@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.functions.genotype import gt_text
+from siteloom.functions.text import general
 from siteloom.schema import Tag, VariantSchema
 
 _META = re.compile(r"##(\w+)=<(.*)>$")
@@ -94,19 +95,33 @@ def _out(c: Column, tag: Tag) -> Column:
 
 
 def _plain(c: Column, tag: Tag) -> Column:
-    return F.regexp_replace(c.cast("string"), r"\.0$", "") if tag.type == "Float" else c.cast("string")
+    return general(c) if tag.type == "Float" else c.cast("string")
+
+
+def info_text(schema: VariantSchema) -> Column:
+    """``KEY=value;FLAG`` of the column ``info``; ``.`` without any."""
+    parts = [F.when(F.coalesce(F.col("info")[t.id], F.lit(False)), F.lit(t.id)) if t.type == "Flag" else F.when(_out(F.col("info")[t.id], t).isNotNull(), F.concat(F.lit(f"{t.id}="), _out(F.col("info")[t.id], t))) for t in schema.info.values()]
+    text = F.concat_ws(";", *parts) if parts else F.lit("")
+    return F.when(text == "", ".").otherwise(text)
+
+
+def sample_text(schema: VariantSchema, s: Column) -> Column:
+    """The values of one sample, joined by colons."""
+    return F.concat_ws(":", *[F.coalesce(gt_text(s["GT"]) if t.id == "GT" else _out(s[t.id], t), F.lit(".")) for t in schema.format.values()])
+
+
+def record_text(schema: VariantSchema, has_info: bool = True, has_samples: bool = True) -> Column:
+    """A site as a line of the text format."""
+    dot = lambda c: F.coalesce(c, F.lit("."))
+    cols = [F.col("chrom"), F.col("pos").cast("string"), dot(F.col("id")), F.col("ref"), F.when(F.size("alts") > 0, F.array_join("alts", ",")).otherwise("."), dot(general(F.col("qual"))), F.when(F.size("filters") > 0, F.array_join("filters", ";")).otherwise("."), info_text(schema) if has_info else F.lit(".")]
+    if has_samples and schema.format:
+        cols += [F.lit(":".join(schema.format)), F.array_join(F.transform("samples", lambda s: sample_text(schema, s)), "\t")]
+    return F.concat_ws("\t", *cols)
 
 
 def lines(df: DataFrame, schema: VariantSchema) -> DataFrame:
     """(contig_idx, pos, line): records as text."""
-    dot = lambda c: F.coalesce(c, F.lit("."))
-    parts = [F.when(F.coalesce(F.col("info")[t.id], F.lit(False)), F.lit(t.id)) if t.type == "Flag" else F.when(_out(F.col("info")[t.id], t).isNotNull(), F.concat(F.lit(f"{t.id}="), _out(F.col("info")[t.id], t))) for t in schema.info.values()] if "info" in df.columns else []
-    info = F.concat_ws(";", *parts) if parts else F.lit("")
-    cols = [F.col("chrom"), F.col("pos").cast("string"), dot(F.col("id")), F.col("ref"), F.when(F.size("alts") > 0, F.array_join("alts", ",")).otherwise("."), dot(F.regexp_replace(F.col("qual").cast("string"), r"\.0$", "")), F.when(F.size("filters") > 0, F.array_join("filters", ";")).otherwise("."), F.when(info == "", ".").otherwise(info)]
-    if "samples" in df.columns and schema.format:
-        cols.append(F.lit(":".join(schema.format)))
-        cols.append(F.array_join(F.transform("samples", lambda s: F.concat_ws(":", *[dot(gt_text(s["GT"]) if t.id == "GT" else _out(s[t.id], t)) for t in schema.format.values()])), "\t"))
-    return df.select("contig_idx", "pos", F.concat_ws("\t", *cols).alias("line"))
+    return df.select("contig_idx", "pos", record_text(schema, "info" in df.columns, "samples" in df.columns).alias("line"))
 
 
 def header_lines(schema: VariantSchema) -> list[str]:
