@@ -120,10 +120,12 @@ def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", ru
     n = len(tables)
     own = lambda name, i: F.first(F.when(F.col("t") == i, F.col(name)), ignorenulls=True)
     u = reduce(DataFrame.unionByName, sides).groupBy("chrom", "contig_idx", "pos", "_k", "_i").agg(*[own("e", i).alias(f"e{i}") for i in range(n)], *[own("s", i).alias(f"s{i}") for i in range(n)])
-    refs = F.array_compact(F.array(*[F.col(f"e{i}.ref") for i in range(n)]))
+    flat = {f"{c}_{i}": F.col(f"e{i}.{c}") for i in range(n) for c in ("ref", "alts", "end", "id", "qual", "filters")} | {f"info_{k}_{i}": F.col(f"e{i}.info")[k] for i in range(n) for k in info}
+    u = u.select("chrom", "contig_idx", "pos", *[c.alias(k) for k, c in flat.items()], *[f"s{i}" for i in range(n)])
+    refs = F.array_compact(F.array(*[F.col(f"ref_{i}") for i in range(n)]))
     u = _held(u, {"ref": F.aggregate(refs, F.lit(""), lambda acc, r: F.when(F.length(r) > F.length(acc), r).otherwise(acc))})
-    pad = lambda e: F.transform(e["alts"], lambda x: F.when(x.rlike("^[A-Za-z]+$"), F.concat(x, F.substr("ref", F.length(e["ref"]) + 1))).otherwise(x))
-    u = _held(u, {f"p{i}": pad(F.col(f"e{i}")) for i in range(n)})
+    pad = lambda i: F.transform(f"alts_{i}", lambda x: F.when(x.rlike("^[A-Za-z]+$"), F.concat(x, F.substr("ref", F.length(f"ref_{i}") + 1))).otherwise(x))
+    u = _held(u, {f"p{i}": pad(i) for i in range(n)})
     u = _held(u, {"alts": F.array_distinct(F.flatten(F.array_compact(F.array(*[F.col(f"p{i}") for i in range(n)]))))})
     # the merged numbers of a table's alleles, and the other way round
     place = lambda of, among: F.concat(F.array(F.lit(0)), F.transform(of, lambda x: F.nullif(F.array_position(among, x), F.lit(0)).cast("int")))
@@ -140,12 +142,12 @@ def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", ru
 
     parts = [F.when(F.col(f"s{i}").isNull(), F.array_repeat(blank, size)).otherwise(F.transform(f"s{i}", renumbered(i))) for i, size in enumerate(sizes)]
     u = _held(u, {"samples": F.concat(*parts)})
-    values = lambda k, t: F.array(*[_remapped(F.col(f"e{i}.info")[k], known.get(k, ""), t, F.col(f"back{i}")) for i in range(n)])
+    values = lambda k, t: F.array(*[_remapped(F.col(f"info_{k}_{i}"), known.get(k, ""), t, F.col(f"back{i}")) for i in range(n)])
     fields = {k: reduced(rules.get(k, "first"), values(k, t), t) for k, t in info.items()}
     if "GT" in fmt:
         fresh = {"AN": g.allele_number(F.col("samples")), "AC": F.coalesce(g.allele_counts(F.col("samples"), F.col("alts")), F.transform("alts", lambda _: F.lit(0)))}
         fields |= {k: c.cast(info[k].simpleString()) for k, c in fresh.items() if k in info}
-    every = lambda name: F.array_compact(F.array(*[F.col(f"e{i}.{name}") for i in range(n)]))
+    every = lambda name: F.array_compact(F.array(*[F.col(f"{name}_{i}") for i in range(n)]))
     ids = F.array_distinct(every("id"))
     return u.select(
         "chrom", "contig_idx", "pos", F.array_max(every("end")).alias("end"), F.when(F.size(ids) > 0, F.array_join(ids, ";")).alias("id"), "ref", "alts",
