@@ -12,6 +12,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows up to which a side of ids or keys (tens of bytes each) is broadcast; it is counted first.
 BROADCAST_ROWS = 300_000
+BATCH_ROWS = 2000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -51,6 +53,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most :data:`BATCH_ROWS` rows meanwhile: long texts in batches of ten thousand rows take hundreds of MB on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back; removed when the process ends.
 
@@ -59,7 +73,8 @@ def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     spark = df.sparkSession
     path = shared_path(spark, name)
     schema = df.schema
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    with small_batches(spark):
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -74,6 +89,14 @@ def _remove_all() -> None:
             return
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` has it (letter case aside)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows (it is counted), else without one.
 

@@ -21,7 +21,7 @@ SPELLINGS = [
     ("licence", "license"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"),
     ("calibre", "caliber"), ("cancelled", "canceled"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("favour", "favor"), ("fulfil ", "fulfill "), ("initialise", "initialize"),
     ("judgement", "judgment"), ("labelling", "labeling"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("optimise", "optimize"), ("organisation", "organization"),
-    ("owner", "holder"), ("practise", "practice"), ("programme ", "program "), ("recognise", "recognize"), ("signalling", "signaling"), ("sub license", "sublicense"), ("utilisation", "utilization"), ("while ", "whilst "), ("wilful", "willful"), ("https", "http"),
+    (" owner ", " holder "), ("practise", "practice"), ("programme ", "program "), ("recognise", "recognize"), ("signalling", "signaling"), ("sub license", "sublicense"), ("utilisation", "utilization"), (" while ", " whilst "), ("wilful", "willful"), ("https", "http"),
 ]
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|<|\[)|\(c\)|©|all rights reserved\.?[ \t]*$)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import small, stored, table
+from siteloom.llm.common import small, stored, table, unused
 
 UNITS = 8
 LINES = "rid long, doc_id long, line int, words int, hash long, halves array<long>, body binary"
@@ -165,10 +165,11 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """``docs`` (with distinct doc_ids) with the lines of ``drops`` (doc_id, dropped) taken out of their texts."""
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_dropped", i)), "\n")
-    some = drops.where("n_dropped > 0").select(F.col("doc_id").alias("_doc_id"), F.col("dropped").alias("_dropped"))
-    joined = docs.join(some, docs["doc_id"].eqNullSafe(some["_doc_id"]), "left")
-    return joined.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    key, gone = unused(docs, "_doc_id"), unused(docs, "_dropped")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    some = drops.where("n_dropped > 0").select(F.col("doc_id").alias(key), F.col("dropped").alias(gone))
+    joined = docs.join(some, docs["doc_id"].eqNullSafe(some[key]), "left")
+    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

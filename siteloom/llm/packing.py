@@ -36,9 +36,9 @@ from siteloom.llm.common import stored, table, tokenizer_path
 CAPACITY = 2048
 SEPARATOR = 0
 #: Cached words of a task (about 0.2 kB each); beyond, the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Bytes of text from which on a slice of texts is turned into ids.
-SLICE = 8_000_000
+SLICE = 6_000_000
 #: Unicode letters that stand for the 256 bytes in the vocabulary: printable ones for themselves, the others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(b if b in _PRINTABLE else 256 + b - sum(p < b for p in _PRINTABLE)) for b in range(256)}
@@ -121,11 +121,10 @@ class WordTokenizer:
 
     def columns(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each :data:`SLICE` of texts (null: empty): all ids, and where each text's end (one entry more than texts)."""
-        column = column.cast(pa.large_string())
         size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
         cuts = np.unique(np.concatenate([[0], np.searchsorted(size, np.arange(SLICE, size[-1] if len(size) else 0, SLICE)) + 1, [len(column)]])).tolist()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            lists = pc.ascii_split_whitespace(column.slice(a, b - a))
+            lists = pc.ascii_split_whitespace(column.slice(a, b - a).cast(pa.large_string()))
             stops = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
             encoded = lists.flatten().dictionary_encode()
             codes = encoded.indices.to_numpy(zero_copy_only=False)

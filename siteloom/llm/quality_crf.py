@@ -4,7 +4,7 @@ Each line is good or bad. Its features (shares of character classes, repeated wo
 neighbours feed the field, and neighbouring labels are tied by a transition matrix. Forward-backward gives each line's
 marginal of being good; their mean, weighted by the lines' lengths, is the document's raw quality, and a logistic curve
 fitted on the training documents makes a score of it whose cut is 0.7. The field is fitted on the driver, on a bounded
-sample of labelled documents (``SAMPLE`` documents a class, of ``SAMPLE_BYTES`` at most), whose lines take the
+sample of labelled documents (``SAMPLE`` documents a class, of which longer ones than ``SAMPLE_BYTES`` give a part), whose lines take the
 document's label. Executors score whole texts, whatever their length.
 
 Defined results: null and empty texts get the score 0 (there is nothing to keep); repeated rows get the same score;
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import mixed, table
+from siteloom.llm.common import mixed, table, unused
 from siteloom.llm.labelled import held_out, sample
 
 FOLDS, LEFT_OUT, CUT = 4, 2, 0.7
@@ -219,7 +219,8 @@ def scored(docs: DataFrame, field: LineField, name: str = "score") -> DataFrame:
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; all columns pass."""
-    return scored(docs, fit(docs, labels), "_llm_score").where(F.col("_llm_score") >= CUT).drop("_llm_score")
+    score = unused(docs, "_llm_score")
+    return scored(docs, fit(docs, labels), score).where(F.col(score) >= CUT).drop(score)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ the states, and a logistic output gives the window's probability. Windows overla
 whatever its length; a document's score is its highest window.
 
 Training (on the driver, numpy, by back-propagation through time) uses a bounded sample: ``SAMPLE`` documents a class,
-of ``SAMPLE_BYTES`` at most. The labels are of documents, so each round trains on the window that scores highest in each
+of which longer ones than ``SAMPLE_BYTES`` give a part. The labels are of documents, so each round trains on the window that scores highest in each
 (multiple-instance learning), and on a window at random of the others.
 
 Defined results: null and empty texts, and those of white space, score 0; repeated rows get the same score; null doc_ids
