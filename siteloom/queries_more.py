@@ -322,13 +322,15 @@ def best_non_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    """All registered queries, those of :mod:`siteloom.queries` too."""
+    """All registered queries, those of the other modules too."""
     from siteloom import queries as first
+    from siteloom import queries_views  # noqa: F401  (registers its queries)
 
     return first.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     from siteloom import queries as first
+    from siteloom import queries_views  # noqa: F401
 
     return first.oracle_sql()
