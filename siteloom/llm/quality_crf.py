@@ -4,8 +4,11 @@ Each line is good or bad. Its features (shares of character classes, repeated wo
 neighbours feed the field, and neighbouring labels are tied by a transition matrix. Forward-backward gives each line's
 marginal of being good; their mean, weighted by the lines' lengths, is the document's raw quality, and a logistic curve
 fitted on the training documents makes a score of it whose cut is 0.7. The field is fitted on the driver, on a bounded
-sample of labelled documents (``SAMPLE`` documents a class, of which longer ones than ``SAMPLE_BYTES`` give a part), whose lines take the
-document's label. Executors score whole texts, whatever their length.
+sample of labelled documents (``SAMPLE`` documents a class, of which longer ones than ``SAMPLE_BYTES`` give a part).
+Labels are of documents, those of lines are latent: the field is fitted to the documents' labels first, then, in rounds
+of expectation and maximisation, to each line's marginal under the field and its document's label (which counts as an
+observation of the line that is right ``TRUST`` of the time). So a bad document may have good lines, and the transitions
+learn where labels change. Executors score whole texts, whatever their length.
 
 Defined results: null and empty texts get the score 0 (there is nothing to keep); repeated rows get the same score;
 null doc_ids have a null ``held_out``; other columns pass or are ignored, whatever their names; if no labels (or only one
@@ -27,6 +30,8 @@ from siteloom.llm.labelled import held_out, sample
 
 FOLDS, LEFT_OUT, CUT = 4, 2, 0.7
 SAMPLE, SAMPLE_BYTES = 1500, 20_000
+#: How often a document's label is right for one of its lines, and rounds of expectation and maximisation.
+TRUST, LATENT_ROUNDS = 0.6, 3
 #: Byte classes that are counted in a line.
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t\r\x0b\x0c", "stop": b".,;:?'\"()-",
@@ -141,16 +146,19 @@ class LineField:
                 expected += joint[real.T[1:]].sum(0)
         return out, expected if pairs else None
 
-    def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> None:
-        """Gradient ascent (Adam) on the likelihood of the lines' labels, each document counting the same in sum of sqrt(lines)."""
+    def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3, chain: bool = True) -> None:
+        """Gradient ascent (Adam) on the expected likelihood of the lines' labels; ``y``: each line's probability of being good.
+
+        Without ``chain`` the transitions are zero: each line stands alone with its neighbours' features.
+        """
+        if not chain:
+            self.t = np.zeros((2, 2))
         n = len(x)
-        text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        both = np.stack([1 - y, y], 1).astype(float)
         inner = np.ones(n, bool)
         inner[first[:-1]] = False
         k = np.flatnonzero(inner)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[k - 1], y[k]), 1)
-        del text_of
+        seen = both[k - 1].T @ both[k]
         m, v = np.zeros(len(self.w) + 4), np.zeros(len(self.w) + 4)
         for i in range(1, rounds + 1):
             p, expected = self.marginals(x, first, pairs=True)
@@ -159,7 +167,8 @@ class LineField:
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             step = rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
             self.w += step[:-4]
-            self.t += step[-4:].reshape(2, 2)
+            if chain:
+                self.t += step[-4:].reshape(2, 2)
 
     def raw(self, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The length-weighted mean of the lines' marginals; 0 for texts without a character."""
@@ -183,7 +192,13 @@ def fitted(texts: list[str], labels: list[int]) -> LineField:
         return field
     raw = [t.encode() for t in texts]
     x, size, first = line_features(raw)
-    field.fit(with_neighbours(x, first), first, np.repeat(y, np.diff(first)))
+    near, of_document = with_neighbours(x, first), np.repeat(y, np.diff(first))
+    # a first guess line by line: with transitions, whole documents would keep the one label they start with
+    field.fit(near, first, of_document, chain=False)
+    odds = np.log(TRUST / (1 - TRUST)) * (2 * of_document - 1)
+    for _ in range(LATENT_ROUNDS):
+        p = np.clip(field.marginals(near, first)[0], 1e-9, 1 - 1e-9)
+        field.fit(near, first, 1 / (1 + np.exp(-(np.log(p / (1 - p)) + odds))), rounds=40)
     q = field.raw(x, size, first)
     # the cut with the highest balanced accuracy, in the middle of its gap
     order = np.argsort(q)

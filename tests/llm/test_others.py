@@ -248,6 +248,49 @@ def test_quality(spark):
     assert quality_crf.scored(frame(spark, [], extra=False), quality_crf.LineField(quality_crf.N_FEATURES)).count() == 0
 
 
+def test_lines_of_a_mixed_document_get_mixed_labels():
+    """Labels are of documents; a third of the bad ones hold good lines as well, in one block."""
+    r = random.Random(8)
+    docs, labels, truth = [], [], []
+    for i in range(240):
+        good = i % 2
+        lines = [good] * r.randint(4, 9)
+        if not good and i % 3 == 0:
+            lines[: len(lines) // 2] = [1] * (len(lines) // 2)
+        docs.append("\n".join(lines_of(r, q) for q in lines))
+        labels.append(good)
+        truth.append(lines)
+    field = quality_crf.fitted(docs[:200], labels[:200])
+    x, _, first = quality_crf.line_features([d.encode() for d in docs[200:]])
+    p, _ = field.marginals(quality_crf.with_neighbours(x, first), first)
+    mixed = [(p[first[k] + j] > 0.5) == q for k, lines in enumerate(truth[200:]) if len(set(lines)) == 2 for j, q in enumerate(lines)]
+    assert len(mixed) > 20 and np.mean(mixed) > 0.8  # a line beside the change counts half
+
+
+def test_quality_score_against_a_plain_version():
+    """Features of one line, and the document score from enumerated label paths, written out once more."""
+    import itertools
+
+    text = "A Plain line, with 12 words or so and words again and again.\n\nSHOUT!! SHOUT!! | é"
+    x, size, first = quality_crf.line_features([text.encode()])
+    for k, line in enumerate(text.encode().split(b"\n")):
+        n, ws = max(1, len(line)), line.split()
+        shares = [sum(c in chars for c in line) / n for chars in quality_crf.CLASSES.values()]
+        again = sum(u == v for u, v in zip(ws[:-1], ws[1:], strict=True)) / max(1, len(ws))
+        rest = [again, len(set(ws)) / max(1, len(ws)), min(1, 20 * (shares[5] > 0)), 0, np.log1p(min(len(line), 2000)) / 8, min(len(line) / max(1, len(ws)), 30) / 10, np.log1p(min(len(ws), 300)) / 6, not line, 1]
+        assert np.allclose(x[k], [*shares, *rest])
+    field = quality_crf.LineField(quality_crf.N_FEATURES)
+    rng = np.random.default_rng(1)
+    field.w, field.t, field.a, field.b = rng.normal(size=len(field.w)), np.array([[0.4, -0.1], [0.2, 0.3]]), 3.0, -1.0
+    near = [np.concatenate([x[k], x[k - 1] if k else 0 * x[0], x[k + 1] if k < 2 else 0 * x[0]]) for k in range(3)]
+    weight, z, good = size, 0.0, np.zeros(3)
+    for path in itertools.product((0, 1), repeat=3):
+        s = np.exp(sum(near[k] @ field.w * y for k, y in enumerate(path)) + sum(field.t[path[k], path[k + 1]] for k in range(2)))
+        z, good = z + s, good + s * np.array(path)
+    q = (good / z * weight).sum() / weight.sum()
+    assert field.score([text.encode(), b""]) == pytest.approx([1 / (1 + np.exp(-(3 * q - 1))), 0.0])
+
+
 def test_gradients_against_differences():
     model = toxicity_gru.ToxicityModel(1)
     r = np.random.default_rng(2)
