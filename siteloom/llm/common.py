@@ -8,6 +8,7 @@ executors share and read back. That cuts lineage, survives a lost executor, and
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import uuid
@@ -53,6 +54,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a task gives freed memory back. Spark uses workers again, and freed memory that they keep would
+    count beside what the next operator's tasks take."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            return
+
+    return tidy
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of at most :data:`BATCH_ROWS` rows meanwhile: long texts in batches of ten thousand rows take hundreds of MB on either side."""
@@ -125,7 +141,7 @@ def by_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schem
             if b.num_rows and (out := fn(b)) is not None:
                 yield pa.RecordBatch.from_arrays([as_arrow(out[n], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    return df.mapInArrow(run, struct)
+    return df.mapInArrow(tidied(run), struct)
 
 
 def as_arrow(x: object, kind: pa.DataType) -> pa.Array:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import small, stored, table, unused
+from siteloom.llm.common import small, stored, table, tidied, unused
 
 UNITS = 8
 LINES = "rid long, doc_id long, line int, words int, hash long, halves array<long>, body binary"
@@ -99,7 +99,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     narrow = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(narrow.mapInArrow(run, LINES), "lines")
+    return stored(narrow.mapInArrow(tidied(run), LINES), "lines")
 
 
 def near_lines(found: DataFrame, first: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def near_lines(found: DataFrame, first: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(place, pa.int32()), b.column("hash").take(index), b.column("e").take(index)], names=["key", "place", "hash", "e"])
 
     e_type = first.schema["e"].dataType.simpleString()
-    sent = stored(bodies.select("hash", "e", "body").mapInArrow(run, f"key long, place int, hash long, e {e_type}"), "variants")
+    sent = stored(bodies.select("hash", "e", "body").mapInArrow(tidied(run), f"key long, place int, hash long, e {e_type}"), "variants")
     # the earliest of each group that may be a partner: whole lines for lines with a word left out, and the other way
     # round, and lines with the same word left out
     whole = F.when(F.col("place") < 0, F.struct("e", "hash"))
@@ -148,7 +148,7 @@ def near_lines(found: DataFrame, first: DataFrame) -> DataFrame:
             keep = [h for h, x, y in lines if x[2] == y[2] and within_one(x[0], y[0])]
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], names=["hash"])
 
-    return both.mapInArrow(verify, "hash long").distinct()
+    return both.mapInArrow(tidied(verify), "hash long").distinct()
 
 
 def line_duplicates(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Words, mixed, ngram_hashes, shuffle_partitions, small, stored, table
+from siteloom.llm.common import Words, mixed, ngram_hashes, shuffle_partitions, small, stored, table, tidied
 from siteloom.llm.components import connected
 
 SHINGLE, PERCENT = 5, 75
@@ -137,8 +137,8 @@ def frequent_shingles(docs: DataFrame, at_least: int = FREQUENT, most: int = FRE
         if held:
             yield told()
 
-    packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "place int, tokens binary")
-    counts = packed.repartition(places, "place").sortWithinPartitions("place").mapInArrow(count, "token long, n long")
+    packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(send), "place int, tokens binary")
+    counts = packed.repartition(places, "place").sortWithinPartitions("place").mapInArrow(tidied(count), "token long, n long")
     top = stored(counts, "frequent").orderBy(F.desc("n"), "token").limit(most).select("token")
     return np.sort(top.toArrow().column(0).to_numpy().view(np.uint64))
 
@@ -202,7 +202,7 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sk, pa.int64()), pa.array(central, pa.int32()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "th", "n", "sk", "central", "prefix", "bits"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    return stored(narrow.mapInArrow(run, SETS), "sets")
+    return stored(narrow.mapInArrow(tidied(run), SETS), "sets")
 
 
 def memberships(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -235,7 +235,7 @@ def memberships(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["place", "tokens", "at", "counts", "sk", "n", "central"])
 
-    packed = sets.where("prefix is not null").select("sk", "n", "central", "prefix").mapInArrow(send, "place int, tokens binary, at binary, counts binary, sk binary, n binary, central binary")
+    packed = sets.where("prefix is not null").select("sk", "n", "central", "prefix").mapInArrow(tidied(send), "place int, tokens binary, at binary, counts binary, sk binary, n binary, central binary")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, []
@@ -249,7 +249,7 @@ def memberships(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         if held:
             yield from _lists(held, percent)
 
-    met = packed.repartition(places, "place").sortWithinPartitions("place").mapInArrow(meet, "a long, b long, many int")
+    met = packed.repartition(places, "place").sortWithinPartitions("place").mapInArrow(tidied(meet), "a long, b long, many int")
     return stored(met.groupBy("a", "b").agg(F.max("many").alias("many")), "members")
 
 
@@ -380,7 +380,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             ok = [i for i in range(len(a)) if bitmap_bound(x[i], y[i], m[i], n[i]) >= required(m[i], n[i], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([c[i] for i in ok], pa.int64())], names=["a", "b"])
 
-    return stored(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(keep, "a long, b long"), "possible")
+    return stored(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(tidied(keep), "a long, b long"), "possible")
 
 
 def texts_of_sets(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -439,7 +439,7 @@ def searched_groups(members: DataFrame, components: DataFrame, sets: DataFrame,
 
     n = shuffle_partitions(docs.sparkSession)
     keys = ["family", "chunk", "turn"]
-    return stored(rows.repartition(n, *keys).sortWithinPartitions(*keys, "query").mapInArrow(block, "a long, b long, common long"), "links")
+    return stored(rows.repartition(n, *keys).sortWithinPartitions(*keys, "query").mapInArrow(tidied(block), "a long, b long, common long"), "links")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -478,7 +478,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int =
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "common"])
 
     n = shuffle_partitions(docs.sparkSession)
-    return stored(rows.repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", "member").mapInArrow(compare, "a long, b long, common long"), "links")
+    return stored(rows.repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", "member").mapInArrow(tidied(compare), "a long, b long, common long"), "links")
 
 
 def similar(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

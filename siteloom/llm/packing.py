@@ -31,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import stored, table, tokenizer_path
+from siteloom.llm.common import stored, table, tidied, tokenizer_path
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Cached words of a task (about 0.2 kB each); beyond, the cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Bytes of text from which on a slice of texts is turned into ids.
-SLICE = 6_000_000
+SLICE = 2_000_000
 #: Unicode letters that stand for the 256 bytes in the vocabulary: printable ones for themselves, the others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(b if b in _PRINTABLE else 256 + b - sum(p < b for p in _PRINTABLE)) for b in range(256)}
@@ -172,9 +172,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
                 kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
         tok.forget()
-        pa.default_memory_pool().release_unused()
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES), "pieces")
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), PIECES), "pieces")
 
 
 # --- the plan, on the driver, over the histogram of lengths -------------------------------------------------------
@@ -393,7 +392,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
             cols = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(first[at] + nth // each[at]), pa.array(offset[at] + nth % each[at] * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidied(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import mixed, table, unused
+from siteloom.llm.common import mixed, table, tidied, unused
 from siteloom.llm.labelled import held_out, sample
 
 FOLDS, LEFT_OUT, CUT = 4, 2, 0.7
@@ -229,7 +229,7 @@ def scored(docs: DataFrame, field: LineField, name: str = "score") -> DataFrame:
                 texts = [(t or "").encode() for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(texts))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Words, mixed, ngram_hashes, shared_path, shuffle_partitions, stored, table
+from siteloom.llm.common import Words, mixed, ngram_hashes, shared_path, shuffle_partitions, stored, table, tidied
 
 WIDTH, SEED = 35, 8
 PIECES = "rid long, at int, n int, least long, piece long, before long, after long, twice boolean"
@@ -132,7 +132,7 @@ def pieces(texts: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
                 rid = b.column("rid").to_numpy()[p["text"]]
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(p["at"].astype(np.int32)), pa.array(p["n"].astype(np.int32)), _i64(p["least"]), _i64(p["piece"]), _i64(p["before"]), _i64(p["after"]), pa.array(p["twice"])], names=["rid", "at", "n", "least", "piece", "before", "after", "twice"])
 
-    return stored(texts.select("rid", "text").mapInArrow(run, PIECES), "pieces")
+    return stored(texts.select("rid", "text").mapInArrow(tidied(run), PIECES), "pieces")
 
 
 def repeated_pieces(found: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -176,7 +176,7 @@ def repeated_pieces(found: DataFrame, texts: DataFrame, width: int = WIDTH) -> D
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["least", "piece", "i", "window", "times", "check"])
 
     # windows are equal if two independent hashes of their words are
-    single = stored(again.mapInArrow(windows, "least long, piece long, i int, window long, times long, check long"), "windows")
+    single = stored(again.mapInArrow(tidied(windows), "least long, piece long, i int, window long, times long, check long"), "windows")
     again_met = stored(single.groupBy("least", "window", "check").agg(F.sum("times").alias("c")).where("c > 1").select("least", "window", "check"), "met")
     masks = single.join(again_met.hint("merge"), ["least", "window", "check"]).groupBy("least", "piece").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
     whole = stored(kinds.where("times > 1").select("piece", "n", "times", "before", "after", "one"), "whole")
@@ -225,7 +225,7 @@ def verifiable(paths: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["piece", "n", "windows", "digest"])
 
-    return here.mapInArrow(run, "piece long, n int, windows long, digest binary")
+    return here.mapInArrow(tidied(run), "piece long, n int, windows long, digest binary")
 
 
 def spans_of(parts: list[dict], words: list[bytes], width: int) -> list[tuple[int, int]]:
@@ -280,7 +280,7 @@ def removals(docs: DataFrame, width: int = WIDTH, seed: int = SEED, with_text: b
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.select("doc_id", "text", "p").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "p").mapInArrow(tidied(run), schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

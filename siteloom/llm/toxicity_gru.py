@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Words, mixed, table
+from siteloom.llm.common import Words, mixed, table, tidied
 from siteloom.llm.labelled import sample
 
 FOLDS, LEFT_OUT, CUT = 5, 0, 0.5
@@ -335,7 +335,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 b = whole.slice(at, 300)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sent.value.score(b.column("text")))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
