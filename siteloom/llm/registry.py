@@ -18,8 +18,14 @@ _MODULES = {
     "op1_packing": "packing",
     "op2_sharding": "sharding",
     "op3_exact_dedup": "exact_dedup",
+    "op11_divergence": "divergence",
+    "op12_mixing": "mixing",
+    "op13_fill_middle": "fill_middle",
+}
+_SQL = {
+    "op9_license_scan": ("license_scan", "OP9_SQL"), "op5_substring_dedup": ("substring_dedup", "OP5_SQL"), "op6_decontamination": ("decontamination", "OP6_SQL"), "op3_exact_dedup": ("exact_dedup", "OP3_SQL"),
+    "op11_divergence": ("divergence", "OP11_SQL"), "op12_mixing": ("mixing", "OP12_SQL"), "op13_fill_middle": ("fill_middle", "OP13_SQL"),
 }
-_SQL = {"op9_license_scan": ("license_scan", "OP9_SQL"), "op5_substring_dedup": ("substring_dedup", "OP5_SQL"), "op6_decontamination": ("decontamination", "OP6_SQL"), "op3_exact_dedup": ("exact_dedup", "OP3_SQL")}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
