@@ -9,6 +9,7 @@ from siteloom.expr import Compiled, compile_filter
 from siteloom.functions import alleles as al
 from siteloom.functions import genotype as g
 from siteloom.operators.ranges import overlap_join
+from siteloom.schema import schema_of
 
 
 def where(df: DataFrame, expr: str, exclude: bool = False, **kw) -> DataFrame:
@@ -107,16 +108,43 @@ def drop_genotypes(df: DataFrame) -> DataFrame:
     return df.drop("samples")
 
 
-def trim_alts(df: DataFrame, only_unseen: bool = False) -> DataFrame:
-    """ALTs that no genotype has (or the unseen-allele symbols only) taken out, and genotypes renumbered."""
+def trim_alts(df: DataFrame, only_unseen: bool = False, numbers: dict[str, str] | None = None) -> DataFrame:
+    """ALTs that no genotype has (or the unseen-allele symbols only) taken out, genotypes renumbered, per-allele values cut.
+
+    INFO and FORMAT fields of Number A, R or G, by the fields' metadata or by ``numbers``, keep the values of the alleles
+    that stay, wherever they have one for each allele (a haploid G field has as many values as alleles).
+    """
     called = g.called_alleles(F.col("samples"))
     unseen = lambda a: a.isin("<*>", "<NON_REF>")
     number = F.sequence(F.lit(1), F.size("alts"))
     keep = F.filter(number, lambda k: ~unseen(F.get("alts", k - 1)) if only_unseen else F.array_contains(called, k))
     keep = F.when(F.size("alts") > 0, keep).otherwise(F.array().cast("array<int>"))
     out = df.withColumn("_keep", keep)
+    schema = schema_of(df)
+    per_allele = {scope: {t.id: (numbers or {}).get(t.id, t.number) for t in tags.values()} for scope, tags in (("info", schema.info), ("samples", schema.format))}
+    n = F.size("alts") + 1
+
+    def cut(values: Column, kind: str) -> Column:
+        k = F.col("_keep")
+        if kind == "A":
+            return F.when(F.size(values) == n - 1, al.remap_a(values, k)).otherwise(values)
+        if kind == "R":
+            return F.when(F.size(values) == n, al.remap_r(values, k)).otherwise(values)
+        return F.when(F.size(values) == n * (n + 1) / 2, al.remap_g(values, k)).when(F.size(values) == n, al.remap_r(values, k)).otherwise(values)
+
     renumber = lambda a: F.when(a.isNull() | (a == 0), a).otherwise(F.nullif(F.array_position("_keep", a).cast("int"), F.lit(0)))
-    out = out.withColumn("samples", F.transform("samples", lambda s: s.withField("GT", F.struct(F.transform(s["GT"]["alleles"], renumber).alias("alleles"), s["GT"]["phased"].alias("phased")))))
+
+    def sample(s: Column) -> Column:
+        new = s.withField("GT", F.struct(F.transform(s["GT"]["alleles"], renumber).alias("alleles"), s["GT"]["phased"].alias("phased")))
+        for name, kind in per_allele["samples"].items():
+            if kind in ("A", "R", "G"):
+                new = new.withField(name, cut(s[name], kind))
+        return new
+
+    out = out.withColumn("samples", F.transform("samples", sample))
+    for name, kind in per_allele["info"].items():
+        if kind in ("A", "R", "G"):
+            out = out.withColumn("info", F.col("info").withField(name, cut(F.col("info")[name], kind)))
     return out.withColumn("alts", F.transform("_keep", lambda k: F.get("alts", k - 1))).drop("_keep")
 
 
@@ -162,13 +190,13 @@ def regions(df: DataFrame, where_: DataFrame, targets: bool = False, complement:
 def snp_gap(df: DataFrame, gap: int, types: tuple[str, ...] = ("indel",), name: str = "SnpGap", block: int = 20) -> DataFrame:
     """SNPs within ``gap`` bases of another site that is an indel (or of the types given) get a filter.
 
-    An earlier site reaches to the end of its REF. Contigs are cut into blocks of 2**``block`` bases; the sites that are
+    An earlier site reaches to its ``end`` (that of REF, or END of a symbolic allele). Contigs are cut into blocks of 2**``block`` bases; the sites that are
     looked for (narrow rows) go to every block that they reach, so each block is solved apart.
     """
     kinds = al.variant_types(F.col("ref"), F.col("alts"))
     t = df.withColumn("_hit", F.arrays_overlap(kinds, F.array(*[F.lit(x) for x in types]))).withColumn("_snp", F.array_contains(kinds, "snp"))
     t = t.withColumn("_block", F.shiftright(F.col("pos"), block)).withColumn("_end", F.lit(None).cast("long"))
-    end = F.col("pos") + F.length("ref") - 1
+    end = F.greatest(F.col("pos") + F.length("ref") - 1, F.coalesce("end", "pos"))
     reach = F.sequence(F.shiftright(F.greatest(F.col("pos") - gap, F.lit(0)), block), F.shiftright(end + gap, block))
     hits = t.where("_hit").select("chrom", "pos", F.explode(reach).alias("_block"), end.cast("long").alias("_end"))
     both = t.unionByName(hits, allowMissingColumns=True)

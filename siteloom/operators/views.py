@@ -24,7 +24,7 @@ def recounted(df: DataFrame) -> DataFrame:
 def view(
     df: DataFrame, least_alleles: int | None = None, most_alleles: int | None = None, known: bool | None = None, types: list[str] | None = None, not_types: list[str] | None = None, where: str | None = None, exclude: str | None = None,
     samples: list[int] | None = None, recount: bool = True, trim_alts: bool = False, least_ac: int | None = None, most_ac: int | None = None, low_af: float | None = None, high_af: float | None = None, uncalled: bool | None = None, phased: bool | None = None,
-    private: bool | None = None, genotype: str | None = None, drop_genotypes: bool = False,
+    private: bool | None = None, genotype: str | None = None, drop_genotypes: bool = False, numbers: dict[str, str] | None = None,
 ) -> DataFrame:
     """One pass in a fixed order.
 
@@ -49,7 +49,7 @@ def view(
             out = select.private(out, samples, exclude=not private)
         out = select.subset_samples(out, samples)
     if trim_alts:
-        out = select.trim_alts(out)
+        out = select.trim_alts(out, numbers=numbers)
     if samples is not None and recount:
         out = recounted(out)
     if genotype:
@@ -159,11 +159,12 @@ def rank_z(a: Column, b: Column) -> Column:
     return F.when((na > 0) & (nb > 0), F.when(var > 0, (walk["u"] - na * nb / 2) / F.sqrt(var)).otherwise(0.0))
 
 
-def em_frequencies(df: DataFrame, likelihoods: str = "PL", rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
+def em_frequencies(df: DataFrame, likelihoods: str = "PL", tolerance: float = 1e-9) -> DataFrame:
     """chrom, pos, af, n: the ALT frequency that fits diploid genotype likelihoods best, by expectation and maximisation.
 
-    ``likelihoods``: a FORMAT tag of three phred-scaled values; samples without one are left out. Sites of a batch are
-    iterated together.
+    ``likelihoods``: a FORMAT tag of three phred-scaled values; samples without one are left out. Each site goes on until
+    its own frequency moves by less than ``tolerance`` (steps shrink, so each one gets there), whatever its neighbours
+    in a batch do: those that are done leave it.
     """
     pl = F.filter(F.transform("samples", lambda s: s[likelihoods]), lambda x: x.isNotNull() & (F.size(x) == 3) & F.forall(x, lambda v: v.isNotNull()))
     t = df.select("chrom", "pos", F.transform(F.flatten(pl), lambda v: v.cast("double")).alias("p"))
@@ -174,15 +175,23 @@ def em_frequencies(df: DataFrame, likelihoods: str = "PL", rounds: int = 50, tol
             sizes = np.diff(column.offsets.to_numpy()) // 3
             like = 10 ** (-column.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3) / 10)
             site = np.repeat(np.arange(len(sizes)), sizes)
-            f = np.full(len(sizes), 0.5)
-            for _ in range(rounds):
-                prior = np.stack([(1 - f) ** 2, 2 * f * (1 - f), f * f], 1)[site]
-                post = like * prior
-                post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
-                new = np.bincount(site, weights=post[:, 1] + 2 * post[:, 2], minlength=len(sizes)) / np.maximum(2 * sizes, 1)
-                done, f = np.abs(new - f).max(initial=0) < tolerance, new
-                if done:
-                    break
+            f, going = np.full(len(sizes), 0.5), np.flatnonzero(sizes)
+            while len(going):
+                # the rows of the sites that still move, numbered anew
+                mine = np.isin(site, going)
+                like, site = like[mine], site[mine]
+                at = np.searchsorted(going, site)
+                for _ in range(64):
+                    now = f[going]
+                    prior = np.stack([(1 - now) ** 2, 2 * now * (1 - now), now * now], 1)[at]
+                    post = like * prior
+                    post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
+                    new = np.bincount(at, weights=post[:, 1] + 2 * post[:, 2], minlength=len(going)) / (2 * sizes[going])
+                    still = np.abs(new - now) >= tolerance
+                    f[going] = np.where(still, new, now)
+                    if not still.any():
+                        break
+                going = going[still]
             yield pa.RecordBatch.from_arrays([b.column("chrom"), b.column("pos"), pa.array(np.where(sizes > 0, f, np.nan)), pa.array(sizes.astype(np.int32))], names=["chrom", "pos", "af", "n"])
 
     return t.mapInArrow(run, "chrom string, pos long, af double, n int")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom import proxy
 from siteloom.functions import genotype as g
-from siteloom.operators import views
+from siteloom.operators import select, views
 from siteloom.queries import TYPE, by_contig, query
+from siteloom.sources import indexed
+from siteloom.sources.shared import shared_path
 
 _SUB = "(SELECT pos, count(dosage) * 2 AS an3, coalesce(sum(dosage), 0) AS ac3 FROM c WHERE sample <= 3 GROUP BY pos)"
 
@@ -20,10 +24,43 @@ def view_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pos", F.get("info.AC", F.lit(0)).alias("ac"), F.col("info.AN").alias("an"))
 
 
-@query(f"SELECT pos, (CASE WHEN ac3 > 0 THEN 1 ELSE 0 END)::INT AS n_alts FROM s JOIN {_SUB} USING (pos) WHERE {TYPE} = 'snp'")
+@query(
+    ", t AS (SELECT pos, ref, alt, list({'d': CASE WHEN dosage = 2 AND pos % 2 = 0 THEN 3 ELSE dosage END, 'q': qty, 'p': price % 97} ORDER BY sample) AS x FROM c WHERE sample <= 3 GROUP BY ALL), "
+    "u AS (SELECT pos, ref, alt, x, len(list_filter(x, lambda y: y.d IN (1, 2))) > 0 AS a1, len(list_filter(x, lambda y: y.d = 3)) > 0 AS a2 FROM t) "
+    "SELECT pos, CASE WHEN a1 THEN alt ELSE '' END || CASE WHEN a1 AND a2 THEN ',' ELSE '' END || CASE WHEN a2 THEN 'TTT' ELSE '' END AS alts, "
+    "array_to_string(list_transform(x, lambda y: coalesce(y.q::VARCHAR, '.') || CASE WHEN a1 THEN ',' || coalesce(y.p::VARCHAR, '.') ELSE '' END || CASE WHEN a2 THEN ',' || coalesce((y.q + 1)::VARCHAR, '.') ELSE '' END), ' ') AS ad, "
+    "array_to_string(list_transform(x, lambda y: CASE y.d WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' WHEN 2 THEN '1/1' WHEN 3 THEN CASE WHEN a1 THEN '2/2' ELSE '1/1' END ELSE './.' END), ' ') AS gt FROM u"
+)
 def view_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = views.view(proxy.sites(spark, sf_dir), types=["snp"], samples=[0, 1, 2], trim_alts=True)
-    return out.select("pos", F.size("alts").alias("n_alts"))
+    """Two ALTs, of which homozygotes at even positions have the second; what three samples carry stays, with its depths."""
+    second = lambda s: F.when((F.col("pos") % 2 == 0) & (g.dosage(s["GT"]) == 2), F.transform(s["GT"]["alleles"], lambda _: F.lit(2))).otherwise(s["GT"]["alleles"])
+    depths = lambda s: F.concat(s["AD"], F.array(s["DP"] + 1))
+    s = proxy.sites(spark, sf_dir)
+    s = s.withColumn("alts", F.concat("alts", F.array(F.lit("TTT")))).withColumn("samples", F.transform("samples", lambda x: x.withField("AD", depths(x)).withField("GT", F.struct(second(x).alias("alleles"), x["GT"]["phased"].alias("phased")))))
+    out = views.view(s, samples=[0, 1, 2], trim_alts=True, numbers={"AD": "R"})
+    text = lambda x, sep: F.array_join(F.transform(x, lambda v: F.coalesce(v.cast("string"), F.lit("."))), sep)
+    return out.select("pos", F.array_join("alts", ",").alias("alts"), F.array_join(F.transform("samples", lambda x: text(x["AD"], ",")), " ").alias("ad"), F.array_join(F.transform("samples", lambda x: text(x["GT"]["alleles"], "/")), " ").alias("gt"))
+
+
+@query(f"SELECT chrom, count(*) AS n_sites, sum(pos)::BIGINT AS sum_pos FROM s WHERE {TYPE} = 'snp' AND EXISTS (SELECT 1 FROM s x WHERE x.chrom = s.chrom AND (x.alt = '<DEL>' OR len(x.alt) = 2) AND x.pos <= s.pos + 3 AND s.pos <= (CASE WHEN x.alt = '<DEL>' THEN x.pos + 9 ELSE x.pos END) + 3) GROUP BY chrom")
+def snp_gap_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbolic deletions reach nine bases further, by their END."""
+    s = proxy.sites(spark, sf_dir).withColumn("end", F.when(F.get("alts", F.lit(0)) == "<DEL>", F.col("pos") + 9).otherwise(F.col("end")))
+    return by_contig(select.snp_gap(s, 3).where(F.array_contains("filters", "SnpGap")))
+
+
+_LONG = "CASE WHEN pos % 50 = 0 THEN pos * 700 + 5000000 ELSE pos * 700 + pos % 3 END"
+
+
+@query(f"SELECT chrom, r, count(*) AS n_sites, sum(pos)::BIGINT AS sum_pos FROM s JOIN (VALUES ('O', 2999990, 3000010, 1), ('F', 1048570, 1048580, 2), ('O', 5000000, 9000000, 3)) v(c, b, e, r) ON chrom = c AND pos * 700 <= e AND {_LONG} >= b GROUP BY ALL")
+def indexed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table is written by bins of positions; region scans find sites of five million bases too."""
+    s = proxy.sites(spark, sf_dir).select("chrom", "pos", F.expr(_LONG).alias("end")).withColumn("at", F.col("pos")).withColumn("pos", F.col("pos") * 700)
+    path = shared_path(spark, "index")
+    indexed.write_indexed(s, path)
+    regions = [("O", 2_999_990, 3_000_010), ("F", 1_048_570, 1_048_580), ("O", 5_000_000, 9_000_000)]
+    found = [indexed.read_regions(spark, path, [r]).select("chrom", F.lit(i + 1).alias("r"), "at") for i, r in enumerate(regions)]
+    return reduce(DataFrame.unionByName, found).groupBy("chrom", "r").agg(F.count(F.lit(1)).alias("n_sites"), F.sum("at").alias("sum_pos"))
 
 
 @query("SELECT chrom, pos, ref FROM s ORDER BY contig_idx, pos LIMIT 100")

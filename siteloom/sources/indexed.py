@@ -4,39 +4,65 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.operators.ranges import overlap_join
 
-#: A partition of an indexed table holds 2**BIN bases of a contig.
-BIN = 20
+#: A partition of the finest level holds 2**BIN bases of a contig, one of the next level eight times as many.
+BIN, LEVELS, STEP = 20, 6, 3
+
+
+def _last() -> Column:
+    return F.greatest("pos", F.coalesce("end", "pos"))
 
 
 def write_indexed(df: DataFrame, path: str) -> None:
-    """A table partitioned by contig and bin of positions, sorted inside, so that region scans read few files and row groups."""
+    """A table partitioned by contig, level and bin of positions, sorted inside, so that region scans read few files and row groups.
+
+    A site is written once: to the finest level at which it lies in one bin, so long sites are in few wide bins.
+    """
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(F.shiftright(F.col("pos"), BIN + STEP * k) == F.shiftright(_last(), BIN + STEP * k), k).otherwise(level)
     # names such as 1 would come back as numbers
-    bins = df.withColumn("contig", F.concat(F.lit("contig-"), "chrom")).withColumn("bin", F.shiftright("pos", BIN))
-    bins.repartition("contig", "bin").sortWithinPartitions("contig", "bin", "pos").write.partitionBy("contig", "bin").parquet(path)
+    bins = df.withColumn("contig", F.concat(F.lit("contig-"), "chrom")).withColumn("level", level)
+    bins = bins.withColumn("bin", F.floor(F.col("pos") / F.element_at(F.array(*[F.lit(1 << (BIN + STEP * k)) for k in range(LEVELS)]), F.col("level") + 1)).cast("int"))
+    keys = ["contig", "level", "bin"]
+    bins.repartition(*keys).sortWithinPartitions(*keys, "pos").write.partitionBy(*keys).parquet(path)
 
 
-def read_regions(spark: SparkSession, path: str, regions: list[tuple[str, int, int]], longest: int = 1 << BIN) -> DataFrame:
+def read_regions(spark: SparkSession, path: str, regions: list[tuple[str, int, int]]) -> DataFrame:
     """Sites of an indexed table that overlap any of a few regions (contig, begin, end), each site once.
 
-    The regions become predicates on the partitions and on ``pos``, which the scan prunes by. ``longest``: no site is longer.
+    The regions become predicates on the partitions and on ``pos``, which the scan prunes by.
     """
     df = spark.read.parquet(path)
     if not regions:
-        return df.where("false").drop("contig", "bin")
-    one = [(F.col("contig") == f"contig-{c}") & (F.col("bin") >= max(0, b - longest) >> BIN) & (F.col("bin") <= e >> BIN) & (F.col("pos") <= e) & (F.col("pos") >= b - longest) & (F.col("end") >= b) for c, b, e in regions]
-    return df.where(reduce(lambda x, y: x | y, one)).drop("contig", "bin")
+        return df.where("false").drop("contig", "level", "bin")
+
+    def bins(b: int, e: int) -> Column:
+        # the last level also has sites that reach over its bins
+        each = [(F.col("level") == k) & F.col("bin").between(0 if k == LEVELS - 1 else max(0, b) >> (BIN + STEP * k), max(0, e) >> (BIN + STEP * k)) for k in range(LEVELS)]
+        return reduce(lambda x, y: x | y, each)
+
+    one = [(F.col("contig") == f"contig-{c}") & bins(b, e) & (F.col("pos") <= e) & (_last() >= b) for c, b, e in regions]
+    # the bound of positions apart, as the scan's filter
+    return df.where(F.col("pos") <= max(e for _, _, e in regions)).where(reduce(lambda x, y: x | y, one)).drop("contig", "level", "bin")
 
 
 def read_region_table(spark: SparkSession, path: str, regions: DataFrame) -> DataFrame:
-    """The same for any number of regions (chrom, beg, end): partitions are pruned by a join on (contig, bin) while it runs."""
-    touched = regions.select(F.concat(F.lit("contig-"), "chrom").alias("contig"), F.explode(F.sequence(F.shiftright(F.greatest(F.col("beg") - (1 << BIN), F.lit(0)), BIN), F.shiftright("end", BIN))).alias("bin")).distinct()
-    df = spark.read.parquet(path).join(touched, ["contig", "bin"], "left_semi").drop("contig", "bin")
-    return overlap_join(df, regions, how="semi")
+    """The same for any number of regions (chrom, beg, end): partitions are pruned by a join on (contig, level, bin) while it runs."""
+
+    def bins(k: int) -> Column:
+        beg, end = (F.shiftright(F.greatest(F.col(c), F.lit(0)).cast("long"), BIN + STEP * k) for c in ("beg", "end"))
+        # the last level also has sites that reach over its bins
+        return F.transform(F.sequence(F.lit(0).cast("long") if k == LEVELS - 1 else beg, end), lambda x: F.struct(F.lit(k).alias("level"), x.cast("int").alias("bin")))
+
+    each = [bins(k) for k in range(LEVELS)]
+    touched = regions.select(F.concat(F.lit("contig-"), "chrom").alias("contig"), F.explode(F.flatten(F.array(*each))).alias("t")).select("contig", "t.*").distinct()
+    df = spark.read.parquet(path).join(touched, ["contig", "level", "bin"], "left_semi").drop("contig", "level", "bin")
+    return overlap_join(df.withColumn("_last", _last()), regions, ("chrom", "pos", "_last"), how="semi").drop("_last")
 
 
 def read_listed(spark: SparkSession, path: str) -> DataFrame:

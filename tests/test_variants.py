@@ -145,6 +145,9 @@ def test_interval_join_against_brute_force(spark):
 def test_selectors(sites):
     assert positions(select.private(sites, [0])) == [1, 2, 3, 4]
     assert positions(select.trim_alts(sites).where(F.size("alts") == 1)) == [1, 2, 4, 5]
+    wide = frame(spark, [site(9, alts=("C", "G"), samples=(("0/2", 1, (5, 0, 6)), ("./.", 2, None)))])
+    cut = select.trim_alts(wide, numbers={"AD": "R"}).first()
+    assert (cut.alts, cut.samples[0].GT.alleles, cut.samples[0].AD, cut.samples[1].AD) == (["G"], [0, 1], [5, 6], None)
     assert positions(select.phased(sites)) == [5]
     soft = select.soft_filter(sites, "QUAL>20", "low", append=True)
     assert {r.pos: r.filters for r in soft.collect()} == {1: ["low"], 2: ["low"], 3: ["low"], 4: ["q10", "s50", "low"], 5: ["PASS"], 6: ["low"]}
@@ -343,6 +346,11 @@ def test_general_numbers(spark):
     from siteloom.functions.text import general
 
     values = [0.0, 1.0, -2.5, 123456.0, 1234567.0, 1e7, 0.0001, 0.00001234, 100.0, 3.14159265, 999999.6, None, float("inf")]
+    # halves that are exact, and decimals of seven digits that lie just above or below one
+    values += [38.90625, -38.90625, 2.000005, 1.000005, 999999.5, 1000005.0, 1000015.0, 12345650.0, 0.1234565, 0.1234575, 1.5e-9, 1234565e-20, 1234575e-20]
+    r = random.Random(7)
+    values += [k / 2**j for j in range(1, 12) for k in (r.randrange(1, 1 << 22) for _ in range(40))]
+    values += [float(f"{r.randrange(100000, 1000000)}5e{r.randrange(-16, 4)}") for _ in range(600)] + [float(np.float32(r.uniform(0, 1000))) for _ in range(200)]
     got = [r.t for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(general(F.col("v")).alias("t")).collect()]
     assert got == [None if v is None else "%g" % v for v in values]
 

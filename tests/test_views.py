@@ -21,6 +21,30 @@ def test_indexed_regions_prune_and_agree(spark, tmp_path):
     assert indexed.read_regions(spark, path, []).count() == 0
 
 
+def test_indexed_regions_equal_a_full_scan(spark, tmp_path):
+    """Sites of up to ten million bases, over the borders of bins of all levels."""
+    r = np.random.default_rng(5)
+    rows = [("1", int(p), int(p + n)) for p, n in zip(r.integers(1, 1 << 28, 300), 10 ** r.uniform(0, 7, 300), strict=True)] + [("1", 100, 5_000_100), ("1", (1 << 23) - 1, 1 << 23), ("1", 7, None), ("2", 1, 1 << 33)]
+    df = spark.createDataFrame([(c, p, e, i) for i, (c, p, e) in enumerate(rows)], "chrom string, pos long, end long, i int")
+    path = str(tmp_path / "t")
+    indexed.write_indexed(df.repartition(3), path)
+    asked = [("1", 2_999_990, 3_000_010), ("1", 1 << 23, 1 << 23), ("2", 1 << 32, 1 << 32), ("1", 1, 50)] + [("1", int(b), int(b + n)) for b, n in zip(r.integers(1, 1 << 28, 12), 10 ** r.uniform(0, 7, 12), strict=True)]
+    want = lambda q: sorted(i for i, (c, p, e) in enumerate(rows) if any(c == k and p <= to and max(p, e or p) >= b for k, b, to in q))
+    for q in ([x] for x in asked[:6]):
+        assert sorted(x.i for x in indexed.read_regions(spark, path, q).collect()) == want(q)
+    assert sorted(x.i for x in indexed.read_regions(spark, path, asked).collect()) == want(asked)
+    table = spark.createDataFrame(asked, "chrom string, beg long, end long")
+    assert sorted(x.i for x in indexed.read_region_table(spark, path, table).collect()) == want(asked)
+
+
+def test_frequencies_do_not_depend_on_neighbours(spark):
+    rows = [("1", i, [([0, 20, 40],)] * 5 + [([40, 0, 20 + i],)] * i) for i in range(6)]
+    schema = "chrom string, pos long, samples array<struct<PL:array<int>>>"
+    together = {x.pos: x.af for x in views.em_frequencies(spark.createDataFrame(rows, schema).coalesce(1)).collect()}
+    alone = {row[1]: views.em_frequencies(spark.createDataFrame([row], schema)).first().af for row in rows}
+    assert together == alone and together[0] < 1e-4
+
+
 def test_lists_and_reports(spark, tmp_path):
     for k in "ab":
         frame(spark, [site(ord(k))]).write.parquet(str(tmp_path / k))
@@ -40,7 +64,7 @@ def test_em_frequency_is_the_best_on_a_grid(spark):
     r = np.random.default_rng(4)
     rows = [(i, [[int(x) for x in r.integers(0, 60, 3)] for _ in range(8)]) for i in range(5)]
     df = spark.createDataFrame([("1", i, [(p,) for p in pl]) for i, pl in rows], "chrom string, pos long, samples array<struct<PL:array<int>>>")
-    got = {x.pos: x.af for x in views.em_frequencies(df, rounds=3000, tolerance=1e-9).collect()}
+    got = {x.pos: x.af for x in views.em_frequencies(df).collect()}
     grid = np.linspace(0, 1, 2001)
     for i, pl in rows:
         like = 10 ** (-np.array(pl) / 10)
