@@ -324,13 +324,13 @@ def best_non_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     """All registered queries, those of the other modules too."""
     from siteloom import queries as first
-    from siteloom import queries_views  # noqa: F401  (registers its queries)
+    from siteloom import queries_models, queries_views  # noqa: F401  (registers their queries)
 
     return first.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     from siteloom import queries as first
-    from siteloom import queries_views  # noqa: F401
+    from siteloom import queries_models, queries_views  # noqa: F401  (registers their queries)
 
     return first.oracle_sql()

@@ -31,7 +31,7 @@ def gt(text):
 
 
 def site(pos, ref="A", alts=("C",), qual=10.0, filters=("PASS",), dp=5, af=(0.5,), s="x", flag=False, samples=(("0/1", 20, (3, 4)), ("0/0", 30, (9, 0))), chrom="1", id_=None):
-    return (chrom, 0, pos, pos + len(ref) - 1, id_, ref, list(alts), qual, list(filters), (dp, list(af) if af else None, s, flag), [(gt(a), b, list(c) if c else None) for a, b, c in samples])
+    return (chrom, 0, pos, pos + len(ref) - 1, id_, ref, list(alts or ()), qual, list(filters), (dp, list(af) if af else None, s, flag), [(gt(a), b, list(c) if c else None) for a, b, c in samples])
 
 
 def frame(spark, rows):
