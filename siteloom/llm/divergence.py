@@ -8,9 +8,9 @@ a group's ``top`` terms against its language.
 
 Terms of a language are dealt into blocks. A block is a dense int64 tile of groups by terms; numpy takes all pairs of
 its rows at once by broadcasting and sums over the block's terms, and keeps the block's largest terms of each group. The
-partial pair matrices are then summed, the heaps merged. A tile has :data:`TILE` cells on average, whatever the table:
-the number of blocks follows V times groups, and a language of many groups is also cut into slices of its first group.
-What is added up by pairs is therefore much less than what a tile computes.
+partial pair matrices are then summed, the heaps merged. A tile has ``256 * groups**2`` cells on average, between
+:data:`LEAST_TILE` and :data:`TILE`: the number of blocks follows V, one language is many tasks, and what is added up by
+pairs is much less than what a tile computes. A language of many groups is also cut into slices of its first group.
 
 Arithmetic is exact: quotients are taken in steps that stay below 2**63 for counts up to 9 * 10**15.
 
@@ -37,8 +37,8 @@ from siteloom.llm.common import small, stored, table, tidied
 #: code points as the pattern does.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 UNIT = 1_000_000_000
-#: int64 cells of a tile, and of what broadcasting takes at once.
-TILE, BROADCAST_CELLS = 1 << 22, 1 << 20
+#: int64 cells of a tile, at most and at least, and of what broadcasting takes at once.
+TILE, LEAST_TILE, BROADCAST_CELLS = 1 << 22, 1 << 16, 1 << 20
 #: Distinct (group, term) that a task gathers before it gives them out.
 GATHERED = 400_000
 COUNTS = "lang string, source string, term string, n long, docs long"
@@ -169,8 +169,9 @@ def divergence(docs: DataFrame, least: int = 3, top: int = 200, tile: int = TILE
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.aggregate("at", F.lit(0).cast("long"), lambda s, x: s + x["n"])).alias("lang_total"))
     sizes = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     langs = sizes.join(langs, "lang", "left").na.fill(0, ["kept", "lang_total"])
-    # blocks of terms so that a tile has about `tile` cells; slices of the first group so that a pair matrix has no more
-    langs = langs.withColumn("blocks", F.ceil(F.greatest(F.col("kept"), F.lit(1)) * F.col("size") / F.lit(tile)).cast("int")).withColumn("slices", F.ceil(F.col("size") * F.col("size") / F.lit(tile)).cast("int"))
+    # blocks of terms so that a tile has about so many cells; slices of the first group so that a pair matrix has no more
+    cells = F.least(F.greatest(256 * F.col("size") * F.col("size"), F.lit(LEAST_TILE)), F.lit(tile))
+    langs = langs.withColumn("blocks", F.ceil(F.greatest(F.col("kept"), F.lit(1)) * F.col("size") / cells).cast("int")).withColumn("slices", F.ceil(F.col("size") * F.col("size") / F.lit(tile)).cast("int"))
     langs = stored(langs, "langs")
     sides = groups.join(totals, ["lang", "number"], "left").na.fill(0, ["total"]).join(small(langs), "lang")
     sides = sides.withColumn("slice", F.floor(F.col("number") * F.col("slices") / F.col("size")).cast("int"))
