@@ -1,14 +1,14 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is its words, its *units* are the words too, or the characters (of the words joined by a space) if it has fewer
-than ``UNITS`` words. The edit distance of two lines with units of one kind counts units inserted, deleted or replaced.
-A line goes if an earlier line (by doc_id, then place in the document) is equal, or if their edit distance is within the
-bound: one edit, where both have ``UNITS`` units or more (so at most an eighth of a line differs, and a short line may
-differ by a character, a long one by a word). Lines without words stay.
+A line is its words. Two lines are near if one edit makes them equal: of a word, where the longer one has ``UNITS`` words
+or more; else of a character (of the words joined by a space), where both have ``UNITS`` characters or more. So at most an
+eighth of a line differs, and lines on both sides of the border meet. A line goes if an earlier line (by doc_id, then place
+in the document) is equal or near. Lines without words stay.
 
 1. Every document's lines become hashes. Equal lines meet in a pre-aggregated join that keeps the earliest.
 2. Of two lines at distance one, the first or the last half of the units is equal. Only distinct lines that share such a half with
-   another one go on (an exact filter: nothing within the bound is lost).
+   another one go on (an exact filter: nothing within the bound is lost). Lines one word short of the border take part
+   with their words and with their characters.
 3. Those emit all variants within the bound as hashed keys: the line itself and the line without each of its units.
    Equal variants meet: the same place left out on both sides means a replaced unit; a whole line equal to another one
    with a unit left out means an inserted unit. Each group gives its earliest line (a partial aggregate, so a
@@ -39,10 +39,23 @@ def _hash(b: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b) - (1 << 63)
 
 
-def units(body: bytes) -> tuple[list[bytes], bytes, bytes]:
-    """Units of a line, what joins them, and a mark of their kind: words, or characters if the words are few."""
-    words = body.split(b" ")
-    return (words, b" ", b"w") if len(words) >= UNITS else ([c.encode() for c in body.decode()], b"", b"c")
+def readings(body: bytes) -> list[tuple[list[bytes], bytes, bytes]]:
+    """The units by which a line may be near another one, what joins them, and a mark of their kind (words, characters)."""
+    words, out = body.split(b" "), []
+    if len(words) >= UNITS - 1:
+        out.append((words, b" ", b"w"))
+    if len(words) < UNITS and len(chars := [c.encode() for c in body.decode()]) >= UNITS:
+        out.append((chars, b"", b"c"))
+    return out
+
+
+def near(x: bytes, y: bytes) -> bool:
+    """Whether two lines are near, by the reading that the longer one has."""
+    a, b = x.split(b" "), y.split(b" ")
+    if max(len(a), len(b)) >= UNITS:
+        return within_one(a, b)
+    a, b = list(x.decode()), list(y.decode())
+    return min(len(a), len(b)) >= UNITS and within_one(a, b)
 
 
 def half_keys(parts: list[bytes], between: bytes, kind: bytes) -> list[int]:
@@ -74,7 +87,7 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """:data:`LINES` of all documents, written; ``halves`` and ``body`` stand once a task for each distinct line of enough units."""
+    """:data:`LINES` of all documents, written; ``halves`` and ``body`` stand once a task for each distinct line that may be near another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("words", pa.int32()), ("hash", pa.int64()), ("halves", pa.list_(pa.int64())), ("body", pa.binary())])
@@ -88,10 +101,10 @@ def lines(docs: DataFrame) -> DataFrame:
                         words = line.split()
                         body = b" ".join(words)
                         h = _hash(body)
-                        parts = units(body) if h not in seen else None
-                        if parts and len(parts[0]) >= UNITS:
+                        parts = readings(body) if h not in seen else None
+                        if parts:
                             seen.add(h)
-                            rows.append((rid, doc, n, len(words), h, half_keys(*parts), body))
+                            rows.append((rid, doc, n, len(words), h, [k for p in parts for k in half_keys(*p)], body))
                         else:
                             rows.append((rid, doc, n, len(words), h, None, None))
                 if len(seen) > 1_000_000:
@@ -119,10 +132,11 @@ def near_lines(found: DataFrame, first: DataFrame) -> DataFrame:
                 b = whole.slice(at, 2000)
                 key, place, row = [], [], []
                 for i, body in enumerate(b.column("body").to_pylist()):
-                    for k, p in variants(*units(body)):
-                        key.append(k)
-                        place.append(p)
-                        row.append(i)
+                    for reading in readings(body):
+                        for k, p in variants(*reading):
+                            key.append(k)
+                            place.append(p)
+                            row.append(i)
                 index = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(place, pa.int32()), b.column("hash").take(index), b.column("e").take(index)], names=["key", "place", "hash", "e"])
 
@@ -144,8 +158,7 @@ def near_lines(found: DataFrame, first: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = ((h, units(x), units(y)) for h, x, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-            keep = [h for h, x, y in lines if x[2] == y[2] and within_one(x[0], y[0])]
+            keep = [h for h, x, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if near(x, y)]
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], names=["hash"])
 
     return both.mapInArrow(tidied(verify), "hash long").distinct()

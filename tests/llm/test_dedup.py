@@ -206,17 +206,29 @@ def test_within_one():
 
 
 def near(w, e):
-    """Both lines as words, or both as characters (fewer than eight words), of eight units at least, one edit apart."""
-    if (len(w) < 8) != (len(e) < 8):
-        return False
-    a, b = (w, e) if len(w) >= 8 else (list(" ".join(w)), list(" ".join(e)))
+    """A word apart if either line has eight words; else a character apart, both of eight characters at least."""
+    if max(len(w), len(e)) >= 8:
+        return word_distance(w, e) <= 1
+    a, b = list(" ".join(w)), list(" ".join(e))
     return min(len(a), len(b)) >= 8 and word_distance(a, b) <= 1
 
 
 def test_line_dedup_of_short_lines(spark):
     rows = [(1, "Accept all cookies\nMenu\nHome"), (2, "Accept all cookie\nMenü\nHome"), (3, "Accept  äll cookies"), (4, "one two three four five six seven"), (5, "one two three four five six seven eight")]
     got = sorted((r.doc_id, r.dropped) for r in line_dedup.line_duplicates(frame(spark, rows)).collect())
-    assert got == [(1, []), (2, [0, 2]), (3, [0]), (4, []), (5, [])]
+    assert got == [(1, []), (2, [0, 2]), (3, [0]), (4, []), (5, [0])]
+
+
+def test_line_dedup_over_the_border_of_units(spark):
+    """Seven words meet eight, whichever comes first; seven words and seven others by characters only."""
+    eight = "one two three four five six seven eight"
+    seven = [" ".join(w for k, w in enumerate(eight.split()) if k != i) for i in (0, 3, 7)]
+    other = "one two three four five six sevens"
+    rows = [(1, eight), (2, "\n".join(seven)), (3, other), (4, "one two three four five six SEVEN"), (5, eight.replace("eight", "eighth nine")), (6, eight.replace("two", "2"))]
+    got = {r.doc_id: r.dropped for r in line_dedup.line_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: [], 2: [0, 1, 2], 3: [0], 4: [], 5: [], 6: [0]}
+    back = {r.doc_id: r.dropped for r in line_dedup.line_duplicates(frame(spark, [(1, seven[2]), (2, eight), (3, "one")])).collect()}
+    assert back == {1: [], 2: [0], 3: []}
 
 
 def test_line_dedup(spark):
