@@ -22,21 +22,21 @@ def held_out(doc_ids: list, folds: int, left_out: int) -> list[bool | None]:
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int, most: dict[int, int], max_bytes: int) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``most[class]`` documents of each class, outside the fold ``left_out``.
 
-    They are taken in the order of a hash of the id, whatever their length. Of a text of more than ``max_bytes`` a part
-    of ``max_bytes / 4`` characters (``max_bytes`` at most, whatever the letters) is taken, from a place that a hash of
-    the id gives. Null labels and ids are left out; an id with several labels counts with the largest.
+    They are taken in the order of a hash of the id, whatever their length. Of a text of more than ``max_bytes`` bytes so
+    many characters are taken as make ``max_bytes`` at the text's bytes a character, from a place that a hash of the id
+    gives; a text just over the bound gives nearly all. Null labels and ids are left out; an id with several labels counts with the largest.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).where(fold(folds) != left_out)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     known = stored(known.join(texts.select("doc_id").hint("merge"), "doc_id", "left_semi"), "labelled")
-    size = max_bytes // 4
+    size = F.floor(F.lit(max_bytes) * F.length("text") / F.greatest(F.octet_length("text"), F.lit(1))).cast("int")
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int") + 1
-    part = F.when(F.octet_length("text") <= max_bytes, F.col("text")).otherwise(F.substr("text", start, F.lit(size)))
+    part = F.when(F.octet_length("text") <= max_bytes, F.col("text")).otherwise(F.substr("text", start, size))
     out_texts, out_labels = [], []
     for y, n in most.items():
         ids = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        # at most n rows are broadcast, and at most n texts of max_bytes come back
+        # at most n rows are broadcast, and at most n texts of about max_bytes come back
         rows = texts.join(F.broadcast(ids), "doc_id").withColumn("text", part).dropDuplicates(["doc_id"]).select("doc_id", "text").collect()
         for r in sorted(rows, key=lambda r: r["doc_id"]):
             out_texts.append(r["text"])

@@ -38,4 +38,11 @@ def test_long_labelled_texts_are_sampled_too(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     found, y = labelled.sample(docs, labels, "quality", 4, 2, {0: 50, 1: 50}, 2000)
     assert len(found) == sum(1 for i in range(40) if not labelled.held_out([i], 4, 2)[0])
-    assert {len(t) for t, k in zip(found, y, strict=True) if k} == {500} and {t for t, k in zip(found, y, strict=True) if not k} == {"short"}
+    assert {len(t) for t, k in zip(found, y, strict=True) if k} == {1000} and {t for t, k in zip(found, y, strict=True) if not k} == {"short"}
+
+
+def test_labelled_texts_have_no_jump_at_the_bound(spark):
+    docs = frame(spark, [(1, "é" * 1000), (2, "é" * 1001), (3, "x" * 2500)])
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "doc_id long, quality int")
+    found, _ = labelled.sample(docs, labels, "quality", 100, 99, {1: 5}, 2000)
+    assert sorted(map(len, found)) == [1000, 1000, 2000]
