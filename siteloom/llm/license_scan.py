@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import small, table
-from siteloom.llm.license_texts import KNOWN, whole_texts
+from siteloom.llm.license_texts import whole_texts
 
 #: Spellings that count as the same, the left one becoming the right one.
 SPELLINGS = [
@@ -67,7 +67,7 @@ def _sql_text(s: str) -> str:
 
 
 OP9_SQL = f"""
-WITH k AS (SELECT sha256({_sql_canonical('text')}) AS d, min(license_id) AS license_id FROM (VALUES {", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in KNOWN)}) AS v(license_id, text) GROUP BY d),
+WITH k AS (SELECT sha256({_sql_canonical('text')}) AS d, min(license_id) AS license_id FROM (VALUES {", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in whole_texts())}) AS v(license_id, text) GROUP BY d),
      c AS (SELECT doc_id, sha256({_sql_canonical('text')}) AS text_digest FROM documents)
 SELECT doc_id, text_digest, license_id FROM c LEFT JOIN k ON k.d = c.text_digest
 """

@@ -167,6 +167,27 @@ def test_licenses(spark):
     assert license_scan.scanned(frame(spark, []), license_scan.known_licenses(spark)).count() == 0
 
 
+def test_license_scan_equals_its_sql_on_licences(spark):
+    """Every known licence, as it is and rewritten, and texts that only contain one, by the operator and by SQL."""
+    import duckdb
+
+    from siteloom.llm.license_texts import whole_texts
+
+    rows = []
+    for k, (_, t) in enumerate(whole_texts()):
+        rewritten = "Copyright (c) 2020 Someone\n\n" + t.upper().replace(" ", "  ").replace("LICENSE", "LICENCE")
+        rows += [(10 * k, t), (10 * k + 1, rewritten), (10 * k + 2, t + "\nand more"), (10 * k + 3, t.replace("\n", "\r\n"))]
+    rows += [(-1, None), (-2, ""), (None, "no licence")]
+    got = license_scan.scanned(frame(spark, rows), license_scan.known_licenses(spark)).toPandas()
+    con = duckdb.connect()
+    con.register("documents", frame(spark, rows).select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(license_scan.OP9_SQL).fetchall()
+    mine = [(None if r.doc_id != r.doc_id else int(r.doc_id), r.text_digest, r.license_id or None) for r in got.itertuples()]
+    assert Counter(map(str, mine)) == Counter(map(str, want))
+    known = {d for d, _, i in want if i}
+    assert {10 * k for k in range(len(whole_texts()))} | {10 * k + 1 for k in range(len(whole_texts()))} | {10 * k + 3 for k in range(len(whole_texts()))} == known
+
+
 def test_long_licenses(spark):
     folder = Path(license_scan.__file__).parent / "licenses"
     whole = {p.stem: p.read_text() for p in folder.glob("*.txt")}
