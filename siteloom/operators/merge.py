@@ -20,6 +20,9 @@ RULES = {
     "min": F.array_min, "max": F.array_max, "first": lambda x: F.get(x, F.lit(0)),
 }
 
+#: Names of the allele that stands for all that a sample hasn't shown.
+UNSEEN = ("<*>", "<NON_REF>", "<X>")
+
 
 def merged_filters(sets: Column, prefer_pass: bool = False) -> Column:
     """Ordered union of the tables' filters; PASS goes if there is any other (with ``prefer_pass``: PASS wins)."""
@@ -62,20 +65,25 @@ def _class_key(logic: str) -> Column:
     return F.lit("")
 
 
-def _remapped(values: Column, number: str, kind: T.DataType, back: Column) -> Column:
-    """Per-allele values in the merged order. ``back``: for each merged allele (REF first) its place in this table, or null."""
+def _remapped(values: Column, number: str, kind: T.DataType, back: Column, unseen: Column) -> Column:
+    """Per-allele values in the merged order. ``back``: for each merged allele (REF first) its place in this table, or null.
+
+    ``unseen``: the place of the table's allele for whatever it hasn't seen (``<*>``), or null. Where it has one, alleles
+    that it doesn't know take that allele's value, and genotypes with one of them the value of that allele twice.
+    """
     if number not in ("A", "R", "G") or not isinstance(kind, T.ArrayType):
         return values
+    known = lambda k: F.coalesce(k, unseen)
     if number == "A":
-        out = F.transform(F.slice(back, 2, 1_000_000), lambda k: F.get(values, k - 1))
+        out = F.transform(F.slice(back, 2, 1_000_000), lambda k: F.get(values, known(k) - 1))
     elif number == "R":
-        out = F.transform(back, lambda k: F.get(values, k))
+        out = F.transform(back, lambda k: F.get(values, known(k)))
     else:
         pairs = F.flatten(F.transform(back, lambda b, j: F.transform(F.slice(back, 1, j + 1), lambda a: F.struct(a.alias("a"), b.alias("b")))))
-        diploid = F.transform(pairs, lambda p: F.get(values, al.genotype_index(p["a"], p["b"])))
+        diploid = F.transform(pairs, lambda p: F.get(values, F.when(p["a"].isNull() | p["b"].isNull(), al.genotype_index(unseen, unseen)).otherwise(al.genotype_index(p["a"], p["b"]))))
         # a haploid call has one value an allele
         haploid = F.size(values) == F.size(F.filter(back, lambda k: k.isNotNull()))
-        out = F.when(haploid & (F.size(values) < 3), F.transform(back, lambda k: F.get(values, k))).otherwise(diploid)
+        out = F.when(haploid & (F.size(values) < 3), F.transform(back, lambda k: F.get(values, known(k)))).otherwise(diploid)
     return F.when(values.isNotNull(), out).cast(kind.simpleString())
 
 
@@ -94,12 +102,13 @@ def _held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", rules: dict[str, str] | None = None, missing_to_ref: bool = False, numbers: dict[str, str] | None = None) -> DataFrame:
+def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", rules: dict[str, str] | None = None, missing_to_ref: bool = False, numbers: dict[str, str] | None = None, key: str | None = None) -> DataFrame:
     """Any number of tables by position and pair logic: one union, one shuffle by the key.
 
     Several rows of one table with the same key pair up in order of their alleles. REFs are padded to the longest one,
     ALTs are united in order, genotypes and the per-allele fields (Number A, R or G by the fields' metadata or by
-    ``numbers``) of every table are renumbered; values of alleles that a table doesn't know are missing. Absent samples
+    ``numbers``) of every table are renumbered; values of alleles that a table doesn't know are those of its ``<*>`` or
+    ``<NON_REF>``, or missing. ``key`` names a column of all tables that stands for the pair logic. Absent samples
     get missing genotypes, or reference ones with ``missing_to_ref``. INFO fields are reduced by ``rules`` (sum, avg,
     min, max, first, join; ``first`` where none is given), AC and AN, where present, are counted anew.
     """
@@ -116,7 +125,7 @@ def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", ru
     sides = []
     for i, t in enumerate(tables):
         e = F.struct("ref", F.coalesce("alts", F.array().cast("array<string>")).alias("alts"), F.col("end").cast("long").alias("end"), "id", F.col("qual").cast("float").alias("qual"), "filters", _aligned(t, "info", info).alias("info"))
-        sides.append(t.withColumn("_k", _class_key(logic)).withColumn("_i", F.row_number().over(w)).select("chrom", "contig_idx", "pos", "_k", "_i", F.lit(i).alias("t"), e.alias("e"), _aligned(t, "samples", fmt).alias("s")))
+        sides.append(t.withColumn("_k", F.col(key) if key else _class_key(logic)).withColumn("_i", F.row_number().over(w)).select("chrom", "contig_idx", "pos", "_k", "_i", F.lit(i).alias("t"), e.alias("e"), _aligned(t, "samples", fmt).alias("s")))
     n = len(tables)
     own = lambda name, i: F.first(F.when(F.col("t") == i, F.col(name)), ignorenulls=True)
     u = reduce(DataFrame.unionByName, sides).groupBy("chrom", "contig_idx", "pos", "_k", "_i").agg(*[own("e", i).alias(f"e{i}") for i in range(n)], *[own("s", i).alias(f"s{i}") for i in range(n)])
@@ -130,19 +139,20 @@ def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", ru
     # the merged numbers of a table's alleles, and the other way round
     place = lambda of, among: F.concat(F.array(F.lit(0)), F.transform(of, lambda x: F.nullif(F.array_position(among, x), F.lit(0)).cast("int")))
     u = _held(u, {f"to{i}": place(F.col(f"p{i}"), F.col("alts")) for i in range(n)} | {f"back{i}": place(F.col("alts"), F.col(f"p{i}")) for i in range(n)})
+    u = _held(u, {f"unseen{i}": F.nullif(F.greatest(*[F.coalesce(F.array_position(f"p{i}", x), F.lit(0)) for x in UNSEEN]), F.lit(0)).cast("int") for i in range(n)})
     absent = F.lit(0) if missing_to_ref else F.lit(None).cast("int")
     blank = F.struct(*[(F.struct(F.array(absent, absent).alias("alleles"), F.lit(False).alias("phased")) if k == "GT" else F.lit(None)).cast(t.simpleString()).alias(k) for k, t in fmt.items()])
 
     def renumbered(i: int) -> Callable[[Column], Column]:
         def one(s: Column) -> Column:
             gt = F.struct(F.transform(s["GT"]["alleles"], lambda x: F.get(f"to{i}", x)).alias("alleles"), s["GT"]["phased"].alias("phased")) if "GT" in fmt else None
-            return F.struct(*[(gt if k == "GT" else _remapped(s[k], known.get(k, ""), t, F.col(f"back{i}"))).cast(t.simpleString()).alias(k) for k, t in fmt.items()])
+            return F.struct(*[(gt if k == "GT" else _remapped(s[k], known.get(k, ""), t, F.col(f"back{i}"), F.col(f"unseen{i}"))).cast(t.simpleString()).alias(k) for k, t in fmt.items()])
 
         return one
 
     parts = [F.when(F.col(f"s{i}").isNull(), F.array_repeat(blank, size)).otherwise(F.transform(f"s{i}", renumbered(i))) for i, size in enumerate(sizes)]
     u = _held(u, {"samples": F.concat(*parts)})
-    values = lambda k, t: F.array(*[_remapped(F.col(f"info_{k}_{i}"), known.get(k, ""), t, F.col(f"back{i}")) for i in range(n)])
+    values = lambda k, t: F.array(*[_remapped(F.col(f"info_{k}_{i}"), known.get(k, ""), t, F.col(f"back{i}"), F.col(f"unseen{i}")) for i in range(n)])
     fields = {k: reduced(rules.get(k, "first"), values(k, t), t) for k, t in info.items()}
     if "GT" in fmt:
         fresh = {"AN": g.allele_number(F.col("samples")), "AC": F.coalesce(g.allele_counts(F.col("samples"), F.col("alts")), F.transform("alts", lambda _: F.lit(0)))}

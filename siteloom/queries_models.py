@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom import proxy
-from siteloom.operators import haplotypes
+from siteloom.operators import gvcf, haplotypes
 from siteloom.operators.sequence import AMINO_ACIDS
 from siteloom.queries import query
 
@@ -41,3 +41,35 @@ def haplotype_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = proxy.sites(spark, sf_dir).where("length(alts[0]) = 1").select("chrom", "pos", "ref", "alts", "samples")
     told = haplotypes.haplotype_consequences(s, _transcripts(spark, sf_dir)).where("told_at is null")
     return told.groupBy(F.substring_index("transcript", "-", 1).alias("chrom"), F.substring_index("consequence", "|", 1).alias("consequence"), "amino").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- blocks of three tables
+def _block_table(spark: SparkSession, sf_dir: str, t: int) -> DataFrame:
+    """Orders as blocks of two to eight bases, every fifth of them a site."""
+    key = F.col("o_orderkey")
+    pos = key * 10 + 3 * t
+    a_site = key % 5 == t
+    orders = proxy.table(spark, sf_dir, "orders").where(key % 3 != t)
+    gt = F.struct(F.when(a_site, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(0))).alias("alleles"), F.lit(False).alias("phased"))
+    return orders.select(
+        F.col("o_orderstatus").alias("chrom"), F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("contig_idx"), pos.alias("pos"), (pos + F.when(a_site, 0).otherwise(1 + key % 7)).alias("end"), F.lit(None).cast("string").alias("id"),
+        F.lit("A").alias("ref"), F.when(a_site, F.array(F.lit("C"))).otherwise(F.array(F.lit("<*>"))).alias("alts"), F.lit(None).cast("float").alias("qual"), F.array().cast("array<string>").alias("filters"),
+        F.struct((key % 50).cast("int").alias("MinDP")).alias("info"), F.array(F.struct(gt.alias("GT"), (key % 40).cast("int").alias("DP"))).alias("samples"),
+    )
+
+
+@query(
+    "WITH k AS (SELECT o_orderstatus AS chrom, o_orderkey AS key, t, o_orderkey * 10 + 3 * t AS pos, o_orderkey % 5 = t AS site, CASE WHEN o_orderkey % 5 = t THEN o_orderkey * 10 + 3 * t ELSE o_orderkey * 10 + 3 * t + 1 + o_orderkey % 7 END AS e FROM orders CROSS JOIN range(3) r(t) WHERE o_orderkey % 3 <> t), "
+    "p AS (SELECT DISTINCT chrom, pos AS lo FROM k UNION SELECT DISTINCT chrom, e + 1 FROM k), s AS (SELECT chrom, lo, lead(lo) OVER (PARTITION BY chrom ORDER BY lo) - 1 AS until FROM p), "
+    "m AS (SELECT s.chrom, lo, until, t, key, site FROM s JOIN k ON k.chrom = s.chrom AND k.pos <= s.lo AND k.e >= s.lo AND k.pos > s.lo - 12) "
+    "SELECT chrom, lo AS pos, until AS \"end\", min(key % 50)::INT AS min_dp, string_agg((key % 40)::VARCHAR, ',' ORDER BY t) AS dp, string_agg(t::VARCHAR, ',' ORDER BY t) AS tables, count(*) FILTER (WHERE site) AS ac, "
+    "max(CASE WHEN site THEN 1 ELSE 0 END) = 1 AS is_site FROM m GROUP BY chrom, lo, until",
+    prefix=False,
+)
+def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables of blocks and sites side by side."""
+    out = gvcf.merge_blocks([_block_table(spark, sf_dir, t) for t in range(3)], [1, 1, 1], "both", {"MinDP": "min"})
+    called = F.filter(F.transform("samples", lambda s, i: F.struct(i.alias("t"), s["DP"].alias("dp"), s["GT"]["alleles"].alias("a"))), lambda x: x["dp"].isNotNull())
+    text = lambda f: F.array_join(F.transform(called, lambda x: x[f].cast("string")), ",")
+    ac = F.size(F.filter(called, lambda x: F.exists(x["a"], lambda y: y > 0))).cast("long")
+    return out.select("chrom", "pos", "end", F.col("info.MinDP").alias("min_dp"), text("dp").alias("dp"), text("t").alias("tables"), ac.alias("ac"), F.array_contains("alts", "C").alias("is_site"))
