@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom import proxy
-from siteloom.operators import gvcf, haplotypes
+from siteloom.operators import calling, gvcf, haplotypes, likelihoods
 from siteloom.operators.sequence import AMINO_ACIDS
 from siteloom.queries import query
 
@@ -73,3 +73,52 @@ def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda f: F.array_join(F.transform(called, lambda x: x[f].cast("string")), ",")
     ac = F.size(F.filter(called, lambda x: F.exists(x["a"], lambda y: y > 0))).cast("long")
     return out.select("chrom", "pos", "end", F.col("info.MinDP").alias("min_dp"), text("dp").alias("dp"), text("t").alias("tables"), ac.alias("ac"), F.array_contains("alts", "C").alias("is_site"))
+
+
+# --- likelihoods of reads
+_OFF = "CASE l_linenumber % 3 WHEN 0 THEN i WHEN 1 THEN CASE WHEN i < 5 THEN i ELSE i + 1 END ELSE CASE WHEN i < 4 THEN i WHEN i < 6 THEN NULL ELSE i - 2 END END"
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as reads of twelve bases, with a deletion, an insertion or neither; the reference has A, C, G, T in turn."""
+    t = proxy.table(spark, sf_dir, "lineitem").withColumn("p", F.col("l_orderkey") * 4 + F.col("l_linenumber")).withColumn("q", F.col("l_quantity").cast("int"))
+    seq = f"array_join(transform(sequence(0, 11), i -> coalesce(substring('ACGT', cast((p + ({_OFF}) + if((q + i) % 9 = 0, 1, 0)) % 4 as int) + 1, 1), 'A')), '')"
+    qual = "array_join(transform(sequence(0, 11), i -> char(33 + 10 + (q * (i + 1)) % 30)), '')"
+    return t.select(
+        F.concat(F.lit("L"), (F.col("l_suppkey") % 3).cast("string")).alias("chrom"), F.col("p").alias("pos"), (F.col("l_partkey") % 2).cast("string").alias("sample"),
+        F.expr("CASE l_linenumber % 3 WHEN 0 THEN '12M' WHEN 1 THEN '5M1D7M' ELSE '4M2I6M' END").alias("cigar"), F.expr(seq).alias("seq"), F.expr(qual).alias("qual"), F.lit(60).alias("mapq"), (F.col("l_suppkey") % 2 == 1).alias("reverse"),
+    )
+
+
+_TAIL = "list_sum(list_transform(range({k}, (n + 1)::BIGINT), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(e) + (n - x) * ln(1 - e))))"
+
+
+@query(
+    f"WITH b AS (SELECT 'L' || l_suppkey % 3 AS chrom, l_orderkey * 4 + l_linenumber + ({_OFF}) AS pos, (l_partkey % 2)::VARCHAR AS sample, (l_orderkey * 4 + l_linenumber + ({_OFF}) + CASE WHEN (l_quantity::INT + i) % 9 = 0 THEN 1 ELSE 0 END) % 4 AS base, "
+    f"10 + (l_quantity::INT * (i + 1)) % 30 AS q, l_suppkey % 2 AS strand, l_orderkey * 8 + l_linenumber AS k, i FROM lineitem CROSS JOIN range(12) r(i) WHERE ({_OFF}) IS NOT NULL), "
+    "w AS (SELECT *, count(*) OVER (PARTITION BY chrom, pos, sample) AS n, row_number() OVER (PARTITION BY chrom, pos, sample, base ORDER BY q DESC, strand DESC, k, i) - 1 AS c, row_number() OVER (PARTITION BY chrom, pos, sample, base, strand ORDER BY q DESC, k, i) - 1 AS w, power(10, -q / 10) AS e FROM b), "
+    f"v AS (SELECT *, (0.97 * power(1 - 0.83, w) + 0.03) * -10 / ln(10) * (ln({_TAIL.format(k='c + 1')}) - ln({_TAIL.format(k='c')})) AS said FROM w), "
+    "g AS (SELECT chrom, pos, sample, sum(said) AS total, " + ", ".join(f"coalesce(sum(said) FILTER (WHERE base = {k}), 0) AS a{k}, count(*) FILTER (WHERE base = {k}) AS n{k}" for k in range(4)) + " FROM v GROUP BY ALL), "
+    "h AS (SELECT *, [" + ", ".join(f"greatest(total - a{a} - a{b} - 4.343 * (lgamma(n{a} + n{b} + 1) - lgamma(n{a} + 1) - lgamma(n{b} + 1) - ln(2) * (n{a} + n{b})), 0)" if a < b else f"greatest(total - a{a}, 0)" for b in range(4) for a in range(b + 1)) + "] AS l FROM g) "
+    "SELECT chrom, pos, sample, n0 || ',' || n1 || ',' || n2 || ',' || n3 AS depth, array_to_string(list_transform(l, lambda x: floor(x - list_min(l) + 0.499)::BIGINT), ',') AS pl FROM h",
+    prefix=False,
+)
+def read_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phred likelihoods of the ten pairs of bases at each position and sample."""
+    found = likelihoods.sample_likelihoods(likelihoods.base_codes(_reads(spark, sf_dir)))
+    pairs = F.array(*[F.lit(a * 5 + b) for b in range(4) for a in range(b + 1)])
+    values = F.transform(pairs, lambda i: F.get("likelihoods", i))
+    text = F.array_join(F.transform(values, lambda v: F.floor(v - F.array_min(values) + 0.499).cast("string")), ",")
+    return found.select("chrom", "pos", "sample", F.array_join(F.transform("depth", lambda x: x.cast("string")), ",").alias("depth"), text.alias("pl"))
+
+
+@query()
+def read_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: genotypes called from the reads, base qualities lowered by alignment quality; the parts are held against enumerations."""
+    reads = _reads(spark, sf_dir)
+    ends = reads.groupBy("chrom").agg(F.max("pos").alias("n"))
+    chunks = ends.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") + 40) / 1000))).alias("chunk")).withColumn("seq", F.lit("CGTA" * 250))
+    found = likelihoods.sample_likelihoods(likelihoods.base_codes(reads, chunks, 1000, baq=True))
+    bases = found.select("chrom", "pos").distinct().withColumn("base", F.expr("substring('ACGT', cast(pos % 4 as int) + 1, 1)"))
+    sites = likelihoods.likelihood_sites(found, ["0", "1"], bases)
+    return calling.multiallelic_calls(sites).select("chrom", "pos", "alleles", "gts", F.round("qual", 3).alias("qual"))
