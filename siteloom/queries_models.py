@@ -95,7 +95,7 @@ _TAIL = "list_sum(list_transform(range({k}, (n + 1)::BIGINT), lambda x: exp(lgam
 
 @query(
     f"WITH b AS (SELECT 'L' || l_suppkey % 3 AS chrom, l_orderkey * 4 + l_linenumber + ({_OFF}) AS pos, (l_partkey % 2)::VARCHAR AS sample, (l_orderkey * 4 + l_linenumber + ({_OFF}) + CASE WHEN (l_quantity::INT + i) % 9 = 0 THEN 1 ELSE 0 END) % 4 AS base, "
-    f"10 + (l_quantity::INT * (i + 1)) % 30 AS q, l_suppkey % 2 AS strand, l_orderkey * 8 + l_linenumber AS k, i FROM lineitem CROSS JOIN range(12) r(i) WHERE ({_OFF}) IS NOT NULL), "
+    f"10 + (l_quantity::INT * (i + 1)) % 30 AS q, l_suppkey % 2 AS strand, row_number() OVER () AS k, i FROM lineitem CROSS JOIN range(12) r(i) WHERE ({_OFF}) IS NOT NULL), "
     "w AS (SELECT *, count(*) OVER (PARTITION BY chrom, pos, sample) AS n, row_number() OVER (PARTITION BY chrom, pos, sample, base ORDER BY q DESC, strand DESC, k, i) - 1 AS c, row_number() OVER (PARTITION BY chrom, pos, sample, base, strand ORDER BY q DESC, k, i) - 1 AS w, power(10, -q / 10) AS e FROM b), "
     f"v AS (SELECT *, (0.97 * power(1 - 0.83, w) + 0.03) * -10 / ln(10) * (ln({_TAIL.format(k='c + 1')}) - ln({_TAIL.format(k='c')})) AS said FROM w), "
     "g AS (SELECT chrom, pos, sample, sum(said) AS total, " + ", ".join(f"coalesce(sum(said) FILTER (WHERE base = {k}), 0) AS a{k}, count(*) FILTER (WHERE base = {k}) AS n{k}" for k in range(4)) + " FROM v GROUP BY ALL), "
