@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom import proxy
-from siteloom.operators import calling, gvcf, haplotypes, likelihoods
+from siteloom.operators import calling, gvcf, haplotypes, indels, likelihoods
 from siteloom.operators.sequence import AMINO_ACIDS
 from siteloom.queries import query
 
@@ -122,3 +122,27 @@ def read_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     bases = found.select("chrom", "pos").distinct().withColumn("base", F.expr("substring('ACGT', cast(pos % 4 as int) + 1, 1)"))
     sites = likelihoods.likelihood_sites(found, ["0", "1"], bases)
     return calling.multiallelic_calls(sites).select("chrom", "pos", "alleles", "gts", F.round("qual", 3).alias("qual"))
+
+
+# --- indels of reads
+@query(
+    "WITH r AS (SELECT 'L' || l_suppkey % 3 AS chrom, l_orderkey * 4 + l_linenumber AS b, l_orderkey * 4 + l_linenumber + CASE l_linenumber % 3 WHEN 0 THEN 11 WHEN 1 THEN 12 ELSE 9 END AS e, (l_partkey % 2)::VARCHAR AS sample, l_linenumber % 3 AS kind FROM lineitem), "
+    "i AS (SELECT chrom, CASE kind WHEN 1 THEN b + 4 ELSE b + 3 END AS pos, sample, kind, count(*) AS n FROM r WHERE kind > 0 GROUP BY ALL), s AS (SELECT chrom, pos, sample, sum(n) AS n FROM i GROUP BY ALL), "
+    "p AS (SELECT chrom, pos FROM s GROUP BY ALL HAVING max(n) >= 2), d AS (SELECT p.chrom, p.pos, r.sample, count(*) AS depth FROM p JOIN r ON r.chrom = p.chrom AND r.b <= p.pos AND r.e >= p.pos AND r.b > p.pos - 13 GROUP BY ALL), "
+    "f AS (SELECT d.chrom, d.pos, depth, coalesce(n, 0) AS n FROM d LEFT JOIN s USING (chrom, pos, sample)) "
+    "SELECT chrom, pos, max(n)::BIGINT AS idv, round(max(n / depth), 6) AS imf, sum(depth)::BIGINT AS depth, (SELECT count(DISTINCT kind) FROM i WHERE i.chrom = f.chrom AND i.pos = f.pos) AS n_types FROM f GROUP BY chrom, pos HAVING max(CASE WHEN n >= 2 AND n / depth >= 0.05 THEN 1 ELSE 0 END) = 1",
+    prefix=False,
+)
+def indel_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions at which reads show indels: the most reads of a sample, their share, the depth."""
+    found = indels.candidates(indels.spans(_reads(spark, sf_dir)))
+    return found.select("chrom", F.col("at").alias("pos"), "idv", F.round("imf", 6).alias("imf"), "depth", F.size("types").cast("long").alias("n_types"))
+
+
+@query()
+def indel_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: reads realigned to the haplotypes of each candidate; distances and likelihoods are held against plain versions."""
+    reads = _reads(spark, sf_dir)
+    chunks = reads.groupBy("chrom").agg(F.max("pos").alias("n")).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") + 200) / 1000))).alias("chunk")).withColumn("seq", F.lit("CGTA" * 250))
+    out = indels.indel_sites(reads, chunks, 1000, ["0", "1"])
+    return out.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), "info.IDV", F.round("info.IMF", 6).alias("IMF"), F.to_json("samples").alias("samples"))
