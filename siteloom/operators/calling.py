@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +85,108 @@ def multiallelic_calls(df: DataFrame, theta: float = THETA) -> DataFrame:
     return t.mapInPandas(run, "chrom string, pos long, alleles array<int>, gts array<string>, gqs array<int>, qual double")
 
 
+def allele_count_spectrum(likelihoods: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """sites x (2n + 1) likelihoods of each number of ALT alleles among n diploid samples, each row scaled, and the logs of the scales.
+
+    ``likelihoods``: sites x samples x 3 (by number of ALT alleles). All ways to deal k alleles to the samples weigh the
+    same; samples are added one by one.
+    """
+    sites, n, _ = likelihoods.shape
+    z, scale = np.zeros((sites, 2 * n + 1)), np.zeros(sites)
+    z[:, 0] = 1
+    for j in range(1, n + 1):
+        k, m = np.arange(2 * j + 1), 2 * j
+        one, two = np.zeros((sites, m + 1)), np.zeros((sites, m + 1))
+        one[:, 1:], two[:, 2:] = z[:, :m], z[:, : m - 1]
+        p = likelihoods[:, j - 1, :, None]
+        new = ((m - k) * (m - k - 1) * p[:, 0] * z[:, : m + 1] + 2 * k * (m - k) * p[:, 1] * one + k * (k - 1) * p[:, 2] * two) / (m * (m - 1))
+        total = np.maximum(new.sum(1), 1e-300)
+        z[:, : m + 1] = new / total[:, None]
+        scale += np.log(total)
+    return z, scale
+
+
+def _best_frequency(like: np.ndarray, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+    """ALT frequency of sites x samples x 3 likelihoods by expectation and maximisation, and its log likelihood.
+
+    There may be several summits: it begins at a low, an even and a high frequency, and the best end counts.
+    """
+    weigh = lambda g: np.stack([(1 - g) ** 2, 2 * g * (1 - g), g * g], 1)[:, None]
+    best, best_ll = np.zeros(len(like)), np.full(len(like), -np.inf)
+    for start in (0.02, 0.5, 0.98):
+        f = np.full(len(like), start)
+        moving = np.arange(len(like)) if like.shape[1] else np.zeros(0, int)
+        while len(moving):
+            post = like[moving] * weigh(f[moving])
+            post /= np.maximum(post.sum(2, keepdims=True), 1e-300)
+            new = (post[:, :, 1] + 2 * post[:, :, 2]).mean(1) / 2
+            still = np.abs(new - f[moving]) >= tolerance
+            f[moving] = new
+            moving = moving[still]
+        ll = np.log(np.maximum((like * weigh(f)).sum(2), 1e-300)).sum(1)
+        best, best_ll = np.where(ll > best_ll, f, best), np.maximum(ll, best_ll)
+    return best, best_ll
+
+
+def consensus_calls(df: DataFrame, theta: float = 1e-3, variant_below: float = 0.5, first_group: list[int] | None = None) -> DataFrame:
+    """chrom, pos, qual, p_ref, af, gts, gqs, chi2 of REF and the first ALT by the spectrum of allele counts.
+
+    The prior of k ALT alleles among 2n is theta / k. ``p_ref`` is the chance of none of them, ``af`` the expected share; a
+    site varies if ``p_ref`` is below ``variant_below``. Genotypes take the proportions of that share as their prior. ``chi2``:
+    twice the gain in log likelihood if the samples of ``first_group`` have a frequency of their own (null without one).
+    Null, short and flat PL say nothing; a site without samples has null results. Sites of a batch are solved together.
+    """
+    pl = F.transform("samples", lambda s: F.when((F.size(s["PL"]) >= 3) & F.forall(s["PL"], lambda v: v.isNotNull()), F.slice(s["PL"], 1, 3)).otherwise(F.array(F.lit(0), F.lit(0), F.lit(0))))
+    t = df.select("chrom", F.col("pos").cast("long").alias("pos"), F.transform(F.flatten(pl), lambda v: v.cast("double")).alias("p"))
+    schema = "chrom string, pos long, qual double, p_ref double, af double, gts array<string>, gqs array<int>, chi2 double"
+
+    def solved(p: np.ndarray) -> list[tuple]:
+        like = 10 ** (-p / 10)
+        n = p.shape[1]
+        z, _ = allele_count_spectrum(like)
+        k = np.arange(2 * n + 1)
+        prior = np.concatenate([[0.0], theta / k[1:]])
+        prior[0] = max(1 - prior.sum(), 1e-300)
+        post = z * prior
+        post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
+        p_ref, rest = post[:, 0], post[:, 1:].sum(1)
+        af = post @ k / (2 * n)
+        qual = -4.343 * np.log(np.maximum(np.where(p_ref < variant_below, p_ref, rest), 1e-100))
+        f = af[:, None]
+        weigh = np.stack([(1 - f) ** 2, 2 * f * (1 - f), f * f], 2)
+        g = like * weigh
+        g /= np.maximum(g.sum(2, keepdims=True), 1e-300)
+        best = np.where((p_ref < variant_below)[:, None], g.argmax(2), 0)
+        wrong = 1 - np.take_along_axis(g, best[:, :, None], 2)[:, :, 0]
+        gq = np.minimum(99, np.floor(-4.343 * np.log(np.maximum(wrong, 1e-10)) + 0.499)).astype(int)
+        flat = (p == p[:, :, :1]).all(2)
+        chi2 = [None] * len(p)
+        if first_group is not None:
+            other = [i for i in range(n) if i not in set(first_group)]
+            parts = [_best_frequency(like[:, x])[1] for x in (list(range(n)), [i for i in first_group if i < n], other)]
+            chi2 = np.maximum(0, 2 * (parts[1] + parts[2] - parts[0])).tolist()
+        names = np.array(["0/0", "0/1", "1/1"])
+        return [(float(min(q, 999.0)), float(a), float(b), np.where(m, "./.", names[c]).tolist(), np.where(m, 0, d).tolist(), x) for q, a, b, c, d, m, x in zip(qual, p_ref, af, best, gq, flat, chi2, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.float64()]
+        for b in batches:
+            column = b.column("p")
+            sizes, flat = np.diff(column.offsets.to_numpy()) // 3, column.flatten().to_numpy(zero_copy_only=False)
+            starts, out = np.concatenate([[0], np.cumsum(3 * sizes)]), [(None,) * 6] * b.num_rows
+            for n in set(sizes.tolist()) - {0}:
+                rows = np.flatnonzero(sizes == n)
+                # as many sites at once as keep the spectrum within some MB
+                for at in range(0, len(rows), max(1, 1_000_000 // (2 * n + 1))):
+                    some = rows[at : at + max(1, 1_000_000 // (2 * n + 1))]
+                    p = np.stack([flat[starts[i] : starts[i] + 3 * n].reshape(n, 3) for i in some])
+                    for i, x in zip(some, solved(p), strict=True):
+                        out[i] = x
+            yield pa.RecordBatch.from_arrays([b.column("chrom"), b.column("pos"), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], names=["chrom", "pos", "qual", "p_ref", "af", "gts", "gqs", "chi2"])
+
+    return t.mapInArrow(run, schema)
+
+
 def pileup(reads: DataFrame, least_quality: int = 0) -> DataFrame:
     """chrom, pos, sample and counts of bases from aligned reads (chrom, pos, sample, cigar, seq, mapq).
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom import proxy
+from siteloom.functions import genotype as g
 from siteloom.operators import calling, gvcf, haplotypes, indels, likelihoods
 from siteloom.operators.sequence import AMINO_ACIDS
 from siteloom.queries import query
@@ -146,3 +147,12 @@ def indel_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = reads.groupBy("chrom").agg(F.max("pos").alias("n")).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") + 200) / 1000))).alias("chunk")).withColumn("seq", F.lit("CGTA" * 250))
     out = indels.indel_sites(reads, chunks, 1000, ["0", "1"])
     return out.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), "info.IDV", F.round("info.IMF", 6).alias("IMF"), F.to_json("samples").alias("samples"))
+
+
+@query()
+def consensus_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: the spectrum of allele counts is a recursion over samples; it is held against enumeration."""
+    pl = lambda x: F.when(g.dosage(x["GT"]).isNotNull(), F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: (F.abs(k - g.dosage(x["GT"])) * x["DP"]).cast("int")))
+    s = proxy.sites(spark, sf_dir)
+    out = calling.consensus_calls(s.withColumn("samples", F.transform("samples", lambda x: F.struct(pl(x).alias("PL")))), first_group=[0, 1, 2])
+    return out.select("chrom", "pos", F.round("qual", 3).alias("qual"), F.round("af", 6).alias("af"), F.array_join("gts", " ").alias("gts"), F.round("chi2", 4).alias("chi2"))
