@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom import proxy
 from siteloom.functions import genotype as g
-from siteloom.operators import calling, gvcf, haplotypes, indels, likelihoods
+from siteloom.operators import calling, denovo, gvcf, haplotypes, indels, likelihoods
 from siteloom.operators.sequence import AMINO_ACIDS
 from siteloom.queries import query
 
@@ -156,3 +156,22 @@ def consensus_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = proxy.sites(spark, sf_dir)
     out = calling.consensus_calls(s.withColumn("samples", F.transform("samples", lambda x: F.struct(pl(x).alias("PL")))), first_group=[0, 1, 2])
     return out.select("chrom", "pos", F.round("qual", 3).alias("qual"), F.round("af", 6).alias("af"), F.array_join("gts", " ").alias("gts"), F.round("chi2", 4).alias("chi2"))
+
+
+_TRIO = "SELECT pos, max(CASE WHEN sample = 1 THEN dosage END) AS c, max(CASE WHEN sample = 2 THEN dosage END) AS f, max(CASE WHEN sample = 3 THEN dosage END) AS m, max(CASE WHEN sample = 1 THEN qty END) AS cq, max(CASE WHEN sample = 2 THEN qty END) AS fq, max(CASE WHEN sample = 3 THEN qty END) AS mq FROM c GROUP BY pos"
+_PRIOR = "CASE WHEN f + m = 0 THEN 0.998 ELSE (0.002 - 0.002 * 0.002) / 3 * CASE f + m WHEN 1 THEN 4.0 / 15 WHEN 2 THEN CASE WHEN m <> 1 THEN 2.0 / 15 ELSE 4.0 / 15 END WHEN 3 THEN 4.0 / 15 ELSE 1.0 / 15 END END"
+
+
+@query(
+    f", t AS ({_TRIO}), g AS (SELECT f.g AS f, m.g AS m, k.g AS k FROM (VALUES (0), (1), (2)) f(g) CROSS JOIN (VALUES (0), (1), (2)) m(g) CROSS JOIN (VALUES (0), (1), (2)) k(g)), "
+    "u AS (SELECT *, f IN (0, 1) AS f0, f IN (1, 2) AS f1, m IN (0, 1) AS m0, m IN (1, 2) AS m1 FROM g), "
+    "v AS (SELECT *, CASE k WHEN 0 THEN f0 AND m0 WHEN 2 THEN f1 AND m1 ELSE (f0 AND m1) OR (f1 AND m0) END AS passed, CASE k WHEN 0 THEN f0 OR m0 WHEN 2 THEN f1 OR m1 ELSE true END AS one FROM u), "
+    f"w AS (SELECT f, m, k, passed, ({_PRIOR}) * CASE WHEN passed THEN (1 - 1e-8) * power(0.5, CASE WHEN f = 1 THEN 1 ELSE 0 END + CASE WHEN m = 1 THEN 1 ELSE 0 END) WHEN one THEN 1e-8 ELSE 1e-16 END AS w FROM v), "
+    "j AS (SELECT t.pos, passed, w * power(10, -(abs(w.f - t.f) * t.fq + abs(w.m - t.m) * t.mq + abs(w.k - t.c) * t.cq) / 10) AS p FROM t CROSS JOIN w WHERE t.c IS NOT NULL AND t.f IS NOT NULL AND t.m IS NOT NULL) "
+    "SELECT pos, round(ln(max(CASE WHEN NOT passed THEN p END) / sum(p)), 4) AS dnm FROM j GROUP BY pos"
+)
+def trio_de_novo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely the first sample has an allele that the second and the third can't have given."""
+    pl = lambda x: F.when(g.dosage(x["GT"]).isNotNull(), F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: (F.abs(k - g.dosage(x["GT"])) * x["DP"]).cast("int")))
+    s = proxy.sites(spark, sf_dir).withColumn("samples", F.transform("samples", lambda x: F.struct(pl(x).alias("PL"))))
+    return denovo.de_novo(s, [(0, 1, 2, "f")]).select("pos", F.round("dnm", 4).alias("dnm"))
