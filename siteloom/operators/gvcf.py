@@ -62,11 +62,12 @@ def pieces(blocks: list[DataFrame], sites: DataFrame) -> DataFrame:
     return p.select("chrom", "contig_idx", "at", "until", F.array_compact(F.array(*[one(i) for i in range(n)])).alias("open")).where(F.size("open") > 0)
 
 
-def merge_blocks(tables: list[DataFrame], sizes: list[int], logic: str = "both", rules: dict[str, str] | None = None, numbers: dict[str, str] | None = None, bases: DataFrame | None = None) -> DataFrame:
+def merge_blocks(tables: list[DataFrame], sizes: list[int], logic: str = "both", rules: dict[str, str] | None = None, numbers: dict[str, str] | None = None, bases: DataFrame | None = None, missing: dict[str, str | float] | None = None) -> DataFrame:
     """Tables of sites and blocks side by side (:func:`siteloom.operators.merge.merge_all` tells how rows become one).
 
     At a site of any table the blocks of the others take part with their values. REF of a piece is the base of a block
-    that begins there, else that of ``bases`` (chrom, pos, base), else N.
+    that begins there, else that of ``bases`` (chrom, pos, base), else N. ``missing``: by default PL is filled by its
+    largest value and AD by 0 for alleles that a table neither knows nor has an unseen allele for.
     """
     marked = [t.withColumn("end", F.coalesce("end", "pos").cast("long")).withColumn("_block", is_block()) for t in tables]
     blocks = [t.where("_block").dropDuplicates(["chrom", "pos"]) for t in marked]
@@ -87,4 +88,4 @@ def merge_blocks(tables: list[DataFrame], sizes: list[int], logic: str = "both",
         mine = met.where(F.col("t") == i).drop("t")
         c = b.drop("_block", "end", "ref").join(mine, ["chrom", "pos"]).drop("pos").withColumnsRenamed({"at": "pos", "until": "end", "base": "ref"})
         sides.append(s.drop("_block").unionByName(c.select(*[x for x in s.columns if x != "_block"])))
-    return merge_all(sides, sizes, logic, rules, numbers=numbers, key="_k")
+    return merge_all(sides, sizes, logic, rules, numbers=numbers, key="_k", missing={"PL": "max", "AD": 0} if missing is None else missing)

@@ -65,25 +65,27 @@ def _class_key(logic: str) -> Column:
     return F.lit("")
 
 
-def _remapped(values: Column, number: str, kind: T.DataType, back: Column, unseen: Column) -> Column:
+def _remapped(values: Column, number: str, kind: T.DataType, back: Column, unseen: Column, missing: str | float | None = None) -> Column:
     """Per-allele values in the merged order. ``back``: for each merged allele (REF first) its place in this table, or null.
 
     ``unseen``: the place of the table's allele for whatever it hasn't seen (``<*>``), or null. Where it has one, alleles
-    that it doesn't know take that allele's value, and genotypes with one of them the value of that allele twice.
+    that it doesn't know take that allele's value, and genotypes with one of them the value of that allele twice; else
+    they take what ``missing`` says: the largest of the values (``max``), a number, or nothing.
     """
     if number not in ("A", "R", "G") or not isinstance(kind, T.ArrayType):
         return values
-    known = lambda k: F.coalesce(k, unseen)
+    fill = F.array_max(values) if missing == "max" else F.lit(None if missing in (None, ".") else missing).cast(kind.elementType.simpleString())
+    one = lambda k, at, instead: F.when(k.isNotNull(), F.get(values, at)).otherwise(F.coalesce(F.get(values, instead), fill))
     if number == "A":
-        out = F.transform(F.slice(back, 2, 1_000_000), lambda k: F.get(values, known(k) - 1))
+        out = F.transform(F.slice(back, 2, 1_000_000), lambda k: one(k, k - 1, unseen - 1))
     elif number == "R":
-        out = F.transform(back, lambda k: F.get(values, known(k)))
+        out = F.transform(back, lambda k: one(k, k, unseen))
     else:
         pairs = F.flatten(F.transform(back, lambda b, j: F.transform(F.slice(back, 1, j + 1), lambda a: F.struct(a.alias("a"), b.alias("b")))))
-        diploid = F.transform(pairs, lambda p: F.get(values, F.when(p["a"].isNull() | p["b"].isNull(), al.genotype_index(unseen, unseen)).otherwise(al.genotype_index(p["a"], p["b"]))))
+        diploid = F.transform(pairs, lambda p: one(p["a"] + p["b"], al.genotype_index(p["a"], p["b"]), al.genotype_index(unseen, unseen)))
         # a haploid call has one value an allele
         haploid = F.size(values) == F.size(F.filter(back, lambda k: k.isNotNull()))
-        out = F.when(haploid & (F.size(values) < 3), F.transform(back, lambda k: F.get(values, known(k)))).otherwise(diploid)
+        out = F.when(haploid & (F.size(values) < 3), F.transform(back, lambda k: one(k, k, unseen))).otherwise(diploid)
     return F.when(values.isNotNull(), out).cast(kind.simpleString())
 
 
@@ -102,13 +104,13 @@ def _held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", rules: dict[str, str] | None = None, missing_to_ref: bool = False, numbers: dict[str, str] | None = None, key: str | None = None) -> DataFrame:
+def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", rules: dict[str, str] | None = None, missing_to_ref: bool = False, numbers: dict[str, str] | None = None, key: str | None = None, missing: dict[str, str | float] | None = None) -> DataFrame:
     """Any number of tables by position and pair logic: one union, one shuffle by the key.
 
     Several rows of one table with the same key pair up in order of their alleles. REFs are padded to the longest one,
     ALTs are united in order, genotypes and the per-allele fields (Number A, R or G by the fields' metadata or by
     ``numbers``) of every table are renumbered; values of alleles that a table doesn't know are those of its ``<*>`` or
-    ``<NON_REF>``, or missing. ``key`` names a column of all tables that stands for the pair logic. Absent samples
+    ``<NON_REF>``, else those of ``missing`` (by FORMAT field: ``max``, a number, or ``.``). ``key`` names a column of all tables that stands for the pair logic. Absent samples
     get missing genotypes, or reference ones with ``missing_to_ref``. INFO fields are reduced by ``rules`` (sum, avg,
     min, max, first, join; ``first`` where none is given), AC and AN, where present, are counted anew.
     """
@@ -146,7 +148,7 @@ def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", ru
     def renumbered(i: int) -> Callable[[Column], Column]:
         def one(s: Column) -> Column:
             gt = F.struct(F.transform(s["GT"]["alleles"], lambda x: F.get(f"to{i}", x)).alias("alleles"), s["GT"]["phased"].alias("phased")) if "GT" in fmt else None
-            return F.struct(*[(gt if k == "GT" else _remapped(s[k], known.get(k, ""), t, F.col(f"back{i}"), F.col(f"unseen{i}"))).cast(t.simpleString()).alias(k) for k, t in fmt.items()])
+            return F.struct(*[(gt if k == "GT" else _remapped(s[k], known.get(k, ""), t, F.col(f"back{i}"), F.col(f"unseen{i}"), (missing or {}).get(k))).cast(t.simpleString()).alias(k) for k, t in fmt.items()])
 
         return one
 
@@ -168,3 +170,54 @@ def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", ru
 def merge(a: DataFrame, b: DataFrame, n_a: int, n_b: int, logic: str = "both", rules: dict[str, str] | None = None, missing_to_ref: bool = False, numbers: dict[str, str] | None = None) -> DataFrame:
     """:func:`merge_all` of two tables."""
     return merge_all([a, b], [n_a, n_b], logic, rules, missing_to_ref, numbers)
+
+
+# --- local alleles
+def localized(df: DataFrame, most: int, numbers: dict[str, str]) -> DataFrame:
+    """Sites with many alleles: each sample keeps REF and its ``most`` likeliest ALTs, listed in ``LAA`` (ascending).
+
+    An ALT is as likely as all genotypes with it together, by FORMAT/PL; of equal ones the first stays. FORMAT fields of
+    Number A, R and G (``numbers``; PL is one of G) become LA.., such as LPL and LAD, with the values of the kept alleles.
+    A sample without PL, or one of another length than that of diploid genotypes, keeps all ALTs and its values.
+    """
+    n = F.size("alts") + 1
+    every = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    alleles = F.sequence(F.lit(0), n - 1)
+    pairs = F.flatten(F.transform(alleles, lambda b: F.transform(F.sequence(F.lit(0), b), lambda a: F.struct(a.alias("a"), b.alias("b")))))
+    out = _held(df, {"_every": every, "_pairs": pairs})
+
+    def kept(s: Column) -> Column:
+        weighed = F.arrays_zip(F.col("_pairs").alias("p"), s["PL"].alias("v"))
+        share = lambda k: F.aggregate(weighed, F.lit(0.0), lambda acc, x: acc + F.when(x["v"].isNotNull(), F.pow(F.lit(10.0), -x["v"] / 10) * ((x["p"]["a"] == k).cast("int") + (x["p"]["b"] == k).cast("int"))).otherwise(0.0))
+        ranked = F.array_sort(F.transform("_every", lambda k: F.struct((-share(k)).alias("w"), k.alias("k"))))
+        usable = (F.size("_every") > most) & s["PL"].isNotNull() & (F.size(s["PL"]) == F.size("_pairs"))
+        return F.when(F.coalesce(usable, F.lit(False)), F.array_sort(F.transform(F.slice(ranked, 1, most), lambda x: x["k"]))).otherwise(F.col("_every"))
+
+    fields = df.schema["samples"].dataType.elementType.fields
+    out = _held(out, {"_laa": F.transform("samples", kept)})
+
+    def cut(s: Column, laa: Column) -> Column:
+        columns = []
+        for f in fields:
+            of = {"A": al.remap_a, "R": al.remap_r, "G": al.remap_g}.get(numbers.get(f.name, ""))
+            all_kept = F.size(laa) == F.size("_every")
+            columns.append((F.when(all_kept | s[f.name].isNull(), s[f.name]).otherwise(of(s[f.name], laa)) if of else s[f.name]).alias(f"L{f.name}" if of else f.name))
+        return F.struct(laa.alias("LAA"), *columns)
+
+    return out.withColumn("samples", F.zip_with("samples", "_laa", cut)).drop("_every", "_pairs", "_laa")
+
+
+def delocalized(df: DataFrame, numbers: dict[str, str], missing: dict[str, str | float] | None = None) -> DataFrame:
+    """The reverse of :func:`localized`: values of alleles that a sample left out are filled by ``missing`` (see :func:`merge_all`)."""
+    fields = df.schema["samples"].dataType.elementType.fields
+    none = F.lit(None).cast("int")
+
+    def whole(s: Column) -> Column:
+        back = F.concat(F.array(F.lit(0)), F.transform(F.when(F.size("alts") > 0, F.sequence(F.lit(1), F.size("alts"))).otherwise(F.array().cast("array<int>")), lambda k: F.nullif(F.array_position(s["LAA"], k), F.lit(0)).cast("int")))
+        columns = []
+        for f in fields:
+            name = f.name[1:] if f.name.startswith("L") else ""
+            columns.append(_remapped(s[f.name], numbers[name], f.dataType, back, none, (missing or {}).get(name)).alias(name) if name in numbers else s[f.name].alias(f.name))
+        return F.struct(*[c for c, f in zip(columns, fields, strict=True) if f.name != "LAA"])
+
+    return df.withColumn("samples", F.transform("samples", whole))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom import proxy
 from siteloom.functions import genotype as g
-from siteloom.operators import calling, denovo, gvcf, haplotypes, indels, likelihoods
+from siteloom.operators import calling, denovo, gvcf, haplotypes, indels, likelihoods, merge
 from siteloom.operators.sequence import AMINO_ACIDS
 from siteloom.queries import query
 
@@ -175,3 +175,19 @@ def trio_de_novo(spark: SparkSession, sf_dir: str) -> DataFrame:
     pl = lambda x: F.when(g.dosage(x["GT"]).isNotNull(), F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: (F.abs(k - g.dosage(x["GT"])) * x["DP"]).cast("int")))
     s = proxy.sites(spark, sf_dir).withColumn("samples", F.transform("samples", lambda x: F.struct(pl(x).alias("PL"))))
     return denovo.de_novo(s, [(0, 1, 2, "f")]).select("pos", F.round("dnm", 4).alias("dnm"))
+
+
+@query(
+    ", p AS (SELECT pos, sample, qty, list_transform(range(10), lambda k: (qty * (7 * k + 3) + price % 1009 + k * k) % 61) AS pl FROM c WHERE sample <= 3 AND qty IS NOT NULL), "
+    "x AS (SELECT *, list_transform([1, 2, 3], lambda a: list_sum(list_transform(range(10), lambda k: power(10, -pl[k + 1] / 10) * (CASE WHEN [0, 1, 1, 2, 2, 2, 3, 3, 3, 3][k + 1] = a THEN 1 ELSE 0 END + CASE WHEN [0, 0, 1, 0, 1, 2, 0, 1, 2, 3][k + 1] = a THEN 1 ELSE 0 END)))) AS w FROM p), "
+    "y AS (SELECT *, CASE WHEN w[1] >= w[2] AND w[1] >= w[3] THEN 1 WHEN w[2] >= w[3] THEN 2 ELSE 3 END AS a FROM x) "
+    "SELECT pos, sample - 1 AS sample, a AS laa, pl[1] || ',' || pl[a * (a + 1) // 2 + 1] || ',' || pl[a * (a + 3) // 2 + 1] AS lpl FROM y"
+)
+def local_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ALTs, of which each sample keeps its likeliest."""
+    values = lambda x, price: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: ((x["DP"] * (7 * k + 3) + price + k * k) % 61).cast("int"))
+    calls = proxy.calls_long(spark, sf_dir).where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("pos")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("i"), F.col("qty").cast("int").alias("DP"), (F.col("price") % 1009).alias("price"))).alias("x"))
+    orders = proxy.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"))
+    df = orders.join(calls, "pos").select("pos", F.array(*[F.lit(a) for a in ("C", "G", "T")]).alias("alts"), F.transform("x", lambda x: F.struct(x["i"].alias("i"), values(x, x["price"]).alias("PL"))).alias("samples"))
+    out = merge.localized(df, 1, {"PL": "G"}).select("pos", F.explode("samples").alias("s"))
+    return out.select("pos", (F.col("s.i") - 1).alias("sample"), F.get("s.LAA", F.lit(0)).alias("laa"), F.array_join(F.transform("s.LPL", lambda v: v.cast("string")), ",").alias("lpl"))

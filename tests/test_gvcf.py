@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from siteloom.operators import gvcf
+from siteloom.operators import gvcf, merge
 from tests.test_variants import frame, site
 
 
@@ -81,7 +81,7 @@ def test_values_of_the_unseen_allele(spark):
     b = frame(spark, [site(5, ref="C", alts=("T",), samples=(("0/1", 7, (4, 0, 9)),))])
     rows = gvcf.merge_blocks([a, b], [1, 1], "both", numbers={"AD": "G"}).orderBy("pos").collect()
     assert [(x.pos, x.end, x.ref, x.alts) for x in rows] == [(1, 4, "C", ["<*>"]), (5, 5, "C", ["<*>", "T"]), (6, 10, "N", ["<*>"])]
-    assert rows[1].samples[0].AD == [0, 4, 10, 10, 10, 10] and rows[1].samples[1].AD == [4, None, None, 0, None, 9]
+    assert rows[1].samples[0].AD == [0, 4, 10, 10, 10, 10] and rows[1].samples[1].AD == [4, 0, 0, 0, 0, 9]
     assert [s.GT.alleles for s in rows[1].samples] == [[0, 0], [0, 2]] and rows[0].samples[1].GT.alleles == [None, None]
     bases = spark.createDataFrame([("1", 6, "g")], "chrom string, pos long, base string")
     assert [x.ref for x in gvcf.merge_blocks([a, b], [1, 1], bases=bases).orderBy("pos").collect()] == ["C", "C", "G"]
@@ -90,3 +90,27 @@ def test_values_of_the_unseen_allele(spark):
     got = [(x.pos, x.end, x.samples[0].GQ) for x in gvcf.merge_blocks([c, b.where("false")], [1, 1]).orderBy("pos").collect()]
     assert got == [(1, 2, 5), (3, 3, 9), (4, 10, 5), (12, 12, 5)]
     assert gvcf.merge_blocks([b.where("false"), a.where("false")], [1, 1]).count() == 0
+
+
+def test_missing_rules(spark):
+    a, b = frame(spark, [site(5, ref="C", alts=("T",), samples=(("0/1", 7, (4, 0, 9)),))]), frame(spark, [site(5, ref="C", alts=("G",), samples=(("0/1", 7, (8, None, 1)),))])
+    got = {k: [s.AD for s in merge.merge_all([a, b], [1, 1], "both", numbers={"AD": "G"}, missing=rule).first().samples] for k, rule in (("none", None), ("dot", {"AD": "."}), ("max", {"AD": "max"}), ("zero", {"AD": 0}))}
+    assert got["none"] == got["dot"] == [[4, 0, 9, None, None, None], [8, None, None, None, None, 1]]
+    assert got["max"] == [[4, 0, 9, 9, 9, 9], [8, 8, 8, None, 8, 1]] and got["zero"] == [[4, 0, 9, 0, 0, 0], [8, 0, 0, None, 0, 1]]
+
+
+def test_local_alleles(spark):
+    schema = "chrom string, pos long, alts array<string>, samples array<struct<PL:array<int>,AD:array<int>,DP:int>>"
+    pl = [90, 80, 70, 60, 50, 40, 0, 30, 20, 10]  # of 00 01 11 02 12 22 03 13 23 33
+    rows = [("1", 1, ["C", "G", "T"], [(pl, [5, 0, 1, 7], 3), (None, None, None), ([1, 2], [1, 2, 3, 4], 4)]), ("1", 2, ["C"], [([0, 3, 9], [4, 1], 5)]), ("1", 3, [], [([0], [4], 5)])]
+    df, numbers = spark.createDataFrame(rows, schema), {"PL": "G", "AD": "R"}
+    got = {x.pos: x.samples for x in merge.localized(df, 1, numbers).collect()}
+    assert [tuple(s) for s in got[1]] == [([3], [90, 0, 10], [5, 7], 3), ([1, 2, 3], None, None, None), ([1, 2, 3], [1, 2], [1, 2, 3, 4], 4)]
+    assert tuple(got[2][0]) == ([1], [0, 3, 9], [4, 1], 5) and tuple(got[3][0]) == ([], [0], [4], 5)
+    two = merge.localized(df, 2, numbers)
+    assert {x.pos: x.samples[0].LAA for x in two.collect()} == {1: [2, 3], 2: [1], 3: []}
+    # all that is kept comes back, what was left out by the rule
+    back = {x.pos: x.samples for x in merge.delocalized(two, numbers, {"PL": "max", "AD": 0}).collect()}
+    assert tuple(back[1][0]) == ([90, 90, 90, 60, 90, 40, 0, 90, 20, 10], [5, 0, 1, 7], 3) and tuple(back[2][0]) == ([0, 3, 9], [4, 1], 5)
+    whole = merge.delocalized(merge.localized(df, 3, numbers), numbers)
+    assert sorted(map(str, whole.where("pos > 1").collect())) == sorted(map(str, df.where("pos > 1").collect())) and whole.first().samples[0].PL == pl
