@@ -191,13 +191,14 @@ def trio_stats(df: DataFrame, trios: list[tuple[int, int, int]]) -> DataFrame:
 
 def switch_rate(df: DataFrame, trios: list[tuple[int, int, int]]) -> DataFrame:
     """Phase switches of each child over its heterozygous sites that one parent's allele explains."""
-    from pyspark.sql import Window
+    from siteloom.operators.carried import carried, ranged
 
     t = trio_table(df, trios).where(g.is_het(F.col("c")) & F.col("c.phased"))
     c0, c1 = F.get("c.alleles", F.lit(0)), F.get("c.alleles", F.lit(1))
     has = lambda p, a: F.coalesce(F.array_contains(F.col(f"{p}.alleles"), a), F.lit(False))
     straight, crossed = has("f", c0) & has("m", c1), has("f", c1) & has("m", c0)
     t = t.withColumn("phase", F.when(straight & ~crossed, 0).when(crossed & ~straight, 1)).where("phase is not null")
-    w = Window.partitionBy("trio", "chrom").orderBy("pos", "ref")
-    t = t.withColumn("_s", (F.lag("phase").over(w) != F.col("phase")).cast("int"))
+    keys, order = ["trio", "chrom"], ["pos", "ref"]
+    t = carried(ranged(t.select(*keys, *order, "phase"), keys, order), keys, order, before={"_last": F.col("phase")})
+    t = t.withColumn("_s", (F.col("_last") != F.col("phase")).cast("int"))
     return t.groupBy("trio").agg(F.count(F.lit(1)).alias("n_tested"), F.coalesce(F.sum("_s"), F.lit(0)).alias("n_switches"))

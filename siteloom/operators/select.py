@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.expr import Compiled, compile_filter
 from siteloom.functions import alleles as al
 from siteloom.functions import genotype as g
+from siteloom.operators.carried import carried, ranged
 from siteloom.operators.ranges import overlap_join
 from siteloom.schema import schema_of
 
@@ -211,12 +212,15 @@ def snp_gap(df: DataFrame, gap: int, types: tuple[str, ...] = ("indel",), name:
 def indel_gap(df: DataFrame, gap: int, name: str = "IndelGap") -> DataFrame:
     """Of indels chained by gaps of at most ``gap`` the best stays (QUAL, then alternate alleles, then the first)."""
     is_indel = F.array_contains(al.variant_types(F.col("ref"), F.col("alts")), "indel")
-    out = df.withColumn("_indel", is_indel).withColumn("_n", F.size(F.filter(g.called_alleles(F.col("samples")), lambda a: a > 0)))
-    w = Window.partitionBy("chrom", "_indel").orderBy("pos", "ref")
-    reach = F.max(F.col("pos") + F.length("ref") - 1).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = out.withColumn("_new", F.coalesce((F.col("pos") - reach > gap).cast("int"), F.lit(1))).withColumn("_cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.row_number().over(Window.partitionBy("chrom", "_indel", "_cluster").orderBy(F.desc_nulls_last("qual"), F.desc("_n"), "pos", "ref"))
-    return soft_filter(out.withColumn("_best", best), ~F.col("_indel") | (F.col("_best") == 1), name, append=True).drop("_indel", "_n", "_new", "_cluster", "_best")
+    order = ["pos", "ref"]
+    # the indels alone are put in order; what they reach and their chains are carried along the contig
+    t = ranged(df.where(is_indel).withColumn("_n", F.size(F.filter(g.called_alleles(F.col("samples")), lambda a: a > 0))), ["chrom"], order)
+    t = carried(t, ["chrom"], order, maxima={"_reach": F.col("pos") + F.length("ref") - 1}, inclusive=False)
+    t = carried(t, ["chrom"], order, sums={"_cluster": F.coalesce((F.col("pos") - F.col("_reach") > gap).cast("int"), F.lit(1))})
+    best = F.row_number().over(Window.partitionBy("chrom", "_cluster").orderBy(F.desc_nulls_last("qual"), F.desc("_n"), "pos", "ref"))
+    t = t.withColumn("_best", best == 1).select(*df.columns, "_best")
+    out = df.where(~is_indel).withColumn("_best", F.lit(True)).unionByName(t)
+    return soft_filter(out, F.col("_best"), name, append=True).drop("_best")
 
 
 def genotype_subset(df: DataFrame, places: list[int]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import alleles as al
+from siteloom.operators.carried import carried, ranged
 from siteloom.operators.ranges import overlap_join
 
 #: The standard genetic code in the order T, C, A, G of the three bases (fixed values).
@@ -60,9 +61,9 @@ def consensus(df: DataFrame, chunks: DataFrame, width: int, sample: int | None =
         if iupac:
             alt = F.when((F.length("ref") == 1) & (F.length(alt) == 1) & ~g.is_missing(s["GT"]), al.iupac(F.col("ref"), F.col("alts"), s["GT"]["alleles"])).otherwise(alt)
     t = t.select("chrom", "pos", "ref", alt.alias("alt")).where(F.col("alt").rlike("^[A-Za-z]+$"))
-    w = Window.partitionBy("chrom").orderBy("pos", "ref", "alt")
-    reach = F.max(F.col("pos") + F.length("ref") - 1).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("_reach", reach).where("_reach is null or pos > _reach").drop("_reach")
+    order = ["pos", "ref", "alt"]
+    t = carried(ranged(t, ["chrom"], order), ["chrom"], order, maxima={"_reach": F.col("pos") + F.length("ref") - 1}, inclusive=False)
+    t = t.where("_reach is null or pos > _reach").select("chrom", *order)
     # each variant goes to the chunks that its REF touches
     last = F.floor((F.col("pos") + F.length("ref") - 2) / width)
     edits = t.select("*", F.explode(F.sequence(F.floor((F.col("pos") - 1) / width), last)).alias("chunk")).groupBy("chrom", "chunk").agg(F.collect_list(F.struct("pos", "ref", "alt")).alias("edits"))

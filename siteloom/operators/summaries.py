@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import alleles as al
 from siteloom.functions import genotype as g
+from siteloom.operators.carried import carried, ranged
 
 
 def _has(kind: str) -> Column:
@@ -169,8 +170,9 @@ def genotype_intersections(df: DataFrame) -> DataFrame:
 def ploidy_runs(df: DataFrame) -> DataFrame:
     """Runs of constant ploidy of each sample and contig."""
     e = df.select("chrom", "pos", F.posexplode("samples").alias("sample", "s")).where(~g.is_missing(F.col("s.GT"))).select("chrom", "pos", "sample", g.ploidy(F.col("s.GT")).alias("ploidy"))
-    w = Window.partitionBy("sample", "chrom").orderBy("pos")
-    r = e.withColumn("_new", F.coalesce((F.lag("ploidy").over(w) != F.col("ploidy")).cast("int"), F.lit(1))).withColumn("run", F.sum("_new").over(w))
+    keys = ["sample", "chrom"]
+    r = carried(ranged(e, keys, ["pos"]), keys, ["pos"], before={"_last": F.col("ploidy")})
+    r = carried(r, keys, ["pos"], sums={"run": F.coalesce((F.col("_last") != F.col("ploidy")).cast("int"), F.lit(1))})
     return r.groupBy("sample", "chrom", "run").agg(F.min("pos").alias("beg"), F.max("pos").alias("end"), F.first("ploidy").alias("ploidy")).drop("run")
 
 

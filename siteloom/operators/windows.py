@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import genotype as g
+from siteloom.operators.carried import RANGE, carried, in_blocks, ranged
 
 
 def reference_blocks(df: DataFrame, bands: list[int], sample: int = 0) -> DataFrame:
@@ -23,42 +24,51 @@ def reference_blocks(df: DataFrame, bands: list[int], sample: int = 0) -> DataFr
     for k, lo in enumerate(bands):
         band = F.when(s["DP"] >= lo, k).otherwise(band)
     t = df.select("chrom", "pos", F.coalesce("end", "pos").alias("end"), s["DP"].alias("dp"), F.when(hom_ref, band).otherwise(-2).alias("band"))
-    w = Window.partitionBy("chrom").orderBy("pos")
-    new = (F.col("band") != F.lag("band").over(w)) | (F.col("pos") > F.lag("end").over(w) + 1) | (F.col("band") < 0)
-    t = t.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w)).where("band >= 0")
+    t = carried(ranged(t, ["chrom"], ["pos"]), ["chrom"], ["pos"], before={"_band": F.col("band"), "_end": F.col("end")})
+    new = (F.col("band") != F.col("_band")) | (F.col("pos") > F.col("_end") + 1) | (F.col("band") < 0)
+    t = carried(t, ["chrom"], ["pos"], sums={"run": F.coalesce(new, F.lit(True)).cast("int")}).where("band >= 0")
     return t.groupBy("chrom", "run").agg(F.min("pos").alias("beg"), F.max("end").alias("end"), F.min("dp").alias("min_dp"), F.count(F.lit(1)).alias("n"), F.first("band").alias("band")).drop("run")
 
 
 def expand_blocks(blocks: DataFrame, others: list[str] | None = None) -> DataFrame:
     """One row a position; a block ends where the next one starts."""
-    w = Window.partitionBy("chrom").orderBy("beg")
-    stop = F.least(F.col("end"), F.coalesce(F.lead("beg").over(w) - 1, F.col("end")))
-    return blocks.withColumn("_stop", stop).where("_stop >= beg").select("chrom", F.explode(F.sequence("beg", "_stop")).alias("pos"), *(others or []))
+    t = carried(ranged(blocks, ["chrom"], ["beg"]), ["chrom"], ["beg"], after={"_next": F.col("beg")})
+    stop = F.least(F.col("end"), F.coalesce(F.col("_next") - 1, F.col("end")))
+    return t.withColumn("_stop", stop).where("_stop >= beg").select("chrom", F.explode(F.sequence("beg", "_stop")).alias("pos"), *(others or []))
 
 
 def runs_by(df: DataFrame, label: Column, partition: str, order: list[str]) -> DataFrame:
     """Re-blocking by any label: consecutive rows of one label are a run."""
-    w = Window.partitionBy(partition).orderBy(*order)
-    t = df.withColumn("_label", label)
-    t = t.withColumn("_run", F.sum(F.coalesce((~F.col("_label").eqNullSafe(F.lag("_label").over(w))).cast("int"), F.lit(1))).over(w))
+    t = ranged(df.select(partition, *order, label.alias("_label")), [partition], order)
+    t = carried(t, [partition], order, before={"_last": F.col("_label")}, sums={"_rows": F.lit(1)})
+    new = (F.col("_rows") == 1) | ~F.col("_label").eqNullSafe(F.col("_last"))
+    t = carried(t, [partition], order, sums={"_run": new.cast("int")})
     return t.groupBy(partition, "_run").agg(F.first("_label").alias("label"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
-def moving_average(df: DataFrame, value: str, width: int, partition: str = "chrom", order: str = "pos") -> DataFrame:
-    """Mean over the rows i - width//2 .. i + width - width//2 - 1, cut at the ends."""
-    w = Window.partitionBy(partition).orderBy(order).rowsBetween(-(width // 2), width - width // 2 - 1)
-    return df.withColumn("mean", F.avg(value).over(w))
+def moving_average(df: DataFrame, value: str, width: int, partition: str = "chrom", order: str = "pos", block: int = 1 << 16) -> DataFrame:
+    """Mean over the rows i - width//2 .. i + width - width//2 - 1, cut at the ends.
+
+    Rows are numbered along the whole; blocks of row numbers, with the rows that they reach, are averaged apart.
+    """
+    back, ahead = width // 2, width - width // 2 - 1
+    t = carried(ranged(df, [partition], [order]), [partition], [order], sums={"_n": F.lit(1)})
+    t = in_blocks(t, F.col("_n"), back, ahead, max(block, 2 * width))
+    w = Window.partitionBy(partition, "_block").orderBy("_n").rowsBetween(-back, ahead)
+    return t.withColumn("mean", F.avg(value).over(w)).where("_own").drop("_n", "_block", "_own", RANGE)
 
 
-def window_counts(df: DataFrame, width: int) -> DataFrame:
+def window_counts(df: DataFrame, width: int, block: int = 1 << 20) -> DataFrame:
     """The largest number of sites that any window of ``width`` bases has that holds the site.
 
     A window starts at a site. Its population is a range count; a site's answer is the maximum over the windows that
-    start at most ``width - 1`` before it, a range maximum.
+    start at most ``width - 1`` before it, a range maximum. Blocks of positions, with the sites that they reach, are
+    counted apart.
     """
-    ahead = Window.partitionBy("chrom").orderBy("pos").rangeBetween(0, width - 1)
-    back = Window.partitionBy("chrom").orderBy("pos").rangeBetween(-(width - 1), 0)
-    return df.withColumn("_n", F.count(F.lit(1)).over(ahead)).withColumn("n_in_window", F.max("_n").over(back)).drop("_n")
+    t = in_blocks(df, F.col("pos"), width - 1, width - 1, max(block, 2 * width))
+    ahead = Window.partitionBy("chrom", "_block").orderBy("pos").rangeBetween(0, width - 1)
+    back = Window.partitionBy("chrom", "_block").orderBy("pos").rangeBetween(-(width - 1), 0)
+    return t.withColumn("_n", F.count(F.lit(1)).over(ahead)).withColumn("n_in_window", F.max("_n").over(back)).where("_own").drop("_n", "_block", "_own")
 
 
 def duplicates(df: DataFrame) -> DataFrame:
@@ -69,20 +79,19 @@ def duplicates(df: DataFrame) -> DataFrame:
 def overlaps(df: DataFrame) -> DataFrame:
     """Sites whose interval meets that of another get ``overlap``: from the running end of those before, and the start after."""
     end = F.col("pos") + F.length("ref") - 1
-    t = df.withColumn("_end", end)
-    w = Window.partitionBy("chrom").orderBy("pos", "ref", F.array_join("alts", ","))
-    before = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.lead("pos").over(w)
-    return t.withColumn("overlap", F.coalesce(before >= F.col("pos"), F.lit(False)) | F.coalesce(after <= F.col("_end"), F.lit(False))).drop("_end")
+    t = ranged(df.withColumn("_end", end).withColumn("_alt", F.array_join("alts", ",")), ["chrom"], ["pos", "ref", "_alt"])
+    t = carried(t, ["chrom"], ["pos", "ref", "_alt"], maxima={"_before": F.col("_end")}, after={"_after": F.col("pos")}, inclusive=False)
+    hit = F.coalesce(F.col("_before") >= F.col("pos"), F.lit(False)) | F.coalesce(F.col("_after") <= F.col("_end"), F.lit(False))
+    return t.withColumn("overlap", hit).drop("_end", "_alt", "_before", "_after", RANGE)
 
 
 def best_non_overlapping(df: DataFrame) -> DataFrame:
     """Rows by ascending QUAL are removed while they still overlap another; missing QUAL counts 0. ``removed`` tells."""
-    t = df.withColumn("_reach", F.col("pos") + F.length("ref") - 1)
-    w = Window.partitionBy("chrom").orderBy("pos")
-    before = F.max("_reach").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("_new", F.coalesce((before < F.col("pos")).cast("int"), F.lit(1))).withColumn("_block", F.sum("_new").over(w)).drop("_new")
-    keys = t.select("chrom", "_block", "pos", "_reach", "ref", F.array_join("alts", ",").alias("alt"), F.coalesce(F.col("qual").cast("double"), F.lit(0.0)).alias("q"))
+    t = df.select("chrom", "pos", (F.col("pos") + F.length("ref") - 1).alias("_reach"), "ref", F.array_join("alts", ",").alias("alt"), F.coalesce(F.col("qual").cast("double"), F.lit(0.0)).alias("q"))
+    order = ["pos", "ref", "alt"]
+    t = carried(ranged(t, ["chrom"], order), ["chrom"], order, maxima={"_before": F.col("_reach")}, inclusive=False)
+    t = carried(t, ["chrom"], order, sums={"_block": F.coalesce((F.col("_before") < F.col("pos")).cast("int"), F.lit(1))})
+    keys = t.select("chrom", "_block", "pos", "_reach", "ref", "alt", "q")
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["q", "pos", "ref", "alt"]).reset_index(drop=True)
@@ -135,15 +144,16 @@ def pruned(df: DataFrame, n: int, width: int, by: Column | None = None) -> DataF
     """
     keys = ["chrom", "pos", "ref", "alt"]
     t = df.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), (by if by is not None else F.lit(None)).cast("double").alias("_by"))
-    w = Window.partitionBy("chrom").orderBy("pos", "ref", "alt")
-    t = t.withColumn("_new", F.coalesce((F.col("pos") - F.lag("pos").over(w) >= width).cast("int"), F.lit(1))).withColumn("_chain", F.sum("_new").over(w))
+    order = ["pos", "ref", "alt"]
+    t = carried(ranged(t, ["chrom"], order), ["chrom"], order, before={"_last": F.col("pos")})
+    t = carried(t, ["chrom"], order, sums={"_chain": F.coalesce((F.col("pos") - F.col("_last") >= width).cast("int"), F.lit(1))})
     ranked = by is not None
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["pos", "ref", "alt"])
         return p.iloc[slid(p["pos"].tolist(), p["_by"].fillna(0).tolist() if ranked else None, n, width)][keys]
 
-    stays = t.groupBy("chrom", "_chain").applyInPandas(solve, "chrom string, pos long, ref string, alt string")
+    stays = t.select("chrom", "pos", "ref", "alt", "_by", "_chain").groupBy("chrom", "_chain").applyInPandas(solve, "chrom string, pos long, ref string, alt string")
     return df.withColumn("alt", F.array_join("alts", ",")).join(stays, keys, "left_semi").drop("alt")
 
 
@@ -165,11 +175,16 @@ def ld_statistics(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def ld_annotated(df: DataFrame, n_before: int) -> DataFrame:
     """chrom, pos, r2, r2_pos: the largest squared correlation with one of the ``n_before`` sites before, and which.
 
-    A frame of rows gives each site the dosages before it, so no contig has to fit one task's memory beyond the sort.
+    Sites are numbered along the contig; blocks of numbers, with the sites that they reach, are solved apart, and a frame
+    of rows gives each site the dosages before it.
     """
     d = F.transform("samples", lambda s: F.coalesce(g.dosage(s["GT"]).cast("double"), F.lit(float("nan"))))
-    w = Window.partitionBy("chrom").orderBy("pos", "ref", F.array_join("alts", ",")).rowsBetween(-n_before, -1)
-    t = df.withColumn("d", d).select("chrom", "pos", "d", F.collect_list(F.struct("pos", "d")).over(w).alias("before"))
+    t = df.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), d.alias("d"))
+    order = ["pos", "ref", "alt"]
+    t = carried(ranged(t, ["chrom"], order), ["chrom"], order, sums={"_n": F.lit(1)})
+    t = in_blocks(t, F.col("_n"), n_before, 0, max(1 << 12, 2 * n_before))
+    w = Window.partitionBy("chrom", "_block").orderBy("_n").rowsBetween(-n_before, -1)
+    t = t.select("chrom", "pos", "d", "_own", F.collect_list(F.struct("pos", "d")).over(w).alias("before")).where("_own").drop("_own")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -192,9 +207,10 @@ def ld_pruned(df: DataFrame, most: float, width: int) -> DataFrame:
     Sites further apart than ``width`` never meet, so each chain of closer sites is solved apart.
     """
     d = F.transform("samples", lambda s: F.coalesce(g.dosage(s["GT"]).cast("double"), F.lit(float("nan"))))
-    w = Window.partitionBy("chrom").orderBy("pos")
     t = df.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), d.alias("d"))
-    t = t.withColumn("_new", F.coalesce((F.col("pos") - F.lag("pos").over(w) > width).cast("int"), F.lit(1))).withColumn("_block", F.sum("_new").over(w))
+    order = ["pos", "ref", "alt"]
+    t = carried(ranged(t, ["chrom"], order), ["chrom"], order, before={"_last": F.col("pos")})
+    t = carried(t, ["chrom"], order, sums={"_block": F.coalesce((F.col("pos") - F.col("_last") > width).cast("int"), F.lit(1))})
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["pos", "ref", "alt"])
@@ -209,4 +225,4 @@ def ld_pruned(df: DataFrame, most: float, width: int) -> DataFrame:
                 kept.append((pos, x))
         return p.loc[ok, ["chrom", "pos", "ref", "alt"]]
 
-    return t.drop("_new").groupBy("chrom", "_block").applyInPandas(solve, "chrom string, pos long, ref string, alt string")
+    return t.select("chrom", "pos", "ref", "alt", "d", "_block").groupBy("chrom", "_block").applyInPandas(solve, "chrom string, pos long, ref string, alt string")

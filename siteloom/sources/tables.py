@@ -101,5 +101,7 @@ def write_by_samples(df: DataFrame, groups: dict[str, list[int]], path: str) ->
 
 def write_scattered(df: DataFrame, n: int, path: str) -> None:
     """Chunks of ``n`` sites in the order of the table, a folder each; numbered within the contig."""
-    w = Window.partitionBy("chrom").orderBy("pos", "ref")
-    df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / n)).write.partitionBy("chrom", "chunk").parquet(path)
+    from siteloom.operators.carried import RANGE, carried, ranged
+
+    t = carried(ranged(df, ["chrom"], ["pos", "ref"]), ["chrom"], ["pos", "ref"], sums={"_n": F.lit(1)})
+    t.withColumn("chunk", F.floor((F.col("_n") - 1) / n)).drop("_n", RANGE).write.partitionBy("chrom", "chunk").parquet(path)

@@ -142,7 +142,7 @@ def test_interval_join_against_brute_force(spark):
     assert len(outer) == len(want) + 150 - len(hit)
 
 
-def test_selectors(sites):
+def test_selectors(spark, sites):
     assert positions(select.private(sites, [0])) == [1, 2, 3, 4]
     assert positions(select.trim_alts(sites).where(F.size("alts") == 1)) == [1, 2, 4, 5]
     wide = frame(spark, [site(9, alts=("C", "G"), samples=(("0/2", 1, (5, 0, 6)), ("./.", 2, None)))])
