@@ -12,10 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import genotype as g
+from siteloom.operators.carried import RANGE, carried, ranged
 
 PIECE = 200_000
 
@@ -149,8 +150,9 @@ def posteriors(emission: np.ndarray, transition: np.ndarray, ahead: np.ndarray,
 def _decoded(calls: DataFrame, model: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], states: int, piece: int, finish: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """Calls (sample, chrom, pos, ...) with their states. ``model``: emissions and transitions of sites with ``_prev``, the position before."""
     keys = ["sample", "chrom", "_piece"]
-    w = Window.partitionBy("sample", "chrom").orderBy("pos", *[c for c in calls.columns if c not in ("sample", "chrom", "pos")])
-    t = calls.withColumn("_piece", F.floor((F.row_number().over(w) - 1) / piece)).withColumn("_prev", F.lag("pos").over(w)).withColumn("_at", F.row_number().over(w))
+    order = ["pos", *[c for c in calls.columns if c not in ("sample", "chrom", "pos")]]
+    t = carried(ranged(calls, ["sample", "chrom"], order), ["sample", "chrom"], order, sums={"_at": F.lit(1)}, before={"_prev": F.col("pos")}).drop(RANGE)
+    t = t.withColumn("_piece", F.floor((F.col("_at") - 1) / piece))
 
     def weigh(p: pd.DataFrame) -> pd.DataFrame:
         best, total = transfer(*model(p.sort_values("_at")))
@@ -199,8 +201,9 @@ def runs_of_homozygosity(df: DataFrame, to_az: float = 6.7e-8, to_hw: float = 5e
 
 def regions(decoded: DataFrame, state: int = 1) -> DataFrame:
     """Runs of one state: sample, chrom, beg, end, n."""
-    w = Window.partitionBy("sample", "chrom").orderBy("pos")
-    t = decoded.withColumn("_n", F.coalesce((F.lag("state").over(w) != F.col("state")).cast("int"), F.lit(1))).withColumn("_run", F.sum("_n").over(w))
+    keys = ["sample", "chrom"]
+    t = carried(ranged(decoded.select(*keys, "pos", "state"), keys, ["pos"]), keys, ["pos"], before={"_last": F.col("state")})
+    t = carried(t, keys, ["pos"], sums={"_run": F.coalesce((F.col("_last") != F.col("state")).cast("int"), F.lit(1))})
     return t.where(F.col("state") == state).groupBy("sample", "chrom", "_run").agg(F.min("pos").alias("beg"), F.max("pos").alias("end"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 

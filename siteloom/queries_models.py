@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom import proxy
 from siteloom.functions import genotype as g
-from siteloom.operators import calling, denovo, gvcf, haplotypes, indels, likelihoods, merge
+from siteloom.operators import calling, denovo, distinctive, gvcf, haplotypes, indels, likelihoods, merge
 from siteloom.operators.sequence import AMINO_ACIDS
 from siteloom.queries import query
 
@@ -191,3 +191,10 @@ def local_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = orders.join(calls, "pos").select("pos", F.array(*[F.lit(a) for a in ("C", "G", "T")]).alias("alts"), F.transform("x", lambda x: F.struct(x["i"].alias("i"), values(x, x["price"]).alias("PL"))).alias("samples"))
     out = merge.localized(df, 1, {"PL": "G"}).select("pos", F.explode("samples").alias("s"))
     return out.select("pos", (F.col("s.i") - 1).alias("sample"), F.get("s.LAA", F.lit(0)).alias("laa"), F.array_join(F.transform("s.LPL", lambda v: v.cast("string")), ",").alias("lpl"))
+
+
+@query()
+def distinctive_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: a greedy choice, site after site; it is held against a plain one."""
+    found = distinctive.distinctive_sites(proxy.sites(spark, sf_dir), blocks=2)
+    return spark.createDataFrame(found, "chrom string, pos long, ref string, alts string, n_pairs long, block int")

@@ -183,7 +183,12 @@ def trio_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genotypes.trio_stats(proxy.sites(spark, sf_dir), [(0, 1, 2)]).drop("n_ts", "n_tv")
 
 
-@query()
+@query(
+    ", t AS (SELECT trio, c.chrom, c.pos, CASE WHEN f.dosage IN (0, 1) AND m.dosage IN (1, 2) THEN 1 ELSE 0 END AS straight, CASE WHEN f.dosage IN (1, 2) AND m.dosage IN (0, 1) THEN 1 ELSE 0 END AS crossed FROM c "
+    "JOIN (VALUES (0, 1, 2, 3), (1, 4, 5, 6)) v(trio, cs, fs, ms) ON c.sample = cs JOIN c f ON f.pos = c.pos AND f.sample = fs JOIN c m ON m.pos = c.pos AND m.sample = ms WHERE c.dosage = 1 AND c.phased), "
+    "p AS (SELECT trio, crossed AS phase, lag(crossed) OVER (PARTITION BY trio, chrom ORDER BY pos) AS last FROM t WHERE straight <> crossed) "
+    "SELECT trio::INT AS trio, count(*) AS n_tested, coalesce(sum(CASE WHEN last <> phase THEN 1 ELSE 0 END), 0)::BIGINT AS n_switches FROM p GROUP BY trio"
+)
 def trio_switch_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genotypes.switch_rate(proxy.sites(spark, sf_dir), [(0, 1, 2), (3, 4, 5)])
 
