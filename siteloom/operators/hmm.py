@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import genotype as g
 from siteloom.operators.carried import RANGE, carried, ranged
+from siteloom.sources.shared import stored
 
 PIECE = 200_000
 
@@ -147,12 +148,19 @@ def posteriors(emission: np.ndarray, transition: np.ndarray, ahead: np.ndarray,
     return p / p.sum(1, keepdims=True)
 
 
-def _decoded(calls: DataFrame, model: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], states: int, piece: int, finish: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """Calls (sample, chrom, pos, ...) with their states. ``model``: emissions and transitions of sites with ``_prev``, the position before."""
-    keys = ["sample", "chrom", "_piece"]
+Model = Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]
+_KEYS = ["sample", "chrom", "_piece"]
+
+
+def _pieces(calls: DataFrame, piece: int) -> DataFrame:
+    """Calls (sample, chrom, pos, ...) numbered along their contig (``_at``), in pieces, with the position before (``_prev``)."""
     order = ["pos", *[c for c in calls.columns if c not in ("sample", "chrom", "pos")]]
     t = carried(ranged(calls, ["sample", "chrom"], order), ["sample", "chrom"], order, sums={"_at": F.lit(1)}, before={"_prev": F.col("pos")}).drop(RANGE)
-    t = t.withColumn("_piece", F.floor((F.col("_at") - 1) / piece))
+    return t.withColumn("_piece", F.floor((F.col("_at") - 1) / piece))
+
+
+def _messages(t: DataFrame, model: Model, states: int) -> DataFrame:
+    """What each piece has to know of the others: a row for each of sample, chrom and piece."""
 
     def weigh(p: pd.DataFrame) -> pd.DataFrame:
         best, total = transfer(*model(p.sort_values("_at")))
@@ -163,15 +171,82 @@ def _decoded(calls: DataFrame, model: Callable[[pd.DataFrame], tuple[np.ndarray,
         out = chained([(np.asarray(b).reshape(states, states), np.asarray(c).reshape(states, states)) for b, c in zip(p["best"], p["total"], strict=True)], states)
         return pd.DataFrame({"sample": p["sample"].to_numpy(), "chrom": p["chrom"].to_numpy(), "_piece": p["_piece"].to_numpy(), "_before": [o[0] for o in out], "_end": [o[1] for o in out], "_ahead": [o[2] for o in out], "_back": [o[3] for o in out]})
 
-    matrices = t.groupBy(*keys).applyInPandas(weigh, "sample int, chrom string, _piece long, best array<double>, total array<double>")
-    ends = matrices.groupBy("sample", "chrom").applyInPandas(chain, "sample int, chrom string, _piece long, _before int, _end int, _ahead array<double>, _back array<double>")
+    matrices = t.groupBy(*_KEYS).applyInPandas(weigh, "sample int, chrom string, _piece long, best array<double>, total array<double>")
+    return matrices.groupBy("sample", "chrom").applyInPandas(chain, "sample int, chrom string, _piece long, _before int, _end int, _ahead array<double>, _back array<double>")
+
+
+def _decoded(calls: DataFrame, model: Model, states: int, piece: int, finish: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """Calls with their states. ``model``: emissions and transitions of sites."""
+    t = _pieces(calls, piece)
 
     def decode(key: tuple, p: pd.DataFrame, ends_: pd.DataFrame) -> pd.DataFrame:
         p, end = p.sort_values("_at"), ends_.iloc[0]
         e, tr = model(p)
         return finish(p, between(e, tr, int(end["_before"]), int(end["_end"])), posteriors(e, tr, np.asarray(end["_ahead"]), np.asarray(end["_back"])))
 
-    return t.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInPandas(decode, schema)
+    return t.groupBy(*_KEYS).cogroup(_messages(t, model, states).groupBy(*_KEYS)).applyInPandas(decode, schema)
+
+
+def expected_transitions(emission: np.ndarray, transition: np.ndarray, ahead: np.ndarray, back: np.ndarray, first: bool) -> np.ndarray:
+    """states x states: how often a piece's sites are expected to be reached from each state, given the messages at its ends.
+
+    ``first``: the piece begins its contig, so its first site isn't reached from anywhere.
+    """
+    n, k = emission.shape
+    a, b = np.empty((n, k)), np.empty((n, k))
+    before = np.exp(ahead - ahead.max())
+    a[0] = emission[0] * (before if first else before @ transition)
+    a[0] /= a[0].sum() or 1
+    for i in range(1, n):
+        a[i] = (a[i - 1] @ transition) * emission[i]
+        a[i] /= a[i].sum() or 1
+    b[-1] = np.exp(back - back.max())
+    for i in range(n - 2, -1, -1):
+        b[i] = transition @ (emission[i + 1] * b[i + 1])
+        b[i] /= b[i].sum() or 1
+    came = a[:-1] if first else np.concatenate([before[None], a[:-1]])
+    went = (emission * b)[1 if first else 0 :]
+    pair = came[:, :, None] * transition * went[:, None, :]
+    return (pair / np.maximum(pair.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+
+
+def trained(calls: DataFrame, emissions: Callable[[pd.DataFrame], np.ndarray], start: np.ndarray, rounds: int = 20, tolerance: float = 1e-4, piece: int = PIECE) -> np.ndarray:
+    """Baum-Welch over all samples and contigs of ``calls`` (sample, chrom, pos, ...): the transitions that expected ones settle at.
+
+    ``emissions``: sites x states of some rows, which don't change. A round is a job: the pieces' messages are chained, each
+    piece counts its expected transitions between them, and the sums (states x states) come to the driver. The result doesn't
+    depend on where contigs are cut. States that are never left keep their row.
+    """
+    t, transition = stored(_pieces(calls, piece), "pieces"), np.array(start, float)
+    states = len(transition)
+
+    def of(now: np.ndarray) -> tuple[Model, Callable]:
+        def model(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            e = emissions(p)
+            each = np.array(np.broadcast_to(now, (len(p), states, states)))
+            if int(p["_at"].iloc[0]) == 1:
+                each[0] = np.eye(states)
+            return e, each
+
+        def count(key: tuple, p: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+            p, end = p.sort_values("_at"), ends.iloc[0]
+            c = expected_transitions(emissions(p), now, np.asarray(end["_ahead"]), np.asarray(end["_back"]), int(p["_at"].iloc[0]) == 1)
+            return pd.DataFrame({"i": np.repeat(np.arange(states), states), "j": np.tile(np.arange(states), states), "n": c.ravel()})
+
+        return model, count
+
+    for _ in range(rounds):
+        now = transition
+        model, count = of(now)
+        counted = t.groupBy(*_KEYS).cogroup(_messages(t, model, states).groupBy(*_KEYS)).applyInPandas(count, "i int, j int, n double")
+        sums = np.zeros((states, states))
+        for r in counted.groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # states x states rows
+            sums[r["i"], r["j"]] = r["n"]
+        total = sums.sum(1, keepdims=True)
+        transition = np.where(total > 0, sums / np.maximum(total, 1e-300), transition)
+        if np.abs(transition - now).max() < tolerance:
+            break
+    return transition
 
 
 def runs_of_homozygosity(df: DataFrame, to_az: float = 6.7e-8, to_hw: float = 5e-9, error: float = 0.01, piece: int = PIECE) -> DataFrame:

@@ -114,6 +114,10 @@ def merge_all(tables: list[DataFrame], sizes: list[int], logic: str = "both", ru
     get missing genotypes, or reference ones with ``missing_to_ref``. INFO fields are reduced by ``rules`` (sum, avg,
     min, max, first, join; ``first`` where none is given), AC and AN, where present, are counted anew.
     """
+    if logic == "some" and key is None:
+        from siteloom.operators.setops import by_some_allele
+
+        tables, key = by_some_allele(tables), "_key"
     rules, known = rules or {}, {}
     info: dict[str, T.DataType] = {}
     fmt: dict[str, T.DataType] = {}

@@ -72,7 +72,6 @@ def guess_ploidy(df: DataFrame, error: float = 0.01) -> DataFrame:
     return out.withColumn("ploidy", F.when(F.col("log_hap") > F.col("log_dip"), 1).otherwise(2))
 
 
-@plugin("fixref")
 def strand_report(df: DataFrame, bases: DataFrame) -> DataFrame:
     """How alleles agree with reference bases (chrom, pos, base): ok, swapped, flipped, flipped and swapped, none."""
     j = df.join(bases.select("chrom", "pos", F.upper("base").alias("_b")), ["chrom", "pos"]).where((F.length("ref") == 1) & (F.size("alts") == 1))
@@ -136,13 +135,13 @@ def indel_stats(df: DataFrame) -> DataFrame:
 
 
 def _register_others() -> None:
-    from siteloom.operators import fill_tags, genotypes, ranges, select, sequence, summaries, windows
+    from siteloom.operators import denovo, fill_tags, genotypes, ranges, select, sequence, summaries, views, windows
 
     for name, f in {
         "fill-tags": fill_tags.filled, "fill-AN-AC": fill_tags.filled, "setGT": genotypes.set_gt, "missing2ref": genotypes.missing_to_ref, "dosage": genotypes.dosages, "fixploidy": genotypes.fix_ploidy, "impute-info": genotypes.impute_info,
         "contrast": genotypes.allele_contrast, "add-variantkey": genotypes.variant_key, "isecGT": genotypes.isec_genotypes, "mendelian2": genotypes.mendelian, "trio-stats": genotypes.trio_stats, "trio-switch-rate": genotypes.switch_rate,
         "GTsubset": select.genotype_subset, "check-sparsity": select.sparse_samples, "GTisec": summaries.genotype_intersections, "smpl-stats": summaries.thresholds, "allele-length": summaries.allele_lengths, "check-ploidy": summaries.ploidy_runs,
-        "prune": windows.ld_pruned, "remove-overlaps": windows.best_non_overlapping, "gvcfz": windows.runs_by, "variant-distance": ranges.nearest, "fill-from-fasta": sequence.fill_from_reference, "frameshifts": sequence.frameshifts, "split-vep": sequence.split_consequences,
+        "prune": windows.ld_pruned, "fixref": views.fix_reference, "trio-dnm3": denovo.de_novo, "remove-overlaps": windows.best_non_overlapping, "gvcfz": windows.runs_by, "variant-distance": ranges.nearest, "fill-from-fasta": sequence.fill_from_reference, "frameshifts": sequence.frameshifts, "split-vep": sequence.split_consequences,
     }.items():
         plugin(name)(f)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,49 @@ def pair_key(logic: str) -> list[Column]:
         return [F.when(indel, "indel").otherwise(rest)]
     if logic == "both":
         return [F.when(snp, "snp").when(indel, "indel").otherwise(rest)]
+    if logic == "some":
+        raise ValueError("what is common by some allele depends on all tables: see keyed_all")
     raise ValueError(f"no pair logic {logic!r}")
 
 
+def by_some_allele(tables: list[DataFrame]) -> list[DataFrame]:
+    """The tables with ``_key``, equal for sites of one position that share an ALT, directly or through other sites there.
+
+    ALTs are compared without the bases that REF and ALT both end with, so REFs of any length meet. A position's sites are
+    a few short rows; a small loop unites those that share an allele, and the wide rows are joined with what it gives.
+    """
+    from siteloom.operators.views import minimal_allele
+
+    site = lambda t: F.concat_ws("\x1f", "ref", F.array_join("alts", ","))
+    rows = [t.select("chrom", "pos", site(t).alias("site"), F.transform("alts", lambda x: minimal_allele(F.col("ref"), x)).alias("a")) for t in tables]
+    places = reduce(DataFrame.unionByName, rows).distinct().groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("site", "a"))).alias("s"))
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chrom, pos, site_, key = [], [], [], []
+            for c, p, some in zip(*(b.column(x).to_pylist() for x in ("chrom", "pos", "s")), strict=True):
+                groups: list[tuple[set, list]] = []
+                for x in some:
+                    mine = ({*x["a"]} or {x["site"]}, [x["site"]])
+                    apart = []
+                    for g_ in groups:
+                        if g_[0] & mine[0]:
+                            mine = (g_[0] | mine[0], g_[1] + mine[1])
+                        else:
+                            apart.append(g_)
+                    groups = [*apart, mine]
+                for _, names in groups:
+                    for n in names:
+                        chrom.append(c)
+                        pos.append(p)
+                        site_.append(n)
+                        key.append(min(names))
+            yield pa.RecordBatch.from_arrays([pa.array(chrom, pa.string()), pa.array(pos, b.column("pos").type), pa.array(site_, pa.string()), pa.array(key, pa.string())], names=["chrom", "pos", "_site", "_key"])
+
+    found = places.mapInArrow(united, f"chrom string, pos {tables[0].schema['pos'].dataType.simpleString()}, _site string, _key string")
+    return [t.withColumn("_site", site(t)).join(found, ["chrom", "pos", "_site"]).drop("_site") for t in tables]
+
+
 def keyed(df: DataFrame, logic: str = "none") -> DataFrame:
     """``df`` with ``_key``, and of several sites of one key the first."""
     parts = pair_key(logic)
@@ -41,9 +83,18 @@ def keyed(df: DataFrame, logic: str = "none") -> DataFrame:
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def keyed_all(tables: list[DataFrame], logic: str = "none") -> list[DataFrame]:
+    """Every table with ``_key`` by a pair logic, or by some common allele (``some``)."""
+    return by_some_allele(tables) if logic == "some" else [keyed(t, logic) for t in tables]
+
+
 def presence(tables: list[DataFrame], logic: str = "none") -> DataFrame:
     """chrom, pos, _key, tables: places of the tables that have the site, in order. One shuffle of keys, aggregated before it."""
-    tagged = [keyed(t, logic).select("chrom", "pos", "_key", F.lit(i).alias("t")) for i, t in enumerate(tables)]
+    return _presence(keyed_all(tables, logic))
+
+
+def _presence(with_keys: list[DataFrame]) -> DataFrame:
+    tagged = [t.select("chrom", "pos", "_key", F.lit(i).alias("t")) for i, t in enumerate(with_keys)]
     return reduce(DataFrame.unionByName, tagged).groupBy("chrom", "pos", "_key").agg(F.array_sort(F.collect_set("t")).alias("tables"))
 
 
@@ -58,20 +109,21 @@ def pattern_test(pattern: str, n: int) -> Column:
 
 def intersect(tables: list[DataFrame], pattern: str = "=2", write: int = 0, logic: str = "none") -> DataFrame:
     """Sites of table ``write`` whose presence over all tables fits the pattern."""
-    fit = presence(tables, logic).where(pattern_test(pattern, len(tables))).select("chrom", "pos", "_key")
-    return keyed(tables[write], logic).join(fit, ["chrom", "pos", "_key"], "left_semi").drop("_key")
+    with_keys = keyed_all(tables, logic)
+    fit = _presence(with_keys).where(pattern_test(pattern, len(tables))).select("chrom", "pos", "_key")
+    return with_keys[write].join(fit, ["chrom", "pos", "_key"], "left_semi").drop("_key")
 
 
 def complement(tables: list[DataFrame], logic: str = "none") -> DataFrame:
     """Sites of the first table that no other has."""
-    first = keyed(tables[0], logic)
-    others = reduce(DataFrame.unionByName, [keyed(t, logic).select("chrom", "pos", "_key") for t in tables[1:]])
+    first, *rest = keyed_all(tables, logic)
+    others = reduce(DataFrame.unionByName, [t.select("chrom", "pos", "_key") for t in rest])
     return first.join(others, ["chrom", "pos", "_key"], "left_anti").drop("_key")
 
 
 def venn(a: DataFrame, b: DataFrame, logic: str = "none") -> dict[str, DataFrame]:
     """Only in a, only in b, shared as in a, shared as in b."""
-    ka, kb = keyed(a, logic), keyed(b, logic)
+    ka, kb = keyed_all([a, b], logic)
     on = ["chrom", "pos", "_key"]
     return {"only_a": ka.join(kb, on, "left_anti").drop("_key"), "only_b": kb.join(ka, on, "left_anti").drop("_key"), "shared_a": ka.join(kb, on, "left_semi").drop("_key"), "shared_b": kb.join(ka, on, "left_semi").drop("_key")}
 

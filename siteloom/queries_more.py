@@ -297,7 +297,7 @@ def plugin_strand_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = proxy.sites(spark, sf_dir)
     alt = F.get("alts", F.lit(0))
     bases = s.select("chrom", "pos", F.when(F.col("pos") % 5 != 0, F.col("ref")).when(F.length(alt) == 1, alt).otherwise("N").alias("base"))
-    return plugins.run("fixref", s, bases).select("state", "n")
+    return plugins.strand_report(s, bases).select("state", "n")
 
 
 @query()

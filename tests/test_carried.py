@@ -84,3 +84,43 @@ def test_operators_do_not_depend_on_ranges(spark, ranges):
                 text[y[2] - 1 : ends(y)] = [y[6][0], *[""] * (len(y[5]) - 1)]
             reach = max(reach, ends(y))
         assert x.seq == "".join(text)
+
+
+def test_training_does_not_depend_on_the_cut(spark):
+    """Expected transitions summed over pieces against one array, and two chains at once."""
+    import numpy as np
+
+    from siteloom.operators import hmm
+
+    r = np.random.default_rng(6)
+    start = np.array([[0.9, 0.1], [0.2, 0.8]])
+    chains = {}
+    for chrom in "12":
+        state, seen = 0, []
+        for _ in range(60):
+            state = state if r.random() < 0.93 else 1 - state
+            seen.append(int(r.random() < (0.85 if state else 0.2)))
+        chains[chrom] = seen
+    shows = lambda x: np.stack([np.where(x, 0.2, 0.8), np.where(x, 0.85, 0.15)], 1)
+    frame_ = lambda names: spark.createDataFrame([(0, c, 5 * i, x) for c in names for i, x in enumerate(chains[c])], "sample int, chrom string, pos long, x int")
+    emissions = lambda p: shows(p["x"].to_numpy() > 0)
+    want = hmm.trained_transitions(shows(np.array(chains["1"]) > 0), start, rounds=3, tolerance=0)
+    for piece in (7, 1000):
+        assert hmm.trained(frame_("1"), emissions, start, rounds=3, tolerance=0, piece=piece) == pytest.approx(want, abs=1e-9)
+    both = [hmm.trained(frame_("12"), emissions, start, rounds=2, tolerance=0, piece=piece) for piece in (9, 100)]
+    assert both[0] == pytest.approx(both[1], abs=1e-9) and abs(both[0].sum(1) - 1).max() < 1e-9
+
+
+def test_pairs_by_some_allele(spark):
+    """Sites of one position that share an ALT, whatever their REFs; chains of such pairs; intersections, complements and merging."""
+    from siteloom.operators import merge, setops
+
+    a = frame(spark, [site(1, ref="A", alts=("C", "G")), site(2, ref="A", alts=("C",)), site(3, ref="A", alts=("<DEL>",)), site(4, ref="A", alts=())])
+    b = frame(spark, [site(1, ref="AT", alts=("GT", "TT")), site(2, ref="A", alts=("G",)), site(3, ref="A", alts=("<DEL>", "T")), site(4, ref="A", alts=())])
+    c = frame(spark, [site(1, ref="A", alts=("T",))])
+    both = lambda tables, pattern: sorted(x.pos for x in setops.intersect(tables, pattern, logic="some").collect())
+    assert both([a, b], "=2") == [1, 3, 4] and both([a, c], "=2") == [] and both([a, b, c], "=3") == [1]
+    assert [x.pos for x in setops.complement([a, b], "some").collect()] == [2]
+    assert {k: sorted(x.pos for x in v.collect()) for k, v in setops.venn(a, b, "some").items()} == {"only_a": [2], "only_b": [2], "shared_a": [1, 3, 4], "shared_b": [1, 3, 4]}
+    merged = {(x.pos, x.ref, tuple(x.alts)) for x in merge.merge_all([a, b], [2, 2], "some").collect()}
+    assert {m[0] for m in merged if sum(n[0] == m[0] for n in merged) == 1} == {1, 3, 4} and sum(m[0] == 2 for m in merged) == 2
