@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.operators.ranges import overlap_join
@@ -72,13 +72,16 @@ def read_listed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(sections: dict[str, DataFrame], path: str) -> None:
-    """Small tables as one folder of text: a header line and tab-separated rows that start with the section's name."""
+    """Small tables as one folder of text: a header line and tab-separated rows that start with the section's name.
+
+    Rows are in the order of their columns, numbers as numbers.
+    """
     lines = []
     for i, (name, df) in enumerate(sections.items()):
         text = F.concat_ws("\t", F.lit(name), *[F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in df.columns])
-        head = df.sparkSession.range(1).select(F.lit(i).alias("section"), F.lit(0).alias("kind"), F.lit("# " + "\t".join([name, *df.columns])).alias("line"))
-        lines.append(head.unionByName(df.select(F.lit(i).alias("section"), F.lit(1).alias("kind"), text.alias("line"))))
-    reduce(DataFrame.unionByName, lines).orderBy("section", "kind", "line").select("line").write.text(path)
+        head = df.sparkSession.range(1).select(F.lit(i).alias("section"), F.lit(0).alias("kind"), F.lit(0).alias("at"), F.lit("# " + "\t".join([name, *df.columns])).alias("line"))
+        lines.append(head.unionByName(df.select(F.lit(i).alias("section"), F.lit(1).alias("kind"), F.row_number().over(Window.orderBy(*[F.col(f"`{c}`") for c in df.columns])).alias("at"), text.alias("line"))))
+    reduce(DataFrame.unionByName, lines).orderBy("section", "kind", "at").select("line").write.text(path)
 
 
 def haplotype_files(df: DataFrame) -> dict[str, DataFrame]:
