@@ -207,7 +207,7 @@ def test_sample_is_filled_from_documents_that_are_there(spark):
     labels = spark.createDataFrame([(i, i // 10 % 2) for i in range(2000)], "doc_id long, toxic int")
     got, ys = labelled.sample(docs, labels, "toxic", 5, 0, {0: 5, 1: 100}, 50)
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
-    assert all(t == "short text" or (len(t) == 12 and t in "long " * 100) for t in got)
+    assert all(t == "short text" or (len(t) == 50 and t in "long " * 100) for t in got)
     assert Counter(ys) == {y: min(n, sum(i // 10 % 2 == y for i in ids)) for y, n in {0: 5, 1: 100}.items()}
 
 
