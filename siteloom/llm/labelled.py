@@ -30,7 +30,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_out:
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).where(fold(folds) != left_out)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     known = stored(known.join(texts.select("doc_id").hint("merge"), "doc_id", "left_semi"), "labelled")
-    size = F.floor(F.lit(max_bytes) * F.length("text") / F.greatest(F.octet_length("text"), F.lit(1))).cast("int")
+    # bytes times characters pass 2**31 in long texts
+    size = F.floor(F.lit(max_bytes).cast("long") * F.length("text") / F.greatest(F.octet_length("text"), F.lit(1))).cast("int")
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int") + 1
     part = F.when(F.octet_length("text") <= max_bytes, F.col("text")).otherwise(F.substr("text", start, size))
     out_texts, out_labels = [], []

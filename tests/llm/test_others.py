@@ -211,6 +211,18 @@ def test_sample_is_filled_from_documents_that_are_there(spark):
     assert Counter(ys) == {y: min(n, sum(i // 10 % 2 == y for i in ids)) for y, n in {0: 5, 1: 100}.items()}
 
 
+def test_sample_of_texts_whose_bytes_times_the_bound_pass_32_bits(spark):
+    from siteloom.llm import labelled
+
+    # one letter of one byte and one of two, so a part of 20000 bytes is 13333 characters
+    body = "é " * 150_000
+    docs = frame(spark, [(i, body if i % 2 else "word " * 50_000) for i in range(12)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    got, ys = labelled.sample(docs, labels, "quality", 4, 2, {0: 9, 1: 9}, 20_000)
+    assert Counter(ys) == Counter(i % 2 for i in range(12) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert all((len(t) == 13_333 and t in body) if y else (len(t) == 20_000 and t in "word " * 50_000) for t, y in zip(got, ys, strict=True))
+
+
 def lines_of(r, good):
     line = " ".join(words(r, r.randint(6, 20)))
     return line[0].upper() + line[1:] + "." if good else line.upper().replace(" ", "!! ") + "!!"
