@@ -14,6 +14,16 @@ def rows_of(df):
     return Counter((r.doc_id, r.text) for r in df.collect())
 
 
+def test_quality_stage_takes_long_labelled_texts(spark, tmp_path):
+    good, bad = "Some plain words stand here.\n" * 5, "BUY!! NOW!! $$$ ||| BUY!!\n" * 5
+    # 140 thousand characters: times the classifier's bound in bytes more than 32 bits hold
+    docs = frame(spark, [(i, (good if i % 2 else bad) * (1000 if i < 4 else 1)) for i in range(40)])
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = p.quality(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(d for d, _ in rows_of(out).elements()) == list(range(1, 40, 2))
+
+
 def test_exact_stage_keeps_the_largest_id(spark):
     rows = texts()
     docs = frame(spark, rows)
