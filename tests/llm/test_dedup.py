@@ -157,6 +157,22 @@ def test_components_of_randomly_numbered_paths(spark):
     assert got == want
 
 
+def test_components_of_few_links_are_written_by_few_tasks(spark):
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        # many small components, whose labels would be spread over all 40 partitions
+        edges = [(i, i + 1) for i in range(0, 800, 2)]
+        got = components.connected(spark.createDataFrame(edges, "a long, b long").repartition(4))
+        assert len(got.inputFiles()) <= components.TASKS
+        assert {x.node: x.component for x in got.collect()} == {i: i - i % 2 for i in range(800)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def brute_removals(rows, width=35):
     docs = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t in rows]
     seen = Counter(tuple(w[i : i + width]) for w in docs for i in range(len(w) - width + 1))
