@@ -145,18 +145,37 @@ def per_sample_indels(df: DataFrame) -> DataFrame:
 def rank_z(a: Column, b: Column) -> Column:
     """The z score of the Mann-Whitney test of two histograms over the same places (arrays of counts), corrected for ties.
 
-    Null if either is empty, 0 without variance. Negative if ``a`` lies to the right.
+    Null if either is empty, 0 without variance. Negative if ``a`` lies to the right. Each column stands once in the result, so
+    that Spark, which writes columns out where they are used, computes it once.
     """
-    d = lambda c: F.transform(c, lambda x: x.cast("double"))
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
-    na, nb = add(d(a)), add(d(b))
-    pairs = F.zip_with(d(a), d(b), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("a"), y.cast("double").alias("b")))
     # u: pairs with a before b count one, ties a half
-    start = F.struct(F.lit(0.0).alias("seen"), F.lit(0.0).alias("u"), F.lit(0.0).alias("t"))
-    walk = F.aggregate(pairs, start, lambda acc, p: F.struct((acc["seen"] + p["a"]).alias("seen"), (acc["u"] + p["b"] * (acc["seen"] + p["a"] / 2)).alias("u"), (acc["t"] + F.pow(p["a"] + p["b"], F.lit(3.0)) - (p["a"] + p["b"])).alias("t")))
-    n = na + nb
-    var = na * nb / 12 * (n + 1 - F.try_divide(walk["t"], n * (n - 1)))
-    return F.when((na > 0) & (nb > 0), F.when(var > 0, (walk["u"] - na * nb / 2) / F.sqrt(var)).otherwise(0.0))
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("na", "nb", "u", "t")])
+
+    def step(acc: Column, p: Column) -> Column:
+        u = acc["u"] + p["b"] * (acc["na"] + p["a"] / 2)
+        t = acc["t"] + F.pow(p["a"] + p["b"], F.lit(3.0)) - (p["a"] + p["b"])
+        return F.struct((acc["na"] + p["a"]).alias("na"), (acc["nb"] + p["b"]).alias("nb"), u.alias("u"), t.alias("t"))
+
+    def score(acc: Column) -> Column:
+        na, nb, n = acc["na"], acc["nb"], acc["na"] + acc["nb"]
+        var = na * nb / 12 * (n + 1 - F.try_divide(acc["t"], n * (n - 1)))
+        return F.when((na > 0) & (nb > 0), F.when(var > 0, (acc["u"] - na * nb / 2) / F.sqrt(var)).otherwise(0.0))
+
+    return F.aggregate(pairs, start, step, score)
+
+
+def rank_z_of(values: Column) -> Column:
+    """:func:`rank_z` of an array of (place, which): places of the rows with ``which`` false, and of those with it true.
+
+    Histograms are over the places that occur. Entries without a place or without ``which`` are left out.
+    """
+    known = F.filter(values, lambda x: x["place"].isNotNull() & x["which"].isNotNull())
+    n = lambda v, place, which: F.size(F.filter(v, lambda x: (x["place"] == place) & (x["which"] == F.lit(which))))
+    # an array of one element, for a name inside the expression
+    places = lambda v: F.array(F.array_sort(F.array_distinct(F.transform(v, lambda x: x["place"]))))
+    z = lambda v: F.get(F.transform(places(v), lambda p: rank_z(F.transform(p, lambda k: n(v, k, False)), F.transform(p, lambda k: n(v, k, True)))), F.lit(0))
+    return F.get(F.transform(F.array(known), z), F.lit(0))
 
 
 def em_frequencies(df: DataFrame, likelihoods: str = "PL", tolerance: float = 1e-9) -> DataFrame:

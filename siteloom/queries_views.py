@@ -110,10 +110,10 @@ def stats_sample_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rank_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether carriers' depths differ from those of the others, over histograms of depth."""
-    called = lambda alt: F.transform(F.filter("samples", lambda s: g.dosage(s["GT"]).isNotNull() & ((g.dosage(s["GT"]) > 0) == F.lit(alt))), lambda s: F.floor(s["DP"] / 10))
-    histogram = lambda alt: F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: F.size(F.filter(called(alt), lambda x: x == k)))
-    t = proxy.sites(spark, sf_dir).select("pos", histogram(False).alias("a"), histogram(True).alias("b"))
-    return t.select("pos", F.round(views.rank_z(F.col("a"), F.col("b")), 6).alias("z")).where("z is not null")
+    calls = F.transform("samples", lambda s: F.struct(F.floor(s["DP"] / 10).alias("place"), (g.dosage(s["GT"]) > 0).alias("which")))
+    # a generator, as Spark would move a filter on the score below it and compute both
+    z = F.explode(F.array_compact(F.array(F.round(views.rank_z_of(calls), 6))))
+    return proxy.sites(spark, sf_dir).select("pos", z.alias("z"))
 
 
 @query()

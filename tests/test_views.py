@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from siteloom import queries_views
 from siteloom.operators import views
 from siteloom.sources import indexed
 from tests.test_variants import frame, site
@@ -89,3 +90,26 @@ def test_rank_z_of_shifted_histograms(spark):
     t = spark.createDataFrame([([5, 0, 0], [0, 0, 5]), ([0, 0, 5], [5, 0, 0]), ([3, 3, 3], [3, 3, 3]), ([0, 0], [1, 1]), ([2, 0], [2, 0])], "a array<int>, b array<int>")
     z = [r.z for r in t.select(views.rank_z(F.col("a"), F.col("b")).alias("z")).collect()]
     assert z[0] > 2 and z[1] == -z[0] and z[2] == 0 and z[3] is None and z[4] == 0
+
+
+def test_rank_bias_is_computed_once_and_over_all_depths(spark, tmp_path):
+    """The score stands once in the plan (not again in a filter below it), and depths above 410 count like others."""
+    quantities = [1, 9, 15, 17, 401, 433, 500]
+    spark.createDataFrame([(1, 1, "F", 1000.0, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1, i + 1, float(q), 2.0) for i, q in enumerate(quantities)], "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = queries_views.rank_bias(spark, str(tmp_path))
+    called = [q for q in quantities if q % 7]
+    a, b = ([q // 10 for q in called if (q % 3 > 0) == w] for w in (False, True))
+    n, u = len(called), sum((x < y) + (x == y) / 2 for x in a for y in b)
+    ties = sum(k**3 - k for k in ([*a, *b].count(x) for x in set(a + b)))
+    z = (u - len(a) * len(b) / 2) / (len(a) * len(b) / 12 * (n + 1 - ties / (n * (n - 1)))) ** 0.5
+    assert [(r.pos, r.z) for r in got.collect()] == [(1, round(z, 6))]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("SQRT(") == 1
+
+
+def test_rank_z_of_places(spark):
+    rows = [[(2, False), (1, False), (9, True), (None, True), (3, None)], [(1, True)], [], None]
+    t = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v array<struct<place:bigint,which:boolean>>")
+    z = [r.z for r in t.orderBy("i").select(views.rank_z_of(F.col("v")).alias("z")).collect()]
+    whole = spark.range(1).select(views.rank_z(F.array(*[F.lit(x) for x in (1, 1, 0)]), F.array(*[F.lit(x) for x in (0, 0, 1)])).alias("z")).first().z
+    assert z == [whole, None, None, None]
