@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,70 +18,101 @@ def genotype_pairs(n_alleles: int) -> list[tuple[int, int]]:
     return [(a, b) for b in range(n_alleles) for a in range(b + 1)]
 
 
-def site_call(pls: np.ndarray, freqs: np.ndarray, theta: float = THETA, most: int = 3) -> tuple[tuple[int, ...], list[tuple[int | None, int | None, int]], float]:
-    """(alleles kept, (allele, allele, quality) of each sample, site quality) by maximum likelihood.
+def site_calls(pls: np.ndarray, freqs: np.ndarray, theta: float = THETA, most: int = 3) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Calls of sites with as many alleles and samples, by maximum likelihood: sets of alleles, the set that each site keeps, genotype
+    (a place in :func:`genotype_pairs`, -1: none) and quality of each sample, site quality.
 
-    ``pls``: samples x genotypes, phred; ``freqs``: allele frequencies. Sets of one to three alleles compete; each further
-    allele costs a factor theta.
+    ``pls``: sites x samples x genotypes, phred; ``freqs``: sites x alleles. Sets of one to ``most`` alleles compete; each
+    further allele costs a factor theta. All sites go through a set together.
     """
-    n_alleles = len(freqs)
+    n_alleles = freqs.shape[1]
     pairs = genotype_pairs(n_alleles)
-    like = 10.0 ** (-np.asarray(pls, float) / 10)
+    like = 10.0 ** (-pls / 10)
     like = np.where(np.isnan(like), 1 / len(pairs), like)
-    best, best_ll, ref_ll, total = (0,), -np.inf, -np.inf, []
-    for size in range(1, min(most, n_alleles) + 1):
-        for alleles in combinations(range(n_alleles), size):
-            q = freqs[list(alleles)]
-            if q.sum() <= 0:
-                continue
-            q = dict(zip(alleles, q / q.sum(), strict=True))
-            w = np.array([(q.get(a, 0) * q.get(b, 0) * (1 if a == b else 2)) for a, b in pairs])
-            ll = np.log(np.maximum(like @ w, 1e-300)).sum() + np.log(theta) * len([a for a in alleles if a])
-            total.append(ll)
-            if alleles == (0,):
-                ref_ll = ll
-            if ll > best_ll:
-                best, best_ll = alleles, ll
-    q = freqs[list(best)] / max(freqs[list(best)].sum(), 1e-12)
-    q = dict(zip(best, q, strict=True))
-    w = np.array([(q.get(a, 0) * q.get(b, 0) * (1 if a == b else 2)) for a, b in pairs])
-    calls: list[tuple[int | None, int | None, int]] = []
-    for row, raw in zip(like * w, np.asarray(pls, float), strict=True):
-        s = row.sum()
-        if s <= 0 or np.isnan(raw).any() or (raw == raw[0]).all() and len(raw) > 1:
-            calls.append((None, None, 0))
+    sets = [x for size in range(1, min(most, n_alleles) + 1) for x in combinations(range(n_alleles), size)]
+
+    def weights(alleles: tuple[int, ...], some: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        f = freqs[some][:, list(alleles)]
+        total = f.sum(1)
+        q = dict(zip(alleles, (f / np.maximum(total, least)[:, None]).T, strict=True))
+        return total, [(k, q[a] * q[b] * (1 if a == b else 2)) for k, (a, b) in enumerate(pairs) if a in q and b in q]
+
+    every = np.arange(len(pls))
+    ll = np.empty((len(sets), len(pls)))
+    for i, alleles in enumerate(sets):
+        total, w = weights(alleles, every, 1e-300)
+        fit = sum(like[:, :, k] * x[:, None] for k, x in w)
+        ll[i] = np.where(total > 0, np.log(np.maximum(fit, 1e-300)).sum(1) + np.log(theta) * len([a for a in alleles if a]), -np.inf)
+    best = ll.argmax(0) if len(pls) else np.zeros(0, int)
+    gt, gq = np.full(pls.shape[:2], -1), np.zeros(pls.shape[:2], int)
+    flat = (pls == pls[:, :, :1]).all(2) & (len(pairs) > 1)
+    for i, alleles in enumerate(sets):
+        some = np.flatnonzero(best == i)
+        if not len(some):
             continue
-        k = int(row.argmax())
-        rest = 1 - row[k] / s
-        calls.append((*pairs[k], int(min(127, -4.34294 * np.log(rest))) if rest > 0 else 127))
-    t = np.array(total)
-    p_ref = np.exp(ref_ll - t.max()) / np.exp(t - t.max()).sum() if np.isfinite(ref_ll) else 0.0
-    p = 1 - p_ref if best == (0,) else p_ref
-    return best, calls, float(min(999.0, -4.34294 * np.log(max(p, 1e-100))))
+        row = np.zeros((len(some), *pls.shape[1:]))
+        for k, x in weights(alleles, some, 1e-12)[1]:
+            row[:, :, k] = like[some, :, k] * x[:, None]
+        s, k = row.sum(2), row.argmax(2)
+        none = (s <= 0) | np.isnan(pls[some]).any(2) | flat[some]
+        rest = 1 - np.take_along_axis(row, k[:, :, None], 2)[:, :, 0] / np.where(s > 0, s, 1)
+        sure = np.where(rest > 0, np.minimum(127, -4.34294 * np.log(np.where(rest > 0, rest, 1))), 127).astype(int)
+        gt[some], gq[some] = np.where(none, -1, k), np.where(none, 0, sure)
+    top = ll.max(0)
+    top = np.where(np.isfinite(top), top, 0)
+    p_ref = np.exp(ll[0] - top) / np.maximum(np.exp(ll - top).sum(0), 1e-300)
+    p = np.where(best == 0, 1 - p_ref, p_ref)
+    return sets, best, gt, gq, np.minimum(999.0, -4.34294 * np.log(np.maximum(p, 1e-100)))
+
+
+def site_call(pls: np.ndarray, freqs: np.ndarray, theta: float = THETA, most: int = 3) -> tuple[tuple[int, ...], list[tuple[int | None, int | None, int]], float]:
+    """:func:`site_calls` of one site: alleles kept, (allele, allele, quality) of each sample, site quality."""
+    sets, best, gt, gq, qual = site_calls(np.asarray(pls, float)[None], np.asarray(freqs, float)[None], theta, most)
+    pairs = [*genotype_pairs(len(freqs)), (None, None)]
+    return sets[best[0]], [(*pairs[k], int(q)) for k, q in zip(gt[0], gq[0], strict=True)], float(qual[0])
 
 
 def multiallelic_calls(df: DataFrame, theta: float = THETA) -> DataFrame:
-    """chrom, pos, alleles, gts, gqs, qual for sites with FORMAT/PL; allele frequencies from the likelihoods themselves."""
-    t = df.select("chrom", "pos", (F.size("alts") + 1).alias("n"), F.transform("samples", lambda s: s["PL"]).alias("pl"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            out = []
-            for chrom, pos, n, pl in p.itertuples(index=False):
-                pairs = genotype_pairs(int(n))
-                m = np.array([np.full(len(pairs), np.nan) if x is None or len(x) != len(pairs) else np.asarray(x, float) for x in pl])
-                post = np.nan_to_num(10.0 ** (-m / 10))
-                share = np.zeros(int(n))
-                for k, (a, b) in enumerate(pairs):
-                    w = (post[:, k] / np.maximum(post.sum(1), 1e-300)).sum()
-                    share[a] += w
-                    share[b] += w
-                share = share / share.sum() if share.sum() > 0 else np.full(int(n), 1 / n)
-                alleles, calls, qual = site_call(m, share, theta)
-                out.append((chrom, pos, list(alleles), [f"{'.' if a is None else a}/{'.' if b is None else b}" for a, b, _ in calls], [c[2] for c in calls], qual))
-            yield pd.DataFrame(out, columns=["chrom", "pos", "alleles", "gts", "gqs", "qual"])
-
-    return t.mapInPandas(run, "chrom string, pos long, alleles array<int>, gts array<string>, gqs array<int>, qual double")
+    """chrom, pos, alleles, gts, gqs, qual for sites with FORMAT/PL; allele frequencies from the likelihoods themselves.
+
+    Sites of a batch with as many alleles and samples are solved together. Null PL and those of another length say nothing.
+    """
+    t = df.select("chrom", F.col("pos").cast("long").alias("pos"), (F.size("alts") + 1).alias("n"), F.transform("samples", lambda s: F.transform(s["PL"], lambda v: v.cast("double"))).alias("pl"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column("n").to_numpy(zero_copy_only=False).astype(int)
+            lengths = lambda c: c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
+            samples, inner = lengths(b.column("pl")), b.column("pl").flatten()
+            sizes, values = lengths(inner), inner.flatten().to_numpy(zero_copy_only=False)
+            first, begin = np.cumsum(samples) - samples, np.cumsum(sizes) - sizes
+            for n_alleles, n_samples in sorted(set(zip(n.tolist(), samples.tolist(), strict=True))):
+                pairs = genotype_pairs(n_alleles)
+                names = pa.array([f"{a}/{c}" for a, c in pairs] + ["./."])
+                rows = np.flatnonzero((n == n_alleles) & (samples == n_samples))
+                # as many sites at once as keep the likelihoods within some MB
+                step = max(1, 1_000_000 // max(1, n_samples * len(pairs)))
+                for some in (rows[k : k + step] for k in range(0, len(rows), step)):
+                    at = first[some][:, None] + np.arange(n_samples)
+                    known = sizes[at] == len(pairs) if at.size else np.zeros(at.shape, bool)
+                    m = np.full((*at.shape, len(pairs)), np.nan)
+                    m[known] = values[begin[at[known]][:, None] + np.arange(len(pairs))] if known.any() else np.nan
+                    post = np.nan_to_num(10.0 ** (-m / 10))
+                    w = (post / np.maximum(post.sum(2, keepdims=True), 1e-300)).sum(1)
+                    share = np.zeros((len(some), n_alleles))
+                    for k, (x, y) in enumerate(pairs):
+                        share[:, x] += w[:, k]
+                        share[:, y] += w[:, k]
+                    total = share.sum(1, keepdims=True)
+                    share = np.where(total > 0, share / np.where(total > 0, total, 1), 1 / n_alleles)
+                    sets, best, gt, gq, qual = site_calls(m, share, theta)
+                    cuts = pa.array(np.arange(len(some) + 1) * n_samples, pa.int32())
+                    gts = pa.ListArray.from_arrays(cuts, names.take(pa.array(np.where(gt < 0, len(pairs), gt).ravel(), pa.int64())))
+                    columns = [pa.array([list(x) for x in sets], pa.list_(pa.int32())).take(pa.array(best, pa.int64())), gts, pa.ListArray.from_arrays(cuts, pa.array(gq.ravel(), pa.int32())), pa.array(qual, pa.float64())]
+                    keys = [b.column(c).take(pa.array(some, pa.int64())) for c in ("chrom", "pos")]
+                    yield pa.RecordBatch.from_arrays([*keys, *columns], names=["chrom", "pos", "alleles", "gts", "gqs", "qual"])
+
+    return t.mapInArrow(run, "chrom string, pos long, alleles array<int>, gts array<string>, gqs array<int>, qual double")
 
 
 def allele_count_spectrum(likelihoods: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

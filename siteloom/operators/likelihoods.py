@@ -3,9 +3,9 @@
 1. Reads may first have their base qualities lowered by *base alignment quality*: a hidden Markov model aligns the read to
    the reference around it, in a band, and a base is worth no more than the chance that it lies where its alignment has
    it. Reads of a batch that are equally long go through the model together, as numpy arrays of reads by band.
-2. Every read gives its bases with a code of quality, strand and base. Codes are counted inside the task, then by
-   (contig, position): of a position and sample any number of reads becomes one bounded row, and nothing is left out
-   however deep it is. One exchange by position serves all later groups.
+2. Every read gives its bases with a code of quality, strand and base. Codes are counted inside the task, a row for each
+   position and sample of a batch of reads; one exchange by position, sorted by it, brings the rows of a position
+   together. Nothing is left out however deep it is.
 3. The likelihoods take reads from the best quality down. A base that a strand has shown before counts less, as errors
    aren't independent: of its w-th read the weight is (1 - eta) * (1 - theta)**w + eta. What a read says against a
    genotype is the share of binomial tails, for as many errors as have been seen.
@@ -20,6 +20,7 @@ null PL; repeated reads count each time. REF is the base of ``chunks``; position
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -127,14 +128,18 @@ def lowered(codes: list[np.ndarray], quals: list[np.ndarray], runs: list[list[tu
         query = np.stack([codes[i][q : q + n] for i, _, q in some])
         qual = np.stack([quals[i][q : q + n] for i, _, q in some])
         window = np.stack([windows[i][r : r + n + 2 * band] for i, r, _ in some])
-        p = match_posteriors(query, 10.0 ** (-np.maximum(qual, 1) / 10), window, band)
-        sure = np.minimum(99, np.floor(-4.343 * np.log(np.maximum(1 - p, 1e-10)) + 0.5)).astype(np.int64)
-        sure = np.minimum(np.maximum.accumulate(sure, 1), np.maximum.accumulate(sure[:, ::-1], 1)[:, ::-1])
-        for (i, _, q), row in zip(some, np.minimum(qual, sure), strict=True):
+        for (i, _, q), row in zip(some, _capped(query, qual, window, band), strict=True):
             out[i][q : q + n] = row
     return out
 
 
+def _capped(query: np.ndarray, qual: np.ndarray, window: np.ndarray, band: int = BAND) -> np.ndarray:
+    """:func:`lowered` of runs of one length: reads x length, and reads x (length + 2 band)."""
+    p = match_posteriors(query, 10.0 ** (-np.maximum(qual, 1) / 10), window, band)
+    sure = np.minimum(99, np.floor(-4.343 * np.log(np.maximum(1 - p, 1e-10)) + 0.5)).astype(np.int64)
+    return np.minimum(qual, np.minimum(np.maximum.accumulate(sure, 1), np.maximum.accumulate(sure[:, ::-1], 1)[:, ::-1]))
+
+
 # --- the error model
 @lru_cache(maxsize=20_000)
 def _tails(q: int, n: int) -> np.ndarray:
@@ -171,13 +176,11 @@ def genotype_likelihoods(row: np.ndarray, code: np.ndarray, count: np.ndarray, r
     weight = (1 - ETA) * (1 - THETA) ** seen_before(row * 8 + strand * 4 + base) + ETA
     errors = seen_before(row * 4 + base)
     depth = np.bincount(row, minlength=rows)
-    said = np.empty(len(row))
-    key = q * (1 << 40) + depth[row]
-    by = np.argsort(key, kind="stable")
-    cuts = np.r_[0, np.flatnonzero(np.diff(key[by])) + 1, len(by)] if len(by) else np.zeros(1, np.int64)
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        mine = by[a:b]
-        said[mine] = _tails(int(q[mine[0]]), int(depth[row[mine[0]]]))[errors[mine]]
+    # the tails of each (quality, depth) that occurs, one after the other
+    key, which = np.unique(q * (1 << 40) + depth[row], return_inverse=True)
+    tails = [_tails(k >> 40, k & ((1 << 40) - 1)) for k in key.tolist()]
+    starts = np.cumsum([0, *[len(x) for x in tails]])[:-1].astype(np.int64)
+    said = np.concatenate([*tails, np.zeros(0)])[starts[which] + errors] if len(key) else np.zeros(0)
     against = np.bincount(row * 4 + base, weights=weight * said, minlength=rows * 4).reshape(rows, 4)
     seen = np.bincount(row * 4 + base, minlength=rows * 4).reshape(rows, 4)
     against, seen = (np.concatenate([x, np.zeros((rows, 1))], 1) for x in (against, seen))
@@ -194,8 +197,40 @@ def genotype_likelihoods(row: np.ndarray, code: np.ndarray, count: np.ndarray, r
 
 
 # --- the Spark side
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, where each begins, and how many it has; null is empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    cuts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), cuts[:-1], np.diff(cuts)
+
+
+def _matrix(texts: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray, length: int) -> np.ndarray:
+    """rows x length bytes of :func:`_texts`."""
+    return texts[0][texts[1][rows, None] + np.arange(length)] if length else np.zeros((len(rows), 0), np.uint8)
+
+
+def _counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of whole numbers, sorted, and how often each occurs. They are sorted as one number where they fit in it."""
+    least = [int(c.min()) if len(c) else 0 for c in columns]
+    wide = [int(c.max()) - m + 1 if len(c) else 1 for c, m in zip(columns, least, strict=True)]
+    if math.prod(wide) >= 1 << 62:
+        keys, n = np.unique(np.stack(columns), axis=1, return_counts=True)
+        return list(keys), n
+    key = np.zeros(len(columns[0]), np.int64)
+    for c, m, w in zip(columns, least, wide, strict=True):
+        key = key * w + (c - m)
+    key, n = np.unique(key, return_counts=True)
+    out = []
+    for m, w in zip(least[::-1], wide[::-1], strict=True):
+        out.append(key % w + m)
+        key = key // w
+    return out[::-1], n
+
+
 def base_codes(reads: DataFrame, chunks: DataFrame | None = None, width: int = 0, least_quality: int = 1, baq: bool = False) -> DataFrame:
-    """chrom, pos, sample, code, n: counted codes of the bases that reads show.
+    """chrom, pos, sample, codes: the codes of the bases that reads show, each as count << 9 | code.
+
+    A row is what a batch of reads shows; a position and sample may have several, in one partition and beside each other.
 
     ``reads``: chrom, pos (of the first matched base), sample, cigar, seq, qual (text, from 33), mapq, reverse. With ``baq``
     the qualities are lowered first, by the reference in ``chunks`` (chrom, chunk, seq) of ``width`` bases.
@@ -216,42 +251,81 @@ def base_codes(reads: DataFrame, chunks: DataFrame | None = None, width: int = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 2000):
-                b = whole.slice(begin, 2000)
-                columns = {c: b.column(c).to_pylist() for c in ("pos", "cigar", "seq", "qual", "mapq", "reverse", "_from", "window")}
-                seqs = [_CODE[np.frombuffer(s.encode(), np.uint8)] for s in columns["seq"]]
-                quals = [np.frombuffer(s.encode(), np.uint8).astype(np.int64) - 33 for s in columns["qual"]]
-                runs = [[r for r in _runs(c) if r[1] + r[2] <= len(s)] for c, s in zip(columns["cigar"], seqs, strict=True)]
-                if baq:
-                    windows = []
-                    for pos, at, w, rs in zip(columns["pos"], columns["_from"], columns["window"], runs, strict=True):
-                        need = (rs[-1][0] + rs[-1][2] if rs else 0) + 2 * BAND
-                        ref = np.full(need, 4, np.int8)
-                        have = _CODE[np.frombuffer((w or "").encode(), np.uint8)]
-                        off = BAND - (pos - 1 - at)  # less before the contig's first base
-                        ref[off : off + len(have)] = have[: max(0, need - off)]
-                        windows.append(ref)
-                    quals = lowered(seqs, quals, runs, windows)
-                read = [np.full(n, i) for i, rs in enumerate(runs) for _, _, n in rs]
-                place = [columns["pos"][i] + r + np.arange(n) for i, rs in enumerate(runs) for r, _, n in rs]
-                base = [seqs[i][q : q + n] for i, rs in enumerate(runs) for _, q, n in rs]
-                quality = [quals[i][q : q + n] for i, rs in enumerate(runs) for _, q, n in rs]
-                if not read:
+            for begin in range(0, whole.num_rows, 4000):
+                b = whole.slice(begin, 4000)
+                seq, qual, window = (_texts(b.column(c)) for c in ("seq", "qual", "window"))
+                cigar = b.column("cigar").dictionary_encode()
+                pos, start, mapq = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "_from", "mapq"))
+                strand = b.column("reverse").to_numpy(zero_copy_only=False).astype(np.int64) << 2
+                off = BAND - (pos - 1 - start)  # less before the contig's first base
+                # reads alike in CIGAR and lengths are matrices
+                alike = np.stack([cigar.indices.to_numpy(), seq[2], *([window[2], off] if baq else [])])
+                alike, which = np.unique(alike[:, seq[2] == qual[2]], axis=1, return_inverse=True)
+                members = np.flatnonzero(seq[2] == qual[2])[np.argsort(which.ravel(), kind="stable")]
+                groups, pieces = [], {}
+                for k, rows in zip(alike.T.tolist(), np.split(members, np.cumsum(np.bincount(which.ravel(), minlength=alike.shape[1]))[:-1]), strict=True):
+                    runs = [r for r in _runs(cigar.dictionary[k[0]].as_py()) if r[1] + r[2] <= k[1]]
+                    codes, quals = _CODE[_matrix(seq, rows, k[1])], _matrix(qual, rows, k[1]).astype(np.int64) - 33
+                    groups.append((rows, runs, codes, quals))
+                    if baq and runs:
+                        need = runs[-1][0] + runs[-1][2] + 2 * BAND
+                        ref, have = np.full((len(rows), need), 4, np.int8), _CODE[_matrix(window, rows, k[2])]
+                        ref[:, k[3] : k[3] + k[2]] = have[:, : max(0, need - k[3])]
+                        for r, q, n in runs:
+                            pieces.setdefault(n, []).append((len(groups) - 1, q, codes[:, q : q + n], quals[:, q : q + n], ref[:, r : r + n + 2 * BAND]))
+                for n, some in pieces.items():
+                    low = _capped(*(np.concatenate([x[k] for x in some]) for k in (2, 3, 4)))
+                    for (g, q, x, _, _), rows in zip(some, np.split(low, np.cumsum([len(x[2]) for x in some])[:-1]), strict=True):
+                        groups[g][3][:, q : q + n] = rows
+                flat = [(np.repeat(rows, n), (pos[rows, None] + r + np.arange(n)).ravel(), codes[:, q : q + n].ravel(), quals[:, q : q + n].ravel()) for rows, runs, codes, quals in groups for r, q, n in runs]
+                if not flat:
                     continue
-                read, place, base, quality = (np.concatenate(x) for x in (read, place, base, quality))
+                read, place, base, quality = (np.concatenate(x) for x in zip(*flat, strict=True))
                 keep = (base < 4) & (quality >= least_quality)
                 read, place, base, quality = read[keep], place[keep], base[keep].astype(np.int64), quality[keep]
-                quality = np.clip(np.minimum(quality, np.array(columns["mapq"])[read]), LEAST_Q, MOST_Q)
-                code = quality << 3 | np.array(columns["reverse"], np.int64)[read] << 2 | base
-                # reads of a batch that show the same are counted here
+                code = np.clip(np.minimum(quality, mapq[read]), LEAST_Q, MOST_Q) << 3 | strand[read] | base
+                # reads of a batch that show the same are counted here, and a position and sample is one row
                 names = b.column("sample").dictionary_encode(), b.column("chrom").dictionary_encode()
-                sample, chrom = (np.nan_to_num(x.indices.to_numpy(zero_copy_only=False), nan=-1).astype(np.int64)[read] for x in names)
-                keys, n = np.unique(np.stack([chrom, place, sample, code]), axis=1, return_counts=True)
-                take = lambda x, i: x.dictionary.take(pa.array([None if k < 0 else k for k in i.tolist()], pa.int64()))
-                yield pa.RecordBatch.from_arrays([take(names[1], keys[0]), pa.array(keys[1], pa.int64()), take(names[0], keys[2]), pa.array(keys[3].astype(np.int32)), pa.array(n, pa.int64())], names=["chrom", "pos", "sample", "code", "n"])
-
-    coded = t.select("chrom", "pos", "sample", "cigar", "seq", "qual", "mapq", "reverse", "_from", "window").mapInArrow(run, "chrom string, pos long, sample string, code int, n long")
-    return coded.repartition("chrom", "pos").groupBy("chrom", "pos", "sample", "code").agg(F.sum("n").alias("n"))
+                sample, chrom = (x.indices.fill_null(len(x.dictionary)).to_numpy().astype(np.int64)[read] for x in names)
+                keys, n = _counted([place, chrom, sample, code])
+                if not len(n):
+                    continue
+                new = np.flatnonzero(np.r_[True, (np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)])
+                codes = pa.ListArray.from_arrays(pa.array(np.r_[new, len(n)], pa.int32()), pa.array(n.astype(np.int64) << 9 | keys[3], pa.int64()))
+                take = lambda x, i: pa.concat_arrays([x.dictionary, pa.nulls(1, x.dictionary.type)]).take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([take(names[1], keys[1][new]), pa.array(keys[0][new], pa.int64()), take(names[0], keys[2][new]), codes], names=["chrom", "pos", "sample", "codes"])
+
+    coded = t.select("chrom", "pos", "sample", "cigar", "seq", "qual", "mapq", "reverse", "_from", "window").mapInArrow(run, "chrom string, pos long, sample string, codes array<bigint>")
+    return coded.repartition("chrom", "pos").sortWithinPartitions("pos", "chrom", "sample")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows in batches of whole groups (rows alike in ``keys``), with each row's group, from 0."""
+
+    def numbers(b: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(b.num_rows, bool)
+        for k in keys:
+            c = b.column(k)
+            c = c.dictionary_encode().indices.fill_null(-1) if pa.types.is_string(c.type) else c
+            new[1:] |= np.diff(c.to_numpy(zero_copy_only=False)) != 0
+        return np.cumsum(new)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and int(numbers(pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), b]))[-1]) == 0:
+            held.append(b)
+            continue
+        whole = pa.concat_batches([*held, b])
+        group = numbers(whole)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield whole.slice(0, cut), group[:cut]
+        held = [whole.slice(cut)]
+    if held:
+        whole = pa.concat_batches(held)
+        yield whole, numbers(whole)
 
 
 LIKELIHOODS = "chrom string, pos long, sample string, depth array<long>, quality array<long>, likelihoods array<double>"
@@ -259,49 +333,82 @@ LIKELIHOODS = "chrom string, pos long, sample string, depth array<long>, quality
 
 def sample_likelihoods(codes: DataFrame) -> DataFrame:
     """:data:`LIKELIHOODS` of each position and sample: reads and summed qualities of A, C, G, T; 25 phred values of base pairs (A, C, G, T, unseen)."""
-    rows = codes.groupBy("chrom", "pos", "sample").agg(F.collect_list(F.struct("code", "n")).alias("codes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("codes")
-            inner = lists.flatten()
-            sizes = np.diff(lists.offsets.to_numpy())
-            row, code, n = np.repeat(np.arange(b.num_rows), sizes), inner.field("code").to_numpy(zero_copy_only=False).astype(np.int64), inner.field("n").to_numpy(zero_copy_only=False)
-            values = genotype_likelihoods(row, code, n, b.num_rows)
-            sums = [np.bincount(row * 4 + (code & 3), weights=w, minlength=b.num_rows * 4).astype(np.int64) for w in (n, n * np.clip(code >> 3, LEAST_Q, MOST_Q))]
-            fixed = lambda x, k, t: pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, k), pa.int32()), pa.array(x, t))
-            yield pa.RecordBatch.from_arrays([b.column("chrom"), b.column("pos"), b.column("sample"), fixed(sums[0], 4, pa.int64()), fixed(sums[1], 4, pa.int64()), fixed(values.ravel(), 25, pa.float64())], names=["chrom", "pos", "sample", "depth", "quality", "likelihoods"])
+        for b, group in _groups(batches, ["pos", "chrom", "sample"]):
+            lists, rows = b.column("codes"), int(group[-1]) + 1
+            row, code = np.repeat(group, lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            code, n = code & 511, code >> 9
+            values = genotype_likelihoods(row, code, n, rows)
+            sums = [np.bincount(row * 4 + (code & 3), weights=w, minlength=rows * 4).astype(np.int64) for w in (n, n * np.clip(code >> 3, LEAST_Q, MOST_Q))]
+            first = pa.array(np.searchsorted(group, np.arange(rows)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(first) for c in ("chrom", "pos", "sample")), _fixed(sums[0], 4, pa.int64()), _fixed(sums[1], 4, pa.int64()), _fixed(values.ravel(), 25, pa.float64())], names=["chrom", "pos", "sample", "depth", "quality", "likelihoods"])
 
-    return rows.mapInArrow(run, LIKELIHOODS)
+    return codes.mapInArrow(run, LIKELIHOODS)
+
+
+def _fixed(x: np.ndarray, k: int, kind: pa.DataType, mask: np.ndarray | None = None) -> pa.ListArray:
+    """Lists of ``k`` values each; those of ``mask`` are null."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, k), pa.int32()), pa.array(x, kind), mask=None if mask is None else pa.array(mask))
+
+
+SITES = "chrom string, pos long, end long, ref string, alts array<string>, info struct<DP:int,QS:array<double>>, samples array<struct<PL:array<int>,DP:int,AD:array<int>>>"
 
 
 def likelihood_sites(found: DataFrame, samples: list[str], bases: DataFrame) -> DataFrame:
     """A variant table (chrom, pos, ref, alts, info.DP, info.QS, samples with PL, DP, AD) from :func:`sample_likelihoods`.
 
     ``bases``: chrom, pos, base of the reference. ALTs are the bases shown, by their summed shares of a sample's quality
-    (then by letter), and ``<*>``.
+    (then by letter), and ``<*>``. Samples and bases meet in one exchange; a batch's sites with as many alleles are made together.
     """
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
-    one = F.struct("sample", "depth", "likelihoods", F.transform("quality", lambda q: q / F.greatest(total(F.col("quality")), F.lit(1))).alias("share"))
-    g = found.groupBy("chrom", "pos").agg(F.collect_list(one).alias("s")).join(bases.select("chrom", "pos", F.upper("base").alias("ref")), ["chrom", "pos"]).where(F.col("ref").isin(*BASES))
-    share = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.aggregate(F.array_sort("s", lambda x, y: F.when(x["sample"] < y["sample"], -1).when(x["sample"] > y["sample"], 1).otherwise(0)), F.lit(0.0), lambda acc, x: acc + F.get(x["share"], k)))
-    g = g.withColumn("share", share).withColumn("r", F.array_position(F.array(*[F.lit(b) for b in BASES]), F.col("ref")).cast("int") - 1)
-    others = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct((-F.get("share", k)).alias("w"), k.alias("k"))), lambda x: (x["w"] < 0) & (x["k"] != F.col("r")))
-    g = g.withColumn("order", F.concat(F.array("r"), F.transform(F.array_sort(others), lambda x: x["k"]), F.array(F.lit(4))))
-    g = g.withColumn("pairs", F.flatten(F.transform("order", lambda b, j: F.transform(F.slice("order", 1, j + 1), lambda a: a * 5 + b))))
-
-    def of(name: str):  # noqa: ANN202
-        x = F.get(F.filter("s", lambda y: y["sample"] == name), F.lit(0))
-        values = F.transform("pairs", lambda i: F.get(x["likelihoods"], i))
-        least = F.array_min(values)
-        pl = F.when(x.isNotNull(), F.transform(values, lambda v: F.least(F.floor(v - least + 0.499), F.lit(255)).cast("int")))
-        ad = F.when(x.isNotNull(), F.transform("order", lambda k: F.coalesce(F.get(x["depth"], k), F.lit(0)).cast("int")))
-        return F.struct(pl.alias("PL"), F.coalesce(total(x["depth"]), F.lit(0)).cast("int").alias("DP"), ad.alias("AD"))
-
-    letters = F.array(*[F.lit(b) for b in BASES], F.lit("<*>"))
-    depth = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + total(x["depth"]))
-    shares = F.transform("order", lambda k: F.coalesce(F.get("share", k), F.lit(0.0)))
-    return g.select(
-        "chrom", "pos", F.col("pos").alias("end"), "ref", F.transform(F.slice("order", 2, 5), lambda k: F.get(letters, k)).alias("alts"),
-        F.struct(depth.cast("int").alias("DP"), shares.alias("QS")).alias("info"), F.array(*[of(n) for n in samples]).alias("samples"),
-    )
+    kinds = {c: kind for c, kind in (x.split(" ") for x in LIKELIHOODS.split(", "))}
+    ref = bases.select("chrom", F.col("pos").cast("long").alias("pos"), *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items() if c not in ("chrom", "pos")], F.upper("base").alias("ref")).where(F.col("ref").isin(*BASES))
+    t = found.select(*kinds, F.lit(None).cast("string").alias("ref")).unionByName(ref).where("chrom is not null and pos is not null")
+    t = t.repartition("chrom", "pos").sortWithinPartitions("pos", "chrom", "sample")
+    names = list(samples)
+    schema = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.struct([("DP", pa.int32()), ("QS", pa.list_(pa.float64()))]), pa.list_(pa.struct([("PL", pa.list_(pa.int32())), ("DP", pa.int32()), ("AD", pa.list_(pa.int32()))]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, group in _groups(batches, ["pos", "chrom"]):
+            n_groups = int(group[-1]) + 1
+            shows = np.flatnonzero(b.column("depth").is_valid().to_numpy(zero_copy_only=False))
+            mine = group[shows]
+            depth, quality, likelihoods = (b.column(c).flatten().to_numpy().reshape(len(shows), k) for c, k in (("depth", 4), ("quality", 4), ("likelihoods", 25)))
+            part = quality / np.maximum(quality.sum(1, keepdims=True), 1)
+            share = np.stack([np.bincount(mine, weights=part[:, k], minlength=n_groups) for k in range(4)], 1)
+            total = np.bincount(mine, weights=depth.sum(1), minlength=n_groups).astype(np.int64)
+            sample = b.column("sample").take(pa.array(shows)).to_numpy(zero_copy_only=False)
+            place = np.full((len(names), n_groups), -1)
+            for i, name in enumerate(names):
+                at = np.flatnonzero(sample == name)[::-1]  # the first one stays
+                place[i, mine[at]] = at
+            # a row of the reference is a site if samples show something there
+            site = np.flatnonzero(b.column("ref").is_valid().to_numpy(zero_copy_only=False))
+            site = site[np.isin(group[site], mine)]
+            if not len(site):
+                continue
+            g = group[site]
+            r = _CODE[np.array([ord(x) for x in b.column("ref").take(pa.array(site)).to_pylist()])].astype(np.int64)
+            by = np.argsort(-share[g], axis=1, kind="stable")
+            taken = (np.take_along_axis(share[g], by, 1) > 0) & (by != r[:, None])
+            n_others = taken.sum(1)
+            others = np.take_along_axis(by, np.argsort(~taken, axis=1, kind="stable"), 1)
+            for k in np.unique(n_others).tolist():
+                some = np.flatnonzero(n_others == k)
+                order = np.concatenate([r[some, None], others[some, :k], np.full((len(some), 1), 4)], 1)
+                at, width = pa.array(site[some]), k + 2
+                pairs = np.stack([order[:, x] * 5 + order[:, y] for y in range(width) for x in range(y + 1)], 1)
+                who = place[:, g[some]].T.ravel()  # site by sample
+                none, who = who < 0, np.maximum(who, 0)
+                values = np.take_along_axis(likelihoods[who], np.repeat(pairs, len(names), 0), 1)
+                pl = np.minimum(np.floor(values - values.min(1, keepdims=True) + 0.499), 255).astype(np.int32) if len(names) else np.zeros((0, pairs.shape[1]), np.int32)
+                ad = np.take_along_axis(np.concatenate([depth[who], np.zeros((len(who), 1), np.int64)], 1), np.repeat(order, len(names), 0), 1)
+                one = pa.StructArray.from_arrays([_fixed(pl.ravel(), pairs.shape[1], pa.int32(), none), pa.array(np.where(none, 0, depth[who].sum(1)), pa.int32()), _fixed(ad.astype(np.int32).ravel(), width, pa.int32(), none)], fields=list(schema[6].value_type))
+                qs = np.take_along_axis(np.concatenate([share[g[some]], np.zeros((len(some), 1))], 1), order, 1)
+                info = pa.StructArray.from_arrays([pa.array(total[g[some]], pa.int32()), _fixed(qs.ravel(), width, pa.float64())], fields=list(schema[5]))
+                alts = _fixed(np.array([*BASES, "<*>"], object)[order[:, 1:]].ravel(), k + 1, pa.string())
+                cuts = pa.array(np.arange(len(some) + 1) * len(names), pa.int32())
+                columns = [b.column("chrom").take(at), b.column("pos").take(at), b.column("pos").take(at), b.column("ref").take(at), alts, info, pa.ListArray.from_arrays(cuts, one)]
+                yield pa.RecordBatch.from_arrays([c.cast(kind) for c, kind in zip(columns, schema, strict=True)], names=["chrom", "pos", "end", "ref", "alts", "info", "samples"])
+
+    return t.mapInArrow(run, SITES)

@@ -109,7 +109,9 @@ def read_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = likelihoods.sample_likelihoods(likelihoods.base_codes(_reads(spark, sf_dir)))
     pairs = F.array(*[F.lit(a * 5 + b) for b in range(4) for a in range(b + 1)])
     values = F.transform(pairs, lambda i: F.get("likelihoods", i))
-    text = F.array_join(F.transform(values, lambda v: F.floor(v - F.array_min(values) + 0.499).cast("string")), ",")
+    # an array of one element, so that the values and their least are computed once
+    least = F.transform(F.array(values), lambda v: F.struct(v.alias("v"), F.array_min(v).alias("least")))
+    text = F.get(F.transform(least, lambda x: F.array_join(F.transform(x["v"], lambda v: F.floor(v - x["least"] + 0.499).cast("string")), ",")), F.lit(0))
     return found.select("chrom", "pos", "sample", F.array_join(F.transform("depth", lambda x: x.cast("string")), ",").alias("depth"), text.alias("pl"))
 
 
@@ -120,7 +122,7 @@ def read_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = reads.groupBy("chrom").agg(F.max("pos").alias("n"))
     chunks = ends.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") + 40) / 1000))).alias("chunk")).withColumn("seq", F.lit("CGTA" * 250))
     found = likelihoods.sample_likelihoods(likelihoods.base_codes(reads, chunks, 1000, baq=True))
-    bases = found.select("chrom", "pos").distinct().withColumn("base", F.expr("substring('ACGT', cast(pos % 4 as int) + 1, 1)"))
+    bases = chunks.select("chrom", "chunk", F.posexplode(F.split("seq", ""))).select("chrom", (F.col("chunk") * 1000 + F.col("pos") + 1).alias("pos"), F.col("col").alias("base"))
     sites = likelihoods.likelihood_sites(found, ["0", "1"], bases)
     return calling.multiallelic_calls(sites).select("chrom", "pos", "alleles", "gts", F.round("qual", 3).alias("qual"))
 

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from siteloom import queries_models
 from siteloom.operators import calling
 from siteloom.operators import likelihoods as lk
 
@@ -144,3 +145,56 @@ def test_reads_to_calls(spark):
 def test_pairs_of_genotypes_are_in_order():
     assert [a * 5 + b for b in range(3) for a in range(b + 1)] == [0, 1, 6, 2, 7, 12]
     assert list(itertools.islice(calling.genotype_pairs(3), 6)) == [(0, 0), (0, 1), (1, 1), (0, 2), (1, 2), (2, 2)]
+
+
+def plain_call(pls, freqs, theta=calling.THETA, most=3):
+    """One site, set after set."""
+    pairs = calling.genotype_pairs(len(freqs))
+    like = np.nan_to_num(10.0 ** (-pls / 10), nan=1 / len(pairs))
+    found = []
+    for size in range(1, min(most, len(freqs)) + 1):
+        for alleles in itertools.combinations(range(len(freqs)), size):
+            total = sum(freqs[a] for a in alleles)
+            if total > 0:
+                w = [(freqs[a] * freqs[b] / total**2 * (1 + (a != b)) if a in alleles and b in alleles else 0) for a, b in pairs]
+                found.append((sum(math.log(max(x @ w, 1e-300)) for x in like) + math.log(theta) * sum(a > 0 for a in alleles), alleles, w))
+    ll, best, w = max(found, key=lambda x: x[0])
+    calls = []
+    for x, raw in zip(like * w, pls, strict=True):
+        if np.isnan(raw).any() or len(set(raw)) == 1 and len(raw) > 1:
+            calls.append((None, None, 0))
+        else:
+            rest = 1 - x.max() / x.sum()
+            calls.append((*pairs[int(x.argmax())], int(min(127, -4.34294 * math.log(rest))) if rest > 0 else 127))
+    p_ref = sum(math.exp(x[0] - ll) for x in found if x[1] == (0,)) / sum(math.exp(x[0] - ll) for x in found)
+    return best, calls, min(999.0, -4.34294 * math.log(max(1 - p_ref if best == (0,) else p_ref, 1e-100)))
+
+
+def test_sites_called_together_equal_sites_called_alone(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(200):
+        n_alleles, n_samples = int(r.integers(1, 6)), int(r.integers(1, 4))
+        size = len(calling.genotype_pairs(n_alleles))
+        pl = [None if r.random() < 0.1 else [7] * size if r.random() < 0.1 else r.integers(0, 120, size if r.random() < 0.9 else size + 1).tolist() for _ in range(n_samples)]
+        rows.append(("1", i, "A", list("CGT*")[: n_alleles - 1], [(x,) for x in pl]))
+    df = spark.createDataFrame(rows, "chrom string, pos long, ref string, alts array<string>, samples array<struct<PL:array<int>>>")
+    got = {x.pos: x for x in calling.multiallelic_calls(df.repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for _, pos, _, alts, samples in rows:
+        pairs = calling.genotype_pairs(len(alts) + 1)
+        pls = np.array([[np.nan] * len(pairs) if x is None or len(x) != len(pairs) else x for (x,) in samples], float)
+        post = np.nan_to_num(10.0 ** (-pls / 10))
+        w = (post / np.maximum(post.sum(1, keepdims=True), 1e-300)).sum(0)
+        freqs = np.array([sum(x * ((a == k) + (b == k)) for x, (a, b) in zip(w, pairs, strict=True)) for k in range(len(alts) + 1)])
+        freqs = freqs / freqs.sum() if freqs.sum() else np.full(len(freqs), 1 / len(freqs))
+        best, calls, qual = plain_call(pls, freqs)
+        x = got[pos]
+        assert tuple(x.alleles) == best and x.gts == ["./." if a is None else f"{a}/{b}" for a, b, _ in calls] and x.qual == pytest.approx(qual, abs=1e-6)
+        assert all(abs(a - c[2]) <= 1 for a, c in zip(x.gqs, calls, strict=True))
+
+
+def test_read_calls_go_through_the_reads_once(spark):
+    """Alignment quality is computed once: the sites' REF comes from the reference, not from the positions found."""
+    plan = queries_models.read_calls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4 and "MapInPandas" not in plan
