@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import genotype as g
 from siteloom.operators.carried import RANGE, carried, in_blocks, ranged
+from siteloom.sources.shared import stored
 
 
 def reference_blocks(df: DataFrame, bands: list[int], sample: int = 0) -> DataFrame:
@@ -85,26 +86,100 @@ def overlaps(df: DataFrame) -> DataFrame:
     return t.withColumn("overlap", hit).drop("_end", "_alt", "_before", "_after", RANGE)
 
 
-def best_non_overlapping(df: DataFrame) -> DataFrame:
-    """Rows by ascending QUAL are removed while they still overlap another; missing QUAL counts 0. ``removed`` tells."""
-    t = df.select("chrom", "pos", (F.col("pos") + F.length("ref") - 1).alias("_reach"), "ref", F.array_join("alts", ",").alias("alt"), F.coalesce(F.col("qual").cast("double"), F.lit(0.0)).alias("q"))
-    order = ["pos", "ref", "alt"]
-    t = carried(ranged(t, ["chrom"], order), ["chrom"], order, maxima={"_before": F.col("_reach")}, inclusive=False)
-    t = carried(t, ["chrom"], order, sums={"_block": F.coalesce((F.col("_before") < F.col("pos")).cast("int"), F.lit(1))})
-    keys = t.select("chrom", "_block", "pos", "_reach", "ref", "alt", "q")
+def _range_maxima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The greatest of ``values[lo:hi]`` for each pair, -1 if there is none."""
+    out, size = np.full(len(lo), -1, np.int64), hi - lo
+    level, table, k = np.where(size > 0, np.frexp(np.maximum(size, 1))[1] - 1, -1), values, 0
+    while k <= level.max(initial=-1):
+        some = level == k
+        out[some] = np.maximum(table[lo[some]], table[hi[some] - (1 << k)])
+        table, k = np.maximum(table[: -(1 << k)], table[1 << k :]), k + 1
+    return out
+
+
+def _painted(n: int, lo: np.ndarray, hi: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the greatest of the values whose range ``lo:hi`` has it, -1 if none has."""
+    out, size = np.full(n, -1, np.int64), hi - lo
+    level = np.where(size > 0, np.frexp(np.maximum(size, 1))[1] - 1, -1)
+    for k in range(int(level.max(initial=-1)), -1, -1):
+        # out[x] stands for the 2**k places from x on
+        some = level == k
+        np.maximum.at(out, lo[some], values[some])
+        np.maximum.at(out, hi[some] - (1 << k), values[some])
+        if k:
+            half, out = out, out.copy()
+            out[1 << k - 1 :] = np.maximum(out[1 << k - 1 :], half[: -(1 << k - 1)])
+    return out
+
+
+#: Levels of nodes, each twice as wide as the one before, that stand for runs of blocks.
+_NODES = 48
+
+
+def _nodes(first: Column, last: Column) -> Column:
+    """The nodes (level, node) that the blocks ``first`` to ``last`` are made of, two of a level at most."""
+    start = F.struct(first.cast("long").alias("a"), (last + 1).cast("long").alias("b"), F.array().cast("array<struct<level:int,node:bigint>>").alias("out"))
+
+    def step(acc: Column, level: Column) -> Column:
+        odd_a, odd_b = (acc["a"] < acc["b"]) & (F.pmod(acc["a"], F.lit(2)) == 1), (acc["a"] < acc["b"]) & (F.pmod(acc["b"], F.lit(2)) == 1)
+        found = F.array_compact(F.array(F.when(odd_a, F.struct(level.alias("level"), acc["a"].alias("node"))), F.when(odd_b, F.struct(level.alias("level"), (acc["b"] - 1).alias("node")))))
+        return F.struct(F.shiftright(acc["a"] + odd_a.cast("long"), 1).alias("a"), F.shiftright(acc["b"] - odd_b.cast("long"), 1).alias("b"), F.concat(acc["out"], found).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_NODES)), start, step, lambda acc: acc["out"])
+
+
+def best_non_overlapping(df: DataFrame, block: int = 1 << 17) -> DataFrame:
+    """Rows by ascending QUAL are removed while they still overlap another; missing QUAL counts 0. ``removed`` tells.
+
+    A row removed before another would have been met by it, so a row goes if and only if a row that comes later (by QUAL,
+    position, REF, ALT) overlaps it; of equal rows one stays. Blocks of positions are solved apart, by maxima over ranges
+    of the rows in order; a row that ends in a later block is a guest there. Blocks wholly within a row are told by nodes
+    (runs of 1, 2, 4... blocks), so a row of any length is a few rows, and no chain of rows has to be in one task. An
+    empty REF counts as one base; rows without a position or REF overlap nothing.
+    """
+    reach = F.col("pos") + F.greatest(F.length("ref"), F.lit(1)) - 1
+    t = df.select("chrom", F.col("pos").cast("long").alias("pos"), reach.cast("long").alias("_reach"), "ref", F.array_join("alts", ",").alias("alt"), F.coalesce(F.col("qual").cast("double"), F.lit(0.0)).alias("q"))
+    t = t.withColumns({"_c": F.coalesce(F.concat(F.lit("="), "chrom"), F.lit("")), "_block": F.floor(F.col("pos") / block), "_last": F.floor(F.col("_reach") / block)})
+    t = stored(t, "overlaps")
+    placed, row = t.where("_reach is not null"), ["chrom", "pos", "ref", "alt", "q"]
+    own, guest, cover = 0, 1, 2
+    met = placed.withColumn("_kind", F.lit(own)).unionByName(placed.where("_last > _block").withColumn("_block", F.col("_last")).withColumn("_kind", F.lit(guest))).drop("_last")
+    beaten = None
+    long = placed.where("_last > _block + 1")
+    if not long.isEmpty():
+        key = F.struct("q", "pos", "ref", F.col("alt").isNull().alias("none"), "alt")
+        above = F.explode(F.transform(F.sequence(F.lit(0), F.lit(_NODES)), lambda k: F.struct(k.alias("level"), F.floor(F.col("_block") / F.pow(F.lit(2.0), k)).alias("node"))))
+        spans = long.groupBy("_c", "_block", "_last").agg(F.max(key).alias("_key")).withColumn("_node", F.explode(_nodes(F.col("_block") + 1, F.col("_last") - 1))).select("_c", "_block", "_last", "_key", "_node.*")
+        covers = spans.groupBy("_c", "level", "node").agg(F.max("_key").alias("_key"))
+        blocks = placed.groupBy("_c", "_block").agg(F.max(key).alias("_best")).withColumn("_node", above).select("_c", "_block", "_best", "_node.*")
+        over = blocks.join(covers, ["_c", "level", "node"]).groupBy("_c", "_block").agg(F.max("_key").alias("k"))
+        met = met.unionByName(over.select(F.lit(None).cast("string").alias("chrom"), "k.pos", F.col("k.pos").alias("_reach"), "k.ref", "k.alt", "k.q", "_c", "_block", F.lit(cover).alias("_kind")))
+        best = blocks.groupBy("_c", "level", "node").agg(F.max("_best").alias("_best"))
+        within = spans.drop("_key").join(best, ["_c", "level", "node"]).groupBy("_c", "_block", "_last").agg(F.max("_best").alias("_best"))
+        beaten = long.join(within, ["_c", "_block", "_last"]).where(F.col("_best") > key).select(*row, F.lit(False).alias("own"), F.lit(True).alias("beaten"))
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["q", "pos", "ref", "alt"]).reset_index(drop=True)
-        beg, end, alive = p["pos"].to_numpy(), p["_reach"].to_numpy(), np.ones(len(p), bool)
-        for i in range(len(p)):
-            hit = alive & (beg <= end[i]) & (end >= beg[i])
-            hit[i] = False
-            if hit.any():
-                alive[i] = False
-        return pd.DataFrame({"chrom": p["chrom"], "pos": p["pos"], "ref": p["ref"], "alt": p["alt"], "removed": ~alive})
-
-    single = keys.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("chrom", "_block")))
-    return single.where("_c = 1").select("chrom", "pos", "ref", "alt", F.lit(False).alias("removed")).unionByName(single.where("_c > 1").drop("_c").groupBy("chrom", "_block").applyInPandas(solve, "chrom string, pos long, ref string, alt string, removed boolean"))
+        place = lambda c: np.where((k := pd.factorize(p[c], sort=True)[0]) < 0, len(p), k)
+        keys = np.stack([place("alt"), place("ref"), p["pos"].to_numpy(), np.unique(p["q"].to_numpy(), return_inverse=True)[1].ravel()])
+        by = np.lexsort(keys)
+        rank = np.empty(len(p), np.int64)
+        rank[by] = np.cumsum(np.r_[False, (np.diff(keys[:, by], axis=1) != 0).any(0)])
+        kind, beg, end = p["_kind"].to_numpy(), p["pos"].to_numpy(), p["_reach"].to_numpy()
+        mine = np.flatnonzero(kind == own)
+        mine = mine[np.argsort(beg[mine], kind="stable")]
+        # the own rows that begin within each row
+        lo = np.where(kind == own, np.searchsorted(beg[mine], beg, "left"), 0)
+        hi = np.where(kind == cover, len(mine), np.searchsorted(beg[mine], end, "right"))
+        beaten = (_range_maxima(rank[mine], lo, hi) > rank) & (kind != cover)
+        beaten[mine] |= _painted(len(mine), lo, hi, rank) > rank[mine]
+        return p.assign(own=kind == own, beaten=beaten).loc[kind != cover, [*row, "own", "beaten"]]
+
+    schema = "chrom string, pos long, ref string, alt string, q double, own boolean, beaten boolean"
+    out = met.groupBy("_c", "_block").applyInPandas(solve, schema)
+    out = out.unionByName(beaten) if beaten is not None else out
+    out = out.groupBy(*row).agg(F.count_if("own").alias("n"), F.bool_or("beaten").alias("beaten"))
+    out = out.select("chrom", "pos", "ref", "alt", "beaten", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).select("chrom", "pos", "ref", "alt", (F.col("beaten") | (F.col("i") > 1)).alias("removed"))
+    return out.unionByName(t.where("_reach is null").select("chrom", "pos", "ref", "alt", F.lit(False).alias("removed")))
 
 
 def thinned(df: DataFrame, n: int, width: int, by: Column | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -124,3 +125,29 @@ def test_pairs_by_some_allele(spark):
     assert {k: sorted(x.pos for x in v.collect()) for k, v in setops.venn(a, b, "some").items()} == {"only_a": [2], "only_b": [2], "shared_a": [1, 3, 4], "shared_b": [1, 3, 4]}
     merged = {(x.pos, x.ref, tuple(x.alts)) for x in merge.merge_all([a, b], [2, 2], "some").collect()}
     assert {m[0] for m in merged if sum(n[0] == m[0] for n in merged) == 1} == {1, 3, 4} and sum(m[0] == 2 for m in merged) == 2
+
+
+def test_best_non_overlapping_equals_row_by_row(spark):
+    """Rows of one base to whole contigs, equal ones, ties of QUAL and none, over borders of blocks; the plain version goes row by row."""
+    r = np.random.default_rng(11)
+    rows = []
+    for chrom in ("1", "2", None):
+        for _ in range(150):
+            size = int(10 ** r.uniform(0, 2.5)) if r.random() < 0.3 else int(r.integers(1, 4))
+            rows.append((chrom, int(r.integers(1, 900)), "A" * size, ["C", "G"][: int(r.integers(1, 3))], None if r.random() < 0.1 else float(r.integers(0, 40))))
+    rows += [*rows[:5], ("3", 1, "A" * 1000, ["C"], 5.0), *[("3", k, "A", ["C"], 4.0) for k in range(3, 900, 50)], ("4", 1, "A" * 1000, ["C"], 5.0), ("4", 500, "A", ["C"], 6.0), ("5", 1, None, ["C"], 1.0), ("5", None, "A", ["C"], 1.0)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, ref string, alts array<string>, qual double")
+
+    left, out = [], []
+    for x in sorted((x for x in rows if x[1] is not None and x[2] is not None), key=lambda x: (x[4] or 0, x[1], x[2], ",".join(x[3]))):
+        left.append(x)
+    alive = [True] * len(left)
+    for i, x in enumerate(left):
+        alive[i] = not any(alive[j] and j != i and y[0] == x[0] and y[1] < x[1] + len(x[2]) and x[1] < y[1] + len(y[2]) for j, y in enumerate(left))
+        out.append((str(x[0]), x[1], x[2], ",".join(x[3]), not alive[i]))
+    out += [("5", 1, "None", "C", False), ("5", "None", "A", "C", False)]
+    for block in (7, 64, 1 << 17):
+        got = [(str(x.chrom), x.pos if x.pos is not None else "None", str(x.ref), x.alt, x.removed) for x in windows.best_non_overlapping(df.repartition(5), block).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, out))
+    plan = windows.best_non_overlapping(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # no chain of overlapping rows is looked for, which may be a whole contig
