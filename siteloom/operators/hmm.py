@@ -8,6 +8,7 @@ the states (or messages) that this gives at its ends. So the result doesn't depe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -81,13 +82,46 @@ def _sum_of_logs(x: np.ndarray, axis: int) -> np.ndarray:
     return (_log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
 
 
+def _segments(emission: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions and transitions of a piece as (places, segments, ...): about as many places as segments, which are solved side by side.
+
+    The last segment is filled up with sites that change nothing.
+    """
+    n, k = emission.shape
+    length = max(1, math.isqrt(n))
+    segments = -(-n // length)
+    fill = segments * length - n
+    e = np.concatenate([emission, np.ones((fill, k))]).reshape(segments, length, k)
+    t = np.concatenate([np.broadcast_to(transition, (n, k, k)), np.broadcast_to(np.eye(k), (fill, k, k))]).reshape(segments, length, k, k)
+    return np.ascontiguousarray(e.swapaxes(0, 1)), np.ascontiguousarray(t.swapaxes(0, 1))
+
+
+def _best_products(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """segments x states x states: the best log weight of a segment's paths; ``e`` and ``t`` are logs of :func:`_segments`."""
+    best = t[0] + e[0][:, None, :]
+    for i in range(1, len(e)):
+        best = (best[:, :, :, None] + t[i][:, None, :, :]).max(2) + e[i][:, None, :]
+    return best
+
+
+def _total_products(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """segments x states x states: the total log weight of a segment's paths; each row has a scale of its own."""
+    total, scale = np.ones((1, 1)), 0.0
+    for i in range(len(e)):
+        total = (total @ t[i] if i else t[0]) * e[i][:, None, :]
+        s = total.sum(2)
+        s = np.where(s > 0, s, 1)
+        total, scale = total / s[:, :, None], scale + np.log(s)
+    return _log(total) + scale[:, :, None]
+
+
 def transfer(emission: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(best, total) log weights of a piece's paths, from each state at the site before it to each state at its end."""
-    e, t = _log(emission), _log(transition)
-    best = total = t[0] + e[0]
-    for i in range(1, len(e)):
-        best = (best[:, :, None] + t[i]).max(1) + e[i]
-        total = _sum_of_logs(total[:, :, None] + t[i], 1) + e[i]
+    e, t = _segments(emission, transition)
+    bests, totals = _best_products(_log(e), _log(t)), _total_products(e, t)
+    best, total = bests[0], totals[0]
+    for m, n in zip(bests[1:], totals[1:], strict=True):
+        best, total = (best[:, :, None] + m).max(1), _sum_of_logs(total[:, :, None] + n, 1)
     return best, total
 
 
@@ -111,40 +145,57 @@ def chained(pieces: list[tuple[np.ndarray, np.ndarray]], states: int) -> list[tu
 
 def between(emission: np.ndarray, transition: np.ndarray, before: int, end: int) -> np.ndarray:
     """The best path of a piece from a state before it (-1: any, as likely) to a state at its end."""
-    e, t = _log(emission), _log(transition)
-    n, k = e.shape
-    v = (t[0][before] if before >= 0 else _first(t[0])) + e[0]
-    back = np.zeros((n, k), int)
-    for i in range(1, n):
-        step = v[:, None] + t[i]
-        back[i] = step.argmax(0)
-        v = step.max(0) + e[i]
-    path = np.empty(n, int)
-    path[-1] = end
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
-
-
-def _first(t: np.ndarray) -> np.ndarray:
-    return t.max(0)
+    e, t = (_log(x) for x in _segments(emission, transition))
+    length, segments, k = e.shape
+    products, into = _best_products(e, t), np.full((segments + 1, k), -np.inf)
+    into[0, before if before >= 0 else slice(None)] = 0
+    for b in range(segments):
+        into[b + 1] = (into[b][:, None] + products[b]).max(0)
+        into[b + 1] -= into[b + 1].max() if np.isfinite(into[b + 1].max()) else 0
+    ends = np.empty(segments, int)
+    ends[-1] = end
+    for b in range(segments - 1, 0, -1):
+        ends[b - 1] = int((into[b] + products[b][:, ends[b]]).argmax())
+    # each segment between its states, all at once
+    v = np.concatenate([(into[0][:, None] + t[0][0]).max(0)[None], t[0][np.arange(1, segments), ends[:-1]]]) + e[0]
+    back = np.zeros((length, segments, k), int)
+    for i in range(1, length):
+        step = v[:, :, None] + t[i]
+        back[i] = step.argmax(1)
+        v = step.max(1) + e[i]
+    path = np.empty((length, segments), int)
+    path[-1] = ends
+    for i in range(length - 1, 0, -1):
+        path[i - 1] = back[i][np.arange(segments), path[i]]
+    return path.T.ravel()[: len(emission)]
 
 
 def posteriors(emission: np.ndarray, transition: np.ndarray, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
     """Posterior probabilities of a piece's states, given the log messages at its ends."""
-    n, k = emission.shape
-    e, t = emission, transition
-    a, b = np.empty((n, k)), np.empty((n, k))
-    a[0] = (np.exp(ahead - ahead.max()) @ t[0]) * e[0]
-    a[0] /= a[0].sum() or 1
-    for i in range(1, n):
-        a[i] = (a[i - 1] @ t[i]) * e[i]
-        a[i] /= a[i].sum() or 1
-    b[-1] = np.exp(back - back.max())
-    for i in range(n - 2, -1, -1):
-        b[i] = t[i + 1] @ (e[i + 1] * b[i + 1])
-        b[i] /= b[i].sum() or 1
-    p = a * b
+    e, t = _segments(emission, transition)
+    length, segments, k = e.shape
+    products = _total_products(e, t)
+    into, after = np.empty((segments, k)), np.empty((segments, k))
+    into[0], after[-1] = ahead - ahead.max(), back - back.max()
+    for b in range(segments - 1):
+        into[b + 1] = _sum_of_logs(into[b][:, None] + products[b], 0)
+        into[b + 1] -= into[b + 1].max() if np.isfinite(into[b + 1].max()) else 0
+    for b in range(segments - 1, 0, -1):
+        after[b - 1] = _sum_of_logs(products[b] + after[b][None, :], 1)
+        after[b - 1] -= after[b - 1].max() if np.isfinite(after[b - 1].max()) else 0
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        s = x.sum(1, keepdims=True)
+        return x / np.where(s > 0, s, 1)
+
+    a, b = np.empty((length, segments, k)), np.empty((length, segments, k))
+    now = np.exp(into)
+    for i in range(length):
+        now = a[i] = scaled((now[:, None, :] @ t[i])[:, 0] * e[i])
+    now = b[-1] = np.exp(after)
+    for i in range(length - 2, -1, -1):
+        now = b[i] = scaled((t[i + 1] @ (e[i + 1] * now)[:, :, None])[:, :, 0])
+    p = (a * b).swapaxes(0, 1).reshape(-1, k)[: len(emission)]
     return p / p.sum(1, keepdims=True)
 
 
@@ -177,7 +228,7 @@ def _messages(t: DataFrame, model: Model, states: int) -> DataFrame:
 
 def _decoded(calls: DataFrame, model: Model, states: int, piece: int, finish: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """Calls with their states. ``model``: emissions and transitions of sites."""
-    t = _pieces(calls, piece)
+    t = stored(_pieces(calls, piece), "pieces")
 
     def decode(key: tuple, p: pd.DataFrame, ends_: pd.DataFrame) -> pd.DataFrame:
         p, end = p.sort_values("_at"), ends_.iloc[0]
@@ -255,10 +306,12 @@ def runs_of_homozygosity(df: DataFrame, to_az: float = 6.7e-8, to_hw: float = 5e
     Emissions from the genotype's probabilities and the ALT frequency f: autozygous p0(1-f) + p2 f, otherwise
     p0(1-f)^2 + 2 p1 f(1-f) + p2 f^2. Sites without a call, or of one allele only, are left out.
     """
-    an = g.allele_number(F.col("samples"))
-    ac = F.size(F.filter(g.called_alleles(F.col("samples")), lambda a: a > 0))
-    t = df.where(an > 0).select("chrom", "pos", F.try_divide(ac.cast("double"), an).alias("af"), F.posexplode("samples").alias("sample", "s"))
-    calls = t.select("sample", "chrom", "pos", "af", F.least(g.dosage(F.col("s.GT")), F.lit(2)).alias("d")).where("d is not null and af > 0 and af < 1")
+    of = lambda af: F.transform("samples", lambda s, i: F.struct(i.alias("sample"), af.alias("af"), F.least(g.dosage(s["GT"]), F.lit(2)).alias("d")))
+    # arrays of one element give names to what is used again; in a generator nothing of it is moved or repeated
+    counts = F.transform(F.array(g.called_alleles(F.col("samples"))), lambda c: F.struct(F.size(F.filter(c, lambda a: a > 0)).alias("ac"), F.size(c).alias("an")))
+    varying = F.filter(counts, lambda x: (x["ac"] > 0) & (x["ac"] < x["an"]))
+    called = F.filter(F.flatten(F.transform(varying, lambda x: of(x["ac"].cast("double") / x["an"]))), lambda x: x["d"].isNotNull())
+    calls = df.select("chrom", "pos", F.explode(called).alias("s")).select("s.sample", "chrom", "pos", "s.af", "s.d")
 
     def model(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         d, f = p["d"].to_numpy(), p["af"].to_numpy()
