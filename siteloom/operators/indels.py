@@ -1,7 +1,7 @@
 """Indels from aligned reads, by edit distance to the haplotypes of a site.
 
 1. Insertions and deletions of the reads' alignments, counted inside the task and then by position, give candidate sites.
-2. Reads meet the sites that they span by an interval join. A site's haplotypes are its stretch of reference with each of
+2. Reads meet the sites that they span by a join of points and intervals in small bins. A site's haplotypes are its stretch of reference with each of
    its indels. All (read, haplotype) pairs of a batch go through a bit-vector edit distance together: a column of the
    distance matrix is a few 64-bit words a pair, so numpy takes a base of all pairs at once. The read may begin and end
    anywhere in the haplotype.
@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.operators.likelihoods import CIGAR, genotype_likelihoods
-from siteloom.operators.ranges import overlap_join
+from siteloom.operators.ranges import point_join
 from siteloom.sources.shared import stored
 
 #: Bases of reference to either side of a site that reads are compared with.
@@ -115,21 +116,20 @@ def spans(reads: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("pos", pa.int64()), ("length", pa.int32()), ("seq", pa.string())]))
         for b in batches:
-            keep, ends, found = [], [], []
-            for i, (pos, cigar, seq) in enumerate(zip(*(b.column(c).to_pylist() for c in ("pos", "cigar", "seq")), strict=True)):
-                walked = _walk(cigar)
-                if walked is None or not walked[0] or sum(n for _, _, n, k in walked[1] if k in "MIS") != len(seq):
-                    continue
-                some = []
-                for r, q, n, k in walked[1]:
-                    if r and k == "D":
-                        some.append({"pos": pos + r - 1, "length": -n, "seq": ""})
-                    elif r and k == "I" and not seq[q : q + n].upper().strip("ACGT"):
-                        some.append({"pos": pos + r - 1, "length": n, "seq": seq[q : q + n].upper()})
-                keep.append(i)
-                ends.append(pos + walked[0] - 1)
-                found.append(some)
-            c = b.take(pa.array(keep, pa.int64()))
+            # alignments of a batch are often alike: each is walked once
+            cigar = b.column("cigar").dictionary_encode()
+            known = [(w, [x for x in w[1] if x[0] and x[3] in "DI"], sum(n for _, _, n, k in w[1] if k in "MIS")) if (w := _walk(c)) and w[0] else None for c in cigar.dictionary.to_pylist()]
+            which = cigar.indices.to_numpy()
+            size = np.array([-1 if x is None else x[2] for x in known], np.int64)
+            keep = np.flatnonzero(pc.utf8_length(b.column("seq")).to_numpy() == size[which]) if len(known) else np.zeros(0, np.int64)
+            c, which = b.take(pa.array(keep, pa.int64())), which[keep]
+            ends = c.column("pos").to_numpy() + np.array([0 if x is None else x[0][0] for x in known], np.int64)[which] - 1
+            found = [None if x is None or x[1] else [] for x in known]
+            found = [found[k] for k in which.tolist()]
+            shown = [i for i, x in enumerate(found) if x is None]
+            some = c.take(pa.array(shown, pa.int64()))
+            for i, pos, seq in zip(shown, some.column("pos").to_pylist(), some.column("seq").to_pylist(), strict=True):
+                found[i] = [{"pos": pos + r - 1, "length": -n if k == "D" else n, "seq": "" if k == "D" else seq[q : q + n].upper()} for r, q, n, k in known[which[i]][1] if k == "D" or not seq[q : q + n].upper().strip("ACGT")]
             yield pa.RecordBatch.from_arrays([c.column("chrom"), c.column("pos"), pa.array(ends, pa.int64()), *(c.column(x) for x in ("sample", "cigar", "seq", "reverse")), pa.array(found, kind)], names=["chrom", "pos", "end", "sample", "cigar", "seq", "reverse", "indels"])
 
     return t.mapInArrow(run, schema)
@@ -144,8 +144,7 @@ def candidates(spanned: DataFrame, least_reads: int = LEAST_READS, least_share:
     by_sample = shown.groupBy("chrom", "at", "sample").agg(F.sum("n").alias("with"), F.collect_list(F.struct("length", "seq", "n")).alias("types"))
     often = by_sample.groupBy("chrom", "at").agg(F.max("with").alias("most")).where(F.col("most") >= least_reads).select("chrom", "at")
     often = stored(often, "indel-places")
-    points = often.select("chrom", F.col("at").alias("beg"), F.col("at").alias("end"))
-    over = overlap_join(spanned.select("chrom", "pos", "end", "sample"), points).groupBy("chrom", F.col("r_beg").alias("at"), "sample").agg(F.count(F.lit(1)).alias("depth"))
+    over = point_join(spanned.select("chrom", "pos", "end", "sample"), often).groupBy("chrom", F.col("r_at").alias("at"), "sample").agg(F.count(F.lit(1)).alias("depth"))
     met = over.join(by_sample.withColumnRenamed("sample", "_s"), (over["chrom"] == by_sample["chrom"]) & (over["at"] == by_sample["at"]) & over["sample"].eqNullSafe(F.col("_s")), "left").select(over["chrom"], over["at"], "depth", F.coalesce("with", F.lit(0)).alias("with"), "types")
     g = met.groupBy("chrom", "at").agg(F.sum("depth").alias("depth"), F.max("with").alias("idv"), F.max(F.col("with") / F.col("depth")).alias("imf"), F.max((F.col("with") >= least_reads) & (F.col("with") / F.col("depth") >= least_share)).alias("ok"), F.flatten(F.collect_list("types")).alias("types"))
     same = lambda x: F.struct(x["length"].alias("length"), x["seq"].alias("seq"))
@@ -189,34 +188,41 @@ def realigned(spanned: DataFrame, sites: DataFrame) -> DataFrame:
 
     ``sites``: of :func:`candidates`, with ``window``, the reference from ``left`` (a position) on.
     """
-    points = sites.select("chrom", F.col("at").alias("beg"), F.col("at").alias("end"), "window", "left", F.transform("types", lambda x: F.struct(x["length"].alias("length"), x["seq"].alias("seq"))).alias("types"))
-    pairs = overlap_join(spanned.drop("indels"), points).select("chrom", "pos", "sample", "cigar", "seq", "reverse", F.col("r_beg").alias("at"), F.col("r_window").alias("window"), F.col("r_left").alias("left"), F.col("r_types").alias("types"))
+    points = sites.select("chrom", "at", "window", "left", F.transform("types", lambda x: F.struct(x["length"].alias("length"), x["seq"].alias("seq"))).alias("types"))
+    pairs = point_join(spanned.drop("indels"), points).select("chrom", "pos", "sample", "cigar", "seq", "reverse", F.col("r_at").alias("at"), F.col("r_window").alias("window"), F.col("r_left").alias("left"), F.col("r_types").alias("types"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                rows = whole.slice(begin, 1000).to_pylist()
-                reads, haplotypes, sizes = [], [], []
-                for x in rows:
-                    at, window = x["at"] - x["left"], x["window"].upper()
-                    lengths = [0, *(t["length"] for t in x["types"])]
-                    reach = max(0, -min(lengths))
-                    part = _segment(x["pos"], _walk(x["cigar"])[1], x["seq"], x["at"] - WINDOW // 2, x["at"] + WINDOW // 2 + reach).encode()
-                    mine = [window, *(window[: at + 1] + t["seq"] + window[at + 1 + max(0, -t["length"]) :] for t in x["types"])]
-                    reads += [part] * len(mine)
-                    haplotypes += [h.encode() for h in mine]
-                    sizes.append(len(mine))
-                distance, first, told = edit_distances(reads, haplotypes), 0, Counter()
-                for x, k in zip(rows, sizes, strict=True):
-                    d = distance[first : first + k]
-                    first += k
-                    order = np.argsort(d, kind="stable")
-                    best, second = int(order[0]), int(order[1])
+            for begin in range(0, whole.num_rows, 10_000):
+                part = whole.slice(begin, 10_000)
+                chroms, places, samples, cigars, seqs, reverses, ats = (part.column(c).to_pylist() for c in ("chrom", "pos", "sample", "cigar", "seq", "reverse", "at"))
+                # what holds for a site, and for an alignment, is made once a batch, and so is the distance of equal pairs
+                first: dict[tuple, int] = {}
+                for i, key in enumerate(zip(chroms, ats, strict=True)):
+                    first.setdefault(key, i)
+                sites_ = {}
+                for key, x in zip(first, part.select(["at", "window", "left", "types"]).take(pa.array(first.values(), pa.int64())).to_pylist(), strict=True):
+                    at, window, lengths = x["at"] - x["left"], x["window"].upper(), [t["length"] for t in x["types"]]
+                    run_ = run_length(window, at)
+                    haplotypes = [window, *(window[: at + 1] + t["seq"] + window[at + 1 + max(0, -t["length"]) :] for t in x["types"])]
+                    sites_[key] = max(0, *(-n for n in lengths)), [h.encode() for h in haplotypes], [worth(n, run_) for n in lengths]
+                walks = {c: _walk(c)[1] for c in set(cigars)}
+                slots: dict[tuple[bytes, bytes], int] = {}
+                of = []
+                for chrom, pos, cigar, seq, at in zip(chroms, places, cigars, seqs, ats, strict=True):
+                    reach, haplotypes, _ = sites_[chrom, at]
+                    shown = _segment(pos, walks[cigar], seq, at - WINDOW // 2, at + WINDOW // 2 + reach).encode()
+                    of.append([slots.setdefault((shown, h), len(slots)) for h in haplotypes])
+                unique, distance, told = list(slots), [], Counter()
+                for k in range(0, len(unique), 2500):
+                    distance += edit_distances(*(list(x) for x in zip(*unique[k : k + 2500], strict=True))).tolist()
+                for chrom, at, sample, reverse, mine in zip(chroms, ats, samples, reverses, of, strict=True):
+                    d = [distance[k] for k in mine]
+                    best, second = sorted(range(len(d)), key=d.__getitem__)[:2]
                     # against the reference if an indel is nearest, else against the nearest indel
                     rival = second if best == 0 else 0
-                    length = x["types"][(best or second) - 1]["length"]
-                    q = min(int(d[rival] - d[best]) * EDIT_Q, worth(length, run_length(x["window"].upper(), x["at"] - x["left"])), 63)
-                    told[x["chrom"], x["at"], x["sample"], int(x["reverse"]), best, q if d[second] > d[best] else 0] += 1
+                    q = min((d[rival] - d[best]) * EDIT_Q, sites_[chrom, at][2][(best or second) - 1], 63)
+                    told[chrom, at, sample, int(reverse), best, q if d[second] > d[best] else 0] += 1
                 columns = list(zip(*((*key, n) for key, n in told.items()), strict=True)) or [[]] * 7
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["chrom", "at", "sample", "strand", "type", "q", "n"])
@@ -236,7 +242,7 @@ def with_windows(sites: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
 
 def indel_sites(reads: DataFrame, chunks: DataFrame, width: int, samples: list[str], least_reads: int = LEAST_READS, least_share: float = LEAST_SHARE) -> DataFrame:
     """A variant table (chrom, pos, end, ref, alts, info.IDV, info.IMF, info.DP, samples with PL and AD) of the indels that reads show."""
-    spanned = spans(reads)
+    spanned = stored(spans(reads), "spanned")
     sites = stored(with_windows(candidates(spanned, least_reads, least_share), chunks, width), "indel-sites")
     said = realigned(spanned, sites)
     g = said.groupBy("chrom", "at").agg(F.collect_list(F.struct("sample", "strand", "type", "q", "n")).alias("said")).join(sites, ["chrom", "at"])

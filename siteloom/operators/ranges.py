@@ -80,6 +80,23 @@ def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str
     return left.join(met, same, "left" if how == "left" else "inner").drop("_c", "_b", "_e")
 
 
+#: Bins of 2**POINTS bases for points in short intervals: few of either share a bin.
+POINTS = 8
+
+
+def point_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str] = ("chrom", "pos", "end"), right_on: tuple[str, str] = ("chrom", "at")) -> DataFrame:
+    """Rows of ``left`` with the points of ``right`` that lie in them; right's columns get ``r_``.
+
+    For intervals that are short beside :data:`BASE` bins, as reads are. A point has one bin, so a pair meets once.
+    """
+    lc, lb, le = left_on
+    rc, ra = right_on
+    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_bin", F.floor(F.col(f"r_{ra}") / (1 << POINTS)))
+    probed = left.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(lb) / (1 << POINTS)), F.floor(F.greatest(lb, le) / (1 << POINTS)))))
+    on = (probed[lc] == F.col(f"r_{rc}")) & (probed["_bin"] == r["_bin"]) & (F.col(f"r_{ra}") >= F.col(lb)) & (F.col(f"r_{ra}") <= F.col(le))
+    return probed.join(r, on).drop("_bin")
+
+
 #: Positions are cut into blocks of 2**BLOCK bases where order matters only to the next site, so a contig is many tasks.
 BLOCK = 20
 

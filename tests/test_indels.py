@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from siteloom.operators import indels
+from siteloom.operators import indels, ranges
 
 
 def plain_distance(pattern, text):
@@ -83,3 +84,33 @@ def test_types_of_candidates(spark):
     assert [(x.chrom, x["at"], x.idv, x.depth) for x in got] == [("1", 14, 5, 9)] and got[0].imf == 1.0
     assert [tuple(t) for t in got[0].types] == [(-2, "", 2), (1, "G", 2), (1, "T", 3)]
     assert np.isfinite(got[0].imf)
+
+
+def test_points_meet_intervals_in_small_bins(spark):
+    """Every pair once, over borders of bins; bins are so small that the join tests few pairs that don't meet."""
+    r = random.Random(4)
+    left = [(c, p := r.randint(1, 3000), p + r.choice([0, 1, 11, 150, 700]), i) for i, c in enumerate(["1", "2", None] * 100)] + [("1", 255, 256, 900), ("1", 256, 256, 901)]
+    right = [(c, r.randint(1, 3800), i) for i, c in enumerate(["1", "2", None] * 60)] + [("1", 256, 900), ("1", 255, 901)]
+    got = ranges.point_join(spark.createDataFrame(left, "chrom string, pos long, end long, i int"), spark.createDataFrame(right, "chrom string, at long, k int"))
+    plain = sorted((i, k) for c, b, e, i in left for d, at, k in right if c is not None and c == d and b <= at <= e)
+    assert sorted((x.i, x.r_k) for x in got.collect()) == plain
+    plan = indels.candidates(indels.spans(reads_frame(spark, [("1", 10, "a", "5M1I5M", "ACGTATACGTA", False)])))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_probe" not in plan and "level" not in plan
+
+
+def test_equal_reads_of_a_site_are_compared_once(spark, monkeypatch):
+    """A batch compares each distinct pair of read and haplotype once; counts are of all reads."""
+    compared = []
+    monkeypatch.setattr(indels, "edit_distances", lambda p, t, f=indels.edit_distances: compared.append(len(p)) or f(p, t))
+    ran = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: ran.append(f) or self)
+    site = {"chrom": "1", "at": 30, "window": "ACGTTGCA" * 10, "left": 1, "types": [{"length": -1, "seq": ""}]}
+    reads = [{"chrom": "1", "pos": 11, "sample": "a", "cigar": "40M", "seq": ("ACGTTGCA" * 10)[10:50], "reverse": False} | site] * 50
+    empty = spark.createDataFrame([], "chrom string, pos long, end long, sample string, cigar string, seq string, reverse boolean, indels array<int>")
+    sites = spark.createDataFrame([], "chrom string, at long, window string, left long, types array<struct<length:int,seq:string>>")
+    try:
+        indels.realigned(empty, sites)
+    except Exception:  # the plan after the caught function isn't needed
+        pass
+    out = [x for b in ran[-1](iter([pa.RecordBatch.from_pylist(reads)])) for x in b.to_pylist()]
+    assert compared == [2] and sum(x["n"] for x in out) == 50 and len(out) == 1 and out[0]["type"] == 0
