@@ -198,3 +198,30 @@ def test_read_calls_go_through_the_reads_once(spark):
     """Alignment quality is computed once: the sites' REF comes from the reference, not from the positions found."""
     plan = queries_models.read_calls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 4 and "MapInPandas" not in plan
+
+
+def test_rows_of_a_position_meet_over_batches(spark):
+    """Positions whose rows fill several batches, or end with one: batches of any size give the same; no aggregation of single bases is left."""
+    r = random.Random(6)
+    text = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    rows = [(str(k % 2), 1 + k % 5, r.choice(["a", "b", None]), "6M", text(6, "ACGTN"), text(6, "#+5?I"), r.choice([60, 20, None]), r.random() < 0.5) for k in range(120)]
+    reads = spark.createDataFrame(rows, "chrom string, pos long, sample string, cigar string, seq string, qual string, mapq int, reverse boolean").repartition(9)
+    bases = spark.createDataFrame([(c, p, "ACGT"[p % 4]) for c in "01" for p in range(1, 12)], "chrom string, pos long, base string")
+    found, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size in ("1", "2", "7", "10000"):
+            spark.conf.set(name, size)
+            likely = lk.sample_likelihoods(lk.base_codes(reads))
+            sites = lk.likelihood_sites(likely, ["a", "b"], bases)
+            plain = {}
+            for c, p, s, _, seq, qual, mapq, _ in rows:
+                for i, b in enumerate(seq):
+                    if b != "N":
+                        plain.setdefault((c, p + i, s), [0] * 4)["ACGT".index(b)] += 1
+            assert {(x.chrom, x.pos, x.sample): x.depth for x in likely.collect()} == plain
+            found.append((sorted(str((x.chrom, x.pos, x.sample, np.round(x.likelihoods, 9).tolist())) for x in likely.collect()), sorted(str((x.chrom, x.pos, x.ref, x.alts, x.samples)) for x in sites.collect())))
+    finally:
+        spark.conf.set(name, before)
+    assert all(x == found[0] for x in found) and len(found[0][1]) == 20
+    assert "Aggregate" not in queries_models.read_likelihoods(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
